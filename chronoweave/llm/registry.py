@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, exact_dedup, mixing, packing
+from chronoweave.llm import chat, exact_dedup, minhash, mixing, packing
 
 QUERIES = {
+    "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op7_preference_format": chat.op7_preference_format,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_minhash_near_dedup": minhash.ORACLE,
     "op7_preference_format": chat.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
