@@ -60,11 +60,12 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", ties: lis
     chance = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0)
     offset = F.conv(F.substring(F.md5(F.concat(name(F.col(source)), F.lit(seed))), 1, 6), 16, 10).cast("long")
     per_source = per_source.select(name(F.col(source)).alias("__src"), "source_size", "target", chance.cast("long").alias("__step"), offset.alias("__u"))
-    if per_source.count() <= BROADCAST_SOURCES:
+    few = per_source.count() <= BROADCAST_SOURCES
+    if few:
         per_source = F.broadcast(per_source)
     keyed = sized.withColumn("__src", name(F.col(source)))
     order = [F.col("size"), *[F.col(t) for t in ties]]
-    rows = ranked(keyed, "__src", order, order, rows_per_block, "__rank").join(per_source, "__src")
+    rows = ranked(keyed, "__src", order, order, rows_per_block, "__rank", few).join(per_source, "__src")
     whole = F.shiftright((F.col("__rank") + 1) * F.col("__step") + F.col("__u"), 24) - F.shiftright(F.col("__rank") * F.col("__step") + F.col("__u"), 24)
     return rows.withColumn("copies", whole).drop("__src", "__step", "__u", "__rank")
 

@@ -213,7 +213,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
     table = slots(plan_bins(counts, capacity))
     plan = spark.createDataFrame(table, "__len long, __from long, __to long, __base long, __each long, __at long")
     by = [F.col(c) for c in order]
-    numbered = ranked(pieces, length, by, by or [F.col(length)], rows_per_block, "__rank")
+    numbered = ranked(pieces, length, by, by or [F.col(length)], rows_per_block, "__rank", few_keys=True)
     match = (F.col(length) == F.col("__len")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     nth = F.col("__rank") - F.col("__from")
     placed = numbered.join(F.broadcast(plan), match)

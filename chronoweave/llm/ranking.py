@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 5_000
 
 
-def ranked(df: DataFrame, key: str, order: list[Column], salt: list[Column], rows_per_block: int = ROWS_PER_BLOCK, out: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[Column], salt: list[Column], rows_per_block: int = ROWS_PER_BLOCK, out: str = "rank", few_keys: bool = False) -> DataFrame:
     """Add `out`: each row's number from 0 within `key`, gapless and the same in every run.
 
     A key's rows are dealt by a hash of `salt` over blocks of about rows_per_block rows; the blocks are numbered one
@@ -17,10 +17,12 @@ def ranked(df: DataFrame, key: str, order: list[Column], salt: list[Column], row
     alike. A key with a third of all rows is thus spread over as many tasks as its size asks for. `key` must not be
     null; rows with equal order and salt are interchangeable.
 
-    The counts per key are a small table joined by key; the offsets per (key, block) come from counts, not from rows.
+    The counts per key are joined by key, broadcast if few_keys says that their number is bounded; rows are then dealt
+    by (key, block), never by key alone; the offsets per (key, block) come from counts, not from rows.
     """
     blocks = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("long").alias("__blocks"))
-    dealt = df.join(blocks, key).withColumn("__block", F.pmod(F.xxhash64(*salt), F.col("__blocks")))
+    dealt = df.join(F.broadcast(blocks) if few_keys else blocks, key).withColumn("__block", F.pmod(F.xxhash64(*salt), F.col("__blocks")))
+    dealt = dealt if few_keys else dealt.repartition(key, "__block")
     offsets = dealt.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     offsets = offsets.select(key, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.col("__n").alias("__size"))

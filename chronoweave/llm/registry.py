@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, exact_dedup, minhash, mixing, packing
+from chronoweave.llm import chat, exact_dedup, media, minhash, mixing, packing
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op4_flac_media": media.op4_flac_media,
     "op7_preference_format": chat.op7_preference_format,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
