@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, exact_dedup, media, minhash, mixing, packing
+from chronoweave.llm import chat, exact_dedup, licenses, media, minhash, mixing, packing
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op4_flac_media": media.op4_flac_media,
+    "op5_license_scan": licenses.op5_license_scan,
     "op7_preference_format": chat.op7_preference_format,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
