@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, exact_dedup, licenses, media, minhash, mixing, packing
+from chronoweave.llm import chat, exact_dedup, licenses, media, minhash, mixing, packing, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_flac_media": media.op4_flac_media,
     "op5_license_scan": licenses.op5_license_scan,
     "op7_preference_format": chat.op7_preference_format,
