@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import chat, exact_dedup, licenses, media, minhash, mixing, packing, toxicity
+from chronoweave.llm import chat, exact_dedup, licenses, line_dedup, media, minhash, mixing, packing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_flac_media": media.op4_flac_media,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_preference_format": chat.op7_preference_format,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op2_minhash_near_dedup": minhash.ORACLE,
     "op7_preference_format": chat.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,

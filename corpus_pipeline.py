@@ -1,12 +1,61 @@
-"""A corpus pipeline: every stage takes (spark, docs, sf_dir) and returns what it keeps."""
+"""A corpus pipeline: every stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from chronoweave.llm import line_dedup, minhash, mixing, packing, toxicity
+from chronoweave.session import read_table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; labels of held-out documents are not learned from."""
+    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels), score="__score")
+    return scored.where(F.col("__score") < 0.5).drop("__score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that stand earlier go; so do documents of which nothing else is left."""
+    found = line_dedup.dedup_lines(docs)
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as many times as the mix of sources takes it."""
+    sizes = written(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")), "sizes")
+    taken = mixing.mix_sources(sizes, F.col("n"), ties=["doc_id"]).where("copies > 0").select("doc_id", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return docs.join(taken, "doc_id").select(*docs.columns, times.alias("__copy")).drop("__copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, placed in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: The classifier is not SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
