@@ -218,10 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(characters)
         for batch in batches:
-            found = [grams_of(restore(v.as_py() or "")) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["y", "grams"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [restore(v.as_py() or "") for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["y", "restored"])
 
-    sampled = written(rows.mapInArrow(sample, "y long, grams array<long>"), "sample")
+    sampled = written(rows.mapInArrow(sample, "y long, restored string"), "sample")
     sizes = {r["y"]: r["n"] for r in sampled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -229,23 +231,32 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def counted(candidates: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, sums = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            keys, sums, waiting, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [], 0
+
+            def merged() -> tuple[np.ndarray, np.ndarray]:
+                k, n = np.unique(np.concatenate(waiting), return_counts=True)
+                both, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                return both, np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(both)).astype(np.int64)
+
             for batch in batches:
-                column = batch.column(0)
-                x = column.flatten().to_numpy(zero_copy_only=False)
-                if candidates is not None:
-                    at = np.minimum(np.searchsorted(candidates, x), len(candidates) - 1)
-                    x = x[candidates[at] == x]
-                k, n = np.unique(x, return_counts=True)
-                merged, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                sums = np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(merged)).astype(np.int64)
-                keys = merged
+                for value in batch.column(0):
+                    x = grams_of(value.as_py())
+                    if candidates is not None:
+                        at = np.minimum(np.searchsorted(candidates, x), len(candidates) - 1)
+                        x = x[candidates[at] == x]
+                    waiting.append(x)
+                    held += len(x)
+                    if held > 1 << 20:
+                        keys, sums = merged()
+                        waiting, held = [], 0
+            if waiting:
+                keys, sums = merged()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.int64())], ["gram", "n"])
 
         return run
 
     def counts(y: int, candidates: np.ndarray | None, least: int) -> pd.Series:
-        part = sampled.where(F.col("y") == y).select("grams").mapInArrow(counted(candidates), "gram long, n long")
+        part = sampled.where(F.col("y") == y).select("restored").mapInArrow(counted(candidates), "gram long, n long")
         found = part.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
         return pd.Series(found["n"].to_numpy(dtype=np.float64), index=found["gram"].to_numpy(dtype=np.int64)).sort_index()
 
@@ -263,10 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for value in batch.column(1):
-                x = np.asarray(value.as_py(), dtype=np.int64)
-                found.append(np.flatnonzero(np.isin(chosen, x)))
+            found = [np.flatnonzero(np.isin(chosen, grams_of(value.as_py()))) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["y", "has"])
 
     held = sampled.mapInArrow(present, "y long, has array<long>").groupBy("y", "has").count().toPandas()
