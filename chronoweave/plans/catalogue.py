@@ -1,6 +1,383 @@
-"""The registered queries over the reference's operators, and their SQL."""
+"""The registered queries over the reference's operators; their SQL is in chronoweave.plans.oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.functions import geometry as G
+from chronoweave.functions import quality as Q
+from chronoweave.operators import context, evaluate, gallery, keyframes, resolve, tracks, windows
+from chronoweave.params import Params
+from chronoweave.plans.oracles import ORACLES
+from chronoweave.session import read_table, written
+from chronoweave.sources import adapters as A
+from chronoweave.streaming import windows as stream_windows
+
+#: Thresholds for the driver's tables, whose vectors carry no groups and whose frames are ten minutes long.
+P = Params().with_(hit=0.30, new=0.20, vote=0.25, margin=0.01, track_min_frames=3, top_k=30, max_keyframes=12)
+QUIET, CAP = 10, 60
+
+
+def q01_frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = A.observations(spark, sf_dir).select("session", "frame")
+    return keyframes.sampled(frames, F.col("frame") * A.FRAME_SECONDS, 7200.0)
+
+
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.observations(spark, sf_dir).groupBy("session", "frame").agg(F.max("conf").alias("scene"))
+
+
+def q02_adaptive_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyframes.adaptive(_scenes(spark, sf_dir), 0.97, 12, 1 << 30)
+
+
+def q03_label_counts_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.label_counts(A.observations(spark, sf_dir))
+
+
+def q04_track_lifespan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.lifespans(A.observations(spark, sf_dir), P)
+
+
+def q05_track_best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = tracks.best_evidence(A.detections(spark, sf_dir), P)
+    return best.withColumn("body_quality", F.round("body_quality", 6))
+
+
+def q06_frame_semantic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.detections(spark, sf_dir)
+    return tracks.frame_events(found, A.frames(found))
+
+
+def q07_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = A.observations(spark, sf_dir).select("session", "frame").distinct()
+    parts = windows.gap_sessions(active, QUIET)
+    return parts.groupBy("session", "part").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n_active"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = A.detections(spark, sf_dir)
+    frames = A.frames(found)
+    return windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), found, frames
+
+
+def q08_capped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir)[0]
+
+
+def q09_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found_windows, found, frames = _windows(spark, sf_dir)
+    return windows.window_summary(found_windows, found, tracks.frame_events(found, frames))
+
+
+def q10_object_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found_windows, found, _ = _windows(spark, sf_dir)
+    return context.object_context(found_windows, found, A.WIDTH, A.HEIGHT, P)
+
+
+def q11_box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = G.box()
+    cx, cy = G.centre(box, A.WIDTH, A.HEIGHT)
+    normed = G.norm_box(box, A.WIDTH, A.HEIGHT)
+    x1, y1, x2, y2, ok = G.crop(box, 100.0, 100.0)
+    torso = G.region(box, "torso")
+    rows = A.detections(spark, sf_dir)
+    return rows.select(
+        "event_id", cx.alias("cx"), cy.alias("cy"), *(F.element_at(normed, i + 1).alias(f"n{i}") for i in range(4)),
+        *(c.alias(n) for n, c in zip(("cx1", "cy1", "cx2", "cy2"), (x1, y1, x2, y2), strict=True)), ok.alias("crop_ok"),
+        *(c.alias(n) for n, c in zip(("tx1", "ty1", "tx2", "ty2"), torso, strict=True)), G.clock(F.col("frame") * 1.5).alias("clock"),
+    )
+
+
+def q12_iou_prev_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.previous_overlap(A.detections(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+
+
+def q13_iou_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.detections(spark, sf_dir).withColumn("frame", F.floor(F.col("frame") / 6))
+    one = found.groupBy("session", "frame", "track").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "event_id").alias("b")).select("session", "frame", "track", "b.*")
+    return tracks.best_matches(one.where("track % 2 = 0"), one.where("track % 2 = 1"), P.match_iou).withColumn("iou", F.round("iou", 6))
+
+
+def q14_interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.overlaps(A.intervals(spark, sf_dir))
+
+
+def _subject_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.intervals(spark, sf_dir).withColumn("session", F.concat(F.lit("s"), F.col("subject") % 25))
+
+
+def q15_interval_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.split_conflicts(_subject_tracks(spark, sf_dir))
+
+
+def q16_trajectory_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.directions(A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT, P)
+
+
+def q17_quality_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.reasons(A.detections(spark, sf_dir), P)
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Q.Face]:
+    """Faces made up from the events' numbers: size, five points, score, blur and rating."""
+    rows = A.detections(spark, sf_dir)
+    k, t = F.col("k"), F.col("track")
+    rows = rows.select(
+        "event_id", (10 + k * 1.0).alias("w"), (12 + t * 1.0).alias("h"), (k / 100.0 * 0.6 + 0.4).alias("det"),
+        F.when(k % 7 != 0, F.col("quality")).alias("blur"), F.when(t % 5 != 0, (t % 10) / 10.0).alias("fiqa"),
+        (50.0 + (k - 50) * 0.5).alias("nx"), (48.0 + (t % 30 - 15)).alias("ny"),
+    )
+    at = lambda x, y: (F.lit(x), F.lit(y))
+    points = [at(30.0, 35.0), at(70.0, 35.0), (F.col("nx"), F.col("ny")), at(36.0, 72.0), at(64.0, 72.0)]
+    return rows, Q.Face(F.col("w"), F.col("h"), F.col("det"), points, F.col("blur"), F.col("fiqa"), P)
+
+
+def q18_face_quality_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, face = _faces(spark, sf_dir)
+    graded = rows.select(
+        "event_id", F.round(face.frontal, 6).alias("frontal"), F.round(face.yaw, 6).alias("yaw"), F.round(face.pitch, 6).alias("pitch"), face.category().alias("category"),
+        F.concat_ws(",", face.defects()).alias("defects"), face.reason().alias("reason"), F.round(face.score(), 6).alias("quality"), face.eligibility().alias("eligibility"), face.can_enroll().alias("can_enroll"),
+    )
+    refused = Q.gallery_reason(F.col("eligibility"), F.col("category"), F.lit(False), F.col("can_enroll"))
+    return graded.withColumn("gallery_reason", refused).withColumn("band", Q.confidence_band(F.col("quality")))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with an odd id against those with an even one."""
+    shots = A.shots(spark, sf_dir)
+    probes = shots.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query"), "subject", "vec")
+    return probes, gallery.nearest(probes, shots.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "row"), P.top_k)
+
+
+def q19_knn_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
+
+
+def q20_subject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gallery.candidates(_nearest(spark, sf_dir)[1], P).withColumn("score", F.round("score", 6))
+
+
+def q21_identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, found = _nearest(spark, sf_dir)
+    return gallery.decisions(probes, gallery.candidates(found, P), P)
+
+
+def q22_rank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, found = _nearest(spark, sf_dir)
+    return evaluate.rank_k(found, probes)
+
+
+def _numbers(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 6))
+
+
+def q23_subject_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(gallery.centroids(A.shots(spark, sf_dir)), "subject", "n")
+
+
+def q24_weighted_fusion_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = F.when(F.col("subject") == 3, 0.0).otherwise(F.col("vec_id") % 7 / 5.0)
+    return _numbers(gallery.weighted_centroids(A.shots(spark, sf_dir), weight), "subject")
+
+
+def q25_open_set_enrol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = A.shots(spark, sf_dir)
+    return gallery.enrolments(shots.select(F.concat(F.lit("s"), F.col("vec_id") % 8).alias("session"), F.col("vec_id").alias("seq"), "vec", (F.col("vec_id") % 5 != 0).alias("ok")), P)
+
+
+def _vector_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("vec_id")
+    subject = F.when(i % 3 != 0, F.col("subject"))
+    return A.shots(spark, sf_dir).select(F.concat(F.lit("s"), i % 5).alias("session"), i.alias("track"), subject.alias("subject"), (i * 37 % 500).alias("first"), (i * 37 % 500 + i % 11).alias("last"), "vec", (i % 2 == 0).alias("ok"))
+
+
+def q26_stitch_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.stitch_once(_vector_tracks(spark, sf_dir), P.with_(stitch=0.05, stitch_local=0.10))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.merged_tracks(written(A.routes(spark, sf_dir), "routes"))
+
+
+def q27_cross_route_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("session", "track", "component", "n_tracks")
+
+
+def q28_identity_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.routes(spark, sf_dir)
+    null = F.lit(None).cast("double")
+    n = F.col("n")
+    face = {
+        "matched": F.when(F.col("face").isNotNull(), n % 3 == 0), "match_ready": F.when(F.col("face").isNotNull(), n % 5 != 0),
+        "category": F.when(n % 4 == 0, "clear").otherwise("poor"), "quality_score": F.when(n % 7 != 0, (n % 11) / 10.0).otherwise(null),
+        "match_score": F.when(n % 3 == 0, (n % 13) / 13.0).otherwise(null), "score": (n % 6) / 6.0,
+    }
+    gait = F.when(F.col("gait").isNotNull(), (n % 9) / 8.0)
+    decision = F.when(n % 3 == 0, "hit").when(n % 3 == 1, "stitched").otherwise("grey")
+    ids = {"face": F.col("face") % 7, "body": F.col("track") % 7, "gait": F.col("gait") % 7}
+    fused = Q.fused_confidence(F.col("track") % 7, F.col("q") / 500.0, decision, face, gait, ids, P)
+    rest = {k: v for k, v in fused.items() if k not in ("cues", "strengths")}
+    return rows.select("session", "track", *(c.alias(k) for k, c in rest.items()), F.concat_ws(",", fused["cues"]).alias("cues"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = _merged(spark, sf_dir).drop("component", "n_tracks", "merge_agree")
+    rows = A.routes(spark, sf_dir).select("session", "track", "first", "q", "n").join(merged, ["session", "track"])
+    decision = F.when(F.col("n") % 4 == 0, "local").when(F.col("cross_merged"), "merged").otherwise("hit")
+    return rows.select("session", "track", "subject", "first", (F.col("q") / 500.0).alias("score"), decision.alias("decision"), (F.col("n") % 9 == 0).alias("split"), "merge_routes", "cross_merged")
+
+
+def q29_person_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.persons(_resolved(spark, sf_dir))
+
+
+def q30_subject_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.subject_gallery(_resolved(spark, sf_dir))
+
+
+def _window_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of each window with an event mark and a signature, and the detections in it."""
+    found_windows, found, frames = _windows(spark, sf_dir)
+    found_windows = written(found_windows, "windows")
+    signature = found.groupBy("session", "frame").agg(F.array(F.lit(1.0), F.sum("k") / 40.0, F.max("x1") / 20.0).alias("signature"), F.max(F.col("k") >= 90).alias("marked"))
+    rows = windows.members(found_windows, frames.join(signature, ["session", "frame"], "left"))
+    rows = rows.select("session", F.col("first").alias("window"), "frame", F.coalesce("marked", F.lit(False)).alias("has_event"), "signature")
+    inside = windows.members(found_windows, found.select("session", "frame", "track", "quality")).withColumnRenamed("first", "window").drop("last")
+    return rows, inside
+
+
+def q31_keyframe_events_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, inside = _window_frames(spark, sf_dir)
+    best = keyframes.track_best(inside, ["session", "window"]).withColumn("best", F.lit(True))
+    marked = keyframes.with_context(rows, ["session", "window"]).join(best, ["session", "window", "frame"], "left")
+    return marked.select("session", "window", "frame", "has_event", "near", F.coalesce("best", F.lit(False)).alias("best"))
+
+
+def q32_keyframe_even_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _window_frames(spark, sf_dir)
+    return keyframes.capped(rows, ["session", "window"], P.max_keyframes)
+
+
+def q33_keyframes_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyframes.select_keyframes(*_window_frames(spark, sf_dir), ["session", "window"], P)
+
+
+def q34_temporal_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyframes.spaced_candidates(A.detections(spark, sf_dir), ["session", "track"], "quality", P.with_(candidate_gap=30))
+
+
+def q35_spatial_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _window_frames(spark, sf_dir)
+    shown = rows.where("has_event").select("session", "window", "frame")
+    return context.grounding(shown, A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT)
+
+
+def q36_scene_text_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.scene_text(A.text_lines(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations")
+
+
+def q37_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.col("conv_id") * 1000 + F.col("turn")
+    rows = _turns(spark, sf_dir).select(F.concat(F.col("role"), F.lit("#"), F.col("conv_id") % 20).alias("subject"), place.alias("place"), F.concat(F.col("conv_id"), F.lit("~"), F.col("turn")).alias("range"))
+    return context.roster(rows)
+
+
+def q38_timeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("window"), F.col("turn").alias("place"), F.col("role").alias("subject"), F.substring("text", 1, 40).alias("action"))
+    return context.timeline(rows)
+
+
+def q39_max_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.observations(spark, sf_dir).select("session", "track", F.when(F.col("k") >= 97, "alert").when(F.col("k") >= 85, "attention").when(F.col("k") >= 5, "normal").alias("level"))
+    return context.highest_alert(rows, ["session", "track"])
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").join(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
+def q40_accuracy_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_labelled(spark, sf_dir).select(F.col("lang").alias("route"), F.col("source").alias("bin"), (F.col("quality") == 1).alias("right")))
+
+
+def q41_calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.calibration(_labelled(spark, sf_dir).select("lang", F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("good")), ["lang"])
+
+
+def q42_paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    side = lambda right, by: labels.select(F.col("doc_id").alias("sample_id"), F.when(right, "yes").otherwise("no").alias("pred"), right.alias("right"), (F.col("toxic") == 0).alias("genuine"), (F.col("doc_id") % by / float(by)).alias("confidence"))
+    return evaluate.transitions(side(F.col("quality") == 1, 10), side((F.col("quality") + F.col("doc_id")) % 3 == 1, 7))
+
+
+def q43_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    present = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).union(read_table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id")))
+    return evaluate.coverage(expected, present, "id")
+
+
+def q44_route_semijoin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.detections(spark, sf_dir)
+    live = tracks.lifespans(found, P).select("session", "track")
+    skipped = found.where("k = 0").select("session", "track").distinct()
+    return found.join(live, ["session", "track"], "left_semi").join(skipped, ["session", "track"], "left_anti").select("session", "frame", "track", "event_id")
+
+
+def q45_id_switch_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.switches(A.detections(spark, sf_dir))
+
+
+def q46_dominant_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.dominant(A.observations(spark, sf_dir))
+
+
+def _utc(ts: str = "ts") -> Column:
+    return F.col(ts).cast("timestamp")
+
+
+def q47_session_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of events at most half an hour apart, told by a stream over the table once it has read all of it."""
+    import uuid
+
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = events.select(F.col("event_type").alias("session"), _utc().alias("ts"))
+    told = stream_windows.drained(stream_windows.session_windows(rows, late="60 days"), f"q47_{uuid.uuid4().hex}", "complete")
+    plain = lambda c: F.unix_micros(c)
+    return told.select("session", plain(F.col("start")).alias("start_us"), plain(F.col("end")).alias("end_us"), "n")
+
+
+def q48_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.payload(q09_window_summary(spark, sf_dir))
+
+
+def q49_face_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small boxes of odd tracks matched with the large boxes of even ones in the same three hours."""
+    found = A.detections(spark, sf_dir).withColumn("frame", F.floor(F.col("frame") / 18))
+    one = found.groupBy("session", "frame", "track").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "event_id").alias("b")).select("session", "frame", "track", "b.*")
+    faces = one.where("track % 2 = 1").select("session", "frame", F.col("track").alias("face"), "x1", "y1", (F.col("x1") + 12).alias("x2"), (F.col("y1") + 14).alias("y2"))
+    return tracks.associate(faces, one.where("track % 2 = 0"), P)
+
+
+def q50_stitch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.stitch(_vector_tracks(spark, sf_dir), P.with_(stitch=0.05, stitch_local=0.10))
+
+
+def q51_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.observations(spark, sf_dir).select(F.col("track").alias("pid"), F.col("event_id"))
+    return evaluate.seeded_sample(rows, "pid", "event_id", 20, 3, "seed")
+
+
+def q52_cross_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("session", "track", "subject", "merge_routes", "merge_agree", "cross_merged")
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
+
+__all__ = ["ORACLES", "QUERIES"]
