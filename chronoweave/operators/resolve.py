@@ -70,7 +70,7 @@ def first_fit(tracks: DataFrame) -> DataFrame:
     In order of (first, last, track) a group is free if its last end is before the track's start, so the fold over a
     subject's tracks only carries one end per group.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col("first").cast("long"), F.col("last").cast("long"), F.col("track").cast("long")))).alias("rows")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("track").cast("long").alias("track")))).alias("rows")
     shape = "struct<ends:array<bigint>,out:array<struct<track:bigint,part:int>>>"
     start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<track:bigint,part:int>>").alias("out")).cast(shape)
 

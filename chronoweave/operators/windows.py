@@ -95,7 +95,7 @@ def members(windows: DataFrame, found: DataFrame) -> DataFrame:
     """
     cols = [c for c in found.columns if c not in ("session", "frame")]
     a = found.select("session", "frame", F.lit(1).alias("__kind"), F.struct(*cols).alias("__row") if cols else F.lit(None).alias("__row"), F.lit(None).cast("struct<first:bigint,last:bigint>").alias("__win"))
-    b = windows.select("session", F.col("first").alias("frame"), F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(F.col("first").cast("long"), F.col("last").cast("long")).alias("__win"))
+    b = windows.select("session", F.col("first").alias("frame"), F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).alias("__win"))
     w = W.partitionBy("session").orderBy("frame", "__kind").rowsBetween(W.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("__win", F.last("__win", True).over(w)).where("__kind = 1 and frame <= __win.last")
     return both.select("session", "frame", *([f"__row.{c}" for c in cols]), "__win.first", "__win.last")

@@ -41,8 +41,7 @@ def q04_track_lifespan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q05_track_best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = tracks.best_evidence(A.detections(spark, sf_dir), P)
-    return best.withColumn("body_quality", F.round("body_quality", 6))
+    return tracks.best_evidence(A.detections(spark, sf_dir), P)
 
 
 def q06_frame_semantic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +136,8 @@ def _faces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Q.Face]:
 def q18_face_quality_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, face = _faces(spark, sf_dir)
     graded = rows.select(
-        "event_id", F.round(face.frontal, 6).alias("frontal"), F.round(face.yaw, 6).alias("yaw"), F.round(face.pitch, 6).alias("pitch"), face.category().alias("category"),
-        F.concat_ws(",", face.defects()).alias("defects"), face.reason().alias("reason"), F.round(face.score(), 6).alias("quality"), face.eligibility().alias("eligibility"), face.can_enroll().alias("can_enroll"),
+        "event_id", face.frontal.alias("frontal"), face.yaw.alias("yaw"), face.pitch.alias("pitch"), face.category().alias("category"),
+        F.concat_ws(",", face.defects()).alias("defects"), face.reason().alias("reason"), face.score().alias("quality"), face.eligibility().alias("eligibility"), face.can_enroll().alias("can_enroll"),
     )
     refused = Q.gallery_reason(F.col("eligibility"), F.col("category"), F.lit(False), F.col("can_enroll"))
     return graded.withColumn("gallery_reason", refused).withColumn("band", Q.confidence_band(F.col("quality")))
@@ -170,7 +169,7 @@ def q22_rank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbers(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 6))
+    return df.select(*keys, F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 def q23_subject_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,8 +344,8 @@ def q47_session_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of events at most half an hour apart, told by a stream over the table once it has read all of it."""
     import uuid
 
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder = sf_dir.rstrip("/")
+    events = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{folder}/event[s].parquet")  # a pattern: the table is a file or a folder
     rows = events.select(F.col("event_type").alias("session"), _utc().alias("ts"))
     told = stream_windows.drained(stream_windows.session_windows(rows, late="60 days"), f"q47_{uuid.uuid4().hex}", "complete")
     plain = lambda c: F.unix_micros(c)

@@ -101,14 +101,15 @@ ORACLES = {
     "q01_frame_sampling": f"""with {D}, s as (select session, floor(frame * 600 / 7200.0)::bigint as slot, min(frame) as frame from o group by 1, 2)
         select session, slot, frame, round(slot * 7200.0::double, 3) as seconds from s""",
     "q02_adaptive_sampling": f"""with recursive {D}, s as (select session, frame, max(k)::double / 100.0::double as scene from o group by 1, 2),
-        nx as (select a.session, a.frame, min(b.frame) as nxt from s a join s b on a.session = b.session and b.frame > a.frame and (b.scene > 0.97::double or b.frame - a.frame >= 12) group by 1, 2),
-        w as (select session, min(frame) as frame, 0::bigint as nth from s group by 1 union all select w.session, nx.nxt, w.nth + 1 from w join nx on w.session = nx.session and w.frame = nx.frame)
+        nx as (select session, frame, least(min(case when scene > 0.97::double then frame end) over (partition by session order by frame rows between 1 following and unbounded following),
+          min(frame) over (partition by session order by frame range between 12 following and unbounded following)) as nxt from s),
+        w as (select session, min(frame) as frame, 0::bigint as nth from s group by 1 union all select w.session, nx.nxt, w.nth + 1 from w join nx on w.session = nx.session and w.frame = nx.frame where nx.nxt is not null)
         select session, frame, nth from w""",
     "q03_label_counts_per_frame": f"with {D} select session, frame, ['person', 'car', 'truck', 'bus', 'backpack'][k % 5 + 1] as label, count(*) as n from o group by 1, 2, 3",
     "q04_track_lifespan": f"""with {D} select session, track, min(frame) as first, max(frame) as last, count(distinct frame) as n_frames, max(quality) as best_quality from o
         group by 1, 2 having count(distinct frame) >= 3""",
     "q05_track_best_evidence": f"""with {D}, b as (select *, quality * least(1.0::double, (x2 - x1) * (y2 - y1) / 20000.0::double) as bq from d),
-        r as (select *, row_number() over (partition by session, track order by bq desc, frame) as r from b) select session, track, frame as best_frame, round(bq, 6) as body_quality, conf from r where r = 1""",
+        r as (select *, row_number() over (partition by session, track order by bq desc, frame) as r from b) select session, track, frame as best_frame, bq as body_quality, conf from r where r = 1""",
     "q06_frame_semantic_events": f"with {D}, {FRAMES}, {SPANS}, {EVENTS} select session, frame, event from ev",
     "q07_gap_windows": f"""with {D}, a as (select distinct session, frame from o), b as (select *, case when frame - lag(frame) over (partition by session order by frame) <= 10 then 0 else 1 end as st from a),
         c as (select *, sum(st) over (partition by session order by frame)::bigint as part from b) select session, part, min(frame) as first, max(frame) as last, count(*) as n_active from c group by 1, 2""",
@@ -152,8 +153,8 @@ ORACLES = {
         select session, track, n as n_points, {DIRECTION} as direction, mid.f as mid_frame, mid.x as mid_x, mid.y as mid_y from ax""",
     "q17_quality_gate_reasons": f"""with {D}, r as (select *, case when (x2 - x1) * (y2 - y1) < 1600 then 'too_small' when quality < 20 then 'too_blurry' when (y2 - y1) / (x2 - x1) < 0.8::double or (y2 - y1) / (x2 - x1) > 4.0::double then 'bad_aspect_ratio' end as reason from d)
         select session, frame, track, reason, reason is null as ok from r""",
-    "q18_face_quality_tree": f"""with {D}, {FACE}, z as (select *, round(q0, 6) as quality, eligibility = 'direct' and category = 'clear' as can_enroll from f3)
-        select event_id, round(frontal, 6) as frontal, round(yaw, 6) as yaw, round(pitch, 6) as pitch, category, defects, reason, quality, eligibility, can_enroll,
+    "q18_face_quality_tree": f"""with {D}, {FACE}, z as (select *, q0 as quality, eligibility = 'direct' and category = 'clear' as can_enroll from f3)
+        select event_id, frontal, yaw, pitch, category, defects, reason, quality, eligibility, can_enroll,
         case when eligibility <> 'direct' then 'face_not_direct' when category <> 'clear' then 'face_not_clear' end as gallery_reason,
         case when quality >= 0.75::double then '高' when quality >= 0.55::double then '中' when quality > 0 then '低' else '无' end as band from z""",
     "q19_knn_shots": f"with {KNN} select query, row, subject, round(score, 6) as score, nth from kn",
@@ -167,16 +168,16 @@ ORACLES = {
         case when split then 'topk_vote_inconsistent' when close then 'top1_margin_too_small' when score >= 0.2::double and score < 0.3::double then 'score_between_thresholds' else 'top1_score' end as reason from f""",
     "q22_rank_k": f"""with {KNN}, h as (select query, unnest([1, 5, 10]) as k, truth, list({{'n': nth, 's': subject}}) as l from kn group by query, truth)
         select k::bigint as k, count(*) as n_probe, round(avg((len(list_filter(l, lambda z: z.n <= k and z.s = truth)) > 0)::int) * 100, 2) as rate from h group by k""",
-    "q23_subject_centroid": """with v as (select label::bigint as subject, embedding::double[] as vec from embeddings), u as (select subject, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as at from v),
-        m as (select subject, at, avg(x) as x, count(*) as n from u group by 1, 2), z as (select subject, sqrt(sum(x * x)) as z from m group by 1)
-        select subject, n, at::int as at, round(case when z > 0 then x / z else x end, 6) as x from m join z using (subject)""",
+    "q23_subject_centroid": """with v as (select label::bigint as subject, embedding::double[] as vec from embeddings), u as (select subject, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as dim from v),
+        m as (select subject, dim, avg(x) as x, count(*) as n from u group by 1, 2), z as (select subject, sqrt(sum(x * x)) as z from m group by 1)
+        select subject, n, dim::int as dim, round(case when z > 0 then x / z else x end, 6) as x from m join z using (subject)""",
     "q24_weighted_fusion_vec": """with v as (select label::bigint as subject, case when label = 3 then 0.0::double else greatest(0.0::double, least(1.0::double, (vec_id % 7)::double / 5.0::double)) end as w, embedding::double[] as vec from embeddings),
-        u as (select subject, w, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as at from v),
-        m as (select subject, at, case when sum(w) > 0 then sum(w * x) / sum(w) else avg(x) end as x from u group by 1, 2), z as (select subject, sqrt(sum(x * x)) as z from m group by 1)
-        select subject, at::int as at, round(case when z > 0 then x / z else x end, 6) as x from m join z using (subject)""",
+        u as (select subject, w, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as dim from v),
+        m as (select subject, dim, case when sum(w) > 0 then sum(w * x) / sum(w) else avg(x) end as x from u group by 1, 2), z as (select subject, sqrt(sum(x * x)) as z from m group by 1)
+        select subject, dim::int as dim, round(case when z > 0 then x / z else x end, 6) as x from m join z using (subject)""",
     "q26_stitch_static": """with t as (select 's' || (vec_id % 5) as session, vec_id as track, case when vec_id % 3 <> 0 then label::bigint end as subject, vec_id * 37 % 500 as first, vec_id * 37 % 500 + vec_id % 11 as last, embedding::double[] as vec, vec_id % 2 = 0 as ok from embeddings),
-        u as (select session, subject, unnest(vec) as x, generate_subscripts(vec, 1) as at from t where subject is not null), m as (select session, subject, at, avg(x) as x from u group by 1, 2, 3),
-        c as (select session, subject, list(x order by at) as mean from m group by 1, 2), cn as (select session, subject, list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) as mean from c),
+        u as (select session, subject, unnest(vec) as x, generate_subscripts(vec, 1) as dim from t where subject is not null), m as (select session, subject, dim, avg(x) as x from u group by 1, 2, 3),
+        c as (select session, subject, list(x order by dim) as mean from m group by 1, 2), cn as (select session, subject, list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) as mean from c),
         pr as (select t.session, t.track, t.ok, cn.subject, list_dot_product(t.vec, cn.mean) / sqrt(list_dot_product(t.vec, t.vec)) as s from t join cn on t.session = cn.session where t.subject is null
           and not exists (select 1 from t k where k.session = t.session and k.subject = cn.subject and k.first <= t.last and t.first <= k.last)),
         b as (select *, row_number() over (partition by session, track order by s desc, subject) as r from pr) select session, track, subject, round(s, 4) as score from b where r = 1 and s >= case when ok then 0.05::double else 0.1::double end""",
