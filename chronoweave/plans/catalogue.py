@@ -270,7 +270,7 @@ def q34_temporal_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q35_spatial_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _window_frames(spark, sf_dir)
     shown = rows.where("has_event").select("session", "window", "frame")
-    return context.grounding(shown, A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT)
+    return context.grounding(shown, A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT).drop("cx", "cy")
 
 
 def q36_scene_text_static(spark: SparkSession, sf_dir: str) -> DataFrame:

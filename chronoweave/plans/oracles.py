@@ -142,8 +142,8 @@ ORACLES = {
         on a.subject = b.subject and (b.first > a.first or (b.first = a.first and b.track > a.track)) and b.first <= a.last""",
     "q15_interval_first_fit": f"""with recursive {IV}, i1 as (select 's' || (subject % 25) as session, *, row_number() over (partition by subject order by first, last, track) as i from iv),
         w as (select session, subject, track, i, [last] as ends, 0::bigint as part from i1 where i = 1
-          union all select session, subject, track, i, case when at is null then list_append(ends, last) else list_transform(ends, lambda e, j: case when j = at then last else e end) end, coalesce(at - 1, len(ends))::bigint
-          from (select x.*, w.ends, list_position(list_transform(w.ends, lambda e: e < x.first), true) as at from w join i1 x on x.subject = w.subject and x.i = w.i + 1)),
+          union all select session, subject, track, i, case when pos is null then list_append(ends, last) else list_transform(ends, lambda e, j: case when j = pos then last else e end) end, coalesce(pos - 1, len(ends))::bigint
+          from (select x.*, w.ends, list_position(list_transform(w.ends, lambda e: e < x.first), true) as pos from w join i1 x on x.subject = w.subject and x.i = w.i + 1)),
         ex as (select distinct session, subject, part from w where part > 0), tp as (select session, max(subject) as top from i1 group by 1),
         nw as (select ex.session, subject, part, top + row_number() over (partition by ex.session order by subject, part) as ns from ex join tp using (session))
         select w.session, w.track, w.subject, w.part, coalesce(nw.ns, w.subject) as new_subject, w.subject in (select subject from ex) as split from w left join nw using (session, subject, part)""",
@@ -203,7 +203,7 @@ ORACLES = {
         select session, win_ as "window", unnest(pick) as frame from c""",
     "q35_spatial_grounding": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, z as (select d.session, win_, d.frame, track, label, round(greatest(0.0::double, least(1.0::double, x1 / 120.0::double)), 4) as n1, round(greatest(0.0::double, least(1.0::double, y1 / 140.0::double)), 4) as n2,
         round(greatest(0.0::double, least(1.0::double, x2 / 120.0::double)), 4) as n3, round(greatest(0.0::double, least(1.0::double, y2 / 140.0::double)), 4) as n4 from d join wf on wf.session = d.session and wf.frame = d.frame and wf.has_event)
-        select session, win_ as "window", frame, track, label, n1, n2, n3, n4, round((n1 + n3) / 2, 4) as cx, round((n2 + n4) / 2, 4) as cy from z""",
+        select session, win_ as "window", frame, track, label, n1, n2, n3, n4 from z""",
     "q36_scene_text_static": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
         k as (select session, frame, line, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') as text, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
         n as (select session, count(distinct frame) as n_frames from f group by 1), g as (select session, key, count(distinct frame) as n_seen, first(text order by frame, line) as display from f group by 1, 2)

@@ -103,7 +103,7 @@ def test_face_tree_at_the_boundaries(spark):
     df = spark.createDataFrame([(80.0, 0.25), (19.0, 0.9), (20.0, 0.9), (27.0, 0.9), (28.0, 0.9)], "size double, fiqa double")
     face = Q.Face(F.col("size"), F.col("size"), F.lit(0.98), points, F.lit(120.0), F.col("fiqa"))
     got = rows(df.select("size", face.category(), face.eligibility(), face.reason(), F.array_contains(face.defects(), "low_fiqa")), F.desc("size"))
-    assert got[0] == (80.0, "clear", "direct", None, True)
+    assert got[0] == (80.0, "marginal", "direct", None, True)
     assert [g[2] for g in got[1:]] == ["direct", "recoverable", "recoverable", "unusable"]
 
 
