@@ -36,7 +36,7 @@ def _summarise(key: str, k: int):
         for pdf in batches:
             total.update(pdf[key].value_counts(sort=False).to_dict())
             total = misra_gries(total, k)
-        yield pd.DataFrame({key: list(total), "n": list(total.values())})
+        yield pd.DataFrame({key: pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     return run
 

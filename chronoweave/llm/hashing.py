@@ -15,7 +15,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 NOT_WHITE = np.ones(256, dtype=bool)
 NOT_WHITE[[0x20, *range(0x09, 0x0E)]] = False
 
-_powers = np.ones(64, dtype=np.uint64)
+_powers = np.empty(0, dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

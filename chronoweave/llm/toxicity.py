@@ -35,7 +35,7 @@ _LETTER = f"[{LETTERS}]"
 _SIGN = "[" + re.escape("".join(LEET)) + "]"
 _LEET_TOKEN = re.compile(rf"(?<!\S)\S*(?:{_LETTER}{_SIGN}|{_SIGN}{_LETTER})\S*")
 _LONG_TOKEN = re.compile(rf"\S*({_LETTER})\1\1\S*")
-_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?:[ ._*\-/](?:{_LETTER}|{_SIGN})){{2,}}(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?:[ ._*\-/](?:{_LETTER}|{_SIGN})){{2,}}(?=[\s.,;:!?]|$)")
 _SEPARATORS = frozenset(" ._*-/")
 
 # The channel: natural logarithms of how likely each disguise is.
