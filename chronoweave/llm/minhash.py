@@ -18,8 +18,10 @@ from chronoweave.session import read_table, written
 #: than 32 happens to 3 in a million of such pairs, and far less often to more similar ones.
 COORDINATES, MATCHES = 64, 32
 SIMILARITY = 75
-#: Rounds of comparing each list's members with one of them before what is left is compared pair by pair.
-PIVOT_ROUNDS = 6
+#: Rounds of comparing each list's members with one of them before what is left is looked for by rare shingles.
+PIVOT_ROUNDS = 1
+#: What is left is compared pair by pair before that if it is no more than so many pairs for each posting.
+PAIRS_PER_POSTING = 1.0
 
 _RNG = np.random.Generator(np.random.PCG64(64))
 _ODD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -59,7 +61,8 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(id, token): the coordinate-value pairs under which a class has to be looked for.
+    """(id, token, weight): the coordinate-value pairs under which a class has to be looked for, and how often all of its
+    pairs occur, which is most for what many others are copies of.
 
     Pairs that only one class has lead nowhere; a class with fewer than `matches` others cannot agree with anyone in
     that many. Of the m others, in one order for all classes (rare ones first), two classes that agree in `matches`
@@ -70,8 +73,8 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     tokens = classes.select("id", F.explode(F.transform("signature", lambda value, at: token(at, value))).alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tokens.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by_n"))
-    prefix = shared.where(F.size("by_n") >= matches).select("id", F.slice("by_n", 1, F.size("by_n") - (matches - 1)).alias("by_n"))
-    return prefix.select("id", F.explode("by_n.token").alias("token"))
+    prefix = shared.where(F.size("by_n") >= matches).select("id", F.slice("by_n", 1, F.size("by_n") - (matches - 1)).alias("by_n"), F.aggregate("by_n.n", F.lit(0).cast("long"), lambda acc, n: acc + n).alias("weight"))
+    return prefix.select("id", F.explode("by_n.token").alias("token"), "weight")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: int, similarity: int) -> DataFrame:
@@ -89,14 +92,65 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: in
     return both.withColumn("common", common).where(F.col("common") * 100 >= union * similarity).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def mixed_lists(members: DataFrame, number: int) -> DataFrame:
+    """Posting lists that hold more than one component: token, pivot (the member of most weight in
+    round 0, later one that a hash of the id and the round picks), largest (the component with most members here) and cross (the list's pairs of members of two components)."""
+    drawn = F.struct((F.xxhash64("id", F.lit(number)) if number else -F.col("weight")).alias("drawn"), "id", "component")
+    parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min(drawn).alias("first"))
+    of = parts.groupBy("token").agg(
+        F.min("first").alias("pivot"), F.max_by("component", F.struct("c", "component")).alias("largest"),
+        F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inner"),
+    ).where("parts > 1")
+    return of.select("token", "pivot", "largest", F.expr("(n * n - inner) div 2").alias("cross"))
+
+
+def with_pivot(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs (id, other): each member of a mixed list with its pivot, unless they are in one component."""
+    return members.join(lists, "token").where("component <> pivot.component").select("id", F.col("pivot.id").alias("other"))
+
+
+def across(members: DataFrame, lists: DataFrame, more: str = "true") -> DataFrame:
+    """All pairs (id, other) of a mixed list's members of two components for which `more` holds, which may use size and at
+    of the one, size2 and at2 of the other; the largest component meets only those outside it."""
+    held = members.join(lists.select("token", "largest"), "token").withColumn("most", F.col("component") == F.col("largest"))
+    few = held.where("not most").drop("most", "largest", "weight")
+    names = {"id": "other", "component": "its", "size": "size2", "at": "at2"}
+    two = held.select("token", "most", *[F.col(a).alias(b) for a, b in names.items() if a in held.columns])
+    return few.join(two, "token").where(f"component <> its and (most or id < other) and {more}").select("id", "other")
+
+
+def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (id, other) across components, among all members of mixed lists, that can be similar at all.
+
+    A document's shingles, rare ones first in one order for all, stand at places from 0 to size - 1; shingles of one
+    document only come before all others. Similar sets have at least similarity / (100 + similarity) of both sizes in
+    common, and all of that stands at or after the first shingle they share, in both. Edits make rare shingles, so a
+    document with too many of them has no place left for those of a large group.
+    """
+    ids = members.join(lists, "token", "left_semi").select("id", "component").distinct()
+    ids = written(ids, "open")
+    sets = docs.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+    each = written(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "shingles")
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(common, "token").groupBy("id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "token"))).alias("by_n"))
+    placed = shared.select("id", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode("by_n.token").alias("at", "token"))
+    placed = placed.withColumn("at", F.col("at") + F.col("alone")).where(f"(size - at) * 100 >= size * {similarity}").drop("alone")
+    posted = written(placed.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
+    return across(posted, mixed_lists(posted, 1), f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}")
+
+
+def near_duplicates(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY,
+    pivot_rounds: int = PIVOT_ROUNDS, pairs_per_posting: float = PAIRS_PER_POSTING,
+) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets are one class, and only classes are compared. In each posting list that holds
     more than one component, all other members are compared with one pivot, a different one in each round, so a list of
-    n costs n comparisons instead of n squared; lists that have become one component need no further ones. After the
-    rounds, the pairs that still share a list across components are compared one by one, so no link that the signatures
-    show is left out. Every link is confirmed on full sets.
+    n costs n comparisons instead of n squared; lists that have become one component need no further ones. As soon as
+    the pairs that still share a list across components are no more than pairs_per_posting times the postings, they are
+    compared one by one; if they are more after pivot_rounds rounds, all members of such lists are looked for by their
+    full sets' rare shingles. So no link that the signatures show is left out. Every link is confirmed on full sets.
     Null or wordless texts have 0 shingles and are alone. Rows that repeat a doc_id are one document; a row without
     doc_id takes the component of its class if that has one, else null.
     """
@@ -104,31 +158,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
     posts = written(postings(classes, matches), "postings")
+    most = posts.count() * pairs_per_posting
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    links = None
-    component = posts.select("id").distinct().select("id", F.col("id").alias("component"))
+    links = labels = None
+    members = posts.withColumn("component", F.col("id"))
     for number in range(pivot_rounds + 1):
-        members = posts.join(component, "id")
-        lists = members.groupBy("token").agg(
-            F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(number))).alias("pivot"),
-            (F.min("component") < F.max("component")).alias("mixed"),
-        ).where("mixed").select("token", "pivot")
-        last = number == pivot_rounds
+        lists = written(mixed_lists(members, number), "lists")
+        open_pairs = lists.agg(F.sum("cross")).first()[0]
+        if open_pairs is None:
+            break
+        few = open_pairs <= most
+        last = few or number == pivot_rounds
+        met = across(members, lists) if few else by_shingles(members, lists, texts, similarity) if last else with_pivot(members, lists)
+        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        found = written(confirmed(pairs, classes, texts, matches if few or not last else 0, similarity), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+            members = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if last:
-            two = posts.join(component, "id").select("token", F.col("id").alias("other"), F.col("component").alias("its"))
-            met = members.join(lists, "token", "left_semi").join(two, "token").where("id < other and component <> its").select("id", "other")
-        else:
-            met = members.join(lists, "token").where("component <> pivot.component").select("id", F.col("pivot.id").alias("other"))
-        pairs = written(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
             break
-        found = written(confirmed(pairs, classes, texts, matches, similarity), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
-        component = written(posts.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component")), "components")
-    resolved = classes.select("digest", "id").join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
+    own = classes.select("digest", "id", F.lit(None).cast("long").alias("component")) if labels is None else classes.select("digest", "id").join(labels, "id", "left")
+    resolved = own.select("digest", F.coalesce("component", "id").alias("class_component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(resolved, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
