@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.hashing import mixed, shingle_set
+from chronoweave.llm.selecting import by_ids
 from chronoweave.session import read_table, written
 
 #: Coordinates of a signature, and how many must agree. Two sets of similarity 0.75 agree in 48 of 64 on average; fewer
@@ -83,7 +84,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: in
     agreeing = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda same: same))
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(agreeing >= matches).select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = by_ids(docs, ids, "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     sets = written(sets, "sets")
     full = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"f_{name}"))
     both = likely.join(full("a"), "a").join(full("b"), "b")
@@ -129,7 +130,7 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     """
     ids = members.join(lists, "token", "left_semi").select("id", "component").distinct()
     ids = written(ids, "open")
-    sets = docs.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = by_ids(docs, ids.select("id"), "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     each = written(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "shingles")
     common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = each.join(common, "token").groupBy("id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "token"))).alias("by_n"))

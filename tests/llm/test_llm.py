@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, exact_dedup, flac, licenses, line_dedup, media, minhash, mixing, packing, registry, suffix_dedup, toxicity
+from chronoweave.llm import chat, exact_dedup, flac, licenses, line_dedup, media, minhash, mixing, packing, registry, selecting, suffix_dedup, toxicity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,6 +145,21 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert rows[6]["component_id"] == 5 and rows[1]["component_id"] == 1 and rows[2]["n_shingles"] == 0
 
 
+def test_rows_by_ids_are_the_same_beyond_the_broadcast(spark, odd):
+    ids = spark.createDataFrame([(1,), (8,), (99,), (None,)], "doc_id long")
+    for how, count in (("left_semi", 3), ("left_anti", len(ODD) - 3)):
+        for most in (0, 100):
+            got = selecting.by_ids(odd, ids, "doc_id", how, most)
+            assert got.columns == odd.columns and got.count() == count
+
+
+def test_near_dedup_stage_keeps_rows_without_id(spark, odd):
+    import corpus_pipeline
+
+    left = sorted((r[0] for r in corpus_pipeline.drop_near_duplicates(spark, odd, SF).select("doc_id").collect()), key=str)
+    assert left == [1, 2, 3, 5, 7, 8, 8, None]
+
+
 def test_flac_round_trip_and_damage():
     rng = random.Random(6)
     payloads = [bytes([7]) * 192, bytes(rng.randrange(256) for _ in range(192 * 5)), (b"plain words again and again " * 400)[: 192 * 50], bytes(i % 256 for i in range(192 * 3))]
