@@ -31,11 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as many times as the mix of sources takes it."""
-    sizes = written(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")), "sizes")
-    taken = mixing.mix_sources(sizes, F.col("n"), ties=["doc_id"]).where("copies > 0").select("doc_id", "copies")
+    """Each row stands as many times as the mix of sources takes it; rows without an id or with a repeated one count each for itself."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    sizes = written(rows.select("__row", "doc_id", "source", mixing.n_words(F.col("text")).alias("n")), "sizes")
+    taken = mixing.mix_sources(sizes, F.col("n"), ties=["doc_id", "__row"]).where("copies > 0").select("__row", "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return docs.join(taken, "doc_id").select(*docs.columns, times.alias("__copy")).drop("__copy")
+    return rows.join(taken, "__row").select(*docs.columns, times.alias("__copy")).drop("__copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,21 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none, mixing.n_words(F.col("text"))).count() == 0
 
 
+def test_mixing_stage_takes_rows_without_id_and_repeated_ids_by_row(spark, odd):
+    import corpus_pipeline
+
+    def expected(rows):
+        sized = spark.createDataFrame([(n, i, s, len((t or "").split())) for n, (i, t, _, s, _) in enumerate(rows)], "nth long, doc_id long, source string, words long")
+        copies = {r["nth"]: r["copies"] for r in mixing.mix_sources(sized, F.col("words"), ties=["doc_id", "nth"]).collect()}
+        return sorted((rows[n] for n in copies for _ in range(copies[n])), key=repr)
+
+    rows = [(None, f"none {i}", "en", "a", i) for i in range(3)] + [(7, f"text {i}", "en", "b", i) for i in range(4)] + [(8, "same text", "en", None, 9)] * 3
+    for given in (rows, ODD):
+        got = sorted((tuple(r) for r in corpus_pipeline.mix(spark, spark.createDataFrame(given, DOCS), SF).collect()), key=repr)
+        assert got == expected(given)
+    assert corpus_pipeline.mix(spark, odd, SF).columns == odd.columns
+
+
 def test_disguised_words_are_restored():
     words = ("the idiot and the clown are pathetic trash with a moron loser scum worthless " * 50).split()
     counts = np.zeros(toxicity.SIZE**3, dtype=np.int64)
