@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.ranking import ROWS_PER_BLOCK, ranked
+from chronoweave.llm.ranking import ROWS_PER_BLOCK, ranked_in_order
 from chronoweave.session import read_table, written
 
 #: No source gives more than so many times its size.
@@ -49,9 +49,9 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", ties: lis
     Within a source each document is expected target / source_size times. Documents are ranked by size (then `ties`),
     the rank's multiple of that expectation is the prefix sum, one random offset per source is added, and a document is
     taken once for each whole number its stretch crosses. Sorting by size keeps a source's words within about one
-    document of its target. Large sources are ranked in blocks, so none is sorted by one task.
+    document of its target. Ranks are counted over ranges of rows_per_block rows, so no source is sorted by one task.
     Sizes must not be negative; a null size counts as 0; a null source is a source of its own. Sources without words
-    have target 0. An empty table gives an empty table. Other columns pass through; the names __src and __u are taken.
+    have target 0. An empty table gives an empty table. Other columns pass through; the names __src, __u, __tie and __block are taken.
     """
     ties = ties or []
     sized = docs.withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
@@ -60,12 +60,11 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", ties: lis
     chance = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0)
     offset = F.conv(F.substring(F.md5(F.concat(name(F.col(source)), F.lit(seed))), 1, 6), 16, 10).cast("long")
     per_source = per_source.select(name(F.col(source)).alias("__src"), "source_size", "target", chance.cast("long").alias("__step"), offset.alias("__u"))
-    few = per_source.count() <= BROADCAST_SOURCES
-    if few:
+    if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
     keyed = sized.withColumn("__src", name(F.col(source)))
-    order = [F.col("size"), *[F.col(t) for t in ties]]
-    rows = ranked(keyed, "__src", order, order, rows_per_block, "__rank", few).join(per_source, "__src")
+    order = [F.col("size").asc(), *[F.col(t).asc_nulls_last() for t in ties]]
+    rows = ranked_in_order(keyed, "__src", order, rows_per_block, "__rank").join(per_source, "__src")
     whole = F.shiftright((F.col("__rank") + 1) * F.col("__step") + F.col("__u"), 24) - F.shiftright(F.col("__rank") * F.col("__step") + F.col("__u"), 24)
     return rows.withColumn("copies", whole).drop("__src", "__step", "__u", "__rank")
 
@@ -77,7 +76,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-#: Holds while no source has more rows than one block; larger ones are numbered block by block.
 ORACLE = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),

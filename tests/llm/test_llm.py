@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, exact_dedup, flac, licenses, line_dedup, media, minhash, mixing, packing, registry, selecting, suffix_dedup, toxicity
+from chronoweave.llm import chat, exact_dedup, flac, licenses, line_dedup, media, minhash, mixing, packing, ranking, registry, selecting, suffix_dedup, toxicity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -252,6 +252,28 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none, mixing.n_words(F.col("text"))).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_mixing_equals_sql_when_sources_pass_one_block(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(f"select doc_id, taken from ({mixing.ORACLE.strip()}) order by doc_id").fetchall()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mix_sources(docs, mixing.n_words(F.col("text")), ties=["doc_id"], rows_per_block=7)
+    assert [tuple(r) for r in got.select("doc_id", (F.col("copies") * F.col("size")).alias("taken")).orderBy("doc_id").collect()] == want
+
+
+def test_ranks_in_order_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aaab"), rng.choice([3, 3, 3, rng.randrange(90)]), rng.choice([None, rng.randrange(40)])) for _ in range(900)]
+    got = ranking.ranked_in_order(spark.createDataFrame(rows, "key string, size long, id long"), "key", [F.col("size").asc(), F.col("id").asc_nulls_last()], 20).collect()
+    for key in "ab":
+        mine = sorted((r for r in got if r["key"] == key), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(len(mine)))
+        assert [(r["size"], r["id"]) for r in mine] == sorted(((s, i) for k, s, i in rows if k == key), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+    assert ranking.ranked_in_order(spark.createDataFrame([], "key string, size long"), "key", [F.col("size").asc()]).count() == 0
+
+
 def test_mixing_stage_takes_rows_without_id_and_repeated_ids_by_row(spark, odd):
     import corpus_pipeline
 
