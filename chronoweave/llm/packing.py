@@ -69,14 +69,15 @@ def _encode_part(fast, part: str, first: bool) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in fast.encode_ordinary(word))
 
 
-def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = True, copy: str | None = None) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32 and, if with_ids, the token ids.
 
     A document is its ids and end_id; null text is empty, so every document has at least one piece. One that is longer
-    than capacity is cut from its end into pieces of that length, and the first piece takes what is left.
+    than capacity is cut from its end into pieces of that length, and the first piece takes what is left. `copy` names a
+    whole number that tells rows of one doc_id apart; the pieces have it as copy.
     """
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    fields = [("doc_id", pa.int64()), *[("copy", pa.int64())] * bool(copy), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = "doc_id long, " + "copy long, " * bool(copy) + "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     shape = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
     end = end_id.to_bytes(4, "little")
 
@@ -84,13 +85,14 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            for key, value in zip(keys, batch.column(0), strict=True):
                 ids = token_ids(value.as_py() or "", tokenizer, ranks) + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     part = ids[4 * start : 4 * (start + (capacity if k else first))]
-                    row = (key, k, start, len(part) // 4, zlib.crc32(part))
+                    row = (*key, k, start, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, part) if with_ids else row)
                 held += len(ids)
                 if held > 1 << 24:
@@ -99,7 +101,8 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    named = [F.col(c).cast("long").alias(name) for c, name in ((doc_id, "doc_id"), (copy, "copy")) if c]
+    return docs.select(F.col(text).alias("text"), *named).mapInArrow(run, schema)
 
 
 class _Gaps:
@@ -208,7 +211,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
     spread over many tasks. Lengths must be between 1 and capacity. Pieces that repeat are packed each.
     """
     spark = pieces.sparkSession
-    order = order or [c for c in ("doc_id", "piece") if c in pieces.columns]
+    order = order or [c for c in ("doc_id", "copy", "piece") if c in pieces.columns]
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     table = slots(plan_bins(counts, capacity))
     plan = spark.createDataFrame(table, "__len long, __from long, __to long, __base long, __each long, __at long")
@@ -223,9 +226,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
     }).drop("__len", "__from", "__to", "__base", "__each", "__at", "__rank")
 
 
-def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = True, copy: str | None = None) -> DataFrame:
     """Tokenise, cut and pack docs; a row per piece. The pieces are written once, for counting and for placing them."""
-    return pack_pieces(written(token_pieces(docs, text, doc_id, capacity, end_id, tokenizer, ranks, with_ids), "pieces"), capacity)
+    return pack_pieces(written(token_pieces(docs, text, doc_id, capacity, end_id, tokenizer, ranks, with_ids, copy), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

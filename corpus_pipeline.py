@@ -40,8 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Pieces of documents with their token ids, placed in sequences of 1024 tokens; copy, one number per row of docs,
+    tells the pieces of a repeated document's copies apart."""
+    return packing.pack_documents(docs.withColumn("__copy", F.monotonically_increasing_id()), copy="__copy")
 
 
 STAGES = [

@@ -240,6 +240,22 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_stage_keeps_ids_and_tells_copies_apart(spark, odd):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = corpus_pipeline.pack(spark, odd.unionByName(odd.where("doc_id = 5")), SF).collect()
+    assert len({(r["copy"], r["piece"]) for r in rows}) == len(rows)
+    docs = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        docs.setdefault((r["doc_id"], r["copy"]), []).append(bytes(r["ids"]))
+    want = [(i, np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, t, *_ in [*ODD, ODD[4]]]
+    assert sorted(((i, b"".join(p)) for (i, _), p in docs.items()), key=repr) == sorted(want, key=repr)
+
+
 def test_mixing(spark, odd, none):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, rng.choice("aaab"), rng.randrange(50)) for i in range(2000)] + [(9999, None, 7)], "doc_id long, source string, words long")
