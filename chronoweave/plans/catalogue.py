@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as G
@@ -357,11 +358,10 @@ def q48_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q49_face_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small boxes of odd tracks matched with the large boxes of even ones in the same three hours."""
-    found = A.detections(spark, sf_dir).withColumn("frame", F.floor(F.col("frame") / 18))
-    one = found.groupBy("session", "frame", "track").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "event_id").alias("b")).select("session", "frame", "track", "b.*")
-    faces = one.where("track % 2 = 1").select("session", "frame", F.col("track").alias("face"), "x1", "y1", (F.col("x1") + 12).alias("x2"), (F.col("y1") + 14).alias("y2"))
-    return tracks.associate(faces, one.where("track % 2 = 0"), P)
+    """Small boxes made of all detections matched with the large boxes of all detections of their frame."""
+    found = A.detections(spark, sf_dir)
+    faces = found.select("session", "frame", F.col("track").alias("face"), "x1", "y1", (F.col("x1") + 12).alias("x2"), (F.col("y1") + 14).alias("y2"))
+    return tracks.associate(faces, found, P)
 
 
 def q50_stitch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +377,38 @@ def q52_cross_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("session", "track", "subject", "merge_routes", "merge_agree", "cross_merged")
 
 
+def _nearest_of_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector against all the others."""
+    probes = A.shots(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "subject", "vec")
+    found = gallery.nearest(probes, A.shots(spark, sf_dir).withColumnRenamed("vec_id", "row"), P.top_k + 1).where("query <> row")
+    nth = F.row_number().over(W.partitionBy("query").orderBy("nth")).cast("long")
+    return probes, found.withColumn("nth", nth).where(F.col("nth") <= P.top_k)
+
+
+def q53_knn_all_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_of_all(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
+
+
+def q54_all_subject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gallery.candidates(_nearest_of_all(spark, sf_dir)[1], P).withColumn("score", F.round("score", 6))
+
+
+def q55_all_identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, found = _nearest_of_all(spark, sf_dir)
+    return gallery.decisions(probes, gallery.candidates(found, P), P)
+
+
+def q56_all_rank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, found = _nearest_of_all(spark, sf_dir)
+    return evaluate.rank_k(found, probes)
+
+
+def q57_iou_persons_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All persons of each frame with the best of all other objects in it."""
+    found = A.detections(spark, sf_dir)
+    return tracks.best_matches(found.where("label = 'person'"), found.where("label <> 'person'"), P.match_iou).withColumn("iou", F.round("iou", 6))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,3 +61,52 @@ def test_stream_of_windows_equals_the_batch(spark, tmp_path):
     batch = {tuple(r) for r in capped_windows(full, 4, 3).collect()}
     got = {tuple(r) for r in told.collect()}
     assert got and got <= batch  # windows that nothing has closed yet are still state
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_search_over_all_shots_equals_brute_force(spark):
+    import numpy as np
+
+    rows = sorted((r["vec_id"], r["label"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    ids, vecs = [r[0] for r in rows], np.array([r[2] for r in rows], dtype="f8")
+    label = {r[0]: r[1] for r in rows}
+    got = {}
+    for r in catalogue.QUERIES["q53_knn_all_shots"](spark, SF).collect():
+        got.setdefault(r["query"], {})[r["nth"]] = (r["row"], r["subject"], r["score"])
+    assert set(got) == {i for i in ids if i % 100 == 0}
+    right = {1: 0, 5: 0, 10: 0}
+    for q, found in got.items():
+        scores = vecs @ vecs[ids.index(q)]
+        order = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-scores[i], ids[i]))[:30]
+        assert [found[n][:2] for n in range(1, 31)] == [(ids[i], label[ids[i]]) for i in order] and len(found) == 30
+        assert np.allclose([found[n][2] for n in range(1, 31)], scores[order], atol=1e-6)
+        for k in right:
+            right[k] += any(label[ids[i]] == label[q] for i in order[:k])
+    rates = {r["k"]: (r["n_probe"], r["rate"]) for r in catalogue.QUERIES["q56_all_rank_k"](spark, SF).collect()}
+    assert rates == {k: (len(got), round(100 * n / len(got), 2)) for k, n in right.items()}
+    shots = {r["query"]: r["n"] for r in catalogue.QUERIES["q54_all_subject_candidates"](spark, SF).groupBy("query").agg({"shots": "sum"}).withColumnRenamed("sum(shots)", "n").collect()}
+    assert shots == dict.fromkeys(got, 30) and catalogue.QUERIES["q55_all_identity_decision"](spark, SF).count() == len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_boxes_of_all_detections_meet_in_their_frame(spark):
+    boxes = {}
+    for r in catalogue.A.detections(spark, SF).collect():
+        boxes.setdefault((r["session"], r["frame"]), []).append(r)
+    faces = catalogue.QUERIES["q49_face_association"](spark, SF).collect()
+    assert {(r["session"], r["frame"]) for r in faces} <= set(boxes) and {(r["face"] % 2, r["track"] % 2) for r in faces} >= {(0, 0), (1, 1)}
+    alone = {(s, f, b[0]["track"], b[0]["track"]) for (s, f), b in boxes.items() if len(b) == 1 and 0.0 <= 7 / (b[0]["y2"] - b[0]["y1"]) <= catalogue.P.head_high}
+    assert alone and alone <= {(r["session"], r["frame"], r["face"], r["track"]) for r in faces}
+
+    def iou(a, b):
+        inter = max(0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) * max(0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
+        return inter / (sum((c["x2"] - c["x1"]) * (c["y2"] - c["y1"]) for c in (a, b)) - inter)
+
+    want = set()
+    for (s, f), found in boxes.items():
+        for a in (b for b in found if b["label"] == "person"):
+            best = max(((iou(a, b), -b["track"]) for b in found if b["label"] != "person"), default=(0, 0))
+            if best[0] > catalogue.P.match_iou:
+                want.add((s, f, a["track"], -best[1], round(best[0], 6)))
+    got = {(r["session"], r["frame"], r["track"], r["other"], r["iou"]) for r in catalogue.QUERIES["q57_iou_persons_objects"](spark, SF).collect()}
+    assert got == want
