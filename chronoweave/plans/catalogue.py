@@ -377,6 +377,11 @@ def q52_cross_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("session", "track", "subject", "merge_routes", "merge_agree", "cross_merged")
 
 
+def q58_timeline_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("window"), F.col("turn").alias("place"), F.col("role").alias("subject"), F.col("text").alias("action"))
+    return context.timeline(rows)
+
+
 def _nearest_of_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every hundredth vector against all the others."""
     probes = A.shots(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "subject", "vec")

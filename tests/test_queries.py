@@ -110,3 +110,12 @@ def test_boxes_of_all_detections_meet_in_their_frame(spark):
                 want.add((s, f, a["track"], -best[1], round(best[0], 6)))
     got = {(r["session"], r["frame"], r["track"], r["other"], r["iou"]) for r in catalogue.QUERIES["q57_iou_persons_objects"](spark, SF).collect()}
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_timeline_has_whole_texts(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], f"- {r['turn']} {r['role']}：{r['text']}"))
+    got = {r["window"]: (r["text"], r["n_lines"]) for r in catalogue.QUERIES["q58_timeline_whole_text"](spark, SF).collect()}
+    assert got == {c: ("\n".join(line for _, line in sorted(t)), len(t)) for c, t in turns.items()}
