@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,11 +63,21 @@ def capped_windows(frames: DataFrame, quiet: int, cap: int | None, timeout: bool
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source has now and return what it told, from a memory table of that name."""
+    """Run a stream over what its source has now and return what it told, from a table in the shared folder.
+
+    Executors write every batch there; in complete mode only the last one, which has every result, counts.
+    """
     from chronoweave.session import shared_dir
 
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{name}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    told: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/told/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        told[:] = [path] if mode == "complete" else [p for p in told if p != path] + [path]
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(*told) if told else spark.createDataFrame([], stream.schema)

@@ -119,3 +119,12 @@ def test_timeline_has_whole_texts(spark):
         turns.setdefault(r["conv_id"], []).append((r["turn"], f"- {r['turn']} {r['role']}：{r['text']}"))
     got = {r["window"]: (r["text"], r["n_lines"]) for r in catalogue.QUERIES["q58_timeline_whole_text"](spark, SF).collect()}
     assert got == {c: ("\n".join(line for _, line in sorted(t)), len(t)) for c, t in turns.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stream_results_are_in_the_shared_folder(spark):
+    from chronoweave.session import shared_dir
+
+    told = catalogue.QUERIES["q47_session_window_stream"](spark, SF)
+    files = told.inputFiles()
+    assert files and all(shared_dir(spark).removeprefix("file://") in f for f in files)
