@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.session import read_table, written
 
@@ -33,11 +34,20 @@ for _c, _i in _NUMBER.items():
 
 _LETTER = f"[{LETTERS}]"
 _SIGN = "[" + re.escape("".join(LEET)) + "]"
-_LEET_TOKEN = re.compile(rf"(?<!\S)\S*(?:{_LETTER}{_SIGN}|{_SIGN}{_LETTER})\S*")
 _LONG_TOKEN = re.compile(rf"\S*({_LETTER})\1\1\S*")
 _SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?:[ ._*\-/](?:{_LETTER}|{_SIGN})){{2,}}(?=[\s.,;:!?]|$)")
 _SEPARATORS = frozenset(" ._*-/")
 
+# Kinds of characters: letters, signs that may stand for one, separators of spaced words, white space.
+_IS_LETTER, _IS_SIGN, _IS_SEPARATOR, _IS_WHITE = 1, 2, 4, 8
+_KIND = np.zeros(0x3002, dtype=np.uint8)
+for _i in range(len(_KIND)):
+    _c = chr(_i)
+    _KIND[_i] = _IS_LETTER * (_c in LETTERS) + _IS_SIGN * (_c in LEET) + _IS_SEPARATOR * (_c in _SEPARATORS) + _IS_WHITE * _c.isspace()
+
+#: Characters of texts that are looked through at once.
+CHUNK = 1 << 18
+
 # The channel: natural logarithms of how likely each disguise is.
 KEEP, AS_LETTER, AS_BREAK, ONE_OF_RUN, TWO_OF_RUN, JOINED, APART = -0.05, -1.0, -1.6, -0.3, -1.4, -0.3, -1.4
 
@@ -105,13 +115,12 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
 
 
 class Restorer:
-    """Restores texts; spans that were decoded before are remembered."""
+    """Restores texts; up to `most` tokens that were decoded before are remembered."""
 
-    def __init__(self, model: CharacterModel, most: int = 200_000) -> None:
+    def __init__(self, model: CharacterModel, most: int = 50_000) -> None:
         self.model, self.known, self.most = model, {}, most
 
-    def _span(self, match: re.Match) -> str:
-        token = match[0]
+    def _decoded(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
             got = self.model.decode(lattice_of(token))
@@ -121,18 +130,94 @@ class Restorer:
                 self.known[token] = got
         return got
 
+    def _token(self, token: str, long: bool) -> str:
+        """A token with a sign beside a letter, or else with a long run of one letter (which signs may leave behind, too)."""
+        return self._decoded(token) if long else _LONG_TOKEN.sub(lambda m: self._decoded(m[0]), self._decoded(token))
+
     def __call__(self, text: str) -> str:
-        text = text.lower()
-        text = _SPACED.sub(self._span, text)
-        if any(c in text for c in LEET):
-            text = _LEET_TOKEN.sub(self._span, text)
-        return _LONG_TOKEN.sub(self._span, text)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[str]:
+        """The texts in lower case with disguised words restored: first spaced ones, then tokens with signs, then long runs.
+
+        Whether and where a text has any is found for many texts at once; only those places are decoded.
+        """
+        out: list[str] = []
+        for part in chunks([t.lower() for t in texts]):
+            done, again = self._pass(part, True)
+            if again:
+                for at, text in zip(again, self._pass([done[i] for i in again], False)[0], strict=True):
+                    done[at] = text
+            out += done
+        return out
+
+    def _pass(self, texts: list[str], spaced: bool) -> tuple[list[str], list[int]]:
+        """The texts restored, but those with spaced words (numbers in the second list) only as to these."""
+        whole = "\n".join(["", *texts, ""])  # white space around each text, so nothing reaches over its ends
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _KIND[np.minimum(points, len(_KIND) - 1)]
+        plain = kind & (_IS_LETTER | _IS_SIGN)
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        spans: list[tuple[int, int, str]] = []
+        if spaced:
+            at = np.flatnonzero((kind[2:-3] & _IS_SEPARATOR) != 0) + 2  # the first separator
+            for step, wanted in ((-1, _IS_LETTER | _IS_SIGN), (1, _IS_LETTER | _IS_SIGN), (2, _IS_SEPARATOR), (3, _IS_LETTER | _IS_SIGN), (-2, _IS_WHITE)):
+                at = at[(kind[at + step] & wanted) != 0]
+            for start in (at - 1).tolist():
+                if not spans or start >= spans[-1][1]:
+                    found = _SPACED.match(whole, start)
+                    if found:
+                        spans.append((start, found.end(), self._decoded(found[0])))
+        again = sorted({int(i) for i in np.searchsorted(begins, [s[0] for s in spans], side="right") - 1})
+        skip = np.zeros(len(texts) + 1, dtype=bool)
+        skip[again] = True
+        white = np.flatnonzero(kind & _IS_WHITE)
+        signs = np.flatnonzero((plain[:-1] | plain[1:]) == (_IS_LETTER | _IS_SIGN))
+        runs = np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & (plain[2:] == _IS_LETTER))
+        with_signs = np.unique(np.searchsorted(white, signs))
+        with_runs = np.setdiff1d(np.searchsorted(white, runs), with_signs)
+        for tokens, long in ((with_signs, False), (with_runs, True)):
+            starts, ends = white[tokens - 1] + 1, white[tokens]
+            free = ~skip[np.searchsorted(begins, starts, side="right") - 1]
+            spans += [(a, z, self._token(whole[a:z], long)) for a, z in zip(starts[free].tolist(), ends[free].tolist(), strict=True)]
+        spans.sort()
+        edges = np.searchsorted([s[0] for s in spans], begins).tolist()
+        out = []
+        for i, text in enumerate(texts):
+            pieces, at = [], int(begins[i])
+            for start, end, restored in spans[edges[i] : edges[i + 1]]:
+                pieces += [whole[at:start], restored]
+                at = end
+            out.append("".join([*pieces, whole[at : int(begins[i]) + len(text)]]) if pieces else text)
+        return out, again
+
+
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[list[str]]:
+    """Consecutive texts with about `most` characters together, at least one text each."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text) > most:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
+def closed_up(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters as numbers, breaks closed up to one and one around each text; and the text of each character."""
+    x = numbers("".join(f" {t} " for t in texts))
+    sizes = np.array([len(t) + 2 for t in texts])
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = (x[1:] > 0) | (x[:-1] > 0)
+    keep[np.cumsum(sizes)[:-1]] = True
+    return x[keep], np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
 
 
 def grams_of(text: str) -> np.ndarray:
     """Sorted distinct runs of 4, 5 and 6 characters, breaks closed up to one, packed into numbers."""
-    x = numbers(f" {text} ").astype(np.int64)
-    x = x[(x > 0) | (np.concatenate([[1], x[:-1]]) > 0)]
+    x = closed_up([text])[0].astype(np.int64)
     found = []
     for n in GRAMS:
         if len(x) < n:
@@ -144,6 +229,45 @@ def grams_of(text: str) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
 
 
+class Probe:
+    """Finds which of some character runs (ascending, as grams_of packs them) texts have.
+
+    A table of slots for the runs' first four characters leaves few places of a text; only these are looked up.
+    """
+
+    def __init__(self, features: np.ndarray) -> None:
+        self.features = features
+        self.shift = np.uint32(32 - min(24, max(16, int(64 * len(features)).bit_length())))
+        self.table = np.zeros(1 << (32 - int(self.shift)), dtype=bool)
+        rest = 6 * ((features >> 40) - 4)
+        self.table[self._slots((features & ((1 << 40) - 1)) >> rest)] = True
+
+    def _slots(self, first: np.ndarray) -> np.ndarray:
+        return (first.astype(np.uint32) * np.uint32(0x9E3779B1)) >> self.shift
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) numbers of all runs that texts have, each once, in order."""
+        x, of = closed_up(texts)
+        none = np.empty(0, dtype=np.int64)
+        if len(x) < 4 or not len(self.features):
+            return none, none
+        first = x.astype(np.int32)
+        first = (first[:-3] << 18) | (first[1:-2] << 12) | (first[2:-1] << 6) | first[3:]
+        at = np.flatnonzero(self.table[self._slots(first)])
+        found = []
+        for n in GRAMS:
+            here = at[at + n <= len(x)]
+            here = here[of[here] == of[here + n - 1]]
+            packed = first[here].astype(np.int64)
+            for i in range(4, n):
+                packed = (packed << 6) | x[here + i]
+            packed |= n << 40
+            feature = np.minimum(np.searchsorted(self.features, packed), len(self.features) - 1)
+            hit = self.features[feature] == packed
+            found.append(of[here[hit]].astype(np.int64) * len(self.features) + feature[hit])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.features))
+
+
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Trigram counts over all documents; what is gathered is bounded by the alphabet, not by the corpus."""
 
@@ -176,12 +300,15 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     bias: float = -4.0
 
-    def score(self, grams: np.ndarray) -> float:
-        if not len(self.features):
-            return 1 / (1 + math.exp(-self.bias))
-        at = np.minimum(np.searchsorted(self.features, grams), len(self.features) - 1)
-        total = self.bias + float(self.weights[at[self.features[at] == grams]].sum())
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
+    def scores(self, texts: list[str], probe: Probe) -> np.ndarray:
+        """Scores of restored texts; probe finds this model's features."""
+        total = np.full(len(texts), self.bias)
+        start = 0
+        for part in chunks(texts):
+            of, feature = probe(part)
+            total[start : start + len(part)] += np.bincount(of, weights=self.weights[feature], minlength=len(part))
+            start += len(part)
+        return 1 / (1 + np.exp(-np.clip(total, -60.0, 60.0)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -220,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [restore(v.as_py() or "") for v in part.column(1)]
+                texts = restore.many([v or "" for v in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["y", "restored"])
 
     sampled = written(rows.mapInArrow(sample, "y long, restored string"), "sample")
@@ -231,6 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def counted(candidates: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probe = None if candidates is None else Probe(candidates)
             keys, sums, waiting, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [], 0
 
             def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +367,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 return both, np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(both)).astype(np.int64)
 
             for batch in batches:
-                for value in batch.column(0):
-                    x = grams_of(value.as_py())
-                    if candidates is not None:
-                        at = np.minimum(np.searchsorted(candidates, x), len(candidates) - 1)
-                        x = x[candidates[at] == x]
-                    waiting.append(x)
-                    held += len(x)
+                for part in chunks(batch.column(0).to_pylist()):
+                    waiting += [grams_of(text) for text in part] if probe is None else [candidates[probe(part)[1]]]
+                    held += sum(map(len, part))
                     if held > 1 << 20:
                         keys, sums = merged()
                         waiting, held = [], 0
@@ -273,8 +397,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return ToxicityModel(characters)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = Probe(chosen)
         for batch in batches:
-            found = [np.flatnonzero(np.isin(chosen, grams_of(value.as_py()))) for value in batch.column(1)]
+            found = []
+            for part in chunks(batch.column(1).to_pylist()):
+                of, feature = probe(part)
+                found += np.split(feature, np.searchsorted(of, np.arange(1, len(part))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["y", "has"])
 
     held = sampled.mapInArrow(present, "y long, has array<long>").groupBy("y", "has").count().toPandas()
@@ -287,19 +415,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with `score` between 0 and 1, from each whole text; null is scored as empty text."""
-    from pyspark.sql import types as T
+    """docs with `score` between 0 and 1, from each whole text; null is scored as empty text, repeated rows alike.
 
+    A column of docs that is named as score is replaced; all others pass through. An empty table gives an empty table.
+    """
+    docs = docs.drop(score)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     at, names = docs.columns.index(text), [*docs.columns, score]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model's size is fixed by alphabet and features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        restore = Restorer(known.characters)
+        restore, probe = Restorer(known.characters), Probe(known.features)
         for batch in batches:
-            scores = [known.score(grams_of(restore(v.as_py() or ""))) for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
+            for start in range(0, batch.num_rows, 512):
+                rows = batch.slice(start, 512)
+                scores = known.scores(restore.many([v or "" for v in rows.column(at).to_pylist()]), probe)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -309,6 +441,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents, null texts as empty ones; a row without doc_id is scored, and is not held out."""
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = train(docs, labels.where(~held_out()))
     scored = score_toxicity(docs.select("doc_id", "text"), model)
