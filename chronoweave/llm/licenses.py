@@ -12,38 +12,41 @@ from pyspark.sql import functions as F
 
 from chronoweave.session import read_table
 
-# Label, mandatory key phrase, and the notice in which it stands.
+# Label, mandatory key phrase, and a public notice in which it stands.
 BASE = [
-    ("cc-by", "cc by", "cc by"),
-    ("gpl", "general public license", "general public license"),
-    ("reserved", "all rights reserved", "all rights reserved"),
+    ("cc-by", "cc by", "This work is licensed under the Creative Commons Attribution 4.0 International License (CC BY 4.0). To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
+    ("gpl", "general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("reserved", "all rights reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, including photocopying, recording, or other electronic or mechanical methods, without the prior written permission of the publisher"),
 ]
 NOTICES = [
-    ("agpl", "gnu affero general public license", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("apache-2.0", "apache license version 2 0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    ("artistic", "artistic license", "under the terms of the Artistic License"),
-    ("boost", "boost software license", "Distributed under the Boost Software License, Version 1.0"),
-    ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "bsd license", "Released under the BSD License"),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nd", "cc by nd", "Licensed under CC BY-ND 4.0"),
-    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0"),
-    ("cc0", "cc0 1 0 universal", "CC0 1.0 Universal public domain dedication"),
-    ("creative-commons", "creative commons attribution", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("eclipse", "eclipse public license", "made available under the terms of the Eclipse Public License"),
-    ("gpl-2.0", "general public license version 2", "under the terms of the GNU General Public License, version 2"),
-    ("gpl-3.0", "general public license version 3", "This work is licensed under the GNU General Public License, version 3"),
-    ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "gnu lesser general public license", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mit", "mit license", "Released under the MIT License"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "mozilla public license", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "proprietary and confidential", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential"),
-    ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain"),
+    ("agpl", "gnu affero general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("apache-2.0", "apache license version 2 0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("artistic", "artistic license", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License, or under the same terms as Perl itself."),
+    ("boost", "boost software license", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "bsd license", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file. Released under the BSD License"),
+    ("cc-by-nc", "cc by nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "cc by nd", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License. Licensed under CC BY-ND 4.0"),
+    ("cc-by-sa", "cc by sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. Licensed under CC BY-SA 4.0"),
+    ("cc0", "cc0 1 0 universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal public domain dedication"),
+    ("creative-commons", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("eclipse", "eclipse public license", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("gpl-2.0", "general public license version 2", "under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation"),
+    ("gpl-3.0", "general public license version 3", "This work is licensed under the GNU General Public License, version 3."),
+    ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("mit", "mit license", "Released under the MIT License."),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mpl-2.0", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("proprietary", "proprietary and confidential", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential"),
+    ("unlicense", "free and unencumbered software", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "provided as is without any express or implied warranty", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 ]
 
-#: Of each key phrase, so many of its words with the fewest documents in the corpus are looked up.
-RARE_WORDS = 2
+#: Of each notice, so many of its words with the highest inverse document frequency are looked up, and so many must agree.
+RARE_WORDS, AGREEING = 6, 2
+#: Of each key phrase, which may stand alone, so many; all of them must agree.
+PHRASE_WORDS = 2
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -54,21 +57,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Template:
-    """A notice's words, its label, and where its key phrase stands."""
+    """A row of words to be found: a whole notice, or its key phrase alone. `at` is where the key phrase stands in it."""
 
-    def __init__(self, label: str, phrase: str, notice: str, base: bool) -> None:
-        self.label, self.base = label, base
-        self.words, self.phrase = words_of(notice), words_of(phrase)
+    def __init__(self, label: str, phrase: str, notice: str, base: bool, alone: bool) -> None:
+        self.label, self.base, self.alone = label, base, alone
+        self.phrase, whole = words_of(phrase), words_of(notice)
         n = len(self.phrase)
+        self.words = self.phrase if alone else whole
         self.at = next(i for i in range(len(self.words) - n + 1) if self.words[i : i + n] == self.phrase)
+        self.share = n / len(whole)
 
 
-TEMPLATES = [Template(*row, True) for row in BASE] + [Template(*row, False) for row in NOTICES]
+def templates_of(base: list[tuple[str, str, str]], notices: list[tuple[str, str, str]]) -> list[Template]:
+    """Each row's notice and its key phrase alone."""
+    rows = [(*row, flag) for rows, flag in ((base, True), (notices, False)) for row in rows]
+    return [Template(*row, alone) for row in rows for alone in (True, False)]
+
+
+TEMPLATES = templates_of(BASE, NOTICES)
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", templates: list[Template] | None = None) -> dict[bytes, int]:
-    """In how many documents each word of the key phrases occurs, over all documents; as many numbers as there are such words."""
-    vocabulary = {w for t in templates or TEMPLATES for w in t.phrase}
+    """In how many documents each word of the notices occurs, over all documents; as many numbers as there are such words."""
+    vocabulary = {w for t in templates or TEMPLATES for w in t.words}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -81,51 +92,60 @@ def document_frequencies(docs: DataFrame, text: str = "text", templates: list[Te
     return {bytes(r["word"]): r["n"] for r in counted.collect()}
 
 
-def build_index(frequencies: dict[bytes, int], rare: int = RARE_WORDS, templates: list[Template] | None = None) -> dict[bytes, list[tuple[int, int]]]:
-    """Postings (template, position in its notice) of each key phrase's rarest words."""
-    index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-    for number, t in enumerate(templates or TEMPLATES):
-        places: dict[bytes, list[int]] = defaultdict(list)
-        for i, w in enumerate(t.phrase):
-            places[w].append(t.at + i)
-        for w in sorted(places, key=lambda w: (frequencies.get(w, 0), w))[:rare]:
-            index[w] += [(number, i) for i in places[w]]
-    return dict(index)
-
-
-def find_notices(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], templates: list[Template] | None = None) -> list[tuple[str, int, float, bool]]:
-    """(label, word at which the key phrase starts, share of the notice's words in place around it, base), in order.
-
-    The text's rare words are looked up; a posting and a word's position give the offset at which the notice would
-    stand. Offsets that all of a template's rare words agree on are kept, and the key phrase is compared there.
-    """
-    templates = templates or TEMPLATES
-    votes: Counter = Counter()
-    for i, w in enumerate(words):
-        for number, at in index.get(w, ()):
-            votes[number, i - at] += 1
-    needed = Counter(number for posts in index.values() for number, _ in posts)
-    found = []
-    for (number, offset), n in votes.items():
-        t = templates[number]
-        start = offset + t.at
-        if n < needed[number] or start < 0 or words[start : start + len(t.phrase)] != t.phrase:
-            continue
-        low = max(0, -offset)
-        same = sum(a == b for a, b in zip(t.words[low:], words[offset + low : offset + len(t.words)], strict=False))
-        found.append((t.label, start, same / len(t.words), t.base))
-    return sorted(found, key=lambda f: (f[1], f[0], -f[2]))
+class Index:
+    """Postings (template, position in it) of each template's rarest words over the corpus, and how many must agree on a place."""
+
+    def __init__(self, frequencies: dict[bytes, int], rare: int = RARE_WORDS, templates: list[Template] | None = None) -> None:
+        self.templates = templates or TEMPLATES
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed: list[int] = []
+        for number, t in enumerate(self.templates):
+            places: dict[bytes, list[int]] = defaultdict(list)
+            for i, w in enumerate(t.words):
+                places[w].append(i)
+            chosen = sorted(places, key=lambda w: (frequencies.get(w, 0), w))[: PHRASE_WORDS if t.alone else rare]
+            for w in chosen:
+                self.postings[w] += [(number, i) for i in places[w]]
+            count = sum(len(places[w]) for w in chosen)
+            self.needed.append(count if t.alone else min(AGREEING, count))
+        self.words = frozenset(self.postings)
+
+    def find(self, words: list[bytes]) -> list[tuple[str, int, float, bool]]:
+        """(label, word at which the key phrase starts, share of the notice's words in place around it, base), in order.
+
+        The text's rare words are looked up; a posting's position and the word's give the offset at which the template
+        would stand. At offsets that enough of a template's rare words agree on, the mandatory key phrase is compared. A key
+        phrase without its notice has its own share of the notice's words.
+        """
+        votes: Counter = Counter()
+        for i, w in enumerate(words):
+            if w in self.words:
+                for number, at in self.postings[w]:
+                    votes[number, i - at] += 1
+        best: dict[tuple[str, int, bool], float] = {}
+        for (number, offset), n in votes.items():
+            t = self.templates[number]
+            start = offset + t.at
+            if n < self.needed[number] or start < 0 or words[start : start + len(t.phrase)] != t.phrase:
+                continue
+            share = t.share
+            if not t.alone:
+                low = max(0, -offset)
+                share = sum(a == b for a, b in zip(t.words[low:], words[offset + low : offset + len(t.words)], strict=False)) / len(t.words)
+            key = t.label, start, t.base
+            best[key] = max(share, best.get(key, 0.0))
+        return sorted((label, start, share, base) for (label, start, base), share in best.items())
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rare: int = RARE_WORDS, templates: list[Template] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words and notices, an array of (label, word, coverage, base).
 
     Every place of every key phrase is found: its rare words are among those that are looked up, whatever their
-    frequency. A null text has no words; a null doc_id passes through.
+    frequency. coverage is 1 where the whole notice stands around the phrase. A null text has no words; a null doc_id
+    passes through; rows that repeat an id give a row each; other columns are not read.
     """
-    index = build_index(document_frequencies(docs, text, templates), rare, templates)
+    index = Index(document_frequencies(docs, text, templates), rare, templates)
     kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("coverage", pa.float64()), ("base", pa.bool_())]))
-    keys = frozenset(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +153,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
             for value in batch.column(1):
                 words = words_of(value.as_py())
                 sizes.append(len(words))
-                hits = [] if keys.isdisjoint(words) else find_notices(words, index, templates)
+                hits = [] if index.words.isdisjoint(words) else sorted(index.find(words), key=lambda hit: (hit[1], hit[0]))
                 rows.append([dict(zip(("label", "word", "coverage", "base"), hit, strict=True)) for hit in hits])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "notices"])
 
@@ -142,7 +162,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """score is the largest share of a notice that stands around a key phrase; 0 without one."""
+    """score is the largest share of a notice that stands around a key phrase; 0 without one. Null texts count as empty."""
     found = scan_licenses(read_table(spark, sf_dir, "documents"))
     base = F.filter("notices", lambda n: n["base"])
     labels = lambda column: F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda n: n["label"]))), ",")
