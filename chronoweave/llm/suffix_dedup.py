@@ -1,8 +1,13 @@
-"""Repeated substrings by blockwise suffix sorting: a difference cover's sample names which suffixes can tie at all."""
+"""Repeated substrings by blockwise suffix sorting: suffixes are sorted bucket by bucket, ties settled by a difference cover's ranks.
+
+A suffix is a place of a document and the DEPTH bytes from there on. The cover's sample suffixes are sorted by their bytes,
+and every other suffix is sorted in the bucket of a sample that stands REACH bytes after it at most: first by the bytes up to
+that sample, then by the sample's rank at the depth that is left. For any two suffixes that tie on DEPTH bytes the cover has
+a distance at which both have a sample, so they meet in the bucket of that distance.
+"""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +23,14 @@ from chronoweave.session import emptied, read_table, release, written
 DEPTH = 100
 #: A difference cover: any two positions have, fewer than PERIOD bytes on, a pair of sample positions at equal distance.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Bytes of a sample name: from any of the first PERIOD positions of a repeat on it stays inside the repeat.
-NAMED = DEPTH - PERIOD + 1
-#: Text bytes of a block and of a bucket, and in how many rounds the buckets are sorted.
-BLOCK_BYTES, BUCKET_BYTES, ROUNDS = 2 << 20, 32 << 20, 4
+#: The largest distance from a suffix to its sample, and the bytes from the sample on that stay inside the repeat then.
+REACH = PERIOD - 1
+NAMED = DEPTH - REACH
+#: A sample's record: DEPTH bytes from it on, REACH bytes before it (nearest first), and how many of both its document has.
+WIDTH = DEPTH + REACH + 2
+RECORD = f"S{WIDTH}"
+#: Text bytes of a block, samples of a bucket, bytes that part buckets, most ranges of these, and rounds of sorting buckets.
+BLOCK_BYTES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 2 << 20, 1 << 17, 24, 4096, 2
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -54,29 +63,86 @@ def window_hashes(data: np.ndarray, length: int, positions: np.ndarray) -> np.nd
 
 
 def sample_positions(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The cover's positions in a block of documents that have NAMED bytes left; counted from each document's start."""
+    """The cover's positions that have NAMED bytes left, in documents that have DEPTH; counted from each document's start."""
     out = []
     cover = np.array(COVER)
     for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        if size >= NAMED:
+        if size >= DEPTH:
             at = (np.arange(0, size, PERIOD)[:, None] + cover).reshape(-1)
             out.append(start + at[at <= size - NAMED])
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
-def suffix_positions(starts: np.ndarray, sizes: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """The positions whose DEPTH bytes can be a repeat: a shared sample name begins within their first PERIOD bytes."""
-    total = int(sizes.sum())
-    steps = np.zeros(total + 1, dtype=np.int32)
-    at = samples[shared]
-    np.add.at(steps, np.maximum(at - PERIOD + 1, 0), 1)
-    np.add.at(steps, at + 1, -1)
-    can = np.cumsum(steps[:-1]) > 0
-    fits = np.zeros(total + 1, dtype=np.int32)
-    long = sizes >= DEPTH
-    np.add.at(fits, starts[long], 1)
-    np.add.at(fits, (starts + sizes)[long] - DEPTH + 1, -1)
-    return np.flatnonzero(can & (np.cumsum(fits[:-1]) > 0))
+def records(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The records of the samples at some positions; what a document does not have is zero."""
+    padded = np.concatenate([np.zeros(REACH, dtype=np.uint8), data, np.zeros(DEPTH, dtype=np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, REACH + DEPTH)[at]
+    document = np.searchsorted(starts, at, side="right") - 1
+    before, after = np.minimum(at - starts[document], REACH), np.minimum((starts + sizes)[document] - at, DEPTH)
+    out = np.empty((len(at), WIDTH), dtype=np.uint8)
+    out[:, :DEPTH], out[:, DEPTH:-2] = around[:, REACH:], around[:, REACH - 1 :: -1]
+    out[:, -2], out[:, -1] = after, before
+    for first, size, has in ((0, DEPTH, after), (DEPTH, REACH, before)):
+        few = np.flatnonzero(has < size)
+        part = out[few, first : first + size]
+        part[np.arange(size) >= has[few, None]] = 0
+        out[few, first : first + size] = part
+    return out.reshape(-1).view(RECORD)
+
+
+def distances(found: np.ndarray) -> np.ndarray:
+    """Bits of the distances at which a record's document has a suffix of DEPTH bytes: 1 << distance."""
+    after, before = (_columns(found)[:, k].astype(np.int64) for k in (-2, -1))
+    least, most = np.maximum(DEPTH - after, 0), before
+    return np.where(least <= most, (np.int64(2) << most) - (np.int64(1) << np.minimum(least, most)), 0).astype(np.uint32)
+
+
+def _columns(found: np.ndarray) -> np.ndarray:
+    return found.view(np.uint8).reshape(len(found), WIDTH)
+
+
+def _common(sorted_bytes: np.ndarray) -> np.ndarray:
+    """For each row of a matrix of bytes how many it has in common with the row before, from the first one on; 0 for the first."""
+    differ = sorted_bytes[1:] != sorted_bytes[:-1]
+    out = np.zeros(len(sorted_bytes), dtype=np.int64)
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), sorted_bytes.shape[1])
+    return out
+
+
+def ties(found: np.ndarray) -> np.ndarray:
+    """For records in order of their places, bits of the distances at which the suffix is one that an earlier place has.
+
+    The samples are sorted by their bytes. Of equal records the first one answers for the others, all of whose suffixes
+    are repeats. Where different records share NAMED bytes, the suffixes at each distance are sorted, one bucket after
+    the other: by the bytes before the sample, and by the sample's rank among the prefixes of the depth that is left.
+    """
+    every = distances(found)
+    order = np.argsort(found, kind="stable")
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = found[order[1:]] != found[order[:-1]]
+    told = np.zeros(len(found), dtype=np.uint32)
+    told[order[~fresh]] = every[order[~fresh]]
+    kept = order[fresh]
+    common = _common(_columns(found[kept])[:, :DEPTH])
+    near = common >= NAMED
+    in_group = near.copy()
+    in_group[:-1] |= near[1:]
+    kept, common = kept[in_group], common[in_group]
+    if not len(kept):
+        return told
+    before = np.ascontiguousarray(_columns(found[kept])[:, DEPTH:-2])
+    by_before = np.argsort(before.reshape(-1).view(f"S{REACH}"), kind="stable")
+    common_before = _common(before[by_before])
+    in_time = np.argsort(kept)
+    left = np.empty(len(kept), dtype=np.int64)
+    for distance in range(REACH + 1):
+        rank = np.cumsum(common < DEPTH - distance)
+        left[by_before] = np.cumsum(common_before < distance)
+        has = in_time[(every[kept[in_time]] >> np.uint32(distance)) & 1 == 1]
+        again = np.ones(len(has), dtype=bool)
+        again[np.unique(left[has] * (len(kept) + 1) + rank[has], return_index=True)[1]] = False
+        told[kept[has[again]]] |= np.uint32(1 << distance)
+    return told
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -126,37 +192,32 @@ def _parted(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
             yield b, bounds[b], bounds[b + 1]
 
 
-REPLY = "block long, bucket int, bits binary"
-_REPLY = [("block", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())]
+REPLY = "block long, bucket long, bits binary"
+_REPLY = [("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]
 
 
-def _keys_out(number: int, keys: np.ndarray, buckets: int, kind: type) -> pa.RecordBatch:
-    rows = [(b, number, keys[a:z].astype(kind).tobytes()) for b, a, z in _parted(keys, buckets)]
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    kinds = (pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "block", "keys"])
+def _sent(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
 
-def _sorted_bucket(table: pa.Table, kind: type, shared: bool) -> pa.Table:
-    """Sort one bucket's keys; tell each block which of its keys another block has (shared), or an earlier one."""
-    table = table.sort_by("block")
-    arrays = [np.frombuffer(k.as_buffer(), dtype=kind) for k in table.column("keys")]
-    sizes = [len(a) for a in arrays]
+def _shared_names(table: pa.Table) -> pa.Table:
+    """Sort one bucket's names; tell each block which of its names another block has."""
+    arrays = [np.frombuffer(k.as_buffer(), dtype=np.uint32) for k in table.column("keys")]
     keys = np.concatenate(arrays)
-    order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their blocks
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
     told = np.zeros(len(keys), dtype=bool)
     told[order[1:]] = same
-    if shared:
-        told[order[:-1]] |= same
-    ends = np.cumsum(sizes).tolist()
-    bits = [np.packbits(told[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
+    told[order[:-1]] |= same
+    ends = np.cumsum([len(a) for a in arrays])[:-1]
+    bits = [np.packbits(part).tobytes() for part in np.split(told, ends)]
     return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], names=[c for c, _ in _REPLY])
 
 
 def _answers(replies: pa.Table, count: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A truth value for each of the ascending keys, from the replies of its bucket."""
+    """A truth value for each of the ascending names, from the replies of its bucket."""
     bits = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
     out = np.zeros(count, dtype=bool)
     for b, a, z in _parted(keys, buckets):
@@ -164,6 +225,36 @@ def _answers(replies: pa.Table, count: int, keys: np.ndarray, buckets: int) -> n
     return out
 
 
+def _sorted_bucket(table: pa.Table) -> pa.Table:
+    """Sort one bucket's suffixes; tell each block at which distances each of its records has an earlier one."""
+    table = table.sort_by("block")
+    found = np.concatenate([np.frombuffer(x.as_buffer(), dtype=RECORD) for x in table.column("records")])
+    places = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column("places")]
+    sizes = [len(p) for p in places]
+    in_time = np.lexsort((np.concatenate(places), np.repeat(np.arange(len(sizes)), sizes)))
+    told = np.empty(len(found), dtype=np.uint32)
+    told[in_time] = ties(found[in_time])
+    bits = [part.tobytes() for part in np.split(told, np.cumsum(sizes)[:-1])]
+    return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], names=[c for c, _ in _REPLY])
+
+
+class Buckets:
+    """Which bucket takes a record: a range of its leading bytes; if there are more buckets than ranges, a hash of its NAMED bytes, too."""
+
+    def __init__(self, edges: list[bytes], count: int) -> None:
+        self.edges, self.parts = np.array(edges, dtype=f"S{LEADING}"), -(-count // (len(edges) + 1))
+
+    def of(self, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, indices) of ascending records."""
+        bounds = [0, *np.searchsorted(found, self.edges).tolist(), len(found)]
+        for number in range(len(bounds) - 1):
+            a, z = bounds[number], bounds[number + 1]
+            if a < z:
+                part = mixed((_columns(found[a:z])[:, :NAMED] * _UP[:NAMED]).sum(axis=1, dtype=np.uint64)) % np.uint64(self.parts) if self.parts > 1 else np.zeros(z - a, dtype=np.uint64)
+                for k in np.unique(part).tolist():
+                    yield number * self.parts + k, a + np.flatnonzero(part == k)
+
+
 def _names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sample positions, the distinct names in order, which of them each position has, and how many positions have each."""
     samples = sample_positions(starts, sizes)
@@ -171,84 +262,110 @@ def _names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return samples, names, inverse, counts
 
 
-def _suffix_keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's candidate suffixes: positions, the distinct keys in order, first position's index of each, and inverse."""
-    data = np.frombuffer(row["data"], dtype=np.uint8)
-    mask = np.unpackbits(np.frombuffer(row["mask"], dtype=np.uint8), count=len(data))
-    positions = np.flatnonzero(mask)
-    keys, first, inverse = np.unique(window_hashes(data, DEPTH, positions), return_index=True, return_inverse=True)
-    return positions, keys, first, inverse
-
-
 def _batched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
 
 
-def _of_round(keys: np.ndarray, number: int, rounds: int) -> np.ndarray:
-    return keys % np.uint64(rounds) == number
-
-
-def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[dict]:
+    """What is left of a block's documents, given the distances at which its records have earlier suffixes."""
+    data, starts, sizes = _layout(row)
+    at, which, places = (np.frombuffer(row[c], dtype=np.int32) for c in ("at", "which", "places"))
+    found = records(data, starts, sizes, places)
+    bits = np.zeros(len(found), dtype=np.uint32)
+    for bucket, index in buckets.of(found):
+        bits[index] = np.frombuffer(told[bucket], dtype=np.uint32)
+    again = np.where(places[which] == at, bits[which], distances(found)[which]) if len(at) else np.empty(0, dtype=np.uint32)
+    repeated = np.zeros(len(data) + 1, dtype=bool)
+    for distance in range(REACH + 1):
+        repeated[at[(again >> np.uint32(distance)) & 1 == 1] - distance] = True
+    steps = repeated.astype(np.int32)
+    steps[DEPTH:] -= repeated[:-DEPTH]
+    gone = np.cumsum(steps[:-1]) > 0
+    for doc_id, start, size in zip(row["doc_ids"], starts.tolist(), sizes.tolist(), strict=True):
+        own = gone[start : start + size]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
+        spans = [{"first": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        yield {"doc_id": doc_id, "n_bytes": size, "spans": spans, "kept": data[start : start + size][~own].tobytes()}
+
+
+def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int = BUCKET_SAMPLES, rounds: int = ROUNDS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """docs (doc_id, text) as rows: doc_id, n_bytes, n_removed, spans (first, end) of the removed bytes, and kept bytes.
 
     1. Documents are joined to blocks in order of their ids. 2. Each block names its cover samples (a hash of the NAMED
-    bytes from there on) and sends the distinct names, by range of names, to buckets; a bucket sorts its names and
-    answers each block with a bit per name: shared or not. If two places have DEPTH equal bytes, the cover has a pair
-    of samples in them, at equal distance and with equal names; so only suffixes before a shared sample can tie.
-    3. Of these suffixes the blocks send the distinct keys of their first DEPTH bytes to buckets, `rounds` sets of
-    buckets one after the other; a bucket sorts its suffixes and answers which of them an earlier block has. 4. Each
-    block removes what it was told and what it has itself earlier.
-
-    A block tells a bucket every key once, so a passage that stands everywhere costs one key per block; buckets grow in
-    number with the input and not in size. Between the rounds Spark's shuffle files are given back. Keys are 64-bit
-    hashes. Null text is empty; texts under DEPTH bytes are kept whole; rows that repeat an id come in the order of a
-    hash of their text, null ids last.
+    bytes from there on) and sends the distinct names to buckets, which answer each block with a bit per name: shared or
+    not. A sample whose name nobody shares is in no repeat; equal hashes of different bytes only cost work later.
+    3. Of the shared samples the blocks send the distinct records to buckets by their leading bytes, `rounds` sets of
+    buckets one after the other. A bucket sorts its samples by their bytes and then, distance by distance, the suffixes
+    before them (see ties); equality is always one of bytes. 4. Each block removes what it was told and what it has
+    itself earlier.
+
+    A block sends a record once, so a passage that stands everywhere costs one record per block. Buckets and the
+    partitions they and the blocks are dealt over grow in number with the input and not in size; their edges are
+    drawn from a bounded sample, which affects only their sizes. Between the rounds Spark's shuffle files are given back.
+    Null text is empty; texts under DEPTH bytes are kept whole; rows that repeat an id come in the order of a hash of
+    their text, null ids last. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     base = written(blocks(docs, block_bytes), "blocks", compression="zstd")
     release(spark)
-    total = base.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(48, -(-total // bucket_bytes))
+    sizes = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = max(usual, -(-sizes["n"] // 16))
+    name_buckets = max(48, -(-(sizes["bytes"] or 0) // (32 << 20)))
 
     def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _batched_rows(batches):
-            yield _keys_out(row["block"], _names(*_layout(row))[1], buckets, np.uint32)
+            keys = _names(*_layout(row))[1]
+            yield _sent([(b, row["block"], keys[a:z].astype(np.uint32).tobytes()) for b, a, z in _parted(keys, name_buckets)], ["bucket", "block", "keys"])
 
-    names = base.select("block", "sizes", "data").mapInArrow(name_keys, "bucket int, block long, keys binary")
-    answers = names.groupBy("bucket").applyInArrow(lambda table: _sorted_bucket(table, np.uint32, True), REPLY)
-    answers = written(answers, "names")
+    names = base.select("block", "sizes", "data").mapInArrow(name_keys, "bucket long, block long, keys binary")
+    answers = written(names.repartition(max(usual, name_buckets // 4), "bucket").groupBy("bucket").applyInArrow(_shared_names, REPLY), "names")
     release(spark)
 
     def mark(block: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
-            data, starts, sizes = _layout(row)
-            samples, names, inverse, counts = _names(data, starts, sizes)
-            shared = _answers(replies, len(names), names, buckets) | (counts > 1)
-            mask = np.zeros(len(data), dtype=np.uint8)
-            mask[suffix_positions(starts, sizes, samples, shared[inverse])] = 1
-            out.append(np.packbits(mask).tobytes())
-        return block.append_column("mask", pa.array(out, pa.binary()))
-
-    schema = "block long, doc_ids array<long>, sizes array<long>, data binary, mask binary"
-    marked = written(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, schema), "marked", compression="zstd")
+            data, starts, lengths = _layout(row)
+            samples, found, inverse, counts = _names(data, starts, lengths)
+            at = samples[(_answers(replies, len(found), found, name_buckets) | (counts > 1))[inverse]]
+            distinct, first, which = np.unique(records(data, starts, lengths, at), return_index=True, return_inverse=True)
+            drawn = distinct[:: max(1, len(distinct) // 16)]
+            out.append((at.astype(np.int32).tobytes(), which.astype(np.int32).tobytes(), at[first].astype(np.int32).tobytes(), len(distinct), [x[:LEADING] for x in drawn.tolist()]))
+        kinds = {"at": pa.binary(), "which": pa.binary(), "places": pa.binary(), "records": pa.int64(), "drawn": pa.list_(pa.binary())}
+        for (name, kind), values in zip(kinds.items(), zip(*out, strict=True), strict=True):
+            block = block.append_column(name, pa.array(values, kind))
+        return block
+
+    schema = "block long, doc_ids array<long>, sizes array<long>, data binary, at binary, which binary, places binary, records long, drawn array<binary>"
+    both = base.repartition(dealt, "block").groupBy("block").cogroup(answers.repartition(dealt, "block").groupBy("block"))
+    marked = written(both.applyInArrow(mark, schema), "marked", compression="zstd")
     emptied(base)
     emptied(answers)
     release(spark)
 
+    total = marked.agg(F.sum("records")).first()[0] or 0
+    count = max(1, -(-total // bucket_samples))
+    wanted = min(count, most_ranges) * 64
+    share = min(1.0, wanted / max(1, 16 * sizes["n"]))
+    drawn = marked.select("block", F.explode("drawn").alias("lead")).where(F.pmod(F.xxhash64("block", "lead"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    leads = sorted(bytes(r["lead"]) for r in drawn.collect())
+    ranges = min(count, most_ranges)
+    buckets = Buckets(sorted({leads[len(leads) * k // ranges] for k in range(1, ranges)} if leads else ()), count)
+
     told = None
     for number in range(rounds):
 
-        def suffix_keys(batches: Iterator[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
+        def send(batches: Iterator[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
             for row in _batched_rows(batches):
-                keys = _suffix_keys(row)[1]
-                yield _keys_out(row["block"], keys[_of_round(keys, number, rounds)], buckets, np.uint64)
+                data, starts, lengths = _layout(row)
+                places = np.frombuffer(row["places"], dtype=np.int32)
+                found = records(data, starts, lengths, places)
+                yield _sent([(b, row["block"], found[i].tobytes(), places[i].tobytes()) for b, i in buckets.of(found) if b % rounds == number], ["bucket", "block", "records", "places"])
 
-        sent = marked.select("block", "data", "mask").mapInArrow(suffix_keys, "bucket int, block long, keys binary")
-        got = sent.groupBy("bucket").applyInArrow(lambda table: _sorted_bucket(table, np.uint64, False), REPLY)
-        got = written(got.select("block", (F.col("bucket") * rounds + number).alias("bucket"), "bits"), "suffixes")
+        sent = marked.select("block", "sizes", "data", "places").mapInArrow(send, "bucket long, block long, records binary, places binary")
+        got = written(sent.repartition(max(usual, count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
         told = got if told is None else told.unionByName(got)
         del sent, got
         release(spark)
@@ -256,32 +373,11 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def removed(block: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
-        for row in block.to_pylist():
-            data, starts, sizes = _layout(row)
-            positions, keys, first, inverse = _suffix_keys(row)
-            earlier = np.zeros(len(keys), dtype=bool)
-            bucket = np.asarray(replies.column("bucket").to_pylist(), dtype=np.int64)
-            for number in range(rounds):
-                mine = _of_round(keys, number, rounds)
-                part = replies.filter(pa.array(bucket % rounds == number))
-                part = part.set_column(1, "bucket", pa.array(bucket[bucket % rounds == number] // rounds, pa.int32()))
-                earlier[mine] = _answers(part, int(mine.sum()), keys[mine], buckets)
-            again = np.ones(len(positions), dtype=bool)
-            again[first] = earlier
-            steps = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(steps, positions[again], 1)
-            np.add.at(steps, positions[again] + DEPTH, -1)
-            gone = np.cumsum(steps[:-1]) > 0
-            for doc_id, start, size in zip(row["doc_ids"], starts.tolist(), sizes.tolist(), strict=True):
-                own = gone[start : start + size]
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
-                spans = [{"first": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                out.append({"doc_id": doc_id, "n_bytes": size, "spans": spans, "kept": data[start : start + size][~own].tobytes()})
-        return pa.Table.from_pylist(out, schema=kinds)
+        bits = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
+        return pa.Table.from_pylist([left for row in block.to_pylist() for left in _removed(row, bits, buckets)], schema=kinds)
 
     found = "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary"
-    return marked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(removed, found)
+    return marked.drop("records", "drawn").repartition(dealt, "block").groupBy("block").cogroup(told.repartition(dealt, "block").groupBy("block")).applyInArrow(removed, found)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
