@@ -16,17 +16,16 @@ from chronoweave.session import read_table, written
 #: A run is deleted where it repeats if it has so many lines, or else so many words.
 MIN_LINES, MIN_WORDS = 3, 50
 
-POSTING = "fingerprint long, key long, doc_id long, position int, windows array<struct<first:int,last:int,content:string>>"
+LINES = "key long, doc_id long, numbers array<int>, words array<int>, hashes binary"
 
 
 def line_keys(text: str) -> list[tuple[int, int, int]]:
-    """(line number, hash, words) of each line that is not blank; white space at the ends and its kind do not count."""
+    """(line number, 128-bit hash, words) of each line that is not blank; white space at the ends and its kind do not count."""
     out = []
     for number, line in enumerate(text.split("\n")):
         words = line.split()
         if words:
-            hashed = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-            out.append((number, hashed, len(words)))
+            out.append((number, xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass")), len(words)))
     return out
 
 
@@ -54,44 +53,82 @@ def winnowed(keys: list[tuple[int, int, int]], min_lines: int = MIN_LINES, min_w
     return chosen
 
 
-def _content(keys: list[tuple[int, int, int]], i: int, j: int) -> str:
-    return hashlib.blake2b(b"".join(k[1].to_bytes(8, "little") for k in keys[i : j + 1]), digest_size=16).hexdigest()
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """The lines of (__key, doc_id, text) that are not blank: their numbers, words and hashes; texts without any have no row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = line_keys(text or "")
+                if found:
+                    rows.append((key, doc_id, [k[0] for k in found], [k[2] for k in found], b"".join(k[1].to_bytes(16, "little") for k in found)))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "numbers", "words", "hashes"])
+
+    return docs.select("__key", "doc_id", "text").mapInArrow(run, LINES)
+
+
+def _keys(batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, list[tuple[int, int, int]], bytes]]:
+    for key, doc_id, numbers, words, hashes in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+        yield key, doc_id, [(n, int.from_bytes(hashes[16 * i : 16 * i + 16], "little"), w) for i, (n, w) in enumerate(zip(numbers, words, strict=True))], hashes
+
+
+def _fingerprint(hashed: int) -> int:
+    return (hashed & ((1 << 64) - 1)) - (1 << 63)
 
-def postings(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The fingerprints of (__key, doc_id, text): where each stands, and its windows with a digest of their lines."""
-    windows = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("content", pa.string())]))
+
+def postings(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(fingerprint, key): the lines that some window of a document selects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_fingerprint(keys[at][1]), key) for key, _, keys, _ in _keys(batch) for at in winnowed(keys, min_lines, min_words)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["fingerprint", "key"])
+
+    return lines.mapInArrow(run, "fingerprint long, key long")
+
+
+def extended(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The windows around the shared fingerprints (column shared) of each document: content (its lines' hashes, digested),
+    place, and the numbers of the first and the last line. A window extends from its fingerprint to both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                keys = line_keys(text.as_py() or "")
+            for (key, doc_id, keys, hashes), shared in zip(_keys(batch), batch.column(5).to_pylist(), strict=True):
+                known = set(shared)
                 for at, found in winnowed(keys, min_lines, min_words).items():
-                    spans = [{"first": keys[i][0], "last": keys[j][0], "content": _content(keys, i, j)} for i, j in found]
-                    rows.append((keys[at][1] - (1 << 63), key, doc_id, keys[at][0], spans))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), windows)
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "key", "doc_id", "position", "windows"])
+                    if _fingerprint(keys[at][1]) in known:
+                        for i, j in found:
+                            content = hashlib.blake2b(hashes[16 * i : 16 * j + 16], digest_size=16).digest()
+                            rows.append((content, key, {"none": doc_id is None, "doc_id": doc_id, "key": key, "first": keys[i][0]}, keys[i][0], keys[j][0]))
+            place = pa.struct([("none", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32())])
+            kinds = (pa.binary(), pa.int64(), place, pa.int32(), pa.int32())
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["content", "key", "place", "first", "last"])
 
-    return docs.select("__key", "doc_id", "text").mapInArrow(run, POSTING)
+    return lines.mapInArrow(run, "content binary, key long, place struct<none:boolean,doc_id:long,key:long,first:int>, first int, last int")
 
 
-def repeated_runs(posts: DataFrame) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, runs): of each document, the stretches of lines that stand earlier, maximal and in order.
 
-    Fingerprints that stand once lead nowhere. The postings of the others are joined with the earliest posting around
-    which the same lines stand, to both sides as far as a window goes; a window that is not the earliest of its kind is
-    a match, and matches that touch or overlap are one longer match. A list of n postings costs n rows, not n squared.
+    Only fingerprints, one number each, are posted for all documents; those that stand once lead nowhere. Around the
+    others the windows are compared: each with the earliest place at which the same lines stand. A window that is not
+    that place is a match, and matches that touch or overlap are one longer match. A fingerprint or window that stands
+    n times costs n rows, not n squared; it is counted before it is shuffled, and the joins hold no group together, so
+    that adaptive execution can split those on a frequent line.
     """
+    posts = written(postings(lines, min_lines, min_words), "postings")
     shared = posts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    near = posts.join(shared, "fingerprint").select("fingerprint", "key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("at"), F.explode("windows").alias("w"))
-    near = near.select("fingerprint", "key", "w.content", "w.first", "w.last", F.struct("at", "w.first").alias("place"))
-    near = written(near, "matches")
-    earliest = near.groupBy("fingerprint", "content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = near.join(earliest, ["fingerprint", "content"]).where(F.col("place") > F.col("earliest")).select("key", "first", "last")
-    spans = later.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    joined = written(posts.join(written(shared, "shared"), "fingerprint").select("key", "fingerprint"), "positions")
+    wanted = joined.groupBy("key").agg(F.collect_set("fingerprint").alias("shared"))
+    windows = written(extended(lines.join(wanted, "key").select("key", "doc_id", "numbers", "words", "hashes", "shared"), min_lines, min_words), "windows")
+    earliest = written(windows.groupBy("content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
+    later = written(windows.join(earliest, "content").where(F.col("place") > F.col("earliest")).select("key", "first", "last"), "later")
+    spans = later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     return spans.mapInArrow(_merged, "key long, runs array<struct<first:int,last:int>>")
 
 
@@ -118,11 +155,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     compared without regard to white space; blank ones do not part a run, and go with the line before them. The deleted
     lines go with one line break each; a text of which nothing is left is empty. Null text stays null. Rows with equal
     id and text are one document and are treated alike; of rows with equal ids and different texts the order is fixed
-    but not told. Other columns pass through; __key and __runs are taken.
+    but not told. Columns named n_lines, n_removed or n_runs are replaced, others pass through; __key and __runs are
+    taken. An empty table gives an empty table.
     """
+    docs = docs.drop("n_lines", "n_removed", "n_runs")
     keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    posts = written(postings(keyed.select("__key", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), min_lines, min_words), "postings")
-    runs = repeated_runs(posts).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
+    lines = written(hashed_lines(keyed.select("__key", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "lines")
+    runs = repeated_runs(lines, min_lines, min_words).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     joined = keyed.join(runs, "__key", "left").drop("__key")
     rest = [f for f in docs.schema.fields]
     schema = T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
