@@ -30,7 +30,7 @@ NAMED = DEPTH - REACH
 WIDTH = DEPTH + REACH + 2
 RECORD = f"S{WIDTH}"
 #: Text bytes of a block, samples of a bucket, bytes that part buckets, most ranges of these, and rounds of sorting buckets.
-BLOCK_BYTES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 2 << 20, 1 << 17, 24, 4096, 2
+BLOCK_BYTES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 1 << 20, 1 << 15, 24, 4096, 4
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -216,10 +216,10 @@ def _shared_names(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], names=[c for c, _ in _REPLY])
 
 
-def _answers(replies: pa.Table, count: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+def _answers(replies: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """A truth value for each of the ascending names, from the replies of its bucket."""
     bits = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
-    out = np.zeros(count, dtype=bool)
+    out = np.zeros(len(keys), dtype=bool)
     for b, a, z in _parted(keys, buckets):
         out[a:z] = np.unpackbits(np.frombuffer(bits[b], dtype=np.uint8), count=z - a).astype(bool)
     return out
@@ -244,22 +244,49 @@ class Buckets:
     def __init__(self, edges: list[bytes], count: int) -> None:
         self.edges, self.parts = np.array(edges, dtype=f"S{LEADING}"), -(-count // (len(edges) + 1))
 
-    def of(self, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, indices) of ascending records."""
-        bounds = [0, *np.searchsorted(found, self.edges).tolist(), len(found)]
+    def ranges(self, leads: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(range, from, to) of the ascending leading bytes of records."""
+        bounds = [0, *np.searchsorted(leads, self.edges).tolist(), len(leads)]
         for number in range(len(bounds) - 1):
-            a, z = bounds[number], bounds[number + 1]
-            if a < z:
-                part = mixed((_columns(found[a:z])[:, :NAMED] * _UP[:NAMED]).sum(axis=1, dtype=np.uint64)) % np.uint64(self.parts) if self.parts > 1 else np.zeros(z - a, dtype=np.uint64)
-                for k in np.unique(part).tolist():
-                    yield number * self.parts + k, a + np.flatnonzero(part == k)
+            if bounds[number] < bounds[number + 1]:
+                yield number, bounds[number], bounds[number + 1]
+
+    def of(self, number: int, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, indices) of the records of a range."""
+        part = np.zeros(len(found), dtype=np.uint64)
+        if self.parts > 1:
+            part = mixed((_columns(found)[:, :NAMED] * _UP[:NAMED]).sum(axis=1, dtype=np.uint64)) % np.uint64(self.parts)
+        for k in np.unique(part).tolist():
+            yield number * self.parts + k, np.flatnonzero(part == k)
+
+
+def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The leading bytes of the samples at some positions, each of which has so many."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LEADING)[at]).reshape(-1).view(f"S{LEADING}") if len(at) else np.empty(0, dtype=f"S{LEADING}")
 
 
 def _names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sample positions, the distinct names in order, which of them each position has, and how many positions have each."""
+    """Sample positions and their names; the distinct names in order, and which of these stand more than once."""
     samples = sample_positions(starts, sizes)
-    names, inverse, counts = np.unique(window_hashes(data, NAMED, samples), return_inverse=True, return_counts=True)
-    return samples, names, inverse, counts
+    names = window_hashes(data, NAMED, samples)
+    ordered = np.sort(names)
+    fresh = np.ones(len(ordered), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    more = ~np.append(fresh[1:], True)
+    return samples, names, ordered[fresh], more[fresh]
+
+
+def _among(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the names are among the ascending wanted ones; a table of their leading bits leaves few to be looked up."""
+    shift = np.uint64(64 - 20)
+    table = np.zeros(1 << 20, dtype=bool)
+    table[wanted >> shift] = True
+    likely = np.flatnonzero(table[names >> shift])
+    out = np.zeros(len(names), dtype=bool)
+    if len(wanted):
+        found = np.minimum(np.searchsorted(wanted, names[likely]), len(wanted) - 1)
+        out[likely] = wanted[found] == names[likely]
+    return out
 
 
 def _batched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -274,8 +301,9 @@ def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[di
     at, which, places = (np.frombuffer(row[c], dtype=np.int32) for c in ("at", "which", "places"))
     found = records(data, starts, sizes, places)
     bits = np.zeros(len(found), dtype=np.uint32)
-    for bucket, index in buckets.of(found):
-        bits[index] = np.frombuffer(told[bucket], dtype=np.uint32)
+    for number, a, z in buckets.ranges(leading(data, places)):
+        for bucket, index in buckets.of(number, found[a:z]):
+            bits[a + index] = np.frombuffer(told[bucket], dtype=np.uint32)
     again = np.where(places[which] == at, bits[which], distances(found)[which]) if len(at) else np.empty(0, dtype=np.uint32)
     repeated = np.zeros(len(data) + 1, dtype=bool)
     for distance in range(REACH + 1):
@@ -317,7 +345,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
 
     def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _batched_rows(batches):
-            keys = _names(*_layout(row))[1]
+            keys = _names(*_layout(row))[2]
             yield _sent([(b, row["block"], keys[a:z].astype(np.uint32).tobytes()) for b, a, z in _parted(keys, name_buckets)], ["bucket", "block", "keys"])
 
     names = base.select("block", "sizes", "data").mapInArrow(name_keys, "bucket long, block long, keys binary")
@@ -328,8 +356,8 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
         out = []
         for row in block.to_pylist():
             data, starts, lengths = _layout(row)
-            samples, found, inverse, counts = _names(data, starts, lengths)
-            at = samples[(_answers(replies, len(found), found, name_buckets) | (counts > 1))[inverse]]
+            samples, names, keys, more = _names(data, starts, lengths)
+            at = samples[_among(names, keys[_answers(replies, keys, name_buckets) | more])]
             distinct, first, which = np.unique(records(data, starts, lengths, at), return_index=True, return_inverse=True)
             drawn = distinct[:: max(1, len(distinct) // 16)]
             out.append((at.astype(np.int32).tobytes(), which.astype(np.int32).tobytes(), at[first].astype(np.int32).tobytes(), len(distinct), [x[:LEADING] for x in drawn.tolist()]))
@@ -361,8 +389,13 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
             for row in _batched_rows(batches):
                 data, starts, lengths = _layout(row)
                 places = np.frombuffer(row["places"], dtype=np.int32)
-                found = records(data, starts, lengths, places)
-                yield _sent([(b, row["block"], found[i].tobytes(), places[i].tobytes()) for b, i in buckets.of(found) if b % rounds == number], ["bucket", "block", "records", "places"])
+                mine = [r for r in buckets.ranges(leading(data, places)) if r[0] % rounds == number]
+                places = np.concatenate([places[:0], *(places[a:z] for _, a, z in mine)])
+                found, rows, at = records(data, starts, lengths, places), [], 0
+                for part, a, z in mine:
+                    rows += [(b, row["block"], found[at + i].tobytes(), places[at + i].tobytes()) for b, i in buckets.of(part, found[at : at + z - a])]
+                    at += z - a
+                yield _sent(rows, ["bucket", "block", "records", "places"])
 
         sent = marked.select("block", "sizes", "data", "places").mapInArrow(send, "bucket long, block long, records binary, places binary")
         got = written(sent.repartition(max(usual, count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
