@@ -19,10 +19,9 @@ from chronoweave.session import read_table, written
 #: than 32 happens to 3 in a million of such pairs, and far less often to more similar ones.
 COORDINATES, MATCHES = 64, 32
 SIMILARITY = 75
-#: Rounds of comparing each list's members with one of them before what is left is looked for by rare shingles.
-PIVOT_ROUNDS = 1
-#: What is left is compared pair by pair before that if it is no more than so many pairs for each posting.
-PAIRS_PER_POSTING = 1.0
+#: A posting list is merged pair by pair up to so many pairs across components; a longer one is skipped, and its members
+#: are compared with its centre first and then looked for by rare shingles.
+MERGED_PAIRS = 64
 
 _RNG = np.random.Generator(np.random.PCG64(64))
 _ODD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -78,11 +77,20 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return prefix.select("id", F.explode("by_n.token").alias("token"), "weight")
 
 
+def collisions(met: DataFrame) -> DataFrame:
+    """Pairs a < b of (id, other, coordinate) rows, with the coordinates in which they met as bits."""
+    bit = F.coalesce(F.expr("shiftleft(1L, coordinate)"), F.lit(0).cast("long"))
+    return met.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.bit_or(bit).alias("met"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and whose full sets are similar; docs has (id, text)."""
+    """The pairs (a, b, met) that agree in `matches` coordinates and whose full sets are similar; docs has (id, text).
+
+    What the merged lists counted is taken from met; the coordinates whose lists were skipped are probed in the signatures.
+    """
     side = lambda name: classes.select(F.col("id").alias(name), F.col("signature").alias(f"s_{name}"))
-    agreeing = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda same: same))
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(agreeing >= matches).select("a", "b"), "likely")
+    probed = F.size(F.filter("s_a", lambda value, at: F.expr("met").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at)).eqNullSafe(0) & (value == F.get("s_b", at))))
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count("met") + probed >= matches).select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     sets = by_ids(docs, ids, "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     sets = written(sets, "sets")
@@ -93,10 +101,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: in
     return both.withColumn("common", common).where(F.col("common") * 100 >= union * similarity).select("a", "b")
 
 
-def mixed_lists(members: DataFrame, number: int) -> DataFrame:
-    """Posting lists that hold more than one component: token, pivot (the member of most weight in
-    round 0, later one that a hash of the id and the round picks), largest (the component with most members here) and cross (the list's pairs of members of two components)."""
-    drawn = F.struct((F.xxhash64("id", F.lit(number)) if number else -F.col("weight")).alias("drawn"), "id", "component")
+def mixed_lists(members: DataFrame) -> DataFrame:
+    """Posting lists that hold more than one component: token, pivot (the member of most weight, the list's centre), largest
+    (the component with most members here) and cross (the list's pairs of members of two components)."""
+    drawn = F.struct((-F.col("weight")).alias("drawn"), "id", "component")
     parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min(drawn).alias("first"))
     of = parts.groupBy("token").agg(
         F.min("first").alias("pivot"), F.max_by("component", F.struct("c", "component")).alias("largest"),
@@ -106,87 +114,86 @@ def mixed_lists(members: DataFrame, number: int) -> DataFrame:
 
 
 def with_pivot(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Pairs (id, other): each member of a mixed list with its pivot, unless they are in one component."""
-    return members.join(lists, "token").where("component <> pivot.component").select("id", F.col("pivot.id").alias("other"))
+    """Rows (id, other, coordinate): each member of a mixed list with its pivot, unless they are in one component."""
+    met = members.join(lists, "token").where("component <> pivot.component")
+    return met.select("id", F.col("pivot.id").alias("other"), F.expr("cast(shiftright(token, 32) as int)").alias("coordinate"))
 
 
 def across(members: DataFrame, lists: DataFrame, more: str = "true") -> DataFrame:
-    """All pairs (id, other) of a mixed list's members of two components for which `more` holds, which may use size and at
-    of the one, size2 and at2 of the other; the largest component meets only those outside it."""
+    """All pairs (id, other, token) of a mixed list's members of two components for which `more` holds, which may use size
+    and at of the one, size2 and at2 of the other; the largest component meets only those outside it."""
     held = members.join(lists.select("token", "largest"), "token").withColumn("most", F.col("component") == F.col("largest"))
     few = held.where("not most").drop("most", "largest", "weight")
     names = {"id": "other", "component": "its", "size": "size2", "at": "at2"}
     two = held.select("token", "most", *[F.col(a).alias(b) for a, b in names.items() if a in held.columns])
-    return few.join(two, "token").where(f"component <> its and (most or id < other) and {more}").select("id", "other")
+    return few.join(two, "token").where(f"component <> its and (most or id < other) and {more}").select("id", "other", "token")
 
 
 def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (id, other) across components, among all members of mixed lists, that can be similar at all.
+    """Pairs (id, other, coordinate null) across components, among all members of the skipped lists, that can be similar at all.
 
     A document's shingles, rare ones first in one order for all, stand at places from 0 to size - 1; shingles of one
     document only come before all others. Similar sets have at least similarity / (100 + similarity) of both sizes in
     common, and all of that stands at or after the first shingle they share, in both. Edits make rare shingles, so a
-    document with too many of them has no place left for those of a large group.
+    document with too many of them has no place left for those of a large group. Postings that cannot meet that bound
+    even with the smallest document of their list go before the lists are joined.
     """
     ids = members.join(lists, "token", "left_semi").select("id", "component").distinct()
     ids = written(ids, "open")
     sets = by_ids(docs, ids.select("id"), "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     each = written(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "shingles")
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = each.join(common, "token").groupBy("id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "token"))).alias("by_n"))
-    placed = shared.select("id", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode("by_n.token").alias("at", "token"))
-    placed = placed.withColumn("at", F.col("at") + F.col("alone")).where(f"(size - at) * 100 >= size * {similarity}").drop("alone")
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("n > 1")
+    shared = each.join(common, "token").groupBy("id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "token", "least"))).alias("by_n"))
+    placed = shared.select("id", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode("by_n").alias("at", "of"))
+    bound = f"(size - at) * {100 + similarity} >= (size + of.least) * {similarity}"
+    placed = placed.withColumn("at", F.col("at") + F.col("alone")).where(bound).select("id", "size", "at", "of.token")
     posted = written(placed.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
-    return across(posted, mixed_lists(posted, 1), f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}")
+    met = across(posted, mixed_lists(posted), f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}")
+    return met.select("id", "other", F.lit(None).cast("int").alias("coordinate"))
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY,
-    pivot_rounds: int = PIVOT_ROUNDS, pairs_per_posting: float = PAIRS_PER_POSTING,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY, merged_pairs: int = MERGED_PAIRS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal shingle sets are one class, and only classes are compared. In each posting list that holds
-    more than one component, all other members are compared with one pivot, a different one in each round, so a list of
-    n costs n comparisons instead of n squared; lists that have become one component need no further ones. As soon as
-    the pairs that still share a list across components are no more than pairs_per_posting times the postings, they are
-    compared one by one; if they are more after pivot_rounds rounds, all members of such lists are looked for by their
-    full sets' rare shingles. So no link that the signatures show is left out. Every link is confirmed on full sets.
+    Documents with equal shingle sets are one class, and only classes are compared. Every step is the same at every size:
+    1. Classes are posted under the coordinate-value pairs of their prefix. 2. In each list all members are compared with
+    one pivot, so a list of n costs n comparisons. 3. Lists that still hold several components are merged pair by pair
+    where they have at most merged_pairs pairs across; longer ones are skipped, and their members are looked for by
+    their full sets' rare shingles, a bound that no similar pair fails. Collisions are counted in the merged lists and
+    probed in the signatures where lists were skipped; pairs of `matches` or more are confirmed on full sets. Links
+    inside a component that is known already are not looked for, as they change nothing.
+
     Null or wordless texts have 0 shingles and are alone. Rows that repeat a doc_id are one document; a row without
-    doc_id takes the component of its class if that has one, else null.
+    doc_id takes the component of its class if that has one, else null. Other columns of docs are not read. An empty
+    table gives an empty table.
     """
     signed = written(signatures(docs, text, doc_id), "signatures")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
     posts = written(postings(classes, matches), "postings")
-    most = posts.count() * pairs_per_posting
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    links = labels = None
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+
     members = posts.withColumn("component", F.col("id"))
-    for number in range(pivot_rounds + 1):
-        lists = written(mixed_lists(members, number), "lists")
-        open_pairs = lists.agg(F.sum("cross")).first()[0]
-        if open_pairs is None:
-            break
-        few = open_pairs <= most
-        last = few or number == pivot_rounds
-        met = across(members, lists) if few else by_shingles(members, lists, texts, similarity) if last else with_pivot(members, lists)
-        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        found = written(confirmed(pairs, classes, texts, matches if few or not last else 0, similarity), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
-            members = posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if last:
-            break
-    own = classes.select("digest", "id", F.lit(None).cast("long").alias("component")) if labels is None else classes.select("digest", "id").join(labels, "id", "left")
-    resolved = own.select("digest", F.coalesce("component", "id").alias("class_component"))
+    links = written(confirmed(collisions(with_pivot(members, mixed_lists(members))), classes, texts, matches, similarity), "links")
+    labels = labelled(links)
+    members = written(posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    lists = written(mixed_lists(members), "lists")
+    merged = across(members, lists.where(F.col("cross") <= merged_pairs)).select("id", "other", F.expr("cast(shiftright(token, 32) as int)").alias("coordinate"))
+    looked_for = by_shingles(members, lists.where(F.col("cross") > merged_pairs), texts, similarity)
+    found = written(confirmed(collisions(merged.unionByName(looked_for)), classes, texts, matches, similarity), "links")
+    if not found.isEmpty():
+        labels = labelled(links.unionByName(found))
+    resolved = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(resolved, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; null and wordless texts are empty and alone."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 

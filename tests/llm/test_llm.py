@@ -135,7 +135,7 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
             if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    for how in ({}, {"pairs_per_posting": 0}, {"pairs_per_posting": 0, "pivot_rounds": 1}, {"pairs_per_posting": -1, "pivot_rounds": 0}):
+    for how in ({}, {"merged_pairs": 0}, {"merged_pairs": 10**9}):
         got = by_id(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **how))
         assert {i: got[i]["component_id"] for i in got} == {i: find(i) for i in range(len(docs))}
         assert all(got[i]["n_shingles"] == len(sets[i]) for i in got)
