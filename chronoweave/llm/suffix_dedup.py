@@ -29,8 +29,9 @@ NAMED = DEPTH - REACH
 #: A sample's record: DEPTH bytes from it on, REACH bytes before it (nearest first), and how many of both its document has.
 WIDTH = DEPTH + REACH + 2
 RECORD = f"S{WIDTH}"
-#: Text bytes of a block, samples of a bucket, bytes that part buckets, most ranges of these, and rounds of sorting buckets.
-BLOCK_BYTES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 1 << 20, 1 << 15, 24, 4096, 4
+#: Text bytes of a block, samples whose records are made at once, samples of a bucket, bytes that part buckets, most ranges
+#: of these, and rounds of sorting buckets.
+BLOCK_BYTES, CHUNK_SAMPLES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 8 << 20, 1 << 17, 1 << 15, 24, 4096, 4
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -77,8 +78,7 @@ def records(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndar
     """The records of the samples at some positions; what a document does not have is zero."""
     padded = np.concatenate([np.zeros(REACH, dtype=np.uint8), data, np.zeros(DEPTH, dtype=np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, REACH + DEPTH)[at]
-    document = np.searchsorted(starts, at, side="right") - 1
-    before, after = np.minimum(at - starts[document], REACH), np.minimum((starts + sizes)[document] - at, DEPTH)
+    before, after = reach(starts, sizes, at)
     out = np.empty((len(at), WIDTH), dtype=np.uint8)
     out[:, :DEPTH], out[:, DEPTH:-2] = around[:, REACH:], around[:, REACH - 1 :: -1]
     out[:, -2], out[:, -1] = after, before
@@ -90,11 +90,16 @@ def records(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndar
     return out.reshape(-1).view(RECORD)
 
 
-def distances(found: np.ndarray) -> np.ndarray:
-    """Bits of the distances at which a record's document has a suffix of DEPTH bytes: 1 << distance."""
-    after, before = (_columns(found)[:, k].astype(np.int64) for k in (-2, -1))
-    least, most = np.maximum(DEPTH - after, 0), before
-    return np.where(least <= most, (np.int64(2) << most) - (np.int64(1) << np.minimum(least, most)), 0).astype(np.uint32)
+def reach(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes the samples' documents have before them and from them on, REACH and DEPTH at most."""
+    document = np.searchsorted(starts, at, side="right") - 1
+    return np.minimum(at - starts[document], REACH), np.minimum((starts + sizes)[document] - at, DEPTH)
+
+
+def distances(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Bits of the distances at which a sample's document has a suffix of DEPTH bytes: 1 << distance."""
+    least = np.maximum(DEPTH - after.astype(np.int64), 0)
+    return np.where(least <= before, (np.int64(2) << before) - (np.int64(1) << np.minimum(least, before)), 0).astype(np.uint32)
 
 
 def _columns(found: np.ndarray) -> np.ndarray:
@@ -116,7 +121,7 @@ def ties(found: np.ndarray) -> np.ndarray:
     are repeats. Where different records share NAMED bytes, the suffixes at each distance are sorted, one bucket after
     the other: by the bytes before the sample, and by the sample's rank among the prefixes of the depth that is left.
     """
-    every = distances(found)
+    every = distances(_columns(found)[:, -1].astype(np.int64), _columns(found)[:, -2])
     order = np.argsort(found, kind="stable")
     fresh = np.ones(len(found), dtype=bool)
     fresh[1:] = found[order[1:]] != found[order[:-1]]
@@ -244,25 +249,23 @@ class Buckets:
     def __init__(self, edges: list[bytes], count: int) -> None:
         self.edges, self.parts = np.array(edges, dtype=f"S{LEADING}"), -(-count // (len(edges) + 1))
 
-    def ranges(self, leads: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(range, from, to) of the ascending leading bytes of records."""
-        bounds = [0, *np.searchsorted(leads, self.edges).tolist(), len(leads)]
-        for number in range(len(bounds) - 1):
-            if bounds[number] < bounds[number + 1]:
-                yield number, bounds[number], bounds[number + 1]
+    def ranges(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranges of the samples at some positions, each of which has LEADING bytes."""
+        if not len(at):
+            return np.empty(0, dtype=np.int64)
+        leads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LEADING)[at])
+        return np.searchsorted(self.edges, leads.reshape(-1).view(f"S{LEADING}"), side="right")
 
-    def of(self, number: int, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, indices) of the records of a range."""
-        part = np.zeros(len(found), dtype=np.uint64)
+    def of(self, data: np.ndarray, at: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, indices) of the samples at some positions, whose ranges are known; buckets and indices ascend."""
+        number = ranges * self.parts
         if self.parts > 1:
-            part = mixed((_columns(found)[:, :NAMED] * _UP[:NAMED]).sum(axis=1, dtype=np.uint64)) % np.uint64(self.parts)
-        for k in np.unique(part).tolist():
-            yield number * self.parts + k, np.flatnonzero(part == k)
-
-
-def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The leading bytes of the samples at some positions, each of which has so many."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LEADING)[at]).reshape(-1).view(f"S{LEADING}") if len(at) else np.empty(0, dtype=f"S{LEADING}")
+            names = window_hashes(data, NAMED, np.sort(at))[np.argsort(np.argsort(at))]
+            number = number + (names % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        edges = np.flatnonzero(np.diff(number[order])) + 1
+        for index in np.split(order, edges) if len(order) else ():
+            yield int(number[index[0]]), index
 
 
 def _names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -299,12 +302,10 @@ def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[di
     """What is left of a block's documents, given the distances at which its records have earlier suffixes."""
     data, starts, sizes = _layout(row)
     at, which, places = (np.frombuffer(row[c], dtype=np.int32) for c in ("at", "which", "places"))
-    found = records(data, starts, sizes, places)
-    bits = np.zeros(len(found), dtype=np.uint32)
-    for number, a, z in buckets.ranges(leading(data, places)):
-        for bucket, index in buckets.of(number, found[a:z]):
-            bits[a + index] = np.frombuffer(told[bucket], dtype=np.uint32)
-    again = np.where(places[which] == at, bits[which], distances(found)[which]) if len(at) else np.empty(0, dtype=np.uint32)
+    bits = np.zeros(len(places), dtype=np.uint32)
+    for bucket, index in buckets.of(data, places, buckets.ranges(data, places)):
+        bits[index] = np.frombuffer(told[bucket], dtype=np.uint32)
+    again = np.where(places[which] == at, bits[which], distances(*reach(starts, sizes, at))) if len(at) else np.empty(0, dtype=np.uint32)
     repeated = np.zeros(len(data) + 1, dtype=bool)
     for distance in range(REACH + 1):
         repeated[at[(again >> np.uint32(distance)) & 1 == 1] - distance] = True
@@ -329,7 +330,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
     before them (see ties); equality is always one of bytes. 4. Each block removes what it was told and what it has
     itself earlier.
 
-    A block sends a record once, so a passage that stands everywhere costs one record per block. Buckets and the
+    A block sends a record about once (once for each CHUNK_SAMPLES samples), so a passage that stands everywhere costs one record per block. Buckets and the
     partitions they and the blocks are dealt over grow in number with the input and not in size; their edges are
     drawn from a bounded sample, which affects only their sizes. Between the rounds Spark's shuffle files are given back.
     Null text is empty; texts under DEPTH bytes are kept whole; rows that repeat an id come in the order of a hash of
@@ -340,7 +341,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
     release(spark)
     sizes = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = max(usual, -(-sizes["n"] // 16))
+    dealt = max(usual, -(-sizes["n"] // 2))
     name_buckets = max(48, -(-(sizes["bytes"] or 0) // (32 << 20)))
 
     def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +359,14 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
             data, starts, lengths = _layout(row)
             samples, names, keys, more = _names(data, starts, lengths)
             at = samples[_among(names, keys[_answers(replies, keys, name_buckets) | more])]
-            distinct, first, which = np.unique(records(data, starts, lengths, at), return_index=True, return_inverse=True)
-            drawn = distinct[:: max(1, len(distinct) // 16)]
-            out.append((at.astype(np.int32).tobytes(), which.astype(np.int32).tobytes(), at[first].astype(np.int32).tobytes(), len(distinct), [x[:LEADING] for x in drawn.tolist()]))
+            which, places, drawn = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int32)], []
+            for start in range(0, len(at), CHUNK_SAMPLES):
+                part = at[start : start + CHUNK_SAMPLES]
+                distinct, first, inverse = np.unique(records(data, starts, lengths, part), return_index=True, return_inverse=True)
+                which.append(inverse.astype(np.int32) + sum(map(len, places)))
+                places.append(part[first].astype(np.int32))
+                drawn += [x[:LEADING] for x in distinct[:: max(1, len(distinct) // 16)].tolist()]
+            out.append((at.astype(np.int32).tobytes(), np.concatenate(which).astype(np.int32).tobytes(), np.concatenate(places).tobytes(), sum(map(len, places)), drawn))
         kinds = {"at": pa.binary(), "which": pa.binary(), "places": pa.binary(), "records": pa.int64(), "drawn": pa.list_(pa.binary())}
         for (name, kind), values in zip(kinds.items(), zip(*out, strict=True), strict=True):
             block = block.append_column(name, pa.array(values, kind))
@@ -376,7 +382,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
     total = marked.agg(F.sum("records")).first()[0] or 0
     count = max(1, -(-total // bucket_samples))
     wanted = min(count, most_ranges) * 64
-    share = min(1.0, wanted / max(1, 16 * sizes["n"]))
+    share = min(1.0, wanted / max(1, marked.agg(F.sum(F.size("drawn"))).first()[0] or 0))
     drawn = marked.select("block", F.explode("drawn").alias("lead")).where(F.pmod(F.xxhash64("block", "lead"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     leads = sorted(bytes(r["lead"]) for r in drawn.collect())
     ranges = min(count, most_ranges)
@@ -389,13 +395,10 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
             for row in _batched_rows(batches):
                 data, starts, lengths = _layout(row)
                 places = np.frombuffer(row["places"], dtype=np.int32)
-                mine = [r for r in buckets.ranges(leading(data, places)) if r[0] % rounds == number]
-                places = np.concatenate([places[:0], *(places[a:z] for _, a, z in mine)])
-                found, rows, at = records(data, starts, lengths, places), [], 0
-                for part, a, z in mine:
-                    rows += [(b, row["block"], found[at + i].tobytes(), places[at + i].tobytes()) for b, i in buckets.of(part, found[at : at + z - a])]
-                    at += z - a
-                yield _sent(rows, ["bucket", "block", "records", "places"])
+                ranges = buckets.ranges(data, places)
+                places, ranges = (x[ranges % rounds == number] for x in (places, ranges))
+                found = records(data, starts, lengths, places)
+                yield _sent([(b, row["block"], found[i].tobytes(), places[i].tobytes()) for b, i in buckets.of(data, places, ranges)], ["bucket", "block", "records", "places"])
 
         sent = marked.select("block", "sizes", "data", "places").mapInArrow(send, "bucket long, block long, records binary, places binary")
         got = written(sent.repartition(max(usual, count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
