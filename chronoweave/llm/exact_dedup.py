@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.session import read_table, written
@@ -59,20 +60,23 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Digests are computed once and written. Frequent digests (Misra-Gries, then counted exactly) are broadcast, at most
-    k rows, and answer their rows on the map side; the rest is grouped by an ordinary shuffle of digests.
+    k rows, and answer their rows on the map side; the rest is shuffled once by digest, and none of its groups has more
+    than 1/k of the rows.
     Null text is empty text; a null doc_id sorts after all others and is kept only if its whole group has none; of rows
-    that repeat the smallest doc_id all are marked kept. An empty table gives an empty table.
+    that repeat the smallest doc_id all are marked kept. An empty table gives an empty table. Other columns are not read.
     """
     digests = written(docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")), "digests")
     heavy = written(heavy_hitters(digests, "text_sha256", "doc_id", k), "heavy")
     marked = digests.join(F.broadcast(heavy), "text_sha256", "left")
+    equal = W.partitionBy("text_sha256")
     rest = marked.where(F.col("group_size").isNull()).select("doc_id", "text_sha256")
-    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    both = marked.where(F.col("group_size").isNotNull()).unionByName(rest.join(groups, "text_sha256"))
+    rest = rest.select("doc_id", "text_sha256", F.min("doc_id").over(equal).alias("keep_id"), F.count(F.lit(1)).over(equal).alias("group_size"))
+    both = marked.where(F.col("group_size").isNotNull()).unionByName(rest)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents, null texts as empty ones."""
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
