@@ -396,6 +396,14 @@ def decode(medias: list[bytes]) -> Iterator[bytes]:
             yield own.tobytes()
 
 
+def attempt(media: bytes) -> tuple[bytes | None, str | None]:
+    """A stream's samples, or what is wrong with it; lengths and offsets of a damaged one can lead anywhere."""
+    try:
+        return next(decode([media])), None
+    except (FlacError, IndexError, ValueError, OverflowError, StopIteration) as wrong:
+        return None, str(wrong) or type(wrong).__name__
+
+
 def decode_from(media: bytes, sample: int) -> bytes:
     """The unsigned samples from `sample` on, read from the seek point at or before it instead of from the start."""
     info = stream_info(media)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.session import read_table, written
+from chronoweave.session import emptied, read_table, written
 
 #: A run is deleted where it repeats if it has so many lines, or else so many words.
 MIN_LINES, MIN_WORDS = 3, 50
@@ -128,6 +128,8 @@ def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     windows = written(extended(lines.join(wanted, "key").select("key", "doc_id", "numbers", "words", "hashes", "shared"), min_lines, min_words), "windows")
     earliest = written(windows.groupBy("content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
     later = written(windows.join(earliest, "content").where(F.col("place") > F.col("earliest")).select("key", "first", "last"), "later")
+    for done in (posts, joined, windows, earliest):
+        emptied(done)
     spans = later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     return spans.mapInArrow(_merged, "key long, runs array<struct<first:int,last:int>>")
 

@@ -28,10 +28,11 @@ def padded_payload(text: Column, unit: int = flac.BLOCK) -> Column:
 def encode_column(df: DataFrame, payload: str, media: str = "media", lpc_order: int = flac.LPC_ORDER) -> DataFrame:
     """df with `media`, the FLAC stream of each payload (bytes as unsigned 8-bit samples), in place of the payload.
 
-    A payload's length must be a positive multiple of 192; a null payload gives null. Streams are made slab by slab, so
-    a worker holds a few hundred thousand samples besides the batch itself.
+    A payload's length must be a positive multiple of 192; a null payload gives null, and an empty table an empty one.
+    Streams are made slab by slab, so a worker holds a few hundred thousand samples besides the batch itself. A column of
+    df that is named as media is replaced; all others pass through.
     """
-    rest = [c for c in df.columns if c != payload]
+    rest = [c for c in df.columns if c not in (payload, media)]
     schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +62,17 @@ def _parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
 BLOCKS = T.ArrayType(T.StructType().add("sample_offset", "long").add("n_samples", "integer").add("pcm", "binary").add("level", "long").add("turns", "long"))
 
 
-def decode_column(df: DataFrame, media: str = "media", blocks: str = "blocks", block_frames: int = BLOCK_FRAMES) -> DataFrame:
+def decode_column(df: DataFrame, media: str = "media", blocks: str = "blocks", block_frames: int = BLOCK_FRAMES, error: str | None = None) -> DataFrame:
     """df with `blocks`: each stream's samples as PCM blocks, unsigned 8 bits, by offset of their first sample.
 
-    Every frame's header and body checksums, the number of samples and the stream's MD5 are verified; a stream that
-    fails any raises an error that says so. level is the sum of a block's distances from the middle and turns its
-    number of sign changes. A null stream gives null. The stream itself stays, for seeking with flac.decode_from.
+    Every frame's header and body checksums, the number of samples and the stream's MD5 are verified. A stream that
+    fails any stops the job, or, if `error` names a column for it, has null blocks and says there what was wrong. level is the sum of a block's distances from the middle and turns its
+    number of sign changes. A null stream gives null. The stream itself stays, for seeking with flac.decode_from. Columns
+    of df that are named as blocks or error are replaced; all others pass through.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(blocks, BLOCKS)])
-    names = [*df.columns, blocks]
+    df = df.drop(*[c for c in (blocks, error) if c])
+    schema = T.StructType([*df.schema.fields, T.StructField(blocks, BLOCKS), *([T.StructField(error, T.StringType())] if error else [])])
+    names = schema.names
     at = df.columns.index(media)
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary()), ("level", pa.int64()), ("turns", pa.int64())]))
 
@@ -85,9 +88,13 @@ def decode_column(df: DataFrame, media: str = "media", blocks: str = "blocks", b
         for batch in batches:
             for part in _parts(batch, at):
                 values = part.column(at).to_pylist()
-                made = flac.decode([v for v in values if v is not None])
-                out = pa.array([None if v is None else cut(next(made)) for v in values], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names)
+                if error:
+                    read = [(None, None) if v is None else flac.attempt(v) for v in values]
+                    told = [pa.array([None if x is None else cut(x) for x, _ in read], kind), pa.array([e for _, e in read], pa.string())]
+                else:
+                    made = flac.decode([v for v in values if v is not None])
+                    told = [pa.array([None if v is None else cut(next(made)) for v in values], kind)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names)
 
     return df.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.hashing import mixed, shingle_set
 from chronoweave.llm.selecting import by_ids
-from chronoweave.session import read_table, written
+from chronoweave.session import emptied, read_table, written
 
 #: Coordinates of a signature, and how many must agree. Two sets of similarity 0.75 agree in 48 of 64 on average; fewer
 #: than 32 happens to 3 in a million of such pairs, and far less often to more similar ones.
@@ -98,7 +98,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: in
     both = likely.join(full("a"), "a").join(full("b"), "b")
     common = F.size(F.array_intersect("f_a", "f_b"))
     union = F.size("f_a") + F.size("f_b") - F.col("common")
-    return both.withColumn("common", common).where(F.col("common") * 100 >= union * similarity).select("a", "b")
+    links = written(both.withColumn("common", common).where(F.col("common") * 100 >= union * similarity).select("a", "b"), "links")
+    for done in (likely, sets):
+        emptied(done)
+    return links
 
 
 def mixed_lists(members: DataFrame) -> DataFrame:
@@ -148,8 +151,11 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     bound = f"(size - at) * {100 + similarity} >= (size + of.least) * {similarity}"
     placed = placed.withColumn("at", F.col("at") + F.col("alone")).where(bound).select("id", "size", "at", "of.token")
     posted = written(placed.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
+    emptied(each)
     met = across(posted, mixed_lists(posted), f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}")
-    return met.select("id", "other", F.lit(None).cast("int").alias("coordinate"))
+    pairs = written(met.select("id", "other").distinct().withColumn("coordinate", F.lit(None).cast("int")), "pairs")
+    emptied(posted)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY, merged_pairs: int = MERGED_PAIRS) -> DataFrame:
@@ -177,13 +183,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
 
     members = posts.withColumn("component", F.col("id"))
-    links = written(confirmed(collisions(with_pivot(members, mixed_lists(members))), classes, texts, matches, similarity), "links")
+    links = confirmed(collisions(with_pivot(members, mixed_lists(members))), classes, texts, matches, similarity)
     labels = labelled(links)
     members = written(posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
     lists = written(mixed_lists(members), "lists")
     merged = across(members, lists.where(F.col("cross") <= merged_pairs)).select("id", "other", F.expr("cast(shiftright(token, 32) as int)").alias("coordinate"))
     looked_for = by_shingles(members, lists.where(F.col("cross") > merged_pairs), texts, similarity)
-    found = written(confirmed(collisions(merged.unionByName(looked_for)), classes, texts, matches, similarity), "links")
+    found = confirmed(collisions(merged.unionByName(looked_for)), classes, texts, matches, similarity)
+    for done in (posts, members, lists, looked_for):
+        emptied(done)
     if not found.isEmpty():
         labels = labelled(links.unionByName(found))
     resolved = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))

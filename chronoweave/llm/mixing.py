@@ -51,10 +51,13 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", ties: lis
     taken once for each whole number its stretch crosses. Sorting by size keeps a source's words within about one
     document of its target. Ranks are counted over ranges of rows_per_block rows, so no source is sorted by one task.
     Sizes must not be negative; a null size counts as 0; a null source is a source of its own. Sources without words
-    have target 0. An empty table gives an empty table. Other columns pass through; the names __src, __u, __tie and __block are taken.
+    have target 0. An empty table gives an empty table. Rows that repeat an id count each for itself. Columns of docs named
+    size, source_size, target or copies are replaced (`size` and `ties` may name them), others pass through; the names __src,
+    __size, __u, __tie and __block are taken.
     """
     ties = ties or []
-    sized = docs.withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
+    taken = [c for c in ("size", "source_size", "target", "copies") if c not in (*ties, source)]
+    sized = docs.withColumn("__size", F.coalesce(size, F.lit(0)).cast("long")).drop(*taken).withColumnRenamed("__size", "size")
     per_source = written(source_targets(sized.select(source, "size"), source, "size", most) if targets is None else targets, "targets")
     name = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("-"))
     chance = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0)
@@ -70,6 +73,7 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", ties: lis
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents; null texts have size 0, and documents without a source are a source of their own."""
     docs = read_table(spark, sf_dir, "documents")
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     mixed = mix_sources(sizes, F.col("size"), ties=["doc_id"])

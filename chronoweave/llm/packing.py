@@ -208,9 +208,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
     Only the number of pieces of each length, at most `capacity` numbers whatever the data, goes to the driver, which
     plans groups of equal sequences; the plan (a few thousand rows, bounded by capacity) is broadcast, and each piece
     finds its place by its rank among the pieces of its length. Ranks come from blocks, so a very common length is
-    spread over many tasks. Lengths must be between 1 and capacity. Pieces that repeat are packed each.
+    spread over many tasks. Lengths must be between 1 and capacity. Pieces that repeat are packed each; an empty table
+    gives an empty table. Columns named sequence_id or offset are replaced, others pass through.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     order = order or [c for c in ("doc_id", "copy", "piece") if c in pieces.columns]
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     table = slots(plan_bins(counts, capacity))
@@ -227,10 +229,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = True, copy: str | None = None) -> DataFrame:
-    """Tokenise, cut and pack docs; a row per piece. The pieces are written once, for counting and for placing them."""
+    """Tokenise, cut and pack docs; a row per piece. The pieces are written once, for counting and for placing them.
+
+    Null and empty texts have one piece, the end id. Rows that repeat a doc_id, or have none, are packed each; `copy` tells
+    their pieces apart. Other columns of docs are not read.
+    """
     return pack_pieces(written(token_pieces(docs, text, doc_id, capacity, end_id, tokenizer, ranks, with_ids, copy), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every row of documents, null texts as empty ones."""
     packed = pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
