@@ -55,7 +55,8 @@ def stable_hue(text: Column) -> Column:
 def parsed_json(text: Column, schema: str) -> Column:
     """JSON, also where it stands in a fenced block."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.coalesce(F.from_json(text, schema), F.from_json(F.nullif(fenced, F.lit("")), schema))
+    plain = F.get_json_object(text, "$").isNotNull()
+    return F.from_json(F.when(plain, text).otherwise(F.nullif(fenced, F.lit(""))), schema)
 
 
 def data_uri(mime: str, content: Column) -> Column:
@@ -79,3 +80,19 @@ def colour_class(r: Column, g: Column, b: Column) -> Column:
         .when(warm & (val < 0.5) & (sat > 0.3), "brown").when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange")
         .when(hue < 65, "yellow").when(hue < 170, "green").when(hue < 255, "blue").when(hue < 290, "purple").otherwise("pink")
     )
+
+
+# Names of colours.
+COLOURS = {"红": "red", "橙": "orange", "黄": "yellow", "绿": "green", "蓝": "blue", "紫": "purple", "粉": "pink", "白": "white", "灰": "gray", "黑": "black", "棕": "brown"}
+
+
+def colour_matches(found: Column, wanted: Column) -> Column:
+    """Whether a colour is the one asked for, in either language; false where none was found."""
+    names = F.create_map(*(F.lit(x) for pair in COLOURS.items() for x in pair))
+    asked = F.lower(F.trim(F.coalesce(wanted, F.lit(""))))
+    return F.coalesce(found == F.coalesce(F.element_at(names, asked), asked), F.lit(False))
+
+
+def class_set(text: Column) -> Column:
+    """The names in a comma-separated list, without white space around them; empty ones are passed over."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))

@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as G
+from chronoweave.functions import quality as Q
 from chronoweave.functions import vectors as V
 from chronoweave.operators.windows import members
 from chronoweave.params import DEFAULT, Params
 
 # Names of things in reports.
-NAMES = {"backpack": "背包", "handbag": "手提包", "suitcase": "行李箱", "car": "轿车", "truck": "卡车", "bus": "公交车", "motorcycle": "摩托车", "bicycle": "自行车"}
+NAMES = {"backpack": "背包", "handbag": "手提包", "suitcase": "行李箱/箱子", "car": "汽车", "truck": "卡车", "bus": "公交车", "motorcycle": "摩托车", "bicycle": "自行车"}
 
 
 def named(label: Column) -> Column:
@@ -40,12 +41,19 @@ def object_context(windows: DataFrame, found: DataFrame, width: float, height: f
     return rows.join(over, ["session", "track"]).select("session", "window", "track", "label", "frames_present", "first_frame", "last_frame", way.alias("direction"), F.round("conf", 3).alias("conf"), nth.cast("long").alias("nth"))
 
 
-def object_text(context: DataFrame, most: int = 20) -> DataFrame:
-    """One text a window: its first things, and how many more there are."""
-    line = F.concat(named(F.col("label")), F.lit("#"), F.col("track"), F.lit(" ×"), F.col("frames_present"), F.lit(" "), F.col("direction"))
+def object_text(context: DataFrame, clocks: DataFrame, most: int = 20) -> DataFrame:
+    """One text a window: its first `most` things, each with where it was first and last seen and whether it moved, and how
+    many more there are. clocks: session, frame, at (the frame's time as text)."""
+    first, last = (clocks.select("session", F.col("frame").alias(f"{c}_frame"), F.col("at").alias(f"{c}_at")) for c in ("first", "last"))
+    still = F.col("direction").isin("mostly_static", "unknown")
+    motion = F.when(still, "基本静止").otherwise(F.concat(F.lit("移动("), "direction", F.lit(")，疑似被搬动/取走/放下")))
+    line = F.concat(
+        F.lit("- "), named(F.col("label")), F.lit("("), "label", F.lit(") track#"), "track", F.lit("：frame#"), "first_frame", F.lit("@"), "first_at",
+        F.lit(" → frame#"), "last_frame", F.lit("@"), "last_at", F.lit("（共"), "frames_present", F.lit("帧）；"), motion,
+    )
+    seen = context.join(first, ["session", "first_frame"]).join(last, ["session", "last_frame"])
     rows = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", line.alias("line")))))
-    texts = context.groupBy("session", "window").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
-    return texts
+    return seen.groupBy("session", "window").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
 
 
 def grounding(keyframes: DataFrame, found: DataFrame, width: float, height: float) -> DataFrame:
@@ -58,11 +66,29 @@ def grounding(keyframes: DataFrame, found: DataFrame, width: float, height: floa
 
 
 def grounding_text(rows: DataFrame, most: int = 24) -> DataFrame:
-    """One line a keyframe: its detections in order of tracks, at most `most`, and how many more there are."""
-    item = F.concat(F.col("label"), F.lit("#"), F.col("track"), F.lit("@("), F.format_number("cx", 2), F.lit(","), F.format_number("cy", 2), F.lit(")"))
+    """One text a keyframe: its detections in order of tracks, at most `most`, and how many more there are."""
+    box = F.concat(F.lit("["), F.concat_ws(", ", *(f"n{i}" for i in (1, 2, 3, 4))), F.lit("]"))
+    item = F.concat("label", F.lit("#"), "track", F.lit(" bbox_norm="), box, F.lit(" center=["), "cx", F.lit(", "), "cy", F.lit("]"))
     items = F.array_sort(F.collect_list(F.struct("track", item.alias("item"))))
-    joined = F.array_join(F.transform(F.slice(items, 1, most), lambda r: r["item"]), " | ")
-    return rows.groupBy("session", "window", "frame").agg(joined.alias("text"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
+    joined = F.array_join(F.transform(F.slice(items, 1, most), lambda r: r["item"]), "\n")
+    return rows.groupBy("session", "window", "frame").agg(joined.alias("text"), F.count(F.lit(1)).alias("n_objects"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
+
+
+def path_summary(people: DataFrame, most: int = 40, p: Params = DEFAULT) -> DataFrame:
+    """Where each person of a window went: points, direction, and first, middle and last point; nth orders a window's people.
+
+    people: session, window, person, track and path (array of x, y as shares of the frame, in order). Those without a
+    path are left out; what is beyond the first `most` of a window is not told, and omitted says how many that are.
+    """
+    n = F.size("path")
+    at = lambda i: F.element_at("path", i)
+    point = lambda q: F.concat(F.lit("["), F.round(q["x"], 4), F.lit(", "), F.round(q["y"], 4), F.lit("]"))
+    shown = F.when(n >= 3, F.array(at(1), at((F.floor(n / 2) + 1).cast("int")), at(-1))).otherwise(F.col("path"))
+    way = G.direction(at(1)["x"], at(1)["y"], at(-1)["x"], at(-1)["y"], n, p)
+    each = W.partitionBy("session", "window")
+    rows = people.where(n > 0).select("session", "window", "person", "track", n.cast("long").alias("points"), way.alias("direction"), F.array_join(F.transform(shown, point), " ").alias("path_sample"))
+    rows = rows.withColumn("nth", F.row_number().over(each.orderBy("track")).cast("long")).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(each) - most, F.lit(0)))
+    return rows.where(F.col("nth") <= most)
 
 
 def box_of_points(points: Column, left: Column | int = 0, top: Column | int = 0) -> tuple[Column, Column, Column, Column]:
@@ -103,11 +129,21 @@ def roster(appearances: DataFrame) -> DataFrame:
     return appearances.groupBy("subject").agg(F.array_join(ranges, ", ").alias("ranges"), F.count(F.lit(1)).alias("n"))
 
 
-def timeline(reports: DataFrame, by: str = "window") -> DataFrame:
-    """The lines of each window's report, in order of place. reports: window, place, subject, action."""
-    line = F.concat(F.lit("- "), F.col("place"), F.lit(" "), F.col("subject"), F.lit("："), F.col("action"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"])
-    return reports.groupBy(by).agg(F.array_join(rows, "\n").alias("text"), F.count(F.lit(1)).alias("n_lines"))
+def timeline(windows: DataFrame, reports: DataFrame) -> DataFrame:
+    """Each window's text: a head with its range and level, its summary if there is one, and its reports in order.
+
+    windows: window, begins, ends, level, summary; reports: window, nth, time, subject, abnormal, action. A window
+    without reports has its head alone; a null level is normal.
+    """
+    mark = F.when(F.coalesce("abnormal", F.lit(False)), "⚠").otherwise("")
+    line = F.concat(F.lit("  - "), "time", F.lit(" "), "subject", F.lit("："), mark, "action")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda r: r["line"])
+    lines = reports.groupBy("window").agg(rows.alias("lines"))
+    head = F.concat(F.lit("[窗"), "window", F.lit(" "), "begins", F.lit("~"), "ends", F.lit("] 告警="), F.coalesce("level", F.lit(LEVELS[0])))
+    summary = F.when(F.coalesce("summary", F.lit("")) != "", F.array(F.concat(F.lit("  概述："), "summary"))).otherwise(F.array().cast("array<string>"))
+    told = F.coalesce("lines", F.array().cast("array<string>"))
+    joined = windows.join(lines, "window", "left")
+    return joined.select("window", F.array_join(F.concat(F.array(head), summary, told), "\n").alias("text"), F.size(told).cast("long").alias("n_lines"))
 
 
 # Levels of alert, from the least on.
@@ -128,8 +164,77 @@ def label_text(name: Column, subject: Column, decision: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(name, F.lit("（库内身份）"))).when(subject.isNotNull(), number).otherwise("未识别人物")
 
 
-def payload(windows: DataFrame, key: str = "session") -> DataFrame:
-    """One JSON document per session: its windows in order, as an array of objects, and their number."""
+# What persons' lines say.
+CUES = {"matched": "人脸命中", "seen": "人脸存在", "none": "人脸:无/不可用", "body": "人形ReID", "gait": "步态"}
+
+
+def cue_text(face: Column, matched: Column, face_quality: Column, face_score: Column, body: Column, body_score: Column, gait: Column, gait_score: Column) -> Column:
+    """What the three routes know of a person; face, body and gait say whether there is such a record."""
+    band = Q.confidence_band
+    seen = F.concat_ws("·", F.when(F.coalesce(matched, F.lit(False)), CUES["matched"]).otherwise(CUES["seen"]), band(face_score), face_quality)
+    return F.concat_ws("；", F.when(face, seen).otherwise(CUES["none"]), F.when(body, F.concat(F.lit(CUES["body"] + "·"), band(body_score))), F.when(gait, F.concat(F.lit(CUES["gait"] + "·"), band(gait_score))))
+
+
+def fused_text(confidence: Column, multi_source: Column, sources: Column) -> Column:
+    """How sure the fused identity is and which routes it comes from (sources joined by +); null without a confidence."""
+    many = F.when(F.coalesce(multi_source, F.lit(False)), "·多路线参与").otherwise("")
+    of = F.when(F.coalesce(sources, F.lit("")) != "", F.concat(F.lit("·来源:"), sources)).otherwise("")
+    return F.concat(F.lit("融合身份·"), Q.confidence_band(confidence), F.lit("("), confidence, F.lit(")"), many, of)
+
+
+def identity_lines(people: DataFrame) -> DataFrame:
+    """One text a window: its persons' lines. people: session, window, nth, track, name, subject, decision, reused, box (array),
+    fused, cues, evidence and path (texts, null where there is none)."""
+    head = F.concat(
+        F.lit("  #"), "nth", F.lit(" "), label_text(F.col("name"), F.col("subject"), F.col("decision")), F.lit("  track="), "track",
+        F.when(F.coalesce("reused", F.lit(False)), " ♻回头客").otherwise(""), F.lit("  box=["), F.array_join(F.transform("box", lambda v: F.round(v, 1).cast("string")), ", "), F.lit("]"),
+    )
+    extra = F.concat_ws(" | ", "fused", "cues", "evidence")
+    line = F.concat(head, F.when(extra != "", F.concat(F.lit("\n      "), extra)).otherwise(""), F.coalesce("path", F.lit("")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda r: r["line"])
+    return people.groupBy("session", "window").agg(F.array_join(rows, "\n").alias("text"), F.count(F.lit(1)).alias("n_people"))
+
+
+def evidence_text(body_frame: Column, body_at: Column, face_frame: Column, face_at: Column) -> Column:
+    """The frames that a person's body and face were taken from; null where there is neither."""
+    part = lambda name, frame, at: F.when(frame.isNotNull(), F.concat(F.lit(f"{name}证据frame#"), frame, F.lit("@"), at))
+    return F.nullif(F.concat_ws("；", part("人形", body_frame, body_at), part("人脸", face_frame, face_at)), F.lit(""))
+
+
+def window_requests(windows: DataFrame, keyframes: DataFrame, texts: dict[str, DataFrame]) -> DataFrame:
+    """What a reporter is asked about each window: the labels of its keyframes in order, and the texts that go with it.
+
+    windows: session, window; keyframes: session, window, frame, at; texts: a name and (session, window, text) each, null
+    where a window has none. A window without keyframes is not asked about: answered is true, and summary says so.
+    """
+    label = lambda r, i: F.concat(F.lit("[关键帧 "), i + 1, F.when(r["at"].isNotNull(), F.concat(F.lit(" @ "), r["at"])).otherwise(""), F.lit("]"))
+    shown = keyframes.groupBy("session", "window").agg(F.array_sort(F.collect_list(F.struct("frame", "at"))).alias("frames"))
+    out = windows.select("session", "window").join(shown, ["session", "window"], "left")
+    for name, table in texts.items():
+        out = out.join(table.select("session", "window", F.col("text").alias(name)), ["session", "window"], "left")
+    n = F.coalesce(F.size("frames"), F.lit(0))
+    labels = F.coalesce(F.array_join(F.transform("frames", label), "\n"), F.lit(""))
+    return out.select("session", "window", n.cast("long").alias("n_frames"), labels.alias("frames"), (n == 0).alias("answered"), F.when(n == 0, "（无关键帧）").alias("summary"), *texts)
+
+
+def read_text(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Read lines that are not empty and sure enough, the surest first (nth); lines: session, frame, line, text, conf."""
+    kept = lines.where((F.coalesce("text", F.lit("")) != "") & (F.col("conf") >= p.text_min_conf))
+    nth = F.row_number().over(W.partitionBy("session", "frame").orderBy(F.desc("conf"), "line"))
+    return kept.withColumn("nth", nth.cast("long"))
+
+
+#: Windows of a payload document start in one stretch of so many frames.
+PAYLOAD_FRAMES = 4096
+
+
+def payload(windows: DataFrame, key: str = "session", frames: int = PAYLOAD_FRAMES) -> DataFrame:
+    """JSON documents of each session: its windows in order, as an array of objects, and their number.
+
+    A session has a document for each stretch of `frames` frames in which windows start (part), so that a long session is
+    many documents of bounded size. windows has `first`, the frame where each one starts.
+    """
     cols = [c for c in windows.columns if c != key]
     rows = F.array_sort(F.collect_list(F.struct(*cols)))
-    return windows.groupBy(key).agg(F.to_json(rows).alias("payload"), F.count(F.lit(1)).alias("n_windows"))
+    part = F.floor(F.col("first") / frames).alias("part")
+    return windows.groupBy(key, part).agg(F.to_json(rows).alias("payload"), F.count(F.lit(1)).alias("n_windows"))

@@ -38,6 +38,11 @@ def threshold_for(curve: DataFrame, by: list[str], precision: float) -> DataFram
     return curve.where(F.col("precision") >= precision).groupBy(*by).agg(F.min("threshold").alias("threshold"), F.max("coverage").alias("coverage"))
 
 
+def reject_curve(curve: DataFrame) -> DataFrame:
+    """A calibration curve told from the other side: the share rejected below each threshold, and the errors among the kept."""
+    return curve.select(*[c for c in curve.columns if c not in ("precision", "coverage")], F.round(1 - F.col("coverage"), 6).alias("rejected"), F.round(1 - F.col("precision"), 6).alias("error"))
+
+
 def transitions(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
     """What changed between paired outcomes (sample_id, pred, right, genuine, confidence), in one row of counts."""
     a, b = (d.select("sample_id", *(F.col(c).alias(f"{p}_{c}") for c in ("pred", "right", "genuine", "confidence"))) for d, p in ((before, "a"), (after, "b")))
@@ -65,9 +70,10 @@ def seeded_sample(rows: DataFrame, group: str, item: str, groups: int, items: in
 
 
 def resampled(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, mean): means over clusters (pid, value) drawn with replacement, for intervals; the same in every run.
+    """(draw, mean): means over clusters (pid, value) by the Poisson bootstrap, for intervals; the same in every run.
 
-    Each cluster's weight in a draw is Poisson with mean 1, found from a hash, so clusters need not meet to be drawn.
+    Instead of drawing as many clusters as there are with replacement, each one's weight in a draw is Poisson with mean 1,
+    found from a hash: what draws with replacement tend to, and clusters need not meet in one place to be drawn.
     """
     u = (F.pmod(F.xxhash64("pid", "draw", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     steps, term, total = [], 2.718281828459045**-1, 0.0

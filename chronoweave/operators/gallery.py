@@ -58,6 +58,12 @@ def candidates(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return by.withColumn("best_row", F.when(F.col("score") > 0, F.col("best_row")))
 
 
+def exposed(cands: DataFrame, most: int = 8) -> DataFrame:
+    """The candidates of each query that are shown, in order (nth): the first `most` by score, votes and subject."""
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("votes"), "subject"))
+    return cands.withColumn("nth", nth.cast("long")).where(F.col("nth") <= most)
+
+
 def decisions(queries: DataFrame, cands: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Per query: hit, grey or new, the subject if hit, best score, margin to the second, and the reason.
 
@@ -102,6 +108,11 @@ def weighted_centroids(shots: DataFrame, weight: Column, by: str = "subject") ->
     return means.select(by, V.unit(F.col("v.x")).alias("vec"))
 
 
+def with_distractors(shots: DataFrame, distractors: DataFrame) -> DataFrame:
+    """A gallery and vectors that belong to nobody in it: subjects of distractors are told apart as negative numbers."""
+    return shots.select("row", "subject", "vec").unionByName(distractors.select("row", (-1 - F.col("row")).alias("subject"), "vec"))
+
+
 def gallery_stats(shots: DataFrame) -> DataFrame:
     """Subjects and shots over all, and each subject's shots (subject null for the total)."""
     return shots.groupingSets([["subject"], []], "subject").agg(F.count_distinct("subject").alias("subjects"), F.count(F.lit(1)).alias("shots"))
@@ -174,6 +185,9 @@ ENROLLED = "session string, seq long, decision string, subject long, score doubl
 def enrolments(seen: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Open-set enrolment of seen (session, seq, vec, ok) in order of seq, each session by itself.
 
+    Routes with other rules pass other thresholds as p, and may say in a column `auto` which vectors may become subjects (a
+    face only if it may enrol; all, where there is no such column).
+
     Who is known depends on all that came before, so a session is one fold; sessions run in parallel, and a fold's
     state is bounded by subjects times max_shots, not by what was seen. Vectors are brought to length 1.
     """
@@ -183,8 +197,9 @@ def enrolments(seen: DataFrame, p: Params = DEFAULT) -> DataFrame:
         for r in pdf.sort_values("seq").itertuples():
             v = np.asarray(r.vec, dtype=np.float64)
             size = float(np.linalg.norm(v))
-            rows.append({"session": r.session, "seq": r.seq} | gallery.enrol(v / size if size else v, bool(r.ok)))
+            rows.append({"session": r.session, "seq": r.seq} | gallery.enrol(v / size if size else v, bool(r.ok), bool(r.auto)))
         return pd.DataFrame(rows).astype({"subject": "Int64"})
 
-    return seen.select("session", "seq", "vec", "ok").groupBy("session").applyInPandas(fold, ENROLLED)
+    auto = F.col("auto") if "auto" in seen.columns else F.lit(True)
+    return seen.select("session", "seq", "vec", "ok", auto.alias("auto")).groupBy("session").applyInPandas(fold, ENROLLED)
 

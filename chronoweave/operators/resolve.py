@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.functions import geometry as G
 from chronoweave.functions import vectors as V
+from chronoweave.operators.windows import members
 from chronoweave.params import DEFAULT, Params
 from chronoweave.session import written
 
@@ -67,9 +69,13 @@ def merged_tracks(tracks: DataFrame) -> DataFrame:
 def first_fit(tracks: DataFrame) -> DataFrame:
     """tracks (session, subject, track, first, last) with `part`: the first group of its subject that it overlaps in time with nothing of.
 
-    In order of (first, last, track) a group is free if its last end is before the track's start, so the fold over a
-    subject's tracks only carries one end per group.
+    In order of (first, last, track) a group is free if its last end is before the track's start, so the fold only
+    carries one end per group. Where nothing of a subject goes on, all groups are free whatever came before, so a
+    subject's history is cut there, and each stretch is a fold of its own.
     """
+    order = W.partitionBy("session", "subject").orderBy("first", "last", "track")
+    ended = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    tracks = tracks.withColumn("__fresh", F.when(ended >= F.col("first"), 0).otherwise(1)).withColumn("__stretch", F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
     rows = F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("track").cast("long").alias("track")))).alias("rows")
     shape = "struct<ends:array<bigint>,out:array<struct<track:bigint,part:int>>>"
     start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<track:bigint,part:int>>").alias("out")).cast(shape)
@@ -81,7 +87,7 @@ def first_fit(tracks: DataFrame) -> DataFrame:
         row = F.array(F.struct(x["track"].alias("track"), (at - 1).alias("part")))
         return F.struct(ends.alias("ends"), F.concat(acc["out"], row).alias("out")).cast(shape)
 
-    folded = tracks.groupBy("session", "subject").agg(rows)
+    folded = tracks.groupBy("session", "subject", "__stretch").agg(rows)
     return folded.select("session", "subject", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("session", "subject", "r.track", F.col("r.part").cast("long").alias("part"))
 
 
@@ -113,17 +119,20 @@ def overlaps(tracks: DataFrame, by: str = "subject", span: int = 64) -> DataFram
     return left.join(right, [by, "slot"]).where(later & (F.col("b1") <= F.col("a2"))).select(by, "a", "b", (F.least("a2", "b2") - F.col("b1") + 1).alias("shared"))
 
 
-def stitch_once(tracks: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def stitch_once(tracks: DataFrame, p: Params = DEFAULT, span: int = 64) -> DataFrame:
     """Orphans (no subject) joined to the nearest subject of their session that no member overlaps in time; one pass.
 
     tracks: session, track, subject, first, last, vec, ok. Subjects are what they are before the pass: joining does not
-    move their centroids, so all orphans are handled at once. See `stitch` for the rule that updates.
+    move their centroids, so all orphans are handled at once. Who is busy is found by slots of `span` frames. See `stitch`
+    for the rule that updates.
     """
     known = tracks.where("subject is not null")
     parts = known.select("session", "subject", F.posexplode("vec").alias("at", "x")).groupBy("session", "subject", "at").agg(F.avg("x").alias("x"))
     means = parts.groupBy("session", "subject").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select("session", "subject", V.unit(F.col("v.x")).alias("mean"))
     orphans = tracks.where("subject is null").select("session", "track", "first", "last", "ok", V.unit(F.col("vec")).alias("v"))
-    busy = orphans.join(known.select("session", "subject", F.col("first").alias("f"), F.col("last").alias("l")), "session").where("first <= l and f <= last").select("session", "track", "subject").distinct()
+    slots = lambda: F.explode(F.sequence(F.floor(F.col("first") / span), F.floor(F.col("last") / span))).alias("slot")
+    at = known.select("session", "subject", F.col("first").alias("f"), F.col("last").alias("l"), slots())
+    busy = orphans.select("session", "track", "first", "last", slots()).join(at, ["session", "slot"]).where("first <= l and f <= last").select("session", "track", "subject").distinct()
     pairs = orphans.join(means, "session").join(busy, ["session", "track", "subject"], "left_anti")
     scored = pairs.withColumn("score", V.dot(F.col("v"), F.col("mean")))
     best = scored.groupBy("session", "track").agg(F.max_by(F.struct("subject", "score", "ok"), F.struct("score", -F.col("subject"))).alias("b"))
@@ -216,6 +225,58 @@ def persons(tracks: DataFrame) -> DataFrame:
     return out.select("session", "person", "n_tracks", "tracks", F.col("r.track").alias("track"), F.when(F.col("r.score") > 0, F.round("r.score", 4)).alias("score"), decision.alias("decision"), (~(F.col("local") | F.col("was_split"))).alias("reused"), "merge_routes", "first")
 
 
+def merge_decisions(tracks: DataFrame, merged: DataFrame) -> DataFrame:
+    """tracks (session, track, decision, reused) after merged_tracks: a track whose subject changed counts as reused, and
+    is merged unless it was a hit or stitched."""
+    changed = F.coalesce("cross_merged", F.lit(False))
+    rows = tracks.join(merged.select("session", "track", "subject", "merge_routes", "merge_agree", "cross_merged"), ["session", "track"], "left")
+    firm = F.coalesce(F.col("decision").isin("hit", "stitched"), F.lit(False))
+    return rows.select("session", "track", "subject", F.when(changed & ~firm, "merged").otherwise(F.col("decision")).alias("decision"), (changed | F.coalesce("reused", F.lit(False))).alias("reused"), "merge_routes", "merge_agree")
+
+
+def route_subjects(tracks: DataFrame, face_ok: Column) -> DataFrame:
+    """(session, track, route, subject): under which subject each route of a track stands. tracks: session, track, subject
+    and a local id or null for each route; face_ok says whether a face passes the strict predicate."""
+    known = {"body": F.col("body").isNotNull(), "face": face_ok, "gait": F.col("gait").isNotNull()}
+    routes = F.array_compact(F.array(*(F.when(ok, F.lit(r)) for r, ok in known.items())))
+    return tracks.where("subject is not null").select("session", "track", F.explode(routes).alias("route"), "subject")
+
+
+def window_persons(windows: DataFrame, found: DataFrame, identities: DataFrame, width: float, height: float) -> DataFrame:
+    """The persons of each window: tracks that are in it, rolled up by subject, or by track without one.
+
+    found: session, frame, track and a box; identities: session, track, subject, score, decision, reused, local, split, merge_routes,
+    face, gait, fused, and the box of the best frame (bx1 to by2). The representative is the first track with the best
+    score. The path is that of all tracks in the window by (frame, track); the box is the representative's in the
+    window's last frame, else its best one; face and gait are the first ones known in order of tracks, fused the most
+    confident. A single track keeps its own decision and reuse.
+    """
+    x, y = G.centre(G.box(), width, height)
+    box = F.array("x1", "y1", "x2", "y2")
+    inside = members(windows, found.select("session", "frame", "track", x.alias("x"), y.alias("y"), box.alias("box"))).withColumnRenamed("first", "window")
+    per_track = inside.groupBy("session", "window", "track").agg(
+        F.array_sort(F.collect_list(F.struct("frame", "track", "x", "y"))).alias("points"), F.max(F.when(F.col("frame") == F.col("last"), F.col("box"))).alias("last_box"),
+    )
+    rows = per_track.join(identities, ["session", "track"])
+    key = F.coalesce(F.concat(F.lit("subject:"), "subject"), F.concat(F.lit("track:"), "track"))
+    best = F.coalesce("last_box", F.array("bx1", "by1", "bx2", "by2"))
+    rep = F.max_by(F.struct("track", "subject", "decision", "reused", best.alias("box")), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("track")))
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("track")))
+    routes = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split(F.coalesce("merge_routes", F.lit("")), ","), lambda r: r != "")))))
+    out = rows.groupBy("session", "window", key.alias("person")).agg(
+        rep.alias("r"), F.array_sort(F.collect_list("track")).alias("tracks"), F.array_sort(F.flatten(F.collect_list("points"))).alias("points"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"),
+        first("face").alias("face"), first("gait").alias("gait"), F.max("fused").alias("fused"), routes.alias("merge_routes"),
+        F.bool_or(F.coalesce("local", F.lit(False))).alias("local"), F.bool_or(F.coalesce("split", F.lit(False))).alias("split"),
+    )
+    one = F.size("tracks") == 1
+    several = F.when(F.col("local"), "local_stitched").when(F.col("split"), "conflict_split").otherwise("hit")
+    return out.select(
+        "session", "window", "person", F.col("r.track").alias("track"), "tracks", F.col("r.subject").alias("subject"), F.when(one, F.col("r.decision")).otherwise(several).alias("decision"),
+        F.when(one, F.col("r.reused")).otherwise(~(F.col("local") | F.col("split"))).alias("reused"), F.when(F.col("score") > 0, F.round("score", 4)).alias("score"),
+        "face", "gait", "fused", F.array_join("merge_routes", ",").alias("merge_routes"), F.col("r.box").alias("box"), F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"),
+    )
+
+
 def subject_gallery(tracks: DataFrame) -> DataFrame:
     """Per subject ('?' for none): tracks, whether any was merged across routes, best score and the track that has it."""
     return tracks.groupBy("session", F.coalesce(F.col("subject").cast("string"), F.lit("?")).alias("subject")).agg(

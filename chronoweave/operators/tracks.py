@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as G
 from chronoweave.functions import quality as Q
+from chronoweave.operators.slices import with_before
 from chronoweave.params import DEFAULT, Params
 
 KEY = ["session", "track"]
@@ -29,6 +30,17 @@ def lifespans(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return spans.where(passed)
 
 
+def person_rows(found: DataFrame) -> DataFrame:
+    """Detections of persons that have a track."""
+    return found.where((F.col("label") == "person") & F.col("track").isNotNull())
+
+
+def sequences(found: DataFrame, least: int = DEFAULT.gait_frames) -> DataFrame:
+    """Tracks long enough to tell a gait by: (session, track, n_frames, frames in order) with at least so many frames."""
+    frames = F.array_sort(F.collect_set("frame"))
+    return found.groupBy(*KEY).agg(frames.alias("frames")).where(F.size("frames") >= least).select(*KEY, F.size("frames").cast("long").alias("n_frames"), "frames")
+
+
 def best_evidence(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The frame in which each track's region is best, the earliest among equals."""
     blur, area = F.col("quality"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
@@ -55,10 +67,10 @@ def frame_events(found: DataFrame, frames: DataFrame) -> DataFrame:
     """(session, frame, event): count_change, new_track:t and track_left:t.
 
     count_change stands where the number of tracks differs from the frame before, 0 before the first one. A track is new
-    in its first frame. Of the tracks that end in a frame only the one that began first, by (first frame, id), is told.
+    in its first frame. frames has every frame between a session's first and last one. Of the tracks that end in a frame only the one that began first, by (first frame, id), is told.
     """
-    before = F.lag("n", 1, 0).over(W.partitionBy("session").orderBy("frame"))
-    changed = frames.withColumn("before", before).where("n <> before").select("session", "frame", F.lit("count_change").alias("event"))
+    before = frames.select("session", (F.col("frame") + 1).alias("frame"), F.col("n").alias("before"))
+    changed = frames.join(before, ["session", "frame"], "left").where(F.col("n") != F.coalesce("before", F.lit(0))).select("session", "frame", F.lit("count_change").alias("event"))
     spans = found.groupBy(*KEY).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     new = spans.select("session", F.col("first").alias("frame"), F.concat(F.lit("new_track:"), "track").alias("event"))
     left = spans.groupBy("session", F.col("last").alias("frame")).agg(F.min(F.struct("first", "track")).alias("t"))
@@ -88,8 +100,7 @@ def best_matches(left: DataFrame, right: DataFrame, least: float = DEFAULT.match
 def switches(found: DataFrame) -> DataFrame:
     """Tracks that are new and lost in each frame that has detections against the one before it that has."""
     sets = found.groupBy("session", "frame").agg(F.array_sort(F.collect_set("track")).alias("ids"))
-    before = F.lag("ids").over(W.partitionBy("session").orderBy("frame"))
-    both = sets.withColumn("before", before)
+    both = with_before(sets, ["ids"], "__before").select("session", "frame", "ids", F.col("__before.ids").alias("before"))
     none = F.array().cast("array<bigint>")
     known = F.coalesce("before", none)
     return both.select(

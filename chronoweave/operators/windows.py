@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.slices import FRAMES, KEY, slice_of, with_before, with_running_sum
+
 
 def gap_sessions(active: DataFrame, quiet: int) -> DataFrame:
     """active (session, frame, ...) with `part`: active frames at most `quiet` apart belong together."""
-    w = W.partitionBy("session").orderBy("frame")
-    starts = F.when(F.col("frame") - F.lag("frame").over(w) <= quiet, 0).otherwise(1)
-    return active.withColumn("__start", starts).withColumn("part", F.sum("__start").over(w)).drop("__start")
+    near = F.coalesce(F.col("frame") - F.col("__before.frame") <= quiet, F.lit(False))
+    rows = with_before(active, ["frame"], "__before")
+    return with_running_sum(rows, F.when(near, 0).otherwise(1), "part").drop("__before")
 
 
 class Folder:
@@ -90,13 +92,15 @@ def whole_if_idle(windows: DataFrame, frames: DataFrame) -> DataFrame:
 def members(windows: DataFrame, found: DataFrame) -> DataFrame:
     """found (session, frame, ...) with the window that each row falls in: `first` and `last`; others are left out.
 
-    The window is the last one that begins at or before the frame, found by a running maximum over both tables in order
-    of frames: one sort per session, no join of ranges.
+    The window is the last one that begins at or before the frame, found by a running "last window" over both tables in
+    order of frames, slice by slice of a session: a window stands in every slice that it reaches into. No join of ranges.
     """
     cols = [c for c in found.columns if c not in ("session", "frame")]
-    a = found.select("session", "frame", F.lit(1).alias("__kind"), F.struct(*cols).alias("__row") if cols else F.lit(None).alias("__row"), F.lit(None).cast("struct<first:bigint,last:bigint>").alias("__win"))
-    b = windows.select("session", F.col("first").alias("frame"), F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).alias("__win"))
-    w = W.partitionBy("session").orderBy("frame", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    a = found.select("session", "frame", slice_of("frame").alias("__slice"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__row") if cols else F.lit(None).alias("__row"), F.lit(None).cast("struct<first:bigint,last:bigint>").alias("__win"))
+    reached = windows.select("session", F.col("first").cast("long"), F.col("last").cast("long")).withColumn("__slice", F.explode(F.sequence(slice_of("first"), slice_of("last"))))
+    begins = F.greatest("first", F.col("__slice") * FRAMES)
+    b = reached.select("session", begins.alias("frame"), "__slice", F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct("first", "last").alias("__win"))
+    w = W.partitionBy(*KEY).orderBy("frame", "__kind", "__win.first").rowsBetween(W.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("__win", F.last("__win", True).over(w)).where("__kind = 1 and frame <= __win.last")
     return both.select("session", "frame", *([f"__row.{c}" for c in cols]), "__win.first", "__win.last")
 

@@ -48,6 +48,8 @@ class Params:
     head_high: float = 0.48
     ambiguity: float = 0.08
     match_iou: float = 0.3
+    face_consistency: float = 0.82
+    gait_frames: int = 10
     # evidence
     candidates: int = 3
     candidate_gap: int = 2

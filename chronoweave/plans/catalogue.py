@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as G
 from chronoweave.functions import quality as Q
-from chronoweave.operators import context, evaluate, gallery, keyframes, resolve, tracks, windows
+from chronoweave.functions import vectors as V
+from chronoweave.operators import attach, context, evaluate, gallery, keyframes, resolve, tracks, windows
 from chronoweave.params import Params
 from chronoweave.plans.oracles import ORACLES
 from chronoweave.session import read_table, written
 from chronoweave.sources import adapters as A
+from chronoweave.sources import files
 from chronoweave.streaming import windows as stream_windows
 
 #: Thresholds for the driver's tables, whose vectors carry no groups and whose frames are ten minutes long.
@@ -95,9 +97,9 @@ def q12_iou_prev_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_iou_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.detections(spark, sf_dir).withColumn("frame", F.floor(F.col("frame") / 6))
-    one = found.groupBy("session", "frame", "track").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "event_id").alias("b")).select("session", "frame", "track", "b.*")
-    return tracks.best_matches(one.where("track % 2 = 0"), one.where("track % 2 = 1"), P.match_iou).withColumn("iou", F.round("iou", 6))
+    """All persons of each frame with the best of all other objects in it."""
+    found = A.detections(spark, sf_dir)
+    return tracks.best_matches(found.where("label = 'person'"), found.where("label <> 'person'"), P.match_iou).withColumn("iou", F.round("iou", 6))
 
 
 def q14_interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +147,11 @@ def q18_face_quality_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors with an odd id against those with an even one."""
-    shots = A.shots(spark, sf_dir)
-    probes = shots.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query"), "subject", "vec")
-    return probes, gallery.nearest(probes, shots.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "row"), P.top_k)
+    """Every vector whose id is divisible by 100, against all the others."""
+    probes = A.shots(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "subject", "vec")
+    found = gallery.nearest(probes, A.shots(spark, sf_dir).withColumnRenamed("vec_id", "row"), P.top_k + 1).where("query <> row")
+    nth = F.row_number().over(W.partitionBy("query").orderBy("nth")).cast("long")
+    return probes, found.withColumn("nth", nth).where(F.col("nth") <= P.top_k)
 
 
 def q19_knn_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +274,7 @@ def q34_temporal_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q35_spatial_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _window_frames(spark, sf_dir)
     shown = rows.where("has_event").select("session", "window", "frame")
-    return context.grounding(shown, A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT).drop("cx", "cy")
+    return context.grounding(shown, A.detections(spark, sf_dir), A.WIDTH, A.HEIGHT)
 
 
 def q36_scene_text_static(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +292,12 @@ def q37_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q38_timeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("window"), F.col("turn").alias("place"), F.col("role").alias("subject"), F.substring("text", 1, 40).alias("action"))
-    return context.timeline(rows)
+    """Conversations as windows: whole turns as reports, the first turn as summary, and a level made up from the turns."""
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("window"), F.col("turn").alias("nth"), F.concat(F.lit("t"), "turn").alias("time"), F.col("role").alias("subject"), (F.col("turn") % 3 == 2).alias("abnormal"), F.col("text").alias("action"))
+    level = F.when(F.bool_or("abnormal"), "alert").when(F.count(F.lit(1)) > 2, "attention")
+    summary = F.when(F.col("window") % 2 == 0, F.min_by("action", F.struct("nth", "action")))
+    found = turns.groupBy("window").agg(F.min("nth").alias("begins"), F.max("nth").alias("ends"), level.alias("level"), summary.alias("summary"))
+    return context.timeline(found, turns)
 
 
 def q39_max_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,14 +350,17 @@ def _utc(ts: str = "ts") -> Column:
 
 def q47_session_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of events at most half an hour apart, told by a stream over the table once it has read all of it."""
-    import uuid
+    return _told(stream_windows.session_windows(_event_stream(spark, sf_dir), late="60 days"), "q47")
+
 
-    folder = sf_dir.rstrip("/")
-    events = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{folder}/event[s].parquet")  # a pattern: the table is a file or a folder
-    rows = events.select(F.col("event_type").alias("session"), _utc().alias("ts"))
-    told = stream_windows.drained(stream_windows.session_windows(rows, late="60 days"), f"q47_{uuid.uuid4().hex}", "complete")
-    plain = lambda c: F.unix_micros(c)
-    return told.select("session", plain(F.col("start")).alias("start_us"), plain(F.col("end")).alias("end_us"), "n")
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/event[s].parquet")  # a pattern: the table is a file or a folder
+    return events.select(F.col("event_type").alias("session"), _utc().alias("ts"))
+
+
+def _told(stream: DataFrame, name: str) -> DataFrame:
+    told = stream_windows.drained(stream, name, "complete")
+    return told.select("session", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 def q48_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,41 +387,245 @@ def q52_cross_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("session", "track", "subject", "merge_routes", "merge_agree", "cross_merged")
 
 
-def q58_timeline_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("window"), F.col("turn").alias("place"), F.col("role").alias("subject"), F.col("text").alias("action"))
-    return context.timeline(rows)
+def _face_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small boxes of all detections, with grades made up from the events' numbers."""
+    k = F.col("k")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), by % len(names) + 1)
+    return A.detections(spark, sf_dir).select(
+        "session", "frame", F.col("track").alias("face"), "x1", "y1", (F.col("x1") + 12).alias("x2"), (F.col("y1") + 14).alias("y2"), (k / 100.0).alias("det"), (k % 11 / 10.0).alias("quality"),
+        pick(("poor", "marginal", "clear"), k).alias("category"), pick(("unusable", "recoverable", "direct", "direct"), k).alias("eligibility"), (k % 2 == 0).alias("restored"),
+    )
 
 
-def _nearest_of_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every hundredth vector against all the others."""
-    probes = A.shots(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "subject", "vec")
-    found = gallery.nearest(probes, A.shots(spark, sf_dir).withColumnRenamed("vec_id", "row"), P.top_k + 1).where("query <> row")
-    nth = F.row_number().over(W.partitionBy("query").orderBy("nth")).cast("long")
-    return probes, found.withColumn("nth", nth).where(F.col("nth") <= P.top_k)
+def q53_face_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The face record of each track: its three best frames are looked at, and bodies have vectors made up of numbers."""
+    found = A.detections(spark, sf_dir)
+    best = tracks.best_evidence(found, P).select("session", "track", "best_frame", (F.col("track") % 13 == 0).alias("skipped"))
+    nth = F.row_number().over(W.partitionBy("session", "track").orderBy(F.desc("quality"), "frame"))
+    candidates = found.where("track % 7 <> 0").withColumn("nth", nth).where(F.col("nth") <= P.candidates).select("session", "track", "frame")
+    vectors = found.where("k % 10 <> 0").select("session", "track", "frame", F.array(F.col("k") % 7 - 3.0, F.col("track") % 5 - 2.0, F.lit(1.0)).alias("vec"))
+    return attach.attach_faces(best, candidates, _face_rows(spark, sf_dir), found, vectors, P)
 
 
-def q53_knn_all_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest_of_all(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
+def q54_best_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = _face_rows(spark, sf_dir).select(F.concat("session", F.lit("/"), "frame").alias("image"), "face", "quality", F.when(F.col("eligibility") != "unusable", F.array("det")).alias("vec"))
+    return attach.best_embedded(faces).select("image", "face", "quality")
 
 
-def q54_all_subject_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gallery.candidates(_nearest_of_all(spark, sf_dir)[1], P).withColumn("score", F.round("score", 6))
+def q55_merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    rows = A.routes(spark, sf_dir).select("session", "track", F.when(n % 4 == 0, "hit").when(n % 4 == 1, "stitched").when(n % 4 == 2, "grey").alias("decision"), (n % 6 == 0).alias("reused"))
+    return resolve.merge_decisions(rows, _merged(spark, sf_dir))
 
 
-def q55_all_identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes, found = _nearest_of_all(spark, sf_dir)
-    return gallery.decisions(probes, gallery.candidates(found, P), P)
+def q56_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    rows = A.routes(spark, sf_dir).join(_merged(spark, sf_dir).select("session", "track", "subject"), ["session", "track"])
+    status = F.when(n % 5 == 0, "failed").when(n % 5 == 1, "same_frame").otherwise("passed")
+    strict = attach.face_route(n % 2 == 0, n % 3 != 0, F.when(n % 7 != 0, "direct").otherwise("recoverable"), F.when(n % 4 != 3, "clear").otherwise("poor"), status, F.col("face"))
+    return resolve.route_subjects(rows, strict)
 
 
-def q56_all_rank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes, found = _nearest_of_all(spark, sf_dir)
-    return evaluate.rank_k(found, probes)
+def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.detections(spark, sf_dir).select("session", "frame").distinct().withColumn("at", G.clock(F.col("frame") * 1.5))
 
 
-def q57_iou_persons_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All persons of each frame with the best of all other objects in it."""
-    found = A.detections(spark, sf_dir)
-    return tracks.best_matches(found.where("label = 'person'"), found.where("label <> 'person'"), P.match_iou).withColumn("iou", F.round("iou", 6))
+def q57_object_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.object_text(q10_object_context(spark, sf_dir), _clocks(spark, sf_dir))
+
+
+def q58_grounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.grounding_text(q35_spatial_grounding(spark, sf_dir))
+
+
+def _window_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found_windows, found, _ = _windows(spark, sf_dir)
+    t, n = F.col("track"), F.col("n")
+    best = found.groupBy("session", "track").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "frame").alias("b")).select("session", "track", *(F.col(f"b.{c}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
+    ids = A.routes(spark, sf_dir).select(
+        "session", "track", F.when(n % 5 != 0, t % 9).alias("subject"), F.when(n % 7 != 0, F.col("q") / 500.0).alias("score"), F.when(n % 3 == 0, "hit").when(n % 3 == 1, "grey").otherwise("new").alias("decision"), (n % 2 == 0).alias("reused"),
+        (t % 17 == 0).alias("local"), (t % 19 == 0).alias("split"), F.when(n % 4 == 0, "body,face").when(n % 4 == 1, "gait").alias("merge_routes"), F.when(t % 4 == 0, t).alias("face"), F.when(t % 3 == 0, t).alias("gait"), F.when(n % 2 == 0, n / 10.0).alias("fused"),
+    )
+    return resolve.window_persons(found_windows, found, ids.join(best, ["session", "track"]), A.WIDTH, A.HEIGHT)
+
+
+def q59_window_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda p: F.concat(p["x"], F.lit(","), p["y"])
+    return _window_persons(spark, sf_dir).select(
+        "session", "window", "person", "track", F.array_join("tracks", ",").alias("tracks"), "subject", "decision", "reused", "score", "face", "gait", "fused", "merge_routes",
+        F.array_join("box", ",").alias("box"), F.array_join(F.transform("path", text), ";").alias("path"),
+    )
+
+
+def q60_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.path_summary(_window_persons(spark, sf_dir), 5, P)
+
+
+def _identity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _window_persons(spark, sf_dir)
+    nth = F.row_number().over(W.partitionBy("session", "window").orderBy("track"))
+    has = lambda c: F.col(c).isNotNull()
+    quality = F.when(F.col("face") % 8 == 0, "clear").otherwise("poor")
+    cues = context.cue_text(has("face"), F.col("face") % 8 == 0, quality, F.col("face") % 10 / 10.0, has("score"), F.col("score"), has("gait"), F.col("gait") % 10 / 10.0)
+    fused = context.fused_text(F.col("fused"), F.size("tracks") > 1, F.replace("merge_routes", F.lit(","), F.lit("+")))
+    frame = F.when(F.col("track") % 2 == 0, F.col("window"))
+    evidence = context.evidence_text(frame, F.lit("a"), F.col("face"), F.lit("b"))
+    rows = people.select("session", "window", nth.alias("nth"), "track", F.when(F.col("track") % 11 == 0, F.concat(F.lit("n"), "track")).alias("name"), "subject", "decision", "reused", "box", fused.alias("fused"), cues.alias("cues"), evidence.alias("evidence"), F.lit(None).cast("string").alias("path"))
+    return context.identity_lines(rows)
+
+
+def q61_identity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _identity_lines(spark, sf_dir)
+
+
+def q62_window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked about each window: its event frames with their times, and the text of its objects."""
+    found_windows = written(_windows(spark, sf_dir)[0].withColumnRenamed("first", "window"), "windows")
+    rows, _ = _window_frames(spark, sf_dir)
+    shown = rows.where("has_event").select("session", "window", "frame", F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.5)).alias("at"))
+    return context.window_requests(found_windows, shown, {"objects": q57_object_text(spark, sf_dir)})
+
+
+def q63_person_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.person_rows(A.observations(spark, sf_dir)).select("session", "frame", "track", "event_id")
+
+
+def q64_read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = A.text_lines(spark, sf_dir).withColumn("conf", F.length("text") * 37 % 100 / 100.0)
+    return context.read_text(lines, P).select("session", "frame", "line", "text", "conf", "nth")
+
+
+def q65_gait_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.sequences(A.detections(spark, sf_dir), P.gait_frames).withColumn("frames", F.array_join("frames", ","))
+
+
+def q66_colour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, asked = F.col("k"), F.element_at(F.array(*map(F.lit, (" Red ", "红", "green", "绿", "蓝", "grey", "黑"))), F.col("track").cast("int") % 7 + 1)
+    found = V.colour_class(F.lit(k * 37 % 256).cast("double"), F.lit(k * 91 % 256).cast("double"), F.lit(k * 53 % 256).cast("double"))
+    rows = A.observations(spark, sf_dir).select("event_id", found.alias("colour"), asked.alias("asked"))
+    return rows.withColumn("matches", V.colour_matches(F.col("colour"), F.col("asked")))
+
+
+def q67_gallery_with_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against a gallery of the subjects under 5 and the others as distractors."""
+    rows = A.shots(spark, sf_dir).withColumnRenamed("vec_id", "row")
+    probes = rows.where("row % 100 = 0").select(F.col("row").alias("query"), "vec")
+    return gallery.nearest(probes, gallery.with_distractors(rows.where("subject < 5"), rows.where("subject >= 5")), 10).withColumn("score", F.round("score", 6))
+
+
+def q68_changing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = A.text_lines(spark, sf_dir)
+    return context.changing_text(lines, context.scene_text(lines))
+
+
+def q69_gate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections whose label is in a list given as text."""
+    wanted = V.class_set(F.lit(" car, bus,,truck ,car"))
+    return A.detections(spark, sf_dir).where(F.array_contains(wanted, F.col("label"))).select("session", "frame", "track", "label")
+
+
+def q70_threshold_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.threshold_for(q41_calibration_curve(spark, sf_dir), ["lang"], 0.5)
+
+
+def q71_reject_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.reject_curve(q41_calibration_curve(spark, sf_dir))
+
+
+def q72_object_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.object_tracks(A.detections(spark, sf_dir), P)
+
+
+def q73_track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and middles of each track, spelled as texts in order of frames."""
+    found = tracks.paths(A.detections(spark, sf_dir))
+    box = lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], ","))
+    point = lambda c: F.concat(c["frame"], F.lit(":"), c["x"], F.lit(","), c["y"])
+    return found.select("session", "track", F.array_join(F.transform(F.map_entries("boxes"), box), ";").alias("boxes"), F.array_join(F.transform("centres", point), ";").alias("centres"))
+
+
+def q74_gallery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gallery.gallery_stats(A.shots(spark, sf_dir))
+
+
+def q75_stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.stage_times(A.observations(spark, sf_dir).select(F.concat("session", F.lit("/"), "label").alias("stage"), F.col("k").alias("seconds")))
+
+
+def q76_first_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _window_frames(spark, sf_dir)
+    return keyframes.first_frames(rows, ["session", "window"], P.max_keyframes).select("session", "window", "frame")
+
+
+def q77_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadrangles of text read from a crop, as upright boxes of the whole frame."""
+    rows = A.observations(spark, sf_dir)
+    at = lambda x, y: F.array(F.col("x1") + x, F.col("y1") + y)
+    corners = F.array(at(0, F.col("k") % 5), at(F.col("k") % 30, 0), at(F.col("k") % 30 + 2, 9), at(-1.0, 10))
+    x1, y1, x2, y2 = context.box_of_points(corners, F.col("track") % 8, F.col("track") % 3)
+    return rows.select("event_id", x1.alias("left"), y1.alias("top"), x2.alias("right"), y2.alias("bottom"))
+
+
+def q78_match_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which image of a face is matched, whether a restored one's rating will do, and how promising its region looks."""
+    faces = _face_rows(spark, sf_dir)
+    ok, why = Q.restored_ok(F.when(F.col("quality") > 0.1, F.col("quality")), P)
+    proxy = Q.proxy_quality(F.col("quality"), F.col("x2") - F.col("x1") + F.col("face"), F.col("y2") + 1, F.col("det"), F.col("x1") == 0)
+    return faces.select("session", "frame", "face", Q.match_source(F.col("eligibility"), F.col("restored")).alias("source"), ok.alias("rating_ok"), why.alias("why"), proxy.alias("proxy"))
+
+
+def q79_parsed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' JSON as it is or in a fenced block, parsed."""
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("told: ```json\n"), "props", F.lit("\n``` end"))).when(F.col("event_id") % 7 == 0, "no json").otherwise(F.col("props"))
+    return read_table(spark, sf_dir, "events").select("event_id", V.parsed_json(text, "k int")["k"].alias("k"))
+
+
+def q80_label_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stable colour angle for each part's name, and its content as a data URI and back."""
+    parts = read_table(spark, sf_dir, "part")
+    uri = V.data_uri("text/plain", F.encode("p_name", "UTF-8"))
+    return parts.select("p_partkey", V.stable_hue(F.when(F.col("p_partkey") % 9 != 0, F.col("p_name"))).cast("long").alias("hue"), uri.alias("uri"), F.decode(V.from_data_uri(uri), "UTF-8").alias("back"))
+
+
+def q81_labelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made up of vectors' numbers: the id that they begin with, the mark at their end, and whether they are safe."""
+    i = F.col("vec_id")
+    name = F.concat(F.when(i % 4 != 0, F.concat(i % 300, F.lit("-"))).otherwise(""), F.lit("img"), F.when(i % 3 == 0, "-F").when(i % 3 == 1, "-f").otherwise(""), F.when(i % 5 == 0, ".mp4").when(i % 5 == 1, "/../x.MP4").otherwise(".JPG"))
+    pid, marked = files.labelled_name(name)
+    return A.shots(spark, sf_dir).select("vec_id", name.alias("name"), pid.alias("pid"), marked.alias("marked"), files.safe_name(name).alias("safe"))
+
+
+def q82_checked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the right size, whether they are finite, and their length."""
+    vec = V.checked(F.col("vec"), 64)
+    return A.shots(spark, sf_dir).select("vec_id", V.finite(vec).alias("finite"), F.round(V.norm(vec), 6).alias("norm"), F.round(V.dot(V.unit(vec), V.unit(vec)), 6).alias("one"))
+
+
+def q83_torso_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Torsos from key points made up of the events' numbers, where shoulders and hips can tell."""
+    k, t = F.col("k"), F.col("track")
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    at = lambda x, y, sure: (F.col("x1") + wide * F.lit(x), F.col("y1") + high * F.lit(y), sure)
+    sure = lambda by: F.when(k % by == 0, 0.25).otherwise(0.75)
+    shoulders = [at(0.25, 0.25, sure(3)), at(0.75, 0.25, sure(4))]
+    hips = [at(0.375, 0.75, F.when(t % 3 == 0, 0.25).otherwise(0.75)), at(0.625, 0.75, F.when(t % 2 == 0, 0.25).otherwise(0.75))]
+    rows = A.detections(spark, sf_dir).select("event_id", G.torso_from_points(G.box(), shoulders, hips).alias("t")).where("t is not null")
+    return rows.select("event_id", *(F.round(f"t.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")), "t.source")
+
+
+def q84_adaptive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 24 frames of each session, chosen by scene."""
+    scenes = _scenes(spark, sf_dir)
+    return keyframes.adaptive_frames(scenes, 0.97, 12, 24)
+
+
+def q85_exposed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gallery.exposed(q20_subject_candidates(spark, sf_dir)).select("query", "subject", "nth")
+
+
+def q86_sliding_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in windows of an hour that begin every half hour, told by a stream once it has read the whole table."""
+    return _told(stream_windows.timed_windows(_event_stream(spark, sf_dir), "60 minutes", "30 minutes", late="60 days"), "q86")
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

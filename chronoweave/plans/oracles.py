@@ -6,6 +6,9 @@ from chronoweave.sources.adapters import DETECTIONS_SQL as D
 from chronoweave.sources.adapters import INTERVALS_SQL as IV
 from chronoweave.sources.adapters import ROUTES_SQL as R
 
+#: Route rows where the detections' CTE already has the events.
+ROUTE_ROWS = R[R.index("tr as (") :]
+
 #: Every frame of each session with its number of tracks.
 FRAMES = """n as (select session, frame, count(distinct track)::bigint as n from d group by 1, 2),
 sp as (select session, unnest(range(min(frame), max(frame) + 1)) as frame from n group by session),
@@ -42,9 +45,9 @@ def _iou(a: str, b: str) -> str:
 DIRECTION = """case when n < 2 then 'unknown' when coalesce(ax, '') || coalesce(ay, '') = '' then 'mostly_static' else concat_ws('+', ax, ay) end"""
 _AXES = "case when x1_ - x0_ > 0.05::double then 'right' when x1_ - x0_ < -0.05::double then 'left' end as ax, case when y1_ - y0_ > 0.05::double then 'down' when y1_ - y0_ < -0.05::double then 'up' end as ay"
 
-#: The 30 nearest even vectors of each odd one, scores as doubles.
+#: The 30 nearest others of each vector whose id is divisible by 100, scores as doubles.
 KNN = """v as (select vec_id, label::bigint as subject, embedding::double[] as vec from embeddings),
-pr as (select q.vec_id as query, q.subject as truth, s.vec_id as row, s.subject, list_dot_product(q.vec, s.vec) as score from v q, v s where q.vec_id % 2 = 1 and s.vec_id % 2 = 0),
+pr as (select q.vec_id as query, q.subject as truth, s.vec_id as row, s.subject, list_dot_product(q.vec, s.vec) as score from v q, v s where q.vec_id % 100 = 0 and s.vec_id <> q.vec_id),
 kn as (select * from (select *, row_number() over (partition by query order by score desc, row) as nth from pr) where nth <= 30)"""
 CAND = """ca as (select query, subject, greatest(0.0::double, max(score)) as score, count(*) filter (score >= 0.25::double) as votes, count(*) as shots,
   case when max(score) > 0 then first(row order by score desc, row) end as best_row from kn group by 1, 2)"""
@@ -97,6 +100,58 @@ x3 as (select *, (fs * fw + bs * 0.3::double + gs * gw) / (fw + 0.3::double + gw
 x4 as (select *, (fa and coalesce(face % 7 = subject, false))::int + ba::int + (ga and coalesce(gait % 7 = subject, false))::int >= 2 as agreed, fa::int + ba::int + ga::int >= 2 as multi_source, greatest(fs * fw, bs * 0.3::double, gs * gw) as best from x3),
 x5 as (select *, case when agreed then least(1.0::double, c0 + 0.15::double) else c0 end as c from x4)"""
 
+#: Small boxes matched one to one with large ones in a frame: pairs are walked from the best down, both ends once.
+ASSOCIATED = """ap as (select a.session, a.frame, a.track as face, p.track, greatest(0.0::double, least(a.x1 + 12, p.x2) - greatest(a.x1, p.x1)) * greatest(0.0::double, least(a.y1 + 14, p.y2) - greatest(a.y1, p.y1)) / 168.0::double as score
+  from d a join d p on a.session = p.session and a.frame = p.frame where a.x1 + 6 between p.x1 and p.x2 and (a.y1 + 7 - p.y1) / (p.y2 - p.y1) between -0.05::double and 0.48::double),
+aq as (select *, row_number() over w as r, lead(score) over w as second from ap where score >= 0.6::double window w as (partition by session, frame, face order by score desc, track desc)),
+ar as (select *, max(case when r = 1 then score - second end) over (partition by session, frame, face) as gap from aq),
+at_ as (select session, frame, face, track, score, row_number() over (partition by session, frame order by score desc, face desc, track desc) as i from ar where gap is null or gap >= 0.08::double),
+aw as (select session, frame, i, face, track, score, true as took, [face] as uf, [track] as ut from at_ where i = 1
+  union all select x.session, x.frame, x.i, x.face, x.track, x.score, not (list_contains(w.uf, x.face) or list_contains(w.ut, x.track)),
+    case when list_contains(w.uf, x.face) or list_contains(w.ut, x.track) then w.uf else list_append(w.uf, x.face) end, case when list_contains(w.uf, x.face) or list_contains(w.ut, x.track) then w.ut else list_append(w.ut, x.track) end
+  from aw w join at_ x on x.session = w.session and x.frame = w.frame and x.i = w.i + 1),
+asso as (select session, frame, face, track, round(score, 4) as score from aw where took)"""
+
+#: Objects of windows as q10 tells them.
+OBJECTS = f"""th as (select *, round((x1 + x2) / 2 / 120.0::double, 3) as cx, round((y1 + y2) / 2 / 140.0::double, 3) as cy from d where label <> 'person' and conf >= 0.35::double),
+ov as (select session, track, max(conf) as conf, last(label order by frame) as label from th group by 1, 2),
+ag as (select th.session, win.first as win_, track, count(distinct frame) as n, min(frame) as f0, max(frame) as f1, first(cx order by frame) as x0_, last(cx order by frame) as x1_, first(cy order by frame) as y0_, last(cy order by frame) as y1_
+  from th join win on th.session = win.session and th.frame between win.first and win.last group by 1, 2, 3 having count(distinct frame) >= 2),
+ax as (select *, {_AXES} from ag),
+ob as (select session, win_, track, label, n, f0, f1, {DIRECTION} as direction, row_number() over (partition by session, win_ order by n desc, f0, track) as nth from ax join ov using (session, track)),
+ot as (select session, win_, string_agg('- ' || coalesce(map {{'backpack': '背包', 'car': '汽车', 'truck': '卡车', 'bus': '公交车'}}[label], label) || '(' || label || ') track#' || track || '：frame#' || f0 || '@' || C0_CLOCK || ' → frame#' || f1 || '@' || C1_CLOCK || '（共' || n || '帧）；' ||
+  case when direction in ('mostly_static', 'unknown') then '基本静止' else '移动(' || direction || ')，疑似被搬动/取走/放下' end, chr(10) order by nth) filter (nth <= 20) as text, greatest(count(*) - 20, 0) as omitted from ob group by 1, 2)"""
+
+
+def _clock(frame: str) -> str:
+    s = f"round_even({frame} * 1.5::double, 0)::bigint"
+    return f"format('{{:02d}}:{{:02d}}:{{:02d}}', {s} // 3600, {s} % 3600 // 60, {s} % 60)"
+
+
+OBJECTS = OBJECTS.replace("C0_CLOCK", _clock("f0")).replace("C1_CLOCK", _clock("f1"))
+
+GROUNDED = """gz as (select d.session, win_, d.frame, track, label, round(greatest(0.0::double, least(1.0::double, x1 / 120.0::double)), 4) as n1, round(greatest(0.0::double, least(1.0::double, y1 / 140.0::double)), 4) as n2,
+  round(greatest(0.0::double, least(1.0::double, x2 / 120.0::double)), 4) as n3, round(greatest(0.0::double, least(1.0::double, y2 / 140.0::double)), 4) as n4 from d join wf on wf.session = d.session and wf.frame = d.frame and wf.has_event),
+gc as (select *, round(((n1 + n3) / 2)::varchar::decimal(20, 18), 4)::double as cx, round(((n2 + n4) / 2)::varchar::decimal(20, 18), 4)::double as cy from gz)"""
+
+#: Persons of windows: tracks in each, with what is known of them, rolled up.
+PERSONS = """bb as (select session, track, first(x1 order by frame) as bx1, first(y1 order by frame) as by1, first(x2 order by frame) as bx2, first(y2 order by frame) as by2 from d group by 1, 2),
+pi as (select session, track, case when n % 5 <> 0 then track % 9 end as subject, case when n % 7 <> 0 then q / 500.0::double end as score, ['hit', 'grey', 'new'][n % 3 + 1] as decision, n % 2 = 0 as reused, track % 17 = 0 as local_, track % 19 = 0 as split_,
+  case when n % 4 = 0 then 'body,face' when n % 4 = 1 then 'gait' end as mr, case when track % 4 = 0 then track end as face, case when track % 3 = 0 then track end as gait, case when n % 2 = 0 then n::double / 10.0::double end as fused from ro),
+pt as (select d.session, win.first as win_, win.last as wl, d.frame, d.track, x1, y1, x2, y2, round((x1 + x2) / 2 / 120.0::double, 3) as cx, round((y1 + y2) / 2 / 140.0::double, 3) as cy from d join win on win.session = d.session and d.frame between win.first and win.last),
+pk as (select pt.*, pi.* exclude (session, track), coalesce('subject:' || subject, 'track:' || pt.track) as person from pt join pi on pi.session = pt.session and pi.track = pt.track),
+pp as (select session, win_, person, count(*) as points, list({{'x': cx, 'y': cy}} order by frame, track) as path from pk group by 1, 2, 3),
+pq as (select session, win_, person, track, any_value(subject) as subject, any_value(score) as score, any_value(decision) as decision, any_value(reused) as reused, any_value(local_) as local_, any_value(split_) as split_, any_value(mr) as mr,
+  any_value(face) as face, any_value(gait) as gait, any_value(fused) as fused, max(case when frame = wl then [x1, y1, x2, y2] end) as lb from pk group by 1, 2, 3, 4),
+pr_ as (select pq.*, coalesce(lb, [bx1, by1, bx2, by2]) as box, row_number() over (partition by session, win_, person order by coalesce(score, 0) desc, track) as r from pq join bb using (session, track)),
+pg as (select session, win_, person, count(*) as nt, string_agg(track::varchar, ',' order by track) as tracks, max(coalesce(score, 0.0::double)) as score, first(face order by track) filter (face is not null) as face, first(gait order by track) filter (gait is not null) as gait,
+  max(fused) as fused, list(mr) as mrs, bool_or(local_) as lo, bool_or(split_) as sp, first(track) filter (r = 1) as track, first(subject) filter (r = 1) as subject, first(decision) filter (r = 1) as d1, first(reused) filter (r = 1) as r1, first(box) filter (r = 1) as box from pr_ group by 1, 2, 3),
+pw as (select pg.session, pg.win_, pg.person, track, tracks, nt, subject, case when nt = 1 then d1 when lo then 'local_stitched' when sp then 'conflict_split' else 'hit' end as decision, case when nt = 1 then r1 else not (lo or sp) end as reused,
+  case when score > 0 then round(score, 4) end as score, face, gait, fused, coalesce(array_to_string(list_filter(list_sort(list_distinct(string_split(array_to_string(mrs, ','), ','))), lambda z: z <> ''), ','), '') as merge_routes, box, points, path
+  from pg join pp using (session, win_, person))""".replace("{{", "{").replace("}}", "}")
+
+BAND = "case when {0} is null then '未知' when {0} >= 0.75::double then '高' when {0} >= 0.55::double then '中' when {0} > 0 then '低' else '无' end"
+
 ORACLES = {
     "q01_frame_sampling": f"""with {D}, s as (select session, floor(frame * 600 / 7200.0)::bigint as slot, min(frame) as frame from o group by 1, 2)
         select session, slot, frame, round(slot * 7200.0::double, 3) as seconds from s""",
@@ -135,8 +190,7 @@ ORACLES = {
         format('{{:02d}}:{{:02d}}:{{:02d}}', s // 3600, s % 3600 // 60, s % 60) as clock from z""",
     "q12_iou_prev_frame": f"""with {D} select a.session, a.frame, a.track, round(case when b.frame is null then -1.0::double else {_iou("a", "b")} end, 6) as iou
         from d a left join d b on a.session = b.session and a.track = b.track and b.frame = a.frame - 1""",
-    "q13_iou_best_match": f"""with {D}, h as (select session, frame // 6 as frame, track, x1, y1, x2, y2, row_number() over (partition by session, frame // 6, track order by event_id desc) as r from d),
-        one as (select * from h where r = 1), m as (select a.session, a.frame, a.track, b.track as other, {_iou("a", "b")} as iou from one a join one b on a.session = b.session and a.frame = b.frame and a.track % 2 = 0 and b.track % 2 = 1),
+    "q13_iou_best_match": f"""with {D}, m as (select a.session, a.frame, a.track, b.track as other, {_iou("a", "b")} as iou from d a join d b on a.session = b.session and a.frame = b.frame and a.label = 'person' and b.label <> 'person'),
         n as (select *, row_number() over (partition by session, frame, track order by iou desc, other) as nth from m where iou > 0.3::double) select session, frame, track, other, round(iou, 6) as iou from n where nth = 1""",
     "q14_interval_overlap_pairs": f"""with {IV} select a.subject, a.track as a, b.track as b, least(a.last, b.last) - b.first + 1 as shared from iv a join iv b
         on a.subject = b.subject and (b.first > a.first or (b.first = a.first and b.track > a.track)) and b.first <= a.last""",
@@ -201,15 +255,16 @@ ORACLES = {
         r as (select *, 12 - len(must) as room from l),
         c as (select session, win_, case when len(ev) <= 12 then ev when room <= 0 then {EVEN.format(x="must", k="12")} else list_concat(must, {EVEN.format(x="rest", k="room")}) end as pick from r)
         select session, win_ as "window", unnest(pick) as frame from c""",
-    "q35_spatial_grounding": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, z as (select d.session, win_, d.frame, track, label, round(greatest(0.0::double, least(1.0::double, x1 / 120.0::double)), 4) as n1, round(greatest(0.0::double, least(1.0::double, y1 / 140.0::double)), 4) as n2,
-        round(greatest(0.0::double, least(1.0::double, x2 / 120.0::double)), 4) as n3, round(greatest(0.0::double, least(1.0::double, y2 / 140.0::double)), 4) as n4 from d join wf on wf.session = d.session and wf.frame = d.frame and wf.has_event)
-        select session, win_ as "window", frame, track, label, n1, n2, n3, n4 from z""",
+    "q35_spatial_grounding": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, {GROUNDED} select session, win_ as "window", frame, track, label, n1, n2, n3, n4, cx, cy from gc""",
     "q36_scene_text_static": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
         k as (select session, frame, line, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') as text, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
         n as (select session, count(distinct frame) as n_frames from f group by 1), g as (select session, key, count(distinct frame) as n_seen, first(text order by frame, line) as display from f group by 1, 2)
         select session, md5(key) as key, n_seen, n_frames, n_frames >= 2 and n_seen >= greatest(2, floor(n_frames * 0.6::double)) as static, display from g join n using (session)""",
     "q37_roster": """select role || '#' || (conv_id % 20) as subject, string_agg(conv_id || '~' || turn, ', ' order by conv_id * 1000 + turn, conv_id || '~' || turn) as ranges, count(*) as n from conversations group by 1""",
-    "q38_timeline_text": """select conv_id as "window", string_agg('- ' || turn || ' ' || role || '：' || left(text, 40), chr(10) order by turn, '- ' || turn || ' ' || role || '：' || left(text, 40)) as text, count(*) as n_lines from conversations group by 1""",
+    "q38_timeline_text": """with t as (select conv_id, turn, role, text, turn % 3 = 2 as ab from conversations),
+        w as (select conv_id, min(turn) as b, max(turn) as e, case when bool_or(ab) then 'alert' when count(*) > 2 then 'attention' else 'normal' end as level, first(text order by turn, text) as s,
+          string_agg('  - t' || turn || ' ' || role || '：' || case when ab then '⚠' else '' end || text, chr(10) order by turn, '  - t' || turn || ' ' || role || '：' || case when ab then '⚠' else '' end || text) as lines, count(*) as n_lines from t group by 1)
+        select conv_id as "window", '[窗' || conv_id || ' ' || b || '~' || e || '] 告警=' || level || case when conv_id % 2 = 0 and s <> '' then chr(10) || '  概述：' || s else '' end || chr(10) || lines as text, n_lines from w""",
     "q39_max_alert": f"with {D} select session, track, ['normal', 'attention', 'alert'][max(case when k >= 97 then 3 when k >= 85 then 2 else 1 end)] as level, count(*) as n from o group by 1, 2",
     "q40_accuracy_grouping_sets": """select lang as route, source as bin, sum((quality = 1)::int)::bigint as correct, count(*) as total, round(sum((quality = 1)::int)::double * 100 / count(*), 2) as rank1
         from labels join documents using (doc_id) group by grouping sets ((lang, source), (lang))""",
@@ -234,4 +289,131 @@ ORACLES = {
     "q51_seeded_sample": """with r as (select user_id as pid, event_id from events), p as (select pid from (select distinct pid from r) order by md5('seed|' || pid), pid limit 20),
         n as (select *, row_number() over (partition by pid order by md5('seed|' || event_id), event_id) as n from r where pid in (select pid from p)) select pid, event_id from n where n <= 3""",
     "q52_cross_route_subjects": f"with recursive {R}, {COMPONENTS}, {MERGED} select session, track, subject, merge_routes, merge_agree, cross_merged from me",
+    "q33_keyframes_full": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES},
+        bt as (select distinct session, win_, frame from (select *, row_number() over (partition by session, win_, track order by quality desc, frame) as r from wd) where r = 1),
+        sf as (select session, frame, sum(k)::double / 40.0::double as a, max(x1) / 20.0::double as b from d group by 1, 2),
+        x as (select wf.session, wf.win_, wf.frame, wf.has_event, max(wf.has_event::int) over v = 1 or bt.frame is not null as keep, a, b, row_number() over (partition by wf.session, wf.win_ order by wf.frame) as i
+          from wf left join bt using (session, win_, frame) left join sf on sf.session = wf.session and sf.frame = wf.frame window v as (partition by wf.session, wf.win_ order by wf.frame rows between 1 preceding and 1 following)),
+        f as (select session, win_, i, frame, has_event, a as la, b as lb, true as took from x where i = 1
+          union all select session, win_, i, frame, has_event, case when skip then la else a end, case when skip then lb else b end, not skip
+          from (select x.*, f.la, f.lb, not x.keep and f.la is not null and x.a is not null and coalesce(greatest(0.0::double, 1 - (1 + f.la * x.a + f.lb * x.b) / (sqrt(1 + f.la * f.la + f.lb * f.lb) * sqrt(1 + x.a * x.a + x.b * x.b))) < 0.06::double, false) as skip
+            from f join x on x.session = f.session and x.win_ = f.win_ and x.i = f.i + 1)),
+        l as (select session, win_, list(frame order by frame) as ev, coalesce(list(frame order by frame) filter (has_event), []) as must, coalesce(list(frame order by frame) filter (not has_event), []) as rest from f where took group by 1, 2),
+        r as (select *, 12 - len(must) as room from l),
+        c as (select session, win_, case when len(ev) <= 12 then ev when room <= 0 then {EVEN.format(x="must", k="12")} else list_concat(must, {EVEN.format(x="rest", k="room")}) end as pick from r)
+        select session, win_ as "window", unnest(pick) as frame from c""",
+    "q34_temporal_nms": f"""with recursive {D}, x as (select session, track, {{'s': quality, 'f': -frame}} as c, row_number() over (partition by session, track order by frame) as i from d),
+        w as (select session, track, i, [c] as held from x where i = 1
+          union all select session, track, i, h4 from (select *, case when len(v) < 4 or len(h3) >= 3 or len(list_filter(h3, lambda y: abs(y.f - v[4].f) < 30)) > 0 then h3 else list_append(h3, v[4]) end as h4
+            from (select *, case when len(v) < 3 or len(list_filter(h2, lambda y: abs(y.f - v[3].f) < 30)) > 0 then h2 else list_append(h2, v[3]) end as h3
+            from (select *, case when len(list_filter([v[1]], lambda y: abs(y.f - v[2].f) < 30)) > 0 then [v[1]] else [v[1], v[2]] end as h2
+            from (select x.session, x.track, x.i, list_reverse_sort(list_append(w.held, x.c)) as v from w join x on x.session = w.session and x.track = w.track and x.i = w.i + 1))))),
+        z as (select session, track, arg_max(held, i) as held from w group by 1, 2), y as (select session, track, unnest(held) as c, generate_subscripts(held, 1) - 1 as nth from z)
+        select session, track, -c.f as frame, c.s as score, nth::bigint as nth from y""",
+    "q48_payload_json": f"""with q as (with recursive {D}, {FRAMES}, {SPANS}, {EVENTS}, {WINDOWS},
+        di as (select win.session, win.first, count(*) as nd, count(distinct track) as nt, max(quality) as bq from win join d on d.session = win.session and d.frame between win.first and win.last group by 1, 2),
+        ei as (select win.session, win.first, string_agg(distinct split_part(event, ':', 1), ',' order by split_part(event, ':', 1)) as kinds, count(*) as ne from win join ev on ev.session = win.session and ev.frame between win.first and win.last group by 1, 2)
+        select session, first, last, n_frames, coalesce(nd, 0) as n_detections, coalesce(nt, 0) as n_tracks, bq as best_quality, coalesce(kinds, '') as kinds, coalesce(ne, 0) as n_events from win left join di using (session, first) left join ei using (session, first)) select session, first // 4096 as part, '[' || string_agg('{{"first":' || first || ',"last":' || last || ',"n_frames":' || n_frames || ',"n_detections":' || n_detections || ',"n_tracks":' || n_tracks ||
+          case when best_quality is null then '' else ',"best_quality":' || best_quality end || ',"kinds":"' || kinds || '","n_events":' || n_events || '}}', ',' order by first) || ']' as payload, count(*) as n_windows from q group by 1, 2""",
+    "q49_face_association": f"with recursive {D}, {ASSOCIATED} select session, frame, face, track, score from asso",
+    "q53_face_evidence": f"""with recursive {D}, {ASSOCIATED}, bq as (select *, quality * least(1.0::double, (x2 - x1) * (y2 - y1) / 20000.0::double) as bq from d),
+        be as (select session, track, frame as best_frame, track % 13 = 0 as skipped from (select *, row_number() over (partition by session, track order by bq desc, frame) as r from bq) where r = 1),
+        ca as (select session, track, frame from (select *, row_number() over (partition by session, track order by quality desc, frame) as r from d where track % 7 <> 0) where r <= 3 union select session, track, best_frame from be where track % 7 = 0),
+        fa as (select session, frame, track as face, k::double / 100.0::double as det, (k % 11)::double / 10.0::double as quality, k % 3 + 1 as ck, ['poor', 'marginal', 'clear'][k % 3 + 1] as category, [1, 2, 3, 3][k % 4 + 1] as ek, ['unusable', 'recoverable', 'direct', 'direct'][k % 4 + 1] as eligibility, k % 2 = 0 as restored from d),
+        op as (select ca.session, ca.track, ca.frame, asso.face, asso.score as association, fa.* exclude (session, frame, face) from ca join be using (session, track) join asso on asso.session = ca.session and asso.frame = ca.frame and asso.track = ca.track
+          join fa on fa.session = asso.session and fa.frame = asso.frame and fa.face = asso.face where not be.skipped),
+        ch as (select * from (select *, row_number() over (partition by session, track order by ek desc, ck desc, quality desc, association desc, det desc, frame) as r from op) where r = 1),
+        ve as (select session, track, frame, (k % 7)::double - 3.0::double as a, (track % 5)::double - 2.0::double as b from d where k % 10 <> 0),
+        al as (select be.session, be.track, skipped, best_frame, ch.* exclude (session, track, r), v1.a as a1, v1.b as b1, v2.a as a2, v2.b as b2 from be left join ch using (session, track) left join ve v1 on v1.session = be.session and v1.track = be.track and v1.frame = best_frame
+          left join ve v2 on v2.session = be.session and v2.track = be.track and v2.frame = ch.frame),
+        co as (select *, (a1 * a2 + b1 * b2 + 1) / (sqrt(a1 * a1 + b1 * b1 + 1) * sqrt(a2 * a2 + b2 * b2 + 1)) as cs from al),
+        st as (select *, case when frame is null then null when frame = best_frame then 'same_frame' when a1 is null then 'body_embedding_unavailable' when a2 is null then 'person_crop_unavailable' when cs >= 0.82::double then 'passed' else 'failed' end as consistency from co),
+        ms as (select *, coalesce(consistency in ('same_frame', 'passed'), false) as good from st),
+        mt as (select *, case when not good then 'none' when eligibility = 'direct' then 'original' when eligibility = 'recoverable' and restored then 'superres' else 'none' end as match_source from ms),
+        mr as (select *, case when match_source = 'superres' then 'restored_face_not_enrollable' when eligibility <> 'direct' then 'face_not_direct' when category <> 'clear' then 'face_not_clear' end as reason from mt)
+        select session, track, case when skipped then 'track_skipped' when frame is null then 'not_detected' when not good then 'track_consistency_failed' else 'observed' end as status, frame, face, eligibility, category, quality, association, consistency,
+        case when consistency = 'same_frame' then 1.0::double when consistency in ('passed', 'failed') then round(cs, 4) end as consistency_score, match_source, good and match_source <> 'none' as match_ready, good and match_source = 'original' and reason is null as can_enroll,
+        case when good then reason end as gallery_reason from mr""",
+    "q54_best_face": f"""with {D}, f as (select session || '/' || frame as image, track as face, (k % 11)::double / 10.0::double as quality from d where k % 4 <> 0),
+        r as (select *, row_number() over (partition by image order by quality desc, face) as r from f) select image, face, quality from r where r = 1""",
+    "q55_merge_decisions": f"""with recursive {R}, {COMPONENTS}, {MERGED} select session, track, subject, case when cross_merged and n % 4 not in (0, 1) then 'merged' else case n % 4 when 0 then 'hit' when 1 then 'stitched' when 2 then 'grey' end end as decision,
+        cross_merged or n % 6 = 0 as reused, merge_routes, merge_agree from me""",
+    "q56_route_subjects": f"""with recursive {R}, {COMPONENTS}, {MERGED}, z as (select me.session, me.track, me.subject, me.n, ro.body, ro.face, ro.gait from me join ro using (session, track) where subject is not null)
+        select session, track, 'body' as route, subject from z where body is not null union all select session, track, 'gait', subject from z where gait is not null
+        union all select session, track, 'face', subject from z where face is not null and n % 2 = 0 and n % 3 <> 0 and n % 7 <> 0 and n % 4 <> 3 and n % 5 <> 0""",
+    "q57_object_text": f"""with recursive {D}, {WINDOWS}, {OBJECTS} select session, win_ as "window", text, omitted from ot""",
+    "q58_grounding_text": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, {GROUNDED}, gr as (select *, row_number() over (partition by session, win_, frame order by track) as r from gc)
+        select session, win_ as "window", frame, string_agg(label || '#' || track || ' bbox_norm=[' || n1 || ', ' || n2 || ', ' || n3 || ', ' || n4 || '] center=[' || cx || ', ' || cy || ']', chr(10) order by track) filter (r <= 24) as text,
+        count(*) as n_objects, greatest(count(*) - 24, 0) as omitted from gr group by 1, 2, 3""",
+    "q59_window_persons": f"""with recursive {D}, {ROUTE_ROWS}, {WINDOWS}, {PERSONS} select session, win_ as "window", person, track, tracks, subject, decision, reused, score, face, gait, fused, merge_routes, array_to_string(box, ',') as box,
+        array_to_string(list_transform(path, lambda p: p.x || ',' || p.y), ';') as path from pw""",
+    "q60_path_summary": f"""with recursive {D}, {ROUTE_ROWS}, {WINDOWS}, {PERSONS}, s as (select *, points as n, case when points >= 3 then [path[1], path[points // 2 + 1], path[points]] else path end as sh, path[1].x as x0_, path[points].x as x1_, path[1].y as y0_, path[points].y as y1_ from pw),
+        a as (select *, {_AXES} from s), z as (select session, win_ as "window", person, track, points, {DIRECTION} as direction, array_to_string(list_transform(sh, lambda p: '[' || p.x || ', ' || p.y || ']'), ' ') as path_sample,
+          row_number() over (partition by session, win_ order by track) as nth, greatest(count(*) over (partition by session, win_) - 5, 0) as omitted from a) select * from z where nth <= 5""",
+    "q61_identity_lines": f"""with recursive {D}, {ROUTE_ROWS}, {WINDOWS}, {PERSONS}, a as (select *, row_number() over (partition by session, win_ order by track) as nth, case when face is null then '人脸:无/不可用' else concat_ws('·', case when face % 8 = 0 then '人脸命中' else '人脸存在' end, {BAND.format("((face % 10)::double / 10.0::double)")}, case when face % 8 = 0 then 'clear' else 'poor' end) end as c1,
+          case when score is not null then '人形ReID·' || {BAND.format("score")} end as c2, case when gait is not null then '步态·' || {BAND.format("((gait % 10)::double / 10.0::double)")} end as c3,
+          '融合身份·' || {BAND.format("fused")} || '(' || fused || ')' || case when nt > 1 then '·多路线参与' else '' end || case when merge_routes <> '' then '·来源:' || replace(merge_routes, ',', '+') else '' end as fu,
+          nullif(concat_ws('；', case when track % 2 = 0 then '人形证据frame#' || win_ || '@a' end, case when face is not null then '人脸证据frame#' || face || '@b' end), '') as evd from pw),
+        l as (select session, win_, nth, '  #' || nth || ' ' || case when track % 11 = 0 then 'n' || track || '（库内身份）' when subject is not null then '主体#' || subject || '（' || case decision when 'new' then '新主体' when 'grey' then '待定' else '已知' end || '）' else '未识别人物' end || '  track=' || track ||
+          case when reused then ' ♻回头客' else '' end || '  box=[' || array_to_string(list_transform(box, lambda v: round(v, 1)), ', ') || ']' || chr(10) || '      ' || concat_ws(' | ', fu, concat_ws('；', c1, c2, c3), evd) as line from a)
+        select session, win_ as "window", string_agg(line, chr(10) order by nth) as text, count(*) as n_people from l group by 1, 2""",
+    "q62_window_requests": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, {OBJECTS}, s as (select session, win_, frame, row_number() over (partition by session, win_ order by frame) as i, case when frame % 4 <> 0 then {_clock("frame")} end as c from wf where has_event),
+        kf as (select session, win_, count(*) as n, string_agg('[关键帧 ' || i || coalesce(' @ ' || c, '') || ']', chr(10) order by i) as frames from s group by 1, 2)
+        select win.session, win.first as "window", coalesce(n, 0) as n_frames, coalesce(frames, '') as frames, n is null as answered, case when n is null then '（无关键帧）' end as summary, ot.text as objects from win left join kf on kf.session = win.session and kf.win_ = win.first
+        left join ot on ot.session = win.session and ot.win_ = win.first""",
+    "q63_person_rows": f"with {D} select session, frame, track, event_id from o where k % 5 = 0 and track is not null",
+    "q65_gait_sequences": f"""with {D} select session, track, count(distinct frame) as n_frames, array_to_string(list_sort(list(distinct frame)), ',') as frames from d group by 1, 2 having count(distinct frame) >= 10""",
+    "q67_gallery_with_distractors": """with v as (select vec_id, case when label < 5 then label::bigint else -1 - vec_id end as subject, embedding::double[] as vec from embeddings),
+        p as (select q.vec_id as query, s.vec_id as row, s.subject, list_dot_product(q.vec, s.vec) as score from v q, v s where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query order by score desc, row) as nth from p)
+        select query, row, subject, round(score, 6) as score, nth from r where nth <= 10""",
+    "q69_gate_classes": f"with {D} select session, frame, track, label from d where label in ('car', 'bus', 'truck')",
+    "q68_changing_text": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
+        k as (select session, frame, line, text, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
+        n as (select session, count(distinct frame) as n_frames from f group by 1), g as (select session, key, count(distinct frame) as n_seen from f group by 1, 2),
+        c as (select f.* from f join n using (session) join g using (session, key) where not (n_frames >= 2 and n_seen >= greatest(2, floor(n_frames * 0.6::double)))),
+        u as (select session, frame, key, first(text order by line) as text, min(line) as line from c group by 1, 2, 3), t as (select session, frame, string_agg(text, ' | ' order by line, text) as text from u group by 1, 2),
+        z as (select *, row_number() over (partition by session order by frame) as nth from t) select session, frame, text, nth from z where nth <= 24""",
+    "q64_read_text": """with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line from documents),
+        c as (select *, (length(text) * 37 % 100)::double / 100.0::double as conf from l), k as (select *, row_number() over (partition by session, frame order by conf desc, line) as nth from c where text <> '' and conf >= 0.5::double)
+        select session, frame, line::bigint as line, text, conf, nth from k""",
+    "q66_colour_match": f"""with {D}, c as (select event_id, track, (k * 37 % 256)::double as r, (k * 91 % 256)::double as g, (k * 53 % 256)::double as b from o), h as (select *, greatest(r, g, b) as hi, greatest(r, g, b) - least(r, g, b) as span from c),
+        u as (select *, case when hi = 0 then 0.0::double else span / hi end as sat, hi / 255 as val, case when span = 0 then 0.0::double when hi = r then (60.0::double * (g - b) / span + 360) % 360 when hi = g then 60.0::double * (b - r) / span + 120 else 60.0::double * (r - g) / span + 240 end as hue from h),
+        n as (select *, case when val < 0.2::double then 'black' when sat < 0.15::double and val > 0.8::double then 'white' when sat < 0.15::double then 'gray' when (hue < 45 or hue >= 345) and val < 0.5::double and sat > 0.3::double then 'brown' when hue < 15 or hue >= 345 then 'red'
+          when hue < 45 then 'orange' when hue < 65 then 'yellow' when hue < 170 then 'green' when hue < 255 then 'blue' when hue < 290 then 'purple' else 'pink' end as colour from u)
+        select event_id, colour, [' Red ', '红', 'green', '绿', '蓝', 'grey', '黑'][track % 7 + 1] as asked, colour = ['red', 'red', 'green', 'green', 'blue', 'grey', 'black'][track % 7 + 1] as matches from n""",
+    "q70_threshold_for": """with z as (with c as (select lang, n_chars as threshold, count(*) as n, sum((quality = 1)::int) as g from labels join documents using (doc_id) group by 1, 2),
+        r as (select *, sum(n) over w as kept, sum(g) over w as r0, sum(n) over (partition by lang) as t from c window w as (partition by lang order by threshold desc))
+        select lang, threshold, kept::bigint as kept, round(r0::double / kept::double, 6) as precision, round(kept::double / t::double, 6) as coverage from r) select lang, min(threshold) as threshold, max(coverage) as coverage from z where precision >= 0.5::double group by 1""",
+    "q71_reject_curve": """with z as (with c as (select lang, n_chars as threshold, count(*) as n, sum((quality = 1)::int) as g from labels join documents using (doc_id) group by 1, 2),
+        r as (select *, sum(n) over w as kept, sum(g) over w as r0, sum(n) over (partition by lang) as t from c window w as (partition by lang order by threshold desc))
+        select lang, threshold, kept::bigint as kept, round(r0::double / kept::double, 6) as precision, round(kept::double / t::double, 6) as coverage from r) select lang, threshold, kept, round(1 - coverage, 6) as rejected, round(1 - precision, 6) as error from z""",
+    "q72_object_tracks": f"""with {D} select session, track, min(frame) as first, max(frame) as last, max(conf) as max_conf, last(label order by frame) as label from d where label <> 'person' and conf >= 0.35::double group by 1, 2""",
+    "q73_track_paths": f"""with {D} select session, track, string_agg(frame || ':' || x1 || ',' || y1 || ',' || x2 || ',' || y2, ';' order by frame) as boxes, string_agg(frame || ':' || ((x1 + x2) / 2) || ',' || ((y1 + y2) / 2), ';' order by frame) as centres from d group by 1, 2""",
+    "q74_gallery_stats": "select label::bigint as subject, count(distinct label) as subjects, count(*) as shots from embeddings group by grouping sets ((label), ())",
+    "q75_stage_times": f"""with {D} select session || '/' || ['person', 'car', 'truck', 'bus', 'backpack'][k % 5 + 1] as stage, sum(k)::bigint as total, max(k) as longest from o group by 1""",
+    "q76_first_frames": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, r as (select *, row_number() over (partition by session, win_ order by frame) as nth from wf) select session, win_ as "window", frame from r where nth <= 12""",
+    "q77_text_boxes": f"""with {D}, z as (select event_id, k, track, (k * 7 % 60)::double as a, (k * 13 % 40)::double as b from o)
+        select event_id, a - 1 + track % 8 as "left", b + track % 3 as top, a + k % 30 + 2 + track % 8 as "right", b + 10 + track % 3 as bottom from z""",
+    "q78_match_source": f"""with {D}, f as (select session, frame, track as face, ['unusable', 'recoverable', 'direct', 'direct'][k % 4 + 1] as e, k % 2 = 0 as r, (k % 11)::double / 10.0::double as q, k::double / 100.0::double as det, x1, y1 from d)
+        select session, frame, face, case when e = 'direct' then 'original' when e = 'recoverable' and r then 'superres' else 'none' end as source, q > 0.1::double and q >= 0.3::double as rating_ok,
+        case when q <= 0.1::double then 'fiqa_unavailable_or_nonfinite' when q < 0.3::double then 'fiqa_below_poor_threshold' end as why, q * least(1.0::double, (12 + face) * (y1 + 15) / 6000) * greatest(0.0::double, least(1.0::double, det)) * case when x1 = 0 then 0.65::double else 1.0::double end as proxy from f""",
+    "q79_parsed_reports": "select event_id, case when event_id % 2 <> 0 and event_id % 7 = 0 then null else json_extract(props, '$.k')::int end as k from events",
+    "q80_label_colours": """select p_partkey, case when p_partkey % 9 = 0 then 205 else list_reduce(list_prepend(0::bigint, list_transform(string_split(p_name, ''), lambda c: ascii(c)::bigint)), lambda h, c: (h * 31 + c) % 360) end::bigint as hue,
+        'data:text/plain;base64,' || to_base64(encode(p_name)) as uri, p_name as back from part""",
+    "q81_labelled_names": r"""with n as (select vec_id, case when vec_id % 4 <> 0 then (vec_id % 300) || '-' else '' end || 'img' || case vec_id % 3 when 0 then '-F' when 1 then '-f' else '' end || case vec_id % 5 when 0 then '.mp4' when 1 then '/../x.MP4' else '.JPG' end as name from embeddings)
+        select vec_id, name, lpad(nullif(regexp_extract(name, '^(\d+)-', 1), ''), 4, '0') as pid, regexp_matches(upper(name), '-F\.[A-Z]+$') as marked,
+        regexp_matches(lower(name), '\.(mp4|avi|mov|mkv|webm)$') and not contains(name, '/') and not contains(name, '..') as safe from n""",
+    "q82_checked_vectors": """with v as (select vec_id, embedding::double[] as v from embeddings) select vec_id, len(list_filter(v, lambda x: not isfinite(x))) = 0 as finite, round(sqrt(list_dot_product(v, v)), 6) as norm, 1.0::double as one from v""",
+    "q83_torso_boxes": f"""with {D}, z as (select event_id, x1, y1, x2, y2, x2 - x1 as w, y2 - y1 as h, k % 3 <> 0 as ls, k % 4 <> 0 as rs, track % 3 <> 0 as lh, track % 2 <> 0 as rh from d),
+        a as (select *, y1 + h * 0.25::double as ty, case when ls and rs then w * 0.5::double else w * 0.5::double end as wd, case when ls then x1 + w * 0.25::double else x1 + w * 0.75::double end as mid, case when lh or rh then y1 + h * 0.75::double end as hy from z where ls or rs),
+        b as (select *, case when ls and rs then x1 + w * 0.25::double else mid - wd * 0.5::double end - wd * 0.1::double as le, case when ls and rs then x1 + w * 0.75::double else mid + wd * 0.5::double end + wd * 0.1::double as ri, coalesce(hy, least(y2, ty + wd * 1.5::double)) as bo from a),
+        c as (select event_id, greatest(x1, le) as a1, greatest(y1, ty + h * 0.02::double) as b1, least(x2, ri) as a2, least(y2, bo) as b2, h, wd, hy, ty from b)
+        select event_id, round(a1, 4) as x1, round(b1, 4) as y1, round(a2, 4) as x2, round(b2, 4) as y2, case when hy is not null then 'pose_full' else 'pose_shoulders' end as source from c where wd >= 4 and (hy is null or hy > ty + 4) and a2 - a1 >= 4 and b2 - b1 >= greatest(4.0::double, 0.1::double * h)""",
+    "q84_adaptive_frames": f"""with recursive {D}, s as (select session, frame, max(k)::double / 100.0::double as scene from o group by 1, 2),
+        nx as (select session, frame, least(min(case when scene > 0.97::double then frame end) over (partition by session order by frame rows between 1 following and unbounded following),
+          min(frame) over (partition by session order by frame range between 12 following and unbounded following)) as nxt from s),
+        w as (select session, min(frame) as frame, 0::bigint as nth from s group by 1 union all select w.session, nx.nxt, w.nth + 1 from w join nx on w.session = nx.session and w.frame = nx.frame where nx.nxt is not null), l as (select session, list(frame order by frame) as fs from w where nth < 300 group by 1) select session, unnest({EVEN.format(x="fs", k="24")}) as frame from l""",
+    "q85_exposed_candidates": f"with {KNN}, {CAND}, r as (select query, subject, row_number() over (partition by query order by round(score, 6) desc, votes desc, subject) as nth from ca) select * from r where nth <= 8",
+    "q86_sliding_windows_stream": """with e as (select event_type as session, (epoch_us(ts) // 1800000000) * 1800000000 as s from events), w as (select session, s - unnest([0, 1800000000]) as s from e)
+        select session, s as start_us, s + 3600000000 as end_us, count(*) as n from w group by 1, 2""",
 }

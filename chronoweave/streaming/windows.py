@@ -23,6 +23,13 @@ def session_windows(events: DataFrame, key: str = "session", ts: str = "ts", gap
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def timed_windows(events: DataFrame, width: str, slide: str | None = None, key: str = "session", ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """(key, start, end, n): events in windows of fixed width, one after the other or every `slide`, batch or stream."""
+    watched = events.withWatermark(ts, late) if events.isStreaming else events
+    grouped = watched.groupBy(key, F.window(ts, width, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def capped_windows(frames: DataFrame, quiet: int, cap: int | None, timeout: bool = True) -> DataFrame:
     """(session, first, last, n_frames, late) from a stream of active frames (session, frame): the batch rule, kept as state.
 

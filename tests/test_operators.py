@@ -1,5 +1,6 @@
 """Worked examples of the operators' rules, and folds against plain Python."""
 
+import math
 import random
 
 import pandas as pd
@@ -73,6 +74,33 @@ def test_candidates_keep_spaced_best(spark):
     assert [r["frame"] for r in gone.collect()] == [11]
 
 
+def shown(group, p):
+    """The frames of a group worth showing, by the rule: events and their neighbours and each track's best frame always,
+    of the others those unlike the one shown before; too many are thinned, events last."""
+    order = [r["frame"] for r in group]
+    events = {r["frame"] for r in group if r["has_event"]}
+    always = {f for i, f in enumerate(order) if events & set(order[max(0, i - p.context) : i + p.context + 1])}
+    for t in {t for r in group for t in r["tracks"]}:
+        always.add(min((-r["tracks"][t], r["frame"]) for r in group if t in r["tracks"])[1])
+    chosen, before = [], None
+    for r in group:
+        now = r["signature"]
+        alike = before is not None and now is not None and 1 - sum(a * b for a, b in zip(before, now, strict=True)) / (math.hypot(*before) * math.hypot(*now)) < p.same_signature
+        if r["frame"] in always or not alike:
+            chosen.append(r["frame"])
+            before = now
+
+    def evenly(items, k):
+        if k >= len(items):
+            return items
+        return [] if k <= 0 else items[len(items) // 2 : len(items) // 2 + 1] if k == 1 else [items[round(i * (len(items) - 1) / (k - 1))] for i in range(k)]
+
+    if len(chosen) <= p.max_keyframes:
+        return chosen
+    first = [f for f in chosen if f in events]
+    return evenly(first, p.max_keyframes) if len(first) >= p.max_keyframes else sorted(first + evenly([f for f in chosen if f not in events], p.max_keyframes - len(first)))
+
+
 def test_keyframes_equal_the_plain_rule(spark):
     rng, frames, found, want = random.Random(3), [], [], []
     p = Params(max_keyframes=6)
@@ -83,7 +111,7 @@ def test_keyframes_equal_the_plain_rule(spark):
             group.append({"frame": f, "has_event": rng.random() < 0.25, "signature": s, "tracks": {t: rng.choice([1.0, 2.0, 3.0]) for t in range(3) if rng.random() < 0.3}})
         frames += [(w, r["frame"], r["has_event"], r["signature"]) for r in group]
         found += [(w, r["frame"], t, q) for r in group for t, q in r["tracks"].items()]
-        want += [(w, f) for f in keyframes.spec_keyframes(group, p)]
+        want += [(w, f) for f in shown(group, p)]
     a = spark.createDataFrame(frames, "window long, frame long, has_event boolean, signature array<double>")
     b = spark.createDataFrame(found, "window long, frame long, track long, quality double")
     assert rows(keyframes.select_keyframes(a, b, ["window"], p), "window", "frame") == sorted(want)
@@ -180,3 +208,64 @@ def test_parameters_are_checked():
     with pytest.raises(TypeError):
         Params().with_(nothing=1)
     assert Params().with_(hit=None).hit == 0.6 and Params().quiet_frames() == 4 and Params(window_seconds=0).window_frames() is None
+
+
+def test_grades_of_evidence(spark):
+    """A face that may be used as it is comes before one that has to be restored, whatever its detection says."""
+    from chronoweave.operators import attach
+
+    options = [("s", 1, 0, 5, "recoverable", "poor", 0.2, 0.9, 0.99), ("s", 1, 3, 6, "direct", "clear", 0.8, 0.9, 0.8), ("s", 2, 4, 7, None, None, None, None, None), ("s", 2, 2, 8, "odd", None, 0.9, 0.9, 0.9)]
+    df = spark.createDataFrame(options, "session string, track long, frame long, face long, eligibility string, category string, quality double, association double, det double")
+    assert rows(attach.best_faces(df).select("track", "face"), "track") == [(1, 6), (2, 7)]
+
+
+def test_attached_faces(spark):
+    """Skipped, not seen, same frame, similar and unlike bodies; a face counts for the person that it lies in."""
+    from chronoweave.operators import attach
+
+    box = lambda t, f: ("s", f, t, 100.0 * t, 0.0, 100.0 * t + 60, 100.0)
+    face = lambda t, f, e="direct", c="clear": ("s", f, 10 + t, 100.0 * t + 20, 10.0, 100.0 * t + 40, 30.0, 0.9, 0.8, c, e, True)
+    persons = spark.createDataFrame([box(t, f) for t in range(1, 7) for f in (0, 1)], "session string, frame long, track long, x1 double, y1 double, x2 double, y2 double")
+    faces = spark.createDataFrame([face(2, 0), face(3, 1), face(4, 1), face(5, 1, "recoverable", "poor"), face(6, 1)], "session string, frame long, face long, x1 double, y1 double, x2 double, y2 double, det double, quality double, category string, eligibility string, restored boolean")
+    tracks_ = spark.createDataFrame([("s", t, 0, t == 1) for t in range(1, 7)] + [("s", 9, 0, False)], "session string, track long, best_frame long, skipped boolean")
+    candidates = spark.createDataFrame([("s", t, f) for t in range(1, 7) for f in (0, 1)], "session string, track long, frame long")
+    bodies = [("s", t, f, [1.0, 0.1 * f]) for t in (2, 3, 5) for f in (0, 1)] + [("s", 4, 0, [1.0, 0.0]), ("s", 4, 1, [0.0, 1.0]), ("s", 6, 1, [1.0, 0.0])]
+    vectors = spark.createDataFrame(bodies, "session string, track long, frame long, vec array<double>")
+    got = {r["track"]: (r["status"], r["face"], r["consistency"], r["match_source"], r["match_ready"], r["can_enroll"]) for r in attach.attach_faces(tracks_, candidates, faces, persons, vectors).collect()}
+    assert got == {
+        1: ("track_skipped", None, None, "none", False, False), 9: ("not_detected", None, None, "none", False, False), 2: ("observed", 12, "same_frame", "original", True, True),
+        3: ("observed", 13, "passed", "original", True, True), 4: ("track_consistency_failed", 14, "failed", "none", False, False), 5: ("observed", 15, "passed", "superres", True, False),
+        6: ("track_consistency_failed", 16, "body_embedding_unavailable", "none", False, False),
+    }
+
+
+def test_texts_of_reports(spark):
+    from chronoweave.operators import context
+
+    windows_ = spark.createDataFrame([(1, "00:00", "00:30", "alert", "somebody came"), (2, "00:30", "01:00", None, "")], "window long, begins string, ends string, level string, summary string")
+    reports = spark.createDataFrame([(1, 2, "00:20", "B", True, "took it"), (1, 1, "00:10", "A", False, "waited")], "window long, nth long, time string, subject string, abnormal boolean, action string")
+    assert rows(context.timeline(windows_, reports), "window") == [(1, "[窗1 00:00~00:30] 告警=alert\n  概述：somebody came\n  - 00:10 A：waited\n  - 00:20 B：⚠took it", 2), (2, "[窗2 00:30~01:00] 告警=normal", 0)]
+    assert context.NAMES["car"] == "汽车" and context.NAMES["suitcase"] == "行李箱/箱子"
+
+
+def test_colours_and_class_lists(spark):
+    df = spark.createDataFrame([("red", "红"), ("red", " RED "), ("blue", "红"), (None, "red"), ("gray", None)], "found string, wanted string")
+    assert [r[0] for r in df.select(V.colour_matches(F.col("found"), F.col("wanted"))).collect()] == [True, True, False, False, False]
+    lists = spark.createDataFrame([(" car, bus,,car ",), (None,)], "t string")
+    assert [r[0] for r in lists.select(V.class_set(F.col("t"))).collect()] == [["car", "bus"], []]
+
+
+def test_slices_carry_what_came_before(spark):
+    from chronoweave.operators import slices
+
+    rng = random.Random(8)
+    data = [(s, f, rng.randrange(5)) for s in "ab" for f in sorted(rng.sample(range(200), 60))]
+    df = spark.createDataFrame(data, "session string, frame long, v long")
+    want, last, total = [], {}, {}
+    for s, f, v in data:
+        total[s] = total.get(s, 0) + v
+        want.append((s, f, last.get(s), total[s]))
+        last[s] = v
+    for frames in (1, 7, 4096):
+        got = slices.with_running_sum(slices.with_before(df, ["v"], frames=frames), F.col("v"), "total", frames=frames)
+        assert rows(got.select("session", "frame", "before.v", "total"), "session", "frame") == want
