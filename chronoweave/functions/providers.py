@@ -60,18 +60,30 @@ class Registry:
         return self._loaded[key]
 
     def apply(self, name: str | None, column: Column, returns: str) -> Column:
-        """The provider's values for a column; the column itself where there is no provider or it fails on a batch."""
-        if self.resolve(name) == OFF:
-            return column
-        registry = self
-
-        @F.pandas_udf(returns)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            use = registry.get(name)
+        """The provider's values for a column; the column itself where there is no provider or it fails on a batch. What
+        failed is not told here: see `told`."""
+        return column if self.resolve(name) == OFF else self.told([name], column, returns)["value"]
+
+    def told(self, names: list[str], column: Column, returns: str) -> Column:
+        """A struct of value and error: the values of the first of the providers that loads and does not fail on the batch.
+
+        error says which ones failed, and how; where all did, value is the column itself. None failing, error is null.
+        """
+        registry, keys = self, [self.resolve(n) for n in names]
+
+        @F.pandas_udf(f"value {returns}, error string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for values in batches:
-                try:
-                    yield use(values) if use else values
-                except Exception:
-                    yield values
+                out, wrong = values, []
+                for key in keys:
+                    use = registry.get(key)
+                    try:
+                        if use is None:
+                            raise RuntimeError(registry.errors.get(key, "off"))
+                        out = use(values)
+                        break
+                    except Exception as e:  # the next provider is tried, and the failure is told
+                        wrong.append(f"{key}: {type(e).__name__}: {e}")
+                yield pd.DataFrame({"value": list(out), "error": [" | ".join(wrong) or None] * len(values)})
 
         return run(column)

@@ -89,6 +89,11 @@ def whole_if_idle(windows: DataFrame, frames: DataFrame) -> DataFrame:
     return windows.unionByName(every.join(windows, "session", "left_anti"))
 
 
+def covered_frames(windows: DataFrame) -> DataFrame:
+    """(session, frame): the frames of all windows, each once."""
+    return windows.select("session", F.explode(F.sequence("first", "last")).alias("frame")).distinct()
+
+
 def members(windows: DataFrame, found: DataFrame) -> DataFrame:
     """found (session, frame, ...) with the window that each row falls in: `first` and `last`; others are left out.
 

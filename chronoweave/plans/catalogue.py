@@ -59,9 +59,10 @@ def q07_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows (written, as they are read more than once), detections and frames."""
     found = A.detections(spark, sf_dir)
     frames = A.frames(found)
-    return windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), found, frames
+    return written(windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), "windows"), found, frames
 
 
 def q08_capped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +244,6 @@ def q30_subject_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _window_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Frames of each window with an event mark and a signature, and the detections in it."""
     found_windows, found, frames = _windows(spark, sf_dir)
-    found_windows = written(found_windows, "windows")
     signature = found.groupBy("session", "frame").agg(F.array(F.lit(1.0), F.sum("k") / 40.0, F.max("x1") / 20.0).alias("signature"), F.max(F.col("k") >= 90).alias("marked"))
     rows = windows.members(found_windows, frames.join(signature, ["session", "frame"], "left"))
     rows = rows.select("session", F.col("first").alias("window"), "frame", F.coalesce("marked", F.lit(False)).alias("has_event"), "signature")
@@ -480,7 +480,7 @@ def q61_identity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q62_window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is asked about each window: its event frames with their times, and the text of its objects."""
-    found_windows = written(_windows(spark, sf_dir)[0].withColumnRenamed("first", "window"), "windows")
+    found_windows = _windows(spark, sf_dir)[0].withColumnRenamed("first", "window")
     rows, _ = _window_frames(spark, sf_dir)
     shown = rows.where("has_event").select("session", "window", "frame", F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.5)).alias("at"))
     return context.window_requests(found_windows, shown, {"objects": q57_object_text(spark, sf_dir)})
@@ -628,6 +628,21 @@ def q86_sliding_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(stream_windows.timed_windows(_event_stream(spark, sf_dir), "60 minutes", "30 minutes", late="60 days"), "q86")
 
 
+def q87_covered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.covered_frames(_windows(spark, sf_dir)[0])
+
+
+def q88_manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")
+    return rows.select("c_custkey", files.manifest_hash(rows).alias("hash"))
+
+
+def q89_limited_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 steps of two hours of each session."""
+    frames = A.observations(spark, sf_dir).select("session", "frame")
+    return keyframes.sampled(frames, F.col("frame") * A.FRAME_SECONDS, 7200.0, 40)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

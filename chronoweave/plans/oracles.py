@@ -416,4 +416,8 @@ ORACLES = {
     "q85_exposed_candidates": f"with {KNN}, {CAND}, r as (select query, subject, row_number() over (partition by query order by round(score, 6) desc, votes desc, subject) as nth from ca) select * from r where nth <= 8",
     "q86_sliding_windows_stream": """with e as (select event_type as session, (epoch_us(ts) // 1800000000) * 1800000000 as s from events), w as (select session, s - unnest([0, 1800000000]) as s from e)
         select session, s as start_us, s + 3600000000 as end_us, count(*) as n from w group by 1, 2""",
+    "q87_covered_frames": f"with recursive {D}, {WINDOWS} select distinct session, unnest(range(first, last + 1)) as frame from win",
+    "q88_manifest_hash": """select c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') as hash from customer""",
+    "q89_limited_sampling": f"""with {D}, s as (select session, floor(frame * 600 / 7200.0)::bigint as slot, min(frame) as frame from o group by 1, 2), n as (select *, row_number() over (partition by session order by slot) as r from s)
+        select session, slot, frame, round(slot * 7200.0::double, 3) as seconds from n where r <= 40""",
 }

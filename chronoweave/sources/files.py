@@ -12,7 +12,7 @@ SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 
 
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """name and size in MB of a folder's files with one of the suffixes; contents are not read."""
+    """name and size in MB of a folder's files with one of the suffixes; contents are not read, empty files passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.lit(False)

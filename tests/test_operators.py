@@ -269,3 +269,52 @@ def test_slices_carry_what_came_before(spark):
     for frames in (1, 7, 4096):
         got = slices.with_running_sum(slices.with_before(df, ["v"], frames=frames), F.col("v"), "total", frames=frames)
         assert rows(got.select("session", "frame", "before.v", "total"), "session", "frame") == want
+
+
+def test_providers_fall_back_and_tell(spark):
+    r = Registry()
+
+    def broken():
+        raise OSError("no model")
+
+    def picky(values):
+        if (values > 2).any():
+            raise ValueError("too large")
+        return values * 10
+
+    r.register("first", broken)
+    r.register("second", lambda: picky)
+    df = spark.createDataFrame([(1,), (2,)], "n long").coalesce(1)
+    told = lambda names, d: {(x["n"], x["t"]["value"], x["t"]["error"]) for x in d.select("n", r.told(names, F.col("n"), "long").alias("t")).collect()}
+    assert told(["second"], df) == {(1, 10, None), (2, 20, None)}
+    assert {(n, v) for n, v, e in told(["first", "second"], df) if "no model" in e} == {(1, 10), (2, 20)}
+    many = spark.createDataFrame([(3,)], "n long")
+    assert [(n, v, "too large" in e) for n, v, e in told(["second"], many)] == [(3, 3, True)]
+    assert [x[0] for x in many.select(r.apply("second", F.col("n"), "long")).collect()] == [3]
+
+
+def test_files_as_tables(spark, tmp_path):
+    """Listings leave other files out, images come with their content, and documents are written one a row."""
+    from chronoweave.sources import files
+
+    for name, data in (("a.MP4", b"x" * 1048576), ("b.txt", b"no"), ("0007-F.jpg", b"jpeg"), ("c.mov", b"x")):
+        (tmp_path / name).write_bytes(data)
+    assert rows(files.listing(spark, str(tmp_path)), "name") == [("a.MP4", 1.0), ("c.mov", 0.0)]
+    image = files.images(spark, str(tmp_path)).first()
+    assert image["name"] == "0007-F.jpg" and image["uri"] == "data:image/jpeg;base64,anBlZw=="
+    files.write_json(spark.createDataFrame([(1, "é"), (2, None)], "n long, t string"), str(tmp_path / "out"))
+    assert rows(spark.read.json(str(tmp_path / "out")), "n") == [(1, "é"), (2, None)]
+
+
+def test_sessions_without_scenes_are_stepped_through(spark):
+    frames = spark.createDataFrame([("s", f, 0.1) for f in range(0, 50, 5)], "session string, frame long, scene double")
+    got = rows(keyframes.adaptive_frames(frames, 0.9, 20, 24), "frame")
+    assert got == [("s", 0), ("s", 20), ("s", 40)]
+    assert [r[1] for r in rows(keyframes.adaptive_frames(frames, 0.05, 20, 1), "frame")] == [25]
+
+
+def test_evidence_is_told_without_pixels(spark):
+    from chronoweave.operators import attach
+
+    df = spark.createDataFrame([(1, b"p", [0.5], "x")], "track long, crop binary, embedding array<double>, status string")
+    assert attach.public_evidence(df).columns == ["track", "status"]
