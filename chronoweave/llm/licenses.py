@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.session import read_table
+from chronoweave.session import read_table, small_batches
 
 # Label, mandatory key phrase, and a public notice in which it stands.
 BASE = [
@@ -144,6 +144,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     frequency. coverage is 1 where the whole notice stands around the phrase. A null text has no words; a null doc_id
     passes through; rows that repeat an id give a row each; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     index = Index(document_frequencies(docs, text, templates), rare, templates)
     kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("coverage", pa.float64()), ("base", pa.bool_())]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.session import emptied, read_table, written
+from chronoweave.session import emptied, read_table, small_batches, written
 
 #: A run is deleted where it repeats if it has so many lines, or else so many words.
 MIN_LINES, MIN_WORDS = 3, 50
@@ -161,6 +161,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     taken. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
     lines = written(hashed_lines(keyed.select("__key", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "lines")
     runs = repeated_runs(lines, min_lines, min_words).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))

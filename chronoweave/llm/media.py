@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm import flac
-from chronoweave.session import read_table
+from chronoweave.session import read_table, small_batches
 
 #: Frames of a PCM block: 49,152 samples.
 BLOCK_FRAMES = 256
@@ -32,6 +32,7 @@ def encode_column(df: DataFrame, payload: str, media: str = "media", lpc_order:
     Streams are made slab by slab, so a worker holds a few hundred thousand samples besides the batch itself. A column of
     df that is named as media is replaced; all others pass through.
     """
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (payload, media)]
     schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(media, T.BinaryType())])
 

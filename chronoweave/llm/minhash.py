@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.hashing import mixed, shingle_set
 from chronoweave.llm.selecting import by_ids
-from chronoweave.session import emptied, read_table, written
+from chronoweave.session import emptied, read_table, small_batches, written
 
 #: Coordinates of a signature, and how many must agree. Two sets of similarity 0.75 agree in 48 of 64 on average; fewer
 #: than 32 happens to 3 in a million of such pairs, and far less often to more similar ones.
@@ -56,6 +56,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, digest (of the whole shingle set) and signature, both null where there are no words."""
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return wanted.mapInArrow(_signed, "doc_id long, n_shingles long, digest string, signature array<int>")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.ranking import ROWS_PER_BLOCK, ranked
-from chronoweave.session import read_table, written
+from chronoweave.session import read_table, small_batches, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
+    small_batches(docs.sparkSession)
     named = [F.col(c).cast("long").alias(name) for c, name in ((doc_id, "doc_id"), (copy, "copy")) if c]
     return docs.select(F.col(text).alias("text"), *named).mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.session import read_table, written
+from chronoweave.session import read_table, small_batches, written
 
 # The alphabet (anything else is a break, number 0) and what a sign may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåçèéêëìíîïñòóôõöùúûüßœæ"
@@ -287,6 +287,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SIZE**3, dtype=np.int64)
     counts[rows["gram"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
@@ -420,6 +421,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
     A column of docs that is named as score is replaced; all others pass through. An empty table gives an empty table.
     """
     docs = docs.drop(score)
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     at, names = docs.columns.index(text), [*docs.columns, score]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model's size is fixed by alphabet and features
