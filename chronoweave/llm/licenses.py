@@ -92,6 +92,12 @@ def document_frequencies(docs: DataFrame, text: str = "text", templates: list[Te
     return {bytes(r["word"]): r["n"] for r in counted.collect()}
 
 
+def coverage(notice: list[bytes], words: list[bytes], offset: int) -> float:
+    """The share of a notice's words that a text has in place if the notice begins at its word `offset`, which may be below 0."""
+    low = max(0, -offset)
+    return sum(a == b for a, b in zip(notice[low:], words[offset + low : offset + len(notice)], strict=False)) / len(notice)
+
+
 class Index:
     """Postings (template, position in it) of each template's rarest words over the corpus, and how many must agree on a place."""
 
@@ -109,13 +115,17 @@ class Index:
             count = sum(len(places[w]) for w in chosen)
             self.needed.append(count if t.alone else min(AGREEING, count))
         self.words = frozenset(self.postings)
+        self.notices: dict[tuple, list[Template]] = defaultdict(list)
+        for t in self.templates:
+            if not t.alone:
+                self.notices[t.label, t.base, tuple(t.phrase)].append(t)
 
     def find(self, words: list[bytes]) -> list[tuple[str, int, float, bool]]:
         """(label, word at which the key phrase starts, share of the notice's words in place around it, base), in order.
 
         The text's rare words are looked up; a posting's position and the word's give the offset at which the template
         would stand. At offsets that enough of a template's rare words agree on, the mandatory key phrase is compared. A key
-        phrase without its notice has its own share of the notice's words.
+        phrase without its notice has about its own share of the notice's words.
         """
         votes: Counter = Counter()
         for i, w in enumerate(words):
@@ -128,12 +138,10 @@ class Index:
             start = offset + t.at
             if n < self.needed[number] or start < 0 or words[start : start + len(t.phrase)] != t.phrase:
                 continue
-            share = t.share
-            if not t.alone:
-                low = max(0, -offset)
-                share = sum(a == b for a, b in zip(t.words[low:], words[offset + low : offset + len(t.words)], strict=False)) / len(t.words)
+            around = self.notices[t.label, t.base, tuple(t.phrase)] if t.alone else [t]
+            shares = [coverage(notice.words, words, start - notice.at) for notice in around]
             key = t.label, start, t.base
-            best[key] = max(share, best.get(key, 0.0))
+            best[key] = max([t.share, *shares, best.get(key, 0.0)])
         return sorted((label, start, share, base) for (label, start, base), share in best.items())
 
 

@@ -76,7 +76,7 @@ def test_license_query(spark, documents):
 
 def test_license_score_tells_notices_from_phrases(spark):
     whole = licenses.BASE[1][2]
-    docs = spark.createDataFrame([(1, whole), (2, "see the general public license there"), (3, whole[len(whole) // 2 :]), (4, "nothing")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, whole), (2, "see the general public license there"), (3, whole[: len(whole) // 2]), (4, "nothing")], "doc_id long, text string")
     best = {r["doc_id"]: max((n["coverage"] for n in r["notices"]), default=0.0) for r in licenses.scan_licenses(docs).collect()}
     assert best[1] == 1.0 > best[3] > best[2] > best[4] == 0.0
 
