@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.hashing import mixed, shingle_set
+from chronoweave.llm.memory import give_back
 from chronoweave.llm.selecting import by_ids
 from chronoweave.session import emptied, read_table, small_batches, written
 
@@ -46,12 +47,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(signature(found) if len(found) else None)
         held = pa.array(rows, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), held], ["doc_id", "n_shingles", "digest", "signature"])
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_set(value.as_py() or "").view(np.int64) for value in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+    give_back()
 
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

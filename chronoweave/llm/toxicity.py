@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.llm.memory import give_back
 from chronoweave.session import read_table, small_batches, written
 
 # The alphabet (anything else is a break, number 0) and what a sign may stand for.
@@ -434,6 +435,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
                 rows = batch.slice(start, 512)
                 scores = known.scores(restore.many([v or "" for v in rows.column(at).to_pylist()]), probe)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
