@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import centroids, chat, exact_dedup, licenses, line_dedup, media, minhash, mixing, packing, sharding, suffix_dedup, toxicity
+from chronoweave.llm import centroids, chat, divergence, exact_dedup, licenses, line_dedup, media, minhash, mixing, packing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_shard_documents": sharding.op12_shard_documents,
     "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op7_preference_format": chat.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op13_centroid_clusters": centroids.ORACLE,
 }
