@@ -31,7 +31,7 @@ def segment_norms(x: np.ndarray) -> np.ndarray:
 
     Where a norm is too large for FINE to be exact in 64 bits it is rounded up as a float and one unit is added.
     """
-    squares = (x.reshape(len(x), -1, SEGMENT) ** 2).sum(axis=2)
+    squares = (x.reshape(len(x), x.shape[1] // SEGMENT, SEGMENT) ** 2).sum(axis=2)
     up = np.ceil(np.sqrt(squares.astype(np.float64)) * FINE).astype(np.int64) + 1
     return np.where(squares == 0, 0, up)
 
