@@ -35,7 +35,7 @@ for _c, _i in _NUMBER.items():
 
 _LETTER = f"[{LETTERS}]"
 _SIGN = "[" + re.escape("".join(LEET)) + "]"
-_LONG_TOKEN = re.compile(rf"\S*({_LETTER})\1\1\S*")
+_LONG_TOKEN = re.compile(rf"(?<!\S)(?=\S*?({_LETTER})\1\1)\S+")  # tried at the starts of tokens alone, so linear
 _SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?:[ ._*\-/](?:{_LETTER}|{_SIGN})){{2,}}(?=[\s.,;:!?]|$)")
 _SEPARATORS = frozenset(" ._*-/")
 
@@ -71,12 +71,16 @@ class CharacterModel:
         self.log = np.log(p3).reshape(-1).tolist()
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The likeliest path through a lattice of (string, log probability): Viterbi over the last two characters."""
+        """The likeliest path through a lattice of (string, log probability): Viterbi over the last two characters.
+
+        Each state links back to the one that it came from, and only the best path is spelled, so the work is linear in
+        the lattice's length; of equally likely paths the last one by spelling is taken.
+        """
         log, number = self.log, _NUMBER
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in [*lattice, [(" ", 0.0)]]:
-            best: dict[int, tuple[float, str]] = {}
-            for state, (score, out) in states.items():
+            best: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
                 for string, cost in options:
                     s, to = score + cost, state
                     for c in string:
@@ -84,9 +88,19 @@ class CharacterModel:
                         s += log[to * SIZE + n]
                         to = (to % SIZE) * SIZE + n
                     if to not in best or s > best[to][0]:
-                        best[to] = (s, out + string)
+                        best[to] = (s, (path, string))
             states = best
-        return max(states.values())[1].strip()
+        top = max(score for score, _ in states.values())
+        return max(spelled(path) for score, path in states.values() if score == top).strip()
+
+
+def spelled(path: tuple | None) -> str:
+    """The strings of a path of links, first to last."""
+    out = []
+    while path is not None:
+        path, string = path
+        out.append(string)
+    return "".join(reversed(out))
 
 
 def lattice_of(token: str) -> list[list[tuple[str, float]]]:

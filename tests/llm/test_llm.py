@@ -355,3 +355,15 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     rows = packed.groupBy("copy").agg(F.max("piece").alias("last"), F.count(F.lit(1)).alias("n")).collect()
     assert len(rows) == docs.count() and all(r["n"] == r["last"] + 1 for r in rows)
+
+
+def test_long_tokens_of_signs_are_decoded_in_linear_time():
+    import time
+
+    restore = toxicity.Restorer(toxicity.CharacterModel(np.arange(64**3) % 97))
+    took = {}
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        restore("1|" * n + "a" + " b" + "0o" * n)
+        took[n] = time.perf_counter() - began
+    assert took[80_000] < 8 * took[20_000] + 1
