@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import quality as Q
 from chronoweave.functions import vectors as V
+from chronoweave.operators.gallery import enrolments
 from chronoweave.operators.tracks import KEY, associate
 from chronoweave.params import DEFAULT, Params
 
@@ -69,39 +70,82 @@ def face_route(matched: Column, match_ready: Column, eligibility: Column, catego
     return F.coalesce(good, F.lit(False))
 
 
+def _first_error(failures: DataFrame, stage: str, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the errors of one stage; of several for one key the first by text."""
+    return failures.where(F.col("stage") == stage).groupBy(*keys).agg(F.min("error").alias(name))
+
+
 def attach_faces(
     tracks: DataFrame, candidates: DataFrame, faces: DataFrame, persons: DataFrame, vectors: DataFrame,
-    p: Params = DEFAULT, gate: Callable[[Column, Column, Column, Column], Column] = Q.gallery_reason,
+    p: Params = DEFAULT, gate: Callable[[Column, Column, Column, Column], Column] = Q.gallery_reason, failures: DataFrame | None = None,
 ) -> DataFrame:
     """One face record per track: status, the chosen face, how it fits the body, and whether it may match and enrol.
 
-    tracks: session, track, best_frame, skipped; candidates: session, track, frame; faces: session, frame, face, a box,
-    det, quality, category, eligibility, restored; persons: session, frame, track and a box, all of a frame's;
-    vectors: session, track, frame, vec of bodies. A track without candidates has its best frame as the only one. Faces are
-    matched with all persons of a frame, not only those asked about. The best of a track's faces is chosen, checked
-    against the body's vector, and graded; `gate` says why a face may not enter the gallery. Records that are not
-    consistent are kept but do not match.
+    tracks: session, track, best_frame, skipped; candidates: session, track, frame, and round (the frame's number where there is
+    no such column), which orders a track's candidates; faces: session, frame, face, a box, det, quality, category, eligibility,
+    restored; persons: session, frame, track and a box, all of a frame's; vectors: session, track, frame, vec of bodies. A
+    track without candidates has its best frame as the only one. Faces are matched with all persons of a frame, not only those
+    asked about. The best of a track's faces is chosen, checked against the body's vector, and graded; `gate` says why a
+    face may not enter the gallery. Records that are not consistent are kept but do not match.
+
+    failures: session, frame, stage, error. A frame whose detection failed (stage detect) has no faces: a track that is left
+    with none then has status detector_error and the error of its last candidate that failed. A chosen frame that cannot be
+    read again (open) gives face_frame_unavailable, one whose face cannot be finished (finalize) face_finalize_error; both
+    keep what was seen and do not match. One frame's failure touches no other frame.
     """
     asked = tracks.where("not skipped")
-    have = candidates.select(*KEY, "frame").distinct()
-    fallback = asked.join(have, KEY, "left_anti").select(*KEY, F.col("best_frame").alias("frame"))
+    if "round" not in candidates.columns:
+        candidates = candidates.withColumn("round", F.col("frame"))
+    have = candidates.groupBy(*KEY, "frame").agg(F.min("round").cast("long").alias("round"))
+    fallback = asked.join(have, KEY, "left_anti").select(*KEY, F.col("best_frame").alias("frame"), F.lit(0).cast("long").alias("round"))
     targets = have.join(asked.select(*KEY), KEY, "left_semi").unionByName(fallback)
+    if failures is None:
+        failures = tracks.select("session", F.lit(0).cast("long").alias("frame"), F.lit("").alias("stage"), F.lit("").alias("error")).limit(0)
+    undetected = _first_error(failures, "detect", ["session", "frame"], "error")
+    seen = faces.join(undetected, ["session", "frame"], "left_anti")
     frames = targets.select("session", "frame").distinct()
     in_frames = lambda df: df.join(frames, ["session", "frame"], "left_semi")
-    matched = associate(in_frames(faces), in_frames(persons), p).withColumnRenamed("score", "association")
-    options = targets.join(matched, [*KEY, "frame"]).join(faces.drop("x1", "y1", "x2", "y2"), ["session", "frame", "face"])
+    matched = associate(in_frames(seen), in_frames(persons), p).withColumnRenamed("score", "association")
+    options = targets.drop("round").join(matched, [*KEY, "frame"]).join(seen.drop("x1", "y1", "x2", "y2"), ["session", "frame", "face"])
     chosen = best_faces(options)
+    blind = targets.join(undetected, ["session", "frame"]).groupBy(*KEY).agg(F.max_by("error", F.struct("round", "frame")).alias("detect_error"))
     body = vectors.select(*KEY, F.col("frame").alias("best_frame"), F.col("vec").alias("body"))
     own = vectors.select(*KEY, "frame", F.col("vec").alias("candidate"))
-    rows = tracks.join(chosen, KEY, "left").join(body, [*KEY, "best_frame"], "left").join(own, [*KEY, "frame"], "left")
+    rows = tracks.join(chosen, KEY, "left").join(body, [*KEY, "best_frame"], "left").join(own, [*KEY, "frame"], "left").join(blind, KEY, "left")
+    for stage in ("open", "finalize"):
+        rows = rows.join(_first_error(failures, stage, ["session", "frame"], f"{stage}_error"), ["session", "frame"], "left")
     status, score = consistency(F.col("frame") == F.col("best_frame"), F.col("body"), F.col("candidate"), p)
-    found = F.col("frame").isNotNull()
-    consistent = F.coalesce(status.isin("same_frame", "passed"), F.lit(False)) & found
+    found, unread = F.col("frame").isNotNull(), F.col("open_error").isNotNull()
+    fits = F.coalesce(status.isin("same_frame", "passed"), F.lit(False)) & found & ~unread
+    consistent = fits & F.col("finalize_error").isNull()
     source = F.when(consistent, Q.match_source(F.col("eligibility"), F.col("restored"))).otherwise("none")
     can_enroll = (F.col("eligibility") == "direct") & (F.col("category") == "clear")
-    state = F.when(F.col("skipped"), "track_skipped").when(~found, "not_detected").when(~consistent, "track_consistency_failed").otherwise("observed")
+    state = (
+        F.when(F.col("skipped"), "track_skipped").when(~found & F.col("detect_error").isNotNull(), "detector_error").when(~found, "not_detected")
+        .when(unread, "face_frame_unavailable").when(~fits, "track_consistency_failed").when(~consistent, "face_finalize_error").otherwise("observed")
+    )
+    error = F.when(F.col("skipped"), F.lit(None).cast("string")).when(~found, F.col("detect_error")).when(unread, F.col("open_error")).when(fits, F.col("finalize_error"))
     reason = gate(F.col("eligibility"), F.col("category"), source == "superres", can_enroll)
+    checked = found & ~unread
     return rows.select(
-        *KEY, state.alias("status"), "frame", "face", "eligibility", "category", "quality", "association", F.when(found, status).alias("consistency"), F.when(found, score).alias("consistency_score"),
+        *KEY, state.alias("status"), "frame", "face", "eligibility", "category", "quality", "association", F.when(checked, status).alias("consistency"), F.when(checked, score).alias("consistency_score"),
         source.alias("match_source"), (consistent & (source != "none")).alias("match_ready"), F.coalesce(consistent & (source == "original") & reason.isNull(), F.lit(False)).alias("can_enroll"), F.when(consistent, reason).alias("gallery_reason"),
+        "det", error.alias("error"),
     )
+
+
+def matched_faces(records: DataFrame, vectors: DataFrame, order: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """records of attach_faces with the face gallery's answer: matched, local (the gallery's number), match_score and enrolled.
+
+    vectors: session, frame, face, vec; a face without one is not match_ready. order: session, track, nth, in which a session's
+    tracks come to the gallery, which starts empty. Only a clear, direct face seen without restoration may become a
+    subject or add to one; a hit needs face_hit, poor ones no more than that.
+    """
+    rows = records.join(vectors.select("session", "frame", "face", "vec"), ["session", "frame", "face"], "left").join(order.select(*KEY, "nth"), KEY)
+    rows = rows.withColumn("match_ready", F.coalesce(F.col("match_ready") & F.col("vec").isNotNull(), F.lit(False)))
+    ok = F.col("gallery_reason").isNull()
+    seen = rows.where("match_ready").select("session", F.col("nth").alias("seq"), "vec", ok.alias("ok"), "can_enroll")
+    told = enrolments(seen.withColumnRenamed("can_enroll", "auto"), p.with_(hit=p.face_hit, new=p.face_new, low_quality_hit=p.face_hit))
+    told = told.select("session", F.col("seq").alias("nth"), (F.col("decision") == "hit").alias("matched"), F.col("subject").alias("local"), F.round("score", 4).alias("match_score"), "enrolled")
+    out = rows.drop("vec").join(told, ["session", "nth"], "left").drop("nth")
+    return out.withColumns({"matched": F.coalesce("matched", F.lit(False)), "enrolled": F.coalesce("enrolled", F.lit(False))})

@@ -164,7 +164,7 @@ class Gallery:
         p = self.p
         decision, subject, score, reason, told = self.identify(v)
         enrolled = rejected = False
-        if decision == "hit" and not ok and score < p.low_quality_hit:
+        if decision == "hit" and not ok and round(score, 4) < p.low_quality_hit:
             decision, subject, rejected = "grey", None, True
         elif decision == "hit":
             if ok and self.shots[subject] < p.max_shots:

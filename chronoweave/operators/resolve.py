@@ -45,25 +45,36 @@ def route_edges(tracks: DataFrame) -> DataFrame:
     return ids.join(first, ["session", "route", "id"]).where("track <> u").select("session", "route", "u", F.col("track").alias("v"))
 
 
+def merge_ids(body: Column, face_ok: Column, face: Column, gait_decision: Column, gait: Column) -> dict[str, Column]:
+    """The local ids by which routes may merge tracks: a body's own, a face's that passes the strict predicate
+    (attach.face_route), and a gait's that was a hit."""
+    return {"body": body, "face": F.when(F.coalesce(face_ok, F.lit(False)), face), "gait": F.when(F.coalesce(gait_decision == "hit", F.lit(False)), gait)}
+
+
 def merged_tracks(tracks: DataFrame) -> DataFrame:
     """Per track: its component over all routes, the component's size and routes, and its subject.
 
-    tracks: session, track, and an id or null for each route, body being the subject of the track. A component of two or
-    more takes its smallest subject; one without any gets a new one, numbered on from the session's largest in the
-    order of first tracks. Tracks on their own keep what they have.
+    tracks: session, track, and an id or null for each route, as merge_ids lets them count; `subject` is what the track is
+    known as so far (its body id where there is no such column), and `nth` the order of a session's tracks (the track's
+    number where there is none). A component of two or more takes its smallest subject; one without any gets a new one,
+    numbered on from the session's largest in the order of first tracks. Tracks on their own keep what they have.
     """
+    if "subject" not in tracks.columns:
+        tracks = tracks.withColumn("subject", F.col("body"))
+    if "nth" not in tracks.columns:
+        tracks = tracks.withColumn("nth", F.col("track"))
     edges = written(route_edges(tracks), "route-edges")
     parts = components(edges, "session").select("session", F.col("node").alias("track"), "component")
     with_part = tracks.join(parts, ["session", "track"], "left")
     on = edges.join(parts, (edges["session"] == parts["session"]) & (edges["u"] == parts["track"])).select(parts["session"], "component", "route")
     routes = on.groupBy("session", "component").agg(F.array_join(F.array_sort(F.collect_set("route")), ",").alias("merge_routes"), F.count_distinct("route").alias("merge_agree"))
-    groups = with_part.where("component is not null").groupBy("session", "component").agg(F.count(F.lit(1)).alias("n_tracks"), F.min("body").alias("own"))
-    top = tracks.groupBy("session").agg(F.coalesce(F.max("body"), F.lit(0)).alias("top"))
-    minted = F.row_number().over(W.partitionBy("session", F.col("own").isNull()).orderBy("component"))
+    groups = with_part.where("component is not null").groupBy("session", "component").agg(F.count(F.lit(1)).alias("n_tracks"), F.min("subject").alias("own"), F.min("nth").alias("begins"))
+    top = tracks.groupBy("session").agg(F.coalesce(F.max("subject"), F.lit(0)).alias("top"))
+    minted = F.row_number().over(W.partitionBy("session", F.col("own").isNull()).orderBy("begins"))
     groups = groups.join(top, "session").withColumn("canonical", F.coalesce("own", F.col("top") + minted)).select("session", "component", "n_tracks", "canonical")
     out = with_part.join(groups, ["session", "component"], "left").join(routes, ["session", "component"], "left")
-    changed = F.col("canonical").isNotNull() & ~F.col("body").eqNullSafe(F.col("canonical"))
-    return out.select("session", "track", F.coalesce("component", "track").alias("component"), F.coalesce("n_tracks", F.lit(1)).alias("n_tracks"), F.coalesce("canonical", F.col("body").cast("long")).alias("subject"), F.coalesce("merge_routes", F.lit("")).alias("merge_routes"), F.coalesce("merge_agree", F.lit(0)).alias("merge_agree"), changed.alias("cross_merged"))
+    changed = F.col("canonical").isNotNull() & ~F.col("subject").eqNullSafe(F.col("canonical"))
+    return out.select("session", "track", F.coalesce("component", "track").alias("component"), F.coalesce("n_tracks", F.lit(1)).alias("n_tracks"), F.coalesce("canonical", F.col("subject").cast("long")).alias("subject"), F.coalesce("merge_routes", F.lit("")).alias("merge_routes"), F.coalesce("merge_agree", F.lit(0)).alias("merge_agree"), changed.alias("cross_merged"))
 
 
 def first_fit(tracks: DataFrame) -> DataFrame:
@@ -94,12 +105,15 @@ def first_fit(tracks: DataFrame) -> DataFrame:
 def split_conflicts(tracks: DataFrame) -> DataFrame:
     """Per track its subject after tracks that overlap in time are told apart, and whether its subject was split.
 
-    The first group keeps the subject; others get numbers on from the session's largest, in order of (subject, group).
+    The first group keeps the subject; others get numbers on from the session's largest, in order of (subject, group), or of
+    (subject's first track, group) where tracks have a column nth that orders a session's tracks.
     """
     parts = first_fit(tracks)
     extra = parts.where("part > 0").select("session", "subject", "part").distinct()
     top = tracks.groupBy("session").agg(F.max("subject").alias("top"))
-    nth = F.row_number().over(W.partitionBy("session").orderBy("subject", "part"))
+    if "nth" in tracks.columns:
+        extra = extra.join(tracks.groupBy("session", "subject").agg(F.min("nth").alias("begins")), ["session", "subject"])
+    nth = F.row_number().over(W.partitionBy("session").orderBy("begins" if "nth" in tracks.columns else "subject", "part"))
     extra = extra.join(top, "session").select("session", "subject", "part", (F.col("top") + nth).cast("long").alias("new_subject"))
     split = extra.select("session", "subject").distinct().withColumn("split", F.lit(True))
     out = parts.join(extra, ["session", "subject", "part"], "left").join(split, ["session", "subject"], "left")
@@ -242,6 +256,18 @@ def route_subjects(tracks: DataFrame, face_ok: Column) -> DataFrame:
     return tracks.where("subject is not null").select("session", "track", F.explode(routes).alias("route"), "subject")
 
 
+# How merged persons are described.
+KINDS, ROUTE_NAMES = ("本视频本地subject", "时间冲突拆分subject", "同一人"), {"face": "人脸库", "body": "人形库", "gait": "步态库"}
+
+
+def merged_attributes(n: Column, local: Column, split: Column, routes: Column) -> Column:
+    """What a person of several tracks is: how many tracks, of which kind, and the routes (sorted array) that link them."""
+    kind = F.when(local, KINDS[0]).when(split, KINDS[1]).otherwise(KINDS[2])
+    names = F.create_map(*[F.lit(x) for pair in ROUTE_NAMES.items() for x in pair])
+    linked = F.when(F.size(routes) > 0, F.concat(F.lit("跨track印证："), F.array_join(F.transform(routes, lambda r: F.coalesce(F.element_at(names, r), r)), "+")))
+    return F.array_compact(F.array(F.concat(F.lit("由"), n, F.lit("条轨迹合并("), kind, F.lit(")")), linked))
+
+
 def window_persons(windows: DataFrame, found: DataFrame, identities: DataFrame, width: float, height: float) -> DataFrame:
     """The persons of each window: tracks that are in it, rolled up by subject, or by track without one.
 
@@ -249,7 +275,8 @@ def window_persons(windows: DataFrame, found: DataFrame, identities: DataFrame,
     face, gait, fused, and the box of the best frame (bx1 to by2). The representative is the first track with the best
     score. The path is that of all tracks in the window by (frame, track); the box is the representative's in the
     window's last frame, else its best one; face and gait are the first ones known in order of tracks, fused the most
-    confident. A single track keeps its own decision and reuse.
+    confident. A single track keeps its own decision, reuse and score, whatever that is; of several the best score is
+    told, rounded, if it is above 0. attributes says of several how many there are, of which kind and by which routes.
     """
     x, y = G.centre(G.box(), width, height)
     box = F.array("x1", "y1", "x2", "y2")
@@ -266,14 +293,15 @@ def window_persons(windows: DataFrame, found: DataFrame, identities: DataFrame,
     out = rows.groupBy("session", "window", key.alias("person")).agg(
         rep.alias("r"), F.array_sort(F.collect_list("track")).alias("tracks"), F.array_sort(F.flatten(F.collect_list("points"))).alias("points"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"),
         first("face").alias("face"), first("gait").alias("gait"), F.max("fused").alias("fused"), routes.alias("merge_routes"),
-        F.bool_or(F.coalesce("local", F.lit(False))).alias("local"), F.bool_or(F.coalesce("split", F.lit(False))).alias("split"),
+        F.bool_or(F.coalesce("local", F.lit(False))).alias("local"), F.bool_or(F.coalesce("split", F.lit(False))).alias("split"), F.max("score").alias("own_score"),
     )
     one = F.size("tracks") == 1
     several = F.when(F.col("local"), "local_stitched").when(F.col("split"), "conflict_split").otherwise("hit")
     return out.select(
         "session", "window", "person", F.col("r.track").alias("track"), "tracks", F.col("r.subject").alias("subject"), F.when(one, F.col("r.decision")).otherwise(several).alias("decision"),
-        F.when(one, F.col("r.reused")).otherwise(~(F.col("local") | F.col("split"))).alias("reused"), F.when(F.col("score") > 0, F.round("score", 4)).alias("score"),
-        "face", "gait", "fused", F.array_join("merge_routes", ",").alias("merge_routes"), F.col("r.box").alias("box"), F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"),
+        F.when(one, F.col("r.reused")).otherwise(~(F.col("local") | F.col("split"))).alias("reused"), F.when(one, F.col("own_score")).when(F.col("score") > 0, F.round("score", 4)).alias("score"),
+        "face", "gait", "fused", F.array_join("merge_routes", ",").alias("merge_routes"), F.size("merge_routes").cast("long").alias("merge_agree"),
+        F.when(one, F.array().cast("array<string>")).otherwise(merged_attributes(F.size("tracks"), F.col("local"), F.col("split"), F.col("merge_routes"))).alias("attributes"), F.col("r.box").alias("box"), F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"),
     )
 
 

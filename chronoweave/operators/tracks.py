@@ -153,3 +153,11 @@ def associate(faces: DataFrame, persons: DataFrame, p: Params = DEFAULT) -> Data
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["face"] == x["face"]) | (y["track"] == x["track"]))
     chosen = F.aggregate("pairs", zero, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x.cast("struct<score:double,face:bigint,track:bigint>")))).otherwise(acc))
     return kept.select("session", "frame", F.explode(chosen).alias("m")).select("session", "frame", "m.face", "m.track", F.round("m.score", 4).alias("score"))
+
+
+def object_events(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(session, frame, event): object_new:label#track where the track of a thing is sure enough for the first time, with the
+    label that it has there."""
+    things = found.where(F.col("label").isin(*p.object_classes) & F.col("track").isNotNull() & (F.col("conf") >= p.object_min_conf))
+    first = things.groupBy(*KEY).agg(F.min("frame").alias("frame"), F.min_by("label", "frame").alias("label"))
+    return first.select("session", "frame", F.concat(F.lit("object_new:"), "label", F.lit("#"), "track").alias("event"))

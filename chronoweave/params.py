@@ -49,6 +49,8 @@ class Params:
     ambiguity: float = 0.08
     match_iou: float = 0.3
     face_consistency: float = 0.82
+    face_hit: float = 0.45
+    face_new: float = 0.30
     gait_frames: int = 10
     # evidence
     candidates: int = 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import geometry as G
 from chronoweave.functions import quality as Q
 from chronoweave.functions import vectors as V
-from chronoweave.operators import attach, context, evaluate, gallery, keyframes, resolve, tracks, windows
+from chronoweave.operators import attach, context, evaluate, gallery, identify, keyframes, resolve, tracks, windows
 from chronoweave.params import Params
 from chronoweave.plans.oracles import ORACLES
 from chronoweave.session import read_table, written
@@ -389,9 +389,13 @@ def q52_cross_route_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _face_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small boxes of all detections, with grades made up from the events' numbers."""
+    return _graded_faces(A.detections(spark, sf_dir))
+
+
+def _graded_faces(found: DataFrame) -> DataFrame:
     k = F.col("k")
     pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), by % len(names) + 1)
-    return A.detections(spark, sf_dir).select(
+    return found.select(
         "session", "frame", F.col("track").alias("face"), "x1", "y1", (F.col("x1") + 12).alias("x2"), (F.col("y1") + 14).alias("y2"), (k / 100.0).alias("det"), (k % 11 / 10.0).alias("quality"),
         pick(("poor", "marginal", "clear"), k).alias("category"), pick(("unusable", "recoverable", "direct", "direct"), k).alias("eligibility"), (k % 2 == 0).alias("restored"),
     )
@@ -404,7 +408,7 @@ def q53_face_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("session", "track").orderBy(F.desc("quality"), "frame"))
     candidates = found.where("track % 7 <> 0").withColumn("nth", nth).where(F.col("nth") <= P.candidates).select("session", "track", "frame")
     vectors = found.where("k % 10 <> 0").select("session", "track", "frame", F.array(F.col("k") % 7 - 3.0, F.col("track") % 5 - 2.0, F.lit(1.0)).alias("vec"))
-    return attach.attach_faces(best, candidates, _face_rows(spark, sf_dir), found, vectors, P)
+    return attach.attach_faces(best, candidates, _face_rows(spark, sf_dir), found, vectors, P).drop("det", "error")
 
 
 def q54_best_face(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -643,6 +647,92 @@ def q89_limited_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyframes.sampled(frames, F.col("frame") * A.FRAME_SECONDS, 7200.0, 40)
 
 
+#: The identity run's thresholds for sightings, whose tracks have few frames.
+RUN = Params().with_(gait_frames=5, candidate_gap=4, stitch=0.6, stitch_local=0.7)
+
+
+def _run_tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sightings (written), and their tracks with gate, best frame and body vector, in order of appearance (written)."""
+    found = written(A.sightings(spark, sf_dir), "sightings")
+    spans = found.groupBy("session", "track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.max("user").alias("user"))
+    passed = tracks.lifespans(found, RUN).select("session", "track", F.lit(False).alias("skipped"))
+    best = tracks.best_evidence(found, RUN).select("session", "track", "best_frame")
+    at_best = found.select("session", "track", F.col("frame").alias("best_frame"), "k", F.col("quality").alias("best_quality"))
+    rows = spans.join(passed, ["session", "track"], "left").join(best, ["session", "track"]).join(at_best, ["session", "track", "best_frame"])
+    rows = rows.withColumn("skipped", F.coalesce("skipped", F.lit(True))).withColumn("ok", F.col("k") % 4 != 0)
+    return found, written(identify.ordered(_body_vectors(spark, sf_dir, rows, F.col("best_frame"))), "tracks")
+
+
+def _body_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, frame: Column) -> DataFrame:
+    return A.mixed_vectors(spark, sf_dir, rows, F.col("user"), F.col("track") * 37 + frame, F.col("k") % 10 * 0.12)
+
+
+def _run_faces(spark: SparkSession, sf_dir: str, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The face record of each track with the gallery's answer: two candidate frames each, some of which fail."""
+    faces = _graded_faces(found)
+    candidates = keyframes.spaced_candidates(found.where("track % 7 <> 0"), ["session", "track"], "quality", RUN.with_(candidates=2)).select("session", "track", "frame", F.col("nth").alias("round"))
+    wanted = candidates.select("session", "track", "frame").union(rows.select("session", "track", F.col("best_frame").alias("frame"))).distinct()
+    bodies = _body_vectors(spark, sf_dir, found.join(wanted, ["session", "track", "frame"]), F.col("frame")).where("k % 10 <> 9").select("session", "track", "frame", "vec")
+    frames = found.select("session", "frame").distinct()
+    fails = lambda by, stage: frames.where(F.col("frame") % by == 0).select("session", "frame", F.lit(stage).alias("stage"), F.concat(F.lit(f"{stage}: "), "frame").alias("error"))
+    failures = fails(7, "detect").unionByName(fails(11, "open")).unionByName(fails(13, "finalize"))
+    records = attach.attach_faces(rows.select("session", "track", "best_frame", "skipped"), candidates, faces, found, bodies, RUN.with_(face_consistency=0.5), failures=failures)
+    seen = found.join(wanted.select("session", "frame").distinct(), ["session", "frame"], "left_semi").where("k % 12 <> 5")
+    vectors = A.mixed_vectors(spark, sf_dir, seen, F.col("user") * 3 + 1, F.col("track") * 41 + F.col("frame"), F.col("k") % 8 * 0.2)
+    return written(attach.matched_faces(records, vectors.select("session", "frame", F.col("track").alias("face"), "vec"), rows, RUN), "faces")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The identity run from detections and vectors on: sightings, tracks after stitching, and the identities (written)."""
+    found, rows = _run_tracks(spark, sf_dir)
+    bodies = written(identify.body_identities(rows, RUN), "bodies")
+    walks = found.groupBy("session", "track").agg(F.count_distinct("frame").alias("n_frames"), F.max("user").alias("user"), F.max("k").alias("k"))
+    walks = A.mixed_vectors(spark, sf_dir, walks.join(rows.where("not skipped").select("session", "track"), ["session", "track"]), F.col("user") * 5 + 2, F.col("track") * 43, F.col("k") % 7 * 0.2)
+    gaits = identify.gait_identities(walks, rows, RUN)
+    return found, bodies, written(identify.resolved(bodies, _run_faces(spark, sf_dir, found, rows), gaits, RUN), "identities")
+
+
+def q90_identity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every track's identity after enrolment, stitching, faces, gait, merging, splitting and fusion."""
+    return _run(spark, sf_dir)[2].select(
+        "session", "track", "nth", "skipped", "body", "subject", "decision", "score", "stitch_score", "reused", "local", "cross_merged", "split", "face_status", "face_local", "face_matched", "face_match_score",
+        "gait", "gait_decision", "merge_routes", "merge_agree", "route_body", "route_face", "route_gait", "confidence", "resolved", "multi_source", "agreed", "primary", F.array_join("cues", ",").alias("cues"),
+    )
+
+
+def q91_run_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persons of each window, from detections and vectors in one run."""
+    found, _, identities = _run(spark, sf_dir)
+    frames = A.frames(found)
+    cut = written(windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), "windows")
+    at = tracks.best_evidence(found, RUN).select("session", "track", F.col("best_frame").alias("frame"))
+    best = found.join(at, ["session", "track", "frame"]).select("session", "track", *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
+    people = identify.window_identities(cut, found, identities, best, A.WIDTH, A.HEIGHT)
+    text = lambda p: F.concat(p["x"], F.lit(","), p["y"])
+    return people.select(
+        "session", "window", "person", "track", F.array_join("tracks", ",").alias("tracks"), "subject", "decision", "reused", "score", "face", "gait", "fused", "merge_routes", "merge_agree",
+        F.array_join("attributes", "|").alias("attributes"), F.array_join("box", ",").alias("box"), F.array_join(F.transform("path", text), ";").alias("path"),
+    )
+
+
+def q92_run_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The face records of the run: what failed, what was chosen, and what the face gallery said."""
+    return _run_faces(spark, sf_dir, *_run_tracks(spark, sf_dir))
+
+
+def q93_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of the run's frames, those of things and of known persons included."""
+    found, rows = _run_tracks(spark, sf_dir)
+    bodies = identify.body_identities(rows, RUN)
+    return tracks.frame_events(found, A.frames(found)).unionByName(tracks.object_events(found, RUN)).unionByName(identify.identity_hits(bodies))
+
+
+def q94_object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of frames and of things over the detections."""
+    found = A.detections(spark, sf_dir)
+    return tracks.frame_events(found, A.frames(found)).unionByName(tracks.object_events(found, P))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

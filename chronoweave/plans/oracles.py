@@ -145,9 +145,9 @@ pq as (select session, win_, person, track, any_value(subject) as subject, any_v
   any_value(face) as face, any_value(gait) as gait, any_value(fused) as fused, max(case when frame = wl then [x1, y1, x2, y2] end) as lb from pk group by 1, 2, 3, 4),
 pr_ as (select pq.*, coalesce(lb, [bx1, by1, bx2, by2]) as box, row_number() over (partition by session, win_, person order by coalesce(score, 0) desc, track) as r from pq join bb using (session, track)),
 pg as (select session, win_, person, count(*) as nt, string_agg(track::varchar, ',' order by track) as tracks, max(coalesce(score, 0.0::double)) as score, first(face order by track) filter (face is not null) as face, first(gait order by track) filter (gait is not null) as gait,
-  max(fused) as fused, list(mr) as mrs, bool_or(local_) as lo, bool_or(split_) as sp, first(track) filter (r = 1) as track, first(subject) filter (r = 1) as subject, first(decision) filter (r = 1) as d1, first(reused) filter (r = 1) as r1, first(box) filter (r = 1) as box from pr_ group by 1, 2, 3),
+  max(fused) as fused, max(score) as raw, list(mr) as mrs, bool_or(local_) as lo, bool_or(split_) as sp, first(track) filter (r = 1) as track, first(subject) filter (r = 1) as subject, first(decision) filter (r = 1) as d1, first(reused) filter (r = 1) as r1, first(box) filter (r = 1) as box from pr_ group by 1, 2, 3),
 pw as (select pg.session, pg.win_, pg.person, track, tracks, nt, subject, case when nt = 1 then d1 when lo then 'local_stitched' when sp then 'conflict_split' else 'hit' end as decision, case when nt = 1 then r1 else not (lo or sp) end as reused,
-  case when score > 0 then round(score, 4) end as score, face, gait, fused, coalesce(array_to_string(list_filter(list_sort(list_distinct(string_split(array_to_string(mrs, ','), ','))), lambda z: z <> ''), ','), '') as merge_routes, box, points, path
+  case when nt = 1 then raw when score > 0 then round(score, 4) end as score, face, gait, fused, coalesce(array_to_string(list_filter(list_sort(list_distinct(string_split(array_to_string(mrs, ','), ','))), lambda z: z <> ''), ','), '') as merge_routes, box, points, path
   from pg join pp using (session, win_, person))""".replace("{{", "{").replace("}}", "}")
 
 BAND = "case when {0} is null then '未知' when {0} >= 0.75::double then '高' when {0} >= 0.55::double then '中' when {0} > 0 then '低' else '无' end"

@@ -102,3 +102,28 @@ ro as (select session, track, first, last, q, n, case when track % 3 = 0 then (t
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], out: str = "nth") -> DataFrame:
     return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+#: Users of a session of sightings, and days of a track of one user.
+USERS, TRACK_DAYS = 8, 3
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in sessions whose number grows with the users: eight users share one, and each user has a track for every
+    three days, so that tracks of one user follow each other and those of others overlap them. At most one row per session,
+    frame and track, the one of the best quality."""
+    rows = observations(spark, sf_dir).withColumn("user", F.col("track")).drop("session", "track")
+    days = F.floor(F.col("frame") * FRAME_SECONDS / 86_400 / TRACK_DAYS)
+    rows = rows.withColumns({"session": F.concat(F.lit("s"), F.floor(F.col("user") / USERS)), "track": F.col("user") * 10 + days})
+    best = F.max_by(F.struct("event_id", "user", "k", "quality", "x1", "y1", "x2", "y2", "conf", "label"), F.struct("quality", -F.col("event_id"))).alias("b")
+    return rows.groupBy("session", "frame", "track").agg(best).select("session", "frame", "track", "b.*")
+
+
+def mixed_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, own: Column, other: Column, weight: Column, out: str = "vec") -> DataFrame:
+    """rows with a vector of the embeddings by the number `own`, and `weight` of another one by `other`, added up: rows with
+    the same own number are alike, the less the higher their weights."""
+    every = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__id"), F.col("embedding").cast("array<double>").alias("__vec"))
+    n = every.count()
+    pick = lambda df, by, name: df.withColumn("__id", F.pmod(by, F.lit(n))).join(every.withColumnRenamed("__vec", name), "__id").drop("__id")
+    both = pick(pick(rows.withColumn("__w", weight.cast("double")), own, "__a"), other, "__b")
+    return both.withColumn(out, F.zip_with("__a", "__b", lambda a, b: a + F.col("__w") * b)).drop("__a", "__b", "__w")
