@@ -15,6 +15,7 @@ from chronoweave.plans.oracles import ORACLES
 from chronoweave.session import read_table, written
 from chronoweave.sources import adapters as A
 from chronoweave.sources import files
+from chronoweave.streaming import stateful
 from chronoweave.streaming import windows as stream_windows
 
 #: Thresholds for the driver's tables, whose vectors carry no groups and whose frames are ten minutes long.
@@ -733,6 +734,14 @@ def q94_object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.frame_events(found, A.frames(found)).unionByName(tracks.object_events(found, P))
 
 
+def q95_capped_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q08's windows, told by a stream over the events whose timers close what stays open."""
+    events = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/event[s].parquet")
+    frames = events.select(F.col("event_type").alias("session"), A.frame_of().alias("frame"), _utc().alias("ts"))
+    cut = lambda stream: stateful.capped_windows(stream, QUIET, CAP, A.EPOCH_MS, A.FRAME_SECONDS * 1000, late="60 days", idle_ms=365 * 86_400_000)
+    return stateful.told_to_the_end(frames, cut, "q95")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -420,4 +420,7 @@ ORACLES = {
     "q88_manifest_hash": """select c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') as hash from customer""",
     "q89_limited_sampling": f"""with {D}, s as (select session, floor(frame * 600 / 7200.0)::bigint as slot, min(frame) as frame from o group by 1, 2), n as (select *, row_number() over (partition by session order by slot) as r from s)
         select session, slot, frame, round(slot * 7200.0::double, 3) as seconds from n where r <= 40""",
+    "q94_object_events": f"""with {D}, {FRAMES}, {SPANS}, {EVENTS}, th as (select session, track, min(frame) as frame, arg_min(label, frame) as label from d where label in ('backpack', 'handbag', 'suitcase', 'car', 'truck', 'bus', 'motorcycle', 'bicycle') and conf >= 0.35::double group by 1, 2)
+        select session, frame, event from ev union all select session, frame, 'object_new:' || label || '#' || track from th""",
+    "q95_capped_window_stream": f"with recursive {D}, {WINDOWS} select * from win",
 }

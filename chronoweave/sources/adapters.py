@@ -14,6 +14,8 @@ WIDTH, HEIGHT = 120.0, 140.0
 LABELS = ("person", "car", "truck", "bus", "backpack")
 
 _EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
+#: The same instant in milliseconds since 1970.
+EPOCH_MS = 1_704_067_200_000
 
 
 def frame_of(ts: str = "ts", seconds: int = FRAME_SECONDS) -> Column:
