@@ -117,8 +117,8 @@ def torso_from_points(b: Box, shoulders: list[tuple[Column, Column, Column]], hi
 def direction(first_x: Column, first_y: Column, last_x: Column, last_y: Column, points: Column, p: Params = DEFAULT) -> Column:
     """Where a path leads: right or left, then down or up, joined by +; mostly_static; unknown with fewer than 2 points."""
     dx, dy = last_x - first_x, last_y - first_y
-    across = F.when(dx > p.moved, "right").when(dx < -p.moved, "left")
-    along = F.when(dy > p.moved, "down").when(dy < -p.moved, "up")
+    across = F.when(dx >= p.moved, "right").when(dx <= -p.moved, "left")
+    along = F.when(dy >= p.moved, "down").when(dy <= -p.moved, "up")
     way = F.concat_ws("+", across, along)
     return F.when(points < 2, "unknown").when(way == "", "mostly_static").otherwise(way)
 

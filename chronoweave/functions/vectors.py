@@ -41,9 +41,18 @@ def signature_difference(a: Column, b: Column) -> Column:
     return F.when(~known | known.isNull(), 1.0).when((norm(a) == 0) | (norm(b) == 0), apart).otherwise(cosine)
 
 
+#: White space as reports strip it: Unicode's, and the separators of files, groups, records and units.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")
+
+
 def text_key(text: Column) -> Column:
     """A text without white space, in lower case: the key by which lines count as the same."""
-    return F.lower(F.regexp_replace(text, r"\s+", ""))
+    return F.lower(F.regexp_replace(text, WHITE, ""))
 
 
 def stable_hue(text: Column) -> Column:

@@ -74,6 +74,90 @@ def grounding_text(rows: DataFrame, most: int = 24) -> DataFrame:
     return rows.groupBy("session", "window", "frame").agg(joined.alias("text"), F.count(F.lit(1)).alias("n_objects"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
 
 
+# What stands around where persons are.
+GROUNDING = {
+    "head": "【关键帧空间 grounding（坐标辅助理解，不要求模型重新检测）】", "coord": "坐标约定：bbox=[x1,y1,x2,y2] pixels; bbox_norm/center_norm normalized to 0..1 from top-left",
+    "paths": "【跨帧轨迹摘要】", "more": ("  ... ", " more objects omitted"), "more_paths": ("... ", " more trajectories omitted"),
+}
+
+
+def who(subject: Column, track: Column) -> Column:
+    """How a person is called beside coordinates: by subject, or by track without one."""
+    return F.when(subject.isNotNull(), F.concat(F.lit("subject#"), subject)).otherwise(F.concat(F.lit("track#"), track))
+
+
+def identity_grounding(keyframes: DataFrame, found: DataFrame, identities: DataFrame, width: float, height: float) -> DataFrame:
+    """Who is where in each keyframe: label, subject and decision of each person, the box in pixels and as shares, its middle.
+
+    keyframes: session, window, frame; found: session, frame, track and a box; identities: session, track, subject, decision. A
+    track without identity is called by its number. A keyframe without persons has no row here.
+    """
+    rows = keyframes.join(found.select("session", "frame", "track", "x1", "y1", "x2", "y2"), ["session", "frame"]).join(identities.select("session", "track", "subject", "decision"), ["session", "track"], "left")
+    pixels = F.array(*(F.round(c, 1) for c in ("x1", "y1", "x2", "y2")))
+    x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    middle = F.array(F.round(x / width, 4), F.round(y / height, 4))
+    return rows.select("session", "window", "frame", "track", "subject", who(F.col("subject"), F.col("track")).alias("label"), "decision", pixels.alias("box"), G.norm_box(G.box(), width, height).alias("norm"), middle.alias("middle"))
+
+
+def identity_grounding_text(keyframes: DataFrame, rows: DataFrame, paths: DataFrame, most: int = 24, most_paths: int = 40, p: Params = DEFAULT) -> DataFrame:
+    """(session, window, text): a head, each keyframe with its persons (at most `most`, and how many more), then the persons'
+    paths (at most most_paths, and how many more).
+
+    keyframes: session, window, frame, at; rows of identity_grounding; paths: session, window, track, tracks (array), subject and
+    path (array of x, y), those without points being left out. Persons of a frame are told in order of tracks, paths by
+    representative. Windows with neither have no row.
+    """
+    by = ["session", "window"]
+    numbers = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda v: v.cast("string")), ", "), F.lit("]"))
+    item = F.concat(F.lit("  "), "label", F.lit(" track="), "track", F.lit(" bbox_norm="), numbers(F.col("norm")), F.lit(" center="), numbers(F.col("middle")))
+    told = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda r: r["told"])
+    items = rows.groupBy(*by, "frame").agg(told(F.struct("track", item.alias("told"))).alias("items"))
+    none = F.array().cast("array<string>")
+    rest = lambda n, words: F.when(n > 0, F.array(F.concat(F.lit(words[0]), n, F.lit(words[1])))).otherwise(none)
+    each = keyframes.select(*by, "frame", "at").join(items, [*by, "frame"], "left").withColumn("items", F.coalesce("items", none))
+    head = F.concat(F.lit("- frame#"), "frame", F.lit(" @ "), F.coalesce("at", F.lit("None")), F.lit("："), F.size("items"), F.lit(" objects"))
+    lines = F.concat(F.array(head), F.slice("items", 1, most), rest(F.size("items") - most, GROUNDING["more"]))
+    frames = each.groupBy(*by).agg(F.flatten(told(F.struct("frame", lines.alias("told")))).alias("frames"))
+    n, at = F.size("path"), lambda i: F.element_at("path", i)
+    shown = F.when(n >= 3, F.array(at(1), at((F.floor(n / 2) + 1).cast("int")), at(-1))).otherwise(F.col("path"))
+    points = F.concat(F.lit("["), F.array_join(F.transform(shown, lambda q: F.concat(F.lit("["), F.round(q["x"], 4), F.lit(", "), F.round(q["y"], 4), F.lit("]"))), ", "), F.lit("]"))
+    way = G.direction(at(1)["x"], at(1)["y"], at(-1)["x"], at(-1)["y"], n, p)
+    line = F.concat(F.lit("- "), who(F.col("subject"), F.col("track")), F.lit(" tracks="), numbers(F.col("tracks")), F.lit(" direction="), way, F.lit(" path="), points)
+    walked = paths.where(n > 0).groupBy(*by).agg(told(F.struct("track", line.alias("told"))).alias("paths"))
+    both = frames.join(walked, by, "full")
+    body = F.concat(
+        F.array(F.lit(GROUNDING["head"]), F.lit(GROUNDING["coord"])), F.coalesce("frames", none),
+        F.when(F.col("paths").isNotNull(), F.concat(F.array(F.lit(GROUNDING["paths"])), F.slice("paths", 1, most_paths), rest(F.size("paths") - most_paths, GROUNDING["more_paths"]))).otherwise(none),
+    )
+    return both.select(*by, F.array_join(body, "\n").alias("text"))
+
+
+def hundredths(x: Column) -> Column:
+    """A share of the frame (at least 0, under 8) to two places, by the number that the double really is and halves to even:
+    0.575 is a little less than that and gives 0.57. Counted in units of 2**-60, which such doubles are."""
+    unit = 1 << 60
+    whole = F.floor(x * float(unit)).cast("decimal(20,0)") * F.lit(100)
+    low = F.floor(x * 100) - 1  # near enough to begin from
+    rest = lambda t: whole - t.cast("decimal(20,0)") * F.lit(unit).cast("decimal(20,0)")
+    t = F.when(rest(low + 2) >= 0, low + 2).when(rest(low + 1) >= 0, low + 1).otherwise(low)
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    return (t + F.when((rest(t) > half) | ((rest(t) == half) & (t % 2 == 1)), 1).otherwise(0)) / 100.0
+
+
+def path_text(path: Column) -> Column:
+    """First, middle and last point of a path as persons' lines tell them; null without points."""
+    n, at = F.size(path), lambda i: F.element_at(path, i)
+    shown = F.when(n >= 3, F.array(at(1), at((F.floor(n / 2) + 1).cast("int")), at(-1))).otherwise(path)
+    return F.when(n > 0, F.concat(F.lit("  轨迹: "), F.array_join(F.transform(shown, lambda q: F.concat(F.lit("("), hundredths(q["x"]), F.lit(","), hundredths(q["y"]), F.lit(")"))), " → ")))
+
+
+def attribute_text(colour: Column, attributes: Column) -> Column:
+    """A person's main colour and attributes (array) as lines tell them; null where there are neither."""
+    own = F.when(F.coalesce(colour, F.lit("")) != "", F.concat(F.lit("主色:"), colour))
+    rest = F.when(F.size(attributes) > 0, F.concat(F.lit("属性:"), F.array_join(attributes, "/")))
+    return F.nullif(F.concat_ws(" | ", own, rest), F.lit(""))
+
+
 def path_summary(people: DataFrame, most: int = 40, p: Params = DEFAULT) -> DataFrame:
     """Where each person of a window went: points, direction, and first, middle and last point; nth orders a window's people.
 
@@ -103,8 +187,7 @@ def scene_text(lines: DataFrame) -> DataFrame:
     lines: session, frame, line, text. Texts are the same if they differ in white space and case only; empty ones are
     passed over. With n frames that have text, a text is static if n >= 2 and it is in max(2, whole part of 0.6 n) or more.
     """
-    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
-    rows = lines.select("session", "frame", "line", trimmed.alias("text"), V.text_key(F.col("text")).alias("key")).where("key <> ''")
+    rows = lines.select("session", "frame", "line", V.stripped(F.col("text")).alias("text"), V.text_key(F.col("text")).alias("key")).where("key <> ''")
     n = rows.groupBy("session").agg(F.count_distinct("frame").alias("n_frames"))
     first = F.min_by("text", F.struct("frame", "line")).alias("display")
     keys = rows.groupBy("session", "key").agg(F.count_distinct("frame").alias("n_seen"), first)
@@ -113,14 +196,51 @@ def scene_text(lines: DataFrame) -> DataFrame:
 
 
 def changing_text(lines: DataFrame, static: DataFrame, most: int = 24) -> DataFrame:
-    """The first `most` frames of each session that have text that is not static, with that text; lines as in scene_text."""
+    """The first `most` frames of each session that have text that is not static, with that text, stripped; omitted tells how
+    many frames more there are. lines as in scene_text."""
     key = F.md5(V.text_key(F.col("text")))
     fixed = static.where("static").select("session", "key")
-    rows = lines.withColumn("key", key).where(V.text_key(F.col("text")) != "").join(fixed, ["session", "key"], "left_anti")
+    rows = lines.withColumns({"key": key, "text": V.stripped(F.col("text"))}).where(V.text_key(F.col("text")) != "").join(fixed, ["session", "key"], "left_anti")
     firsts = rows.groupBy("session", "frame", "key").agg(F.min(F.struct("line", "text")).alias("r"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]), " | ")
     frames = firsts.groupBy("session", "frame").agg(joined.alias("text"))
-    return frames.withColumn("nth", F.row_number().over(W.partitionBy("session").orderBy("frame"))).where(F.col("nth") <= most)
+    total = frames.groupBy("session").agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
+    return frames.withColumn("nth", F.row_number().over(W.partitionBy("session").orderBy("frame"))).where(F.col("nth") <= most).join(total, "session")
+
+
+# What stands around the texts of a window.
+SCENE = {"head": "【画面文字（OCR，逐关键帧；场景级，不代表任何人的身份）】", "static": "固定文字（贯穿多帧，如摄像头名/地点）：", "changing": "逐帧文字（多为时间戳/动态信息，frame#与 grounding 一一对应）：", "more": ("  ... 其余 ", " 帧文字省略")}
+
+
+def scene_context(lines: DataFrame, most: int = 24) -> DataFrame:
+    """(session, window, text, n_frames, n_static, omitted): the text seen in each window's keyframes.
+
+    lines: session, window, frame, at, line, text. Static texts stand once, in order of where they are seen first; then
+    comes a line for each of the first `most` frames that have other texts, and how many frames more there are. Texts are
+    stripped; within a frame those that differ in white space and case only count once. Windows without text have no row.
+    A window's keyframes are few, so its lines are put together in one row.
+    """
+    by = ["session", "window"]
+    rows = lines.select(*by, "frame", "at", "line", V.stripped(F.col("text")).alias("text"), V.text_key(F.col("text")).alias("key")).where("key <> ''")
+    once = rows.groupBy(*by, "frame", "key").agg(F.min(F.struct("line", "text", "at")).alias("r")).select(*by, "frame", "key", "r.*")
+    n = once.groupBy(*by).agg(F.count_distinct("frame").alias("n_frames"))
+    keys = once.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n_seen"), F.min(F.struct("frame", "line", "text")).alias("first"))
+    need = F.greatest(F.lit(2), F.floor(F.col("n_frames") * 0.6).cast("long"))
+    keys = keys.join(n, by).withColumn("static", (F.col("n_frames") >= 2) & (F.col("n_seen") >= need))
+    in_order = lambda c: F.array_sort(F.collect_list(c))
+    fixed = keys.where("static").groupBy(*by).agg(F.transform(in_order("first"), lambda r: r["text"]).alias("fixed"))
+    shown = once.join(keys.where("not static").select(*by, "key"), [*by, "key"]).groupBy(*by, "frame").agg(F.max("at").alias("at"), F.array_join(F.transform(in_order(F.struct("line", "text")), lambda r: r["text"]), " | ").alias("text"))
+    anchor = F.concat(F.lit("- frame#"), "frame", F.lit(" @ "), F.coalesce("at", F.lit("None")), F.lit("："), "text")
+    changing = shown.groupBy(*by).agg(F.transform(in_order(F.struct("frame", anchor.alias("told"))), lambda r: r["told"]).alias("changing"))
+    out = n.join(fixed, by, "left").join(changing, by, "left")
+    none = F.array().cast("array<string>")
+    left = F.size("changing") - most
+    parts = F.concat(
+        F.array(F.lit(SCENE["head"])), F.when(F.col("fixed").isNotNull(), F.array(F.concat(F.lit(SCENE["static"]), F.array_join("fixed", " | ")))).otherwise(none),
+        F.when(F.col("changing").isNotNull(), F.concat(F.array(F.lit(SCENE["changing"])), F.slice("changing", 1, most))).otherwise(none),
+        F.when(left > 0, F.array(F.concat(F.lit(SCENE["more"][0]), left, F.lit(SCENE["more"][1])))).otherwise(none),
+    )
+    return out.select(*by, F.array_join(parts, "\n").alias("text"), "n_frames", F.coalesce(F.size("fixed"), F.lit(0)).cast("long").alias("n_static"), F.coalesce(F.greatest(left, F.lit(0)), F.lit(0)).cast("long").alias("omitted"))
 
 
 def roster(appearances: DataFrame) -> DataFrame:
@@ -184,12 +304,12 @@ def fused_text(confidence: Column, multi_source: Column, sources: Column) -> Col
 
 def identity_lines(people: DataFrame) -> DataFrame:
     """One text a window: its persons' lines. people: session, window, nth, track, name, subject, decision, reused, box (array),
-    fused, cues, evidence and path (texts, null where there is none)."""
+    fused, cues, evidence, path and, where there is such a column, attributes (texts, null where there is none)."""
     head = F.concat(
         F.lit("  #"), "nth", F.lit(" "), label_text(F.col("name"), F.col("subject"), F.col("decision")), F.lit("  track="), "track",
         F.when(F.coalesce("reused", F.lit(False)), " ♻回头客").otherwise(""), F.lit("  box=["), F.array_join(F.transform("box", lambda v: F.round(v, 1).cast("string")), ", "), F.lit("]"),
     )
-    extra = F.concat_ws(" | ", "fused", "cues", "evidence")
+    extra = F.concat_ws(" | ", "fused", "cues", "evidence", *(["attributes"] if "attributes" in people.columns else []))
     line = F.concat(head, F.when(extra != "", F.concat(F.lit("\n      "), extra)).otherwise(""), F.coalesce("path", F.lit("")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda r: r["line"])
     return people.groupBy("session", "window").agg(F.array_join(rows, "\n").alias("text"), F.count(F.lit(1)).alias("n_people"))
@@ -218,8 +338,8 @@ def window_requests(windows: DataFrame, keyframes: DataFrame, texts: dict[str, D
 
 
 def read_text(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Read lines that are not empty and sure enough, the surest first (nth); lines: session, frame, line, text, conf."""
-    kept = lines.where((F.coalesce("text", F.lit("")) != "") & (F.col("conf") >= p.text_min_conf))
+    """Read lines that are not empty and sure enough, stripped, the surest first (nth); lines: session, frame, line, text, conf."""
+    kept = lines.where((F.coalesce("text", F.lit("")) != "") & (F.col("conf") >= p.text_min_conf)).withColumn("text", V.stripped(F.col("text")))
     nth = F.row_number().over(W.partitionBy("session", "frame").orderBy(F.desc("conf"), "line"))
     return kept.withColumn("nth", nth.cast("long"))
 
@@ -228,6 +348,25 @@ def read_text(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
 PAYLOAD_FRAMES = 4096
 
 
+def documents(windows: DataFrame, parts: dict[str, DataFrame], head: dict[str, Column] | None = None, frames: int = PAYLOAD_FRAMES) -> DataFrame:
+    """The whole document of each session as JSON, assembled from the bottom up: (session, part, document, n_windows).
+
+    windows: session, window and what else a window tells; parts: a name and (session, window, nth, item) each, of which a
+    window holds the items in order of nth, or an empty list; head: what stands before the windows. Nulls are written. A
+    session has a document for each stretch of `frames` frames in which windows start, so no row holds a session; a
+    window's parts are as bounded as a window is.
+    """
+    by = ["session", "window"]
+    out = windows
+    for name, items in parts.items():
+        held = items.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "item"))), lambda r: r["item"]).alias(name))
+        out = out.join(held, by, "left").withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
+    rows = F.array_sort(F.collect_list(F.struct("window", *[c for c in out.columns if c not in by])))
+    folded = out.groupBy("session", F.floor(F.col("window") / frames).alias("part")).agg(rows.alias("windows"), F.count(F.lit(1)).alias("n_windows"))
+    whole = F.struct("session", "part", *(c.alias(k) for k, c in (head or {}).items()), "windows")
+    return folded.select("session", "part", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"), "n_windows")
+
+
 def payload(windows: DataFrame, key: str = "session", frames: int = PAYLOAD_FRAMES) -> DataFrame:
     """JSON documents of each session: its windows in order, as an array of objects, and their number.
 

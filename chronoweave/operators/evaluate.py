@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.slices import in_order
+from chronoweave.session import written
+
 
 def rank_k(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(k, n_probe, rate): of the queries with results, the share in % with a right subject among their k best."""
@@ -86,6 +89,28 @@ def resampled(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
     return drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
 
 
+def drawn_means(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(draw, mean): in each draw as many clusters as there are, with replacement, and the mean of their values.
+
+    clusters: pid (each once) and value. Cluster number i of n, in order of pid, stands for place i of every draw; the cluster
+    drawn there is the first 48 bits of md5 of `seed|draw|place`, modulo n. How often a draw has each number is counted
+    before the values are joined, and numbers come from ranges, so no task holds all clusters. The same in every run; a null
+    value counts as 0.
+    """
+    rows = written(in_order(clusters.select("pid", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")), ["pid"], "place"), "clusters")
+    n = rows.count()
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = rows.select("place", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("draw", F.pmod(bits, F.lit(max(n, 1)).cast("long")).alias("place"))
+    times = drawn.groupBy("draw", "place").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(rows.select("place", "value"), "place").groupBy("draw").agg((F.sum(F.col("times") * F.col("value")) / F.lit(max(n, 1))).alias("mean"))
+
+
+def interval(means: DataFrame, level: float = 0.95) -> DataFrame:
+    """One row: the percentile interval of draws' means (low, high; linear between ranks), their mean and number."""
+    tail = (1 - level) / 2
+    return means.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"), F.avg("mean").alias("centre"), F.count(F.lit(1)).alias("draws"))
+
+
 def sign_flip(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
     """Two-sided p-value that the clusters' mean differs from 0, by flipping signs at random; one row."""
     sign = F.when(F.pmod(F.xxhash64("pid", "draw", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.session import written
+
 FRAMES = 4096
 KEY = ["session", "__slice"]
 
@@ -37,3 +39,14 @@ def with_running_sum(df: DataFrame, value: Column, out: str, frames: int = FRAME
     base = sums.select(*KEY, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
     own = F.sum("__value").over(W.partitionBy(*KEY).orderBy("frame"))
     return rows.withColumn("__own", own).join(base, KEY).withColumn(out, F.col("__base") + F.col("__own")).drop("__slice", "__value", "__own", "__base")
+
+
+def in_order(df: DataFrame, order: list[str], out: str, rows: int = 100_000) -> DataFrame:
+    """df with `out`, its rows' numbers from 0 in the order of these columns (nulls first): rows are cut into ranges of about
+    `rows`, written and counted, so no task sorts them all. Rows that are equal in all of the columns are numbered as they come."""
+    ranges = max(1, -(-df.count() // rows))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(before, "__range").withColumn(out, F.col("__base") + F.col("__own")).drop("__range", "__own", "__base")

@@ -742,6 +742,72 @@ def q95_capped_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.told_to_the_end(frames, cut, "q95")
 
 
+def _user_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.observations(spark, sf_dir).groupBy(F.col("track").alias("pid")).agg(F.avg("quality").alias("value"))
+
+
+def q96_bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of users' mean qualities over 200 draws of as many users as there are, with replacement."""
+    return evaluate.drawn_means(_user_means(spark, sf_dir), 200, "b7").withColumn("mean", F.round("mean", 6))
+
+
+def q97_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.interval(evaluate.drawn_means(_user_means(spark, sf_dir), 200, "b7"))
+    return found.select("draws", *(F.round(c, 6).alias(c) for c in ("low", "high", "centre")))
+
+
+def q98_fallback_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spaced candidates of each track with its best frame among them."""
+    found, p = A.detections(spark, sf_dir), P.with_(candidate_gap=30)
+    return keyframes.with_fallback(keyframes.spaced_candidates(found, ["session", "track"], "quality", p), tracks.best_evidence(found, P), ["session", "track"], p)
+
+
+def q99_scene_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each forty documents of a source, as seen in a window's frames."""
+    at = F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.0))
+    return context.scene_context(A.text_lines(spark, sf_dir).withColumns({"window": F.floor(F.col("frame") / 40) * 40, "at": at}))
+
+
+def _standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities made up from the events' numbers, as in q59."""
+    n = F.col("n")
+    return A.routes(spark, sf_dir).select("session", "track", F.when(n % 5 != 0, F.col("track") % 9).alias("subject"), F.when(n % 3 == 0, "hit").when(n % 3 == 1, "grey").otherwise("new").alias("decision"))
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _window_frames(spark, sf_dir)
+    return rows.where("has_event").select("session", "window", "frame", F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.5)).alias("at"))
+
+
+def q100_identity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is where in each event frame, by subject."""
+    rows = context.identity_grounding(_shown(spark, sf_dir), A.detections(spark, sf_dir), _standing(spark, sf_dir), A.WIDTH, A.HEIGHT)
+    return rows.select("session", "window", "frame", "track", "subject", "label", "decision", *(F.array_join(c, ",").alias(c) for c in ("box", "norm", "middle")))
+
+
+def q101_identity_grounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of q100's persons and of the persons' paths, three persons a frame and five paths a window at most."""
+    shown = _shown(spark, sf_dir)
+    rows = context.identity_grounding(shown, A.detections(spark, sf_dir), _standing(spark, sf_dir), A.WIDTH, A.HEIGHT)
+    return context.identity_grounding_text(shown, rows, _window_persons(spark, sf_dir), 3, 5, P)
+
+
+def q102_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with their events, persons and things, as whole documents."""
+    found_windows, found, frames = _windows(spark, sf_dir)
+    events = windows.members(found_windows, tracks.frame_events(found, frames)).select("session", F.col("first").alias("window"), F.col("event").alias("nth"), F.col("event").alias("item")).distinct()
+    people = _window_persons(spark, sf_dir).select("session", "window", F.col("track").alias("nth"), F.struct("track", "tracks", "subject", "decision", "score", "box").alias("item"))
+    things = context.object_context(found_windows, found, A.WIDTH, A.HEIGHT, P).select("session", "window", "nth", F.struct("track", "label", "frames_present", "direction", "conf").alias("item"))
+    head = {"schema": F.lit(2), "size": F.array(F.lit(A.WIDTH), F.lit(A.HEIGHT))}
+    return context.documents(found_windows.withColumnRenamed("first", "window"), {"events": events, "people": people, "objects": things}, head)
+
+
+def q103_person_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What persons' lines say of paths, colours and attributes."""
+    colour = F.when(F.col("track") % 3 == 0, F.lit("red"))
+    return _window_persons(spark, sf_dir).select("session", "window", "person", context.path_text(F.col("path")).alias("path"), context.attribute_text(colour, F.col("attributes")).alias("attributes"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,7 +43,7 @@ def _iou(a: str, b: str) -> str:
 
 
 DIRECTION = """case when n < 2 then 'unknown' when coalesce(ax, '') || coalesce(ay, '') = '' then 'mostly_static' else concat_ws('+', ax, ay) end"""
-_AXES = "case when x1_ - x0_ > 0.05::double then 'right' when x1_ - x0_ < -0.05::double then 'left' end as ax, case when y1_ - y0_ > 0.05::double then 'down' when y1_ - y0_ < -0.05::double then 'up' end as ay"
+_AXES = "case when x1_ - x0_ >= 0.05::double then 'right' when x1_ - x0_ <= -0.05::double then 'left' end as ax, case when y1_ - y0_ >= 0.05::double then 'down' when y1_ - y0_ <= -0.05::double then 'up' end as ay"
 
 #: The 30 nearest others of each vector whose id is divisible by 100, scores as doubles.
 KNN = """v as (select vec_id, label::bigint as subject, embedding::double[] as vec from embeddings),
@@ -100,6 +100,12 @@ x3 as (select *, (fs * fw + bs * 0.3::double + gs * gw) / (fw + 0.3::double + gw
 x4 as (select *, (fa and coalesce(face % 7 = subject, false))::int + ba::int + (ga and coalesce(gait % 7 = subject, false))::int >= 2 as agreed, fa::int + ba::int + ga::int >= 2 as multi_source, greatest(fs * fw, bs * 0.3::double, gs * gw) as best from x3),
 x5 as (select *, case when agreed then least(1.0::double, c0 + 0.15::double) else c0 end as c from x4)"""
 
+def _hundredths(x: str) -> str:
+    """Two places by the exact value of the double, in units of 2**-60."""
+    w, u = f"(({x} * 1152921504606846976.0::double)::hugeint * 100)", "1152921504606846976::hugeint"
+    return f"(({w} // {u} + case when {w} % {u} * 2 > {u} or {w} % {u} * 2 = {u} and {w} // {u} % 2 = 1 then 1 else 0 end)::double / 100)"
+
+
 #: Small boxes matched one to one with large ones in a frame: pairs are walked from the best down, both ends once.
 ASSOCIATED = """ap as (select a.session, a.frame, a.track as face, p.track, greatest(0.0::double, least(a.x1 + 12, p.x2) - greatest(a.x1, p.x1)) * greatest(0.0::double, least(a.y1 + 14, p.y2) - greatest(a.y1, p.y1)) / 168.0::double as score
   from d a join d p on a.session = p.session and a.frame = p.frame where a.x1 + 6 between p.x1 and p.x2 and (a.y1 + 7 - p.y1) / (p.y2 - p.y1) between -0.05::double and 0.48::double),
@@ -118,7 +124,7 @@ ov as (select session, track, max(conf) as conf, last(label order by frame) as l
 ag as (select th.session, win.first as win_, track, count(distinct frame) as n, min(frame) as f0, max(frame) as f1, first(cx order by frame) as x0_, last(cx order by frame) as x1_, first(cy order by frame) as y0_, last(cy order by frame) as y1_
   from th join win on th.session = win.session and th.frame between win.first and win.last group by 1, 2, 3 having count(distinct frame) >= 2),
 ax as (select *, {_AXES} from ag),
-ob as (select session, win_, track, label, n, f0, f1, {DIRECTION} as direction, row_number() over (partition by session, win_ order by n desc, f0, track) as nth from ax join ov using (session, track)),
+ob as (select session, win_, track, label, n, f0, f1, conf, {DIRECTION} as direction, row_number() over (partition by session, win_ order by n desc, f0, track) as nth from ax join ov using (session, track)),
 ot as (select session, win_, string_agg('- ' || coalesce(map {{'backpack': '背包', 'car': '汽车', 'truck': '卡车', 'bus': '公交车'}}[label], label) || '(' || label || ') track#' || track || '：frame#' || f0 || '@' || C0_CLOCK || ' → frame#' || f1 || '@' || C1_CLOCK || '（共' || n || '帧）；' ||
   case when direction in ('mostly_static', 'unknown') then '基本静止' else '移动(' || direction || ')，疑似被搬动/取走/放下' end, chr(10) order by nth) filter (nth <= 20) as text, greatest(count(*) - 20, 0) as omitted from ob group by 1, 2)"""
 
@@ -146,12 +152,33 @@ pq as (select session, win_, person, track, any_value(subject) as subject, any_v
 pr_ as (select pq.*, coalesce(lb, [bx1, by1, bx2, by2]) as box, row_number() over (partition by session, win_, person order by coalesce(score, 0) desc, track) as r from pq join bb using (session, track)),
 pg as (select session, win_, person, count(*) as nt, string_agg(track::varchar, ',' order by track) as tracks, max(coalesce(score, 0.0::double)) as score, first(face order by track) filter (face is not null) as face, first(gait order by track) filter (gait is not null) as gait,
   max(fused) as fused, max(score) as raw, list(mr) as mrs, bool_or(local_) as lo, bool_or(split_) as sp, first(track) filter (r = 1) as track, first(subject) filter (r = 1) as subject, first(decision) filter (r = 1) as d1, first(reused) filter (r = 1) as r1, first(box) filter (r = 1) as box from pr_ group by 1, 2, 3),
-pw as (select pg.session, pg.win_, pg.person, track, tracks, nt, subject, case when nt = 1 then d1 when lo then 'local_stitched' when sp then 'conflict_split' else 'hit' end as decision, case when nt = 1 then r1 else not (lo or sp) end as reused,
+pw as (select pg.session, pg.win_, pg.person, track, tracks, nt, lo as lo_, sp as sp_, subject, case when nt = 1 then d1 when lo then 'local_stitched' when sp then 'conflict_split' else 'hit' end as decision, case when nt = 1 then r1 else not (lo or sp) end as reused,
   case when nt = 1 then raw when score > 0 then round(score, 4) end as score, face, gait, fused, coalesce(array_to_string(list_filter(list_sort(list_distinct(string_split(array_to_string(mrs, ','), ','))), lambda z: z <> ''), ','), '') as merge_routes, box, points, path
   from pg join pp using (session, win_, person))""".replace("{{", "{").replace("}}", "}")
 
 BAND = "case when {0} is null then '未知' when {0} >= 0.75::double then '高' when {0} >= 0.55::double then '中' when {0} > 0 then '低' else '无' end"
 
+BOOTSTRAP = """with c as (select user_id as pid, avg(value) as value from events group by 1), p as (select *, row_number() over (order by pid) - 1 as place, count(*) over () as n from c),
+r as (select draw, ('0x' || substr(md5('b7|' || draw || '|' || place), 1, 12))::bigint % n as place from p, (select unnest(range(200)) as draw)),
+bm as (select draw, avg(value) as mean from r join p using (place) group by 1)"""
+
+SCENE_CONTEXT = r"""with l as (select source as session, doc_id as frame, doc_id // 40 * 40 as win_, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
+k as (select session, win_, frame, line, regexp_replace(text, '^WS|WS$', '', 'g') as text, lower(regexp_replace(text, 'WS', '', 'g')) as key from l), f as (select * from k where key <> ''),
+o as (select session, win_, frame, key, arg_min(text, line) as text, min(line) as line from f group by 1, 2, 3, 4), n as (select session, win_, count(distinct frame) as nf from o group by 1, 2),
+g as (select session, win_, key, count(*) as seen, arg_min(text, (frame, line)) as shown, min((frame, line)) as at_ from o group by 1, 2, 3), s as (select *, nf >= 2 and seen >= greatest(2, floor(nf * 0.6::double)) as static from g join n using (session, win_)),
+fx as (select session, win_, count(*) as n_static, string_agg(shown, ' | ' order by at_) as fixed from s where static group by 1, 2),
+ch as (select session, win_, frame, '- frame#' || frame || ' @ ' || case when frame % 4 <> 0 then CLOCK else 'None' end || '：' || string_agg(text, ' | ' order by line, text) as told from o join s using (session, win_, key) where not static group by 1, 2, 3),
+cr as (select *, row_number() over (partition by session, win_ order by frame) as r from ch),
+ct as (select session, win_, string_agg(told, chr(10) order by r) filter (r <= 24) as told, greatest(count(*) - 24, 0) as omitted from cr group by 1, 2)
+select session, win_ as "window", '【画面文字（OCR，逐关键帧；场景级，不代表任何人的身份）】' || coalesce(chr(10) || '固定文字（贯穿多帧，如摄像头名/地点）：' || fixed, '') || coalesce(chr(10) || '逐帧文字（多为时间戳/动态信息，frame#与 grounding 一一对应）：' || chr(10) || told, '') ||
+  case when omitted > 0 then chr(10) || '  ... 其余 ' || omitted || ' 帧文字省略' else '' end as text, nf as n_frames, coalesce(n_static, 0) as n_static, coalesce(omitted, 0) as omitted from n left join fx using (session, win_) left join ct using (session, win_)
+""".replace("WS", r"[\s\x0B\x1C-\x1F\x85\p{Z}]+").replace("CLOCK", "format('{:02d}:{:02d}:{:02d}', frame // 3600, frame % 3600 // 60, frame % 60)")
+
+#: Who is where in event frames, with identities as PERSONS has them.
+STANDING = """ig as (select d.session, wf.win_, d.frame, d.track, case when ro.n % 5 <> 0 then d.track % 9 end as subject, ['hit', 'grey', 'new'][ro.n % 3 + 1] as decision, coalesce('subject#' || case when ro.n % 5 <> 0 then d.track % 9 end, 'track#' || d.track) as label, d.x1, d.y1, d.x2, d.y2,
+  round(greatest(0.0::double, least(1.0::double, x1 / 120.0::double)), 4) as n1, round(greatest(0.0::double, least(1.0::double, y1 / 140.0::double)), 4) as n2, round(greatest(0.0::double, least(1.0::double, x2 / 120.0::double)), 4) as n3, round(greatest(0.0::double, least(1.0::double, y2 / 140.0::double)), 4) as n4,
+  round((x1 + x2) / 2 / 120.0::double, 4) as mx, round((y1 + y2) / 2 / 140.0::double, 4) as my from d join wf on wf.session = d.session and wf.frame = d.frame and wf.has_event left join ro on ro.session = d.session and ro.track = d.track)"""
+
 ORACLES = {
     "q01_frame_sampling": f"""with {D}, s as (select session, floor(frame * 600 / 7200.0)::bigint as slot, min(frame) as frame from o group by 1, 2)
         select session, slot, frame, round(slot * 7200.0::double, 3) as seconds from s""",
@@ -257,7 +284,7 @@ ORACLES = {
         select session, win_ as "window", unnest(pick) as frame from c""",
     "q35_spatial_grounding": f"""with recursive {D}, {FRAMES}, {WINDOWS}, {WFRAMES}, {GROUNDED} select session, win_ as "window", frame, track, label, n1, n2, n3, n4, cx, cy from gc""",
     "q36_scene_text_static": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
-        k as (select session, frame, line, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') as text, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
+        k as (select session, frame, line, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g') as text, lower(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
         n as (select session, count(distinct frame) as n_frames from f group by 1), g as (select session, key, count(distinct frame) as n_seen, first(text order by frame, line) as display from f group by 1, 2)
         select session, md5(key) as key, n_seen, n_frames, n_frames >= 2 and n_seen >= greatest(2, floor(n_frames * 0.6::double)) as static, display from g join n using (session)""",
     "q37_roster": """select role || '#' || (conv_id % 20) as subject, string_agg(conv_id || '~' || turn, ', ' order by conv_id * 1000 + turn, conv_id || '~' || turn) as ranges, count(*) as n from conversations group by 1""",
@@ -368,14 +395,14 @@ ORACLES = {
         select query, row, subject, round(score, 6) as score, nth from r where nth <= 10""",
     "q69_gate_classes": f"with {D} select session, frame, track, label from d where label in ('car', 'bus', 'truck')",
     "q68_changing_text": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents),
-        k as (select session, frame, line, text, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
+        k as (select session, frame, line, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g') as text, lower(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', '', 'g')) as key from l), f as (select * from k where key <> ''),
         n as (select session, count(distinct frame) as n_frames from f group by 1), g as (select session, key, count(distinct frame) as n_seen from f group by 1, 2),
         c as (select f.* from f join n using (session) join g using (session, key) where not (n_frames >= 2 and n_seen >= greatest(2, floor(n_frames * 0.6::double)))),
         u as (select session, frame, key, first(text order by line) as text, min(line) as line from c group by 1, 2, 3), t as (select session, frame, string_agg(text, ' | ' order by line, text) as text from u group by 1, 2),
-        z as (select *, row_number() over (partition by session order by frame) as nth from t) select session, frame, text, nth from z where nth <= 24""",
-    "q64_read_text": """with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line from documents),
+        z as (select *, row_number() over (partition by session order by frame) as nth, greatest(count(*) over (partition by session) - 24, 0) as omitted from t) select session, frame, text, nth, omitted from z where nth <= 24""",
+    "q64_read_text": r"""with l as (select source as session, doc_id as frame, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line from documents),
         c as (select *, (length(text) * 37 % 100)::double / 100.0::double as conf from l), k as (select *, row_number() over (partition by session, frame order by conf desc, line) as nth from c where text <> '' and conf >= 0.5::double)
-        select session, frame, line::bigint as line, text, conf, nth from k""",
+        select session, frame, line::bigint as line, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g') as text, conf, nth from k""",
     "q66_colour_match": f"""with {D}, c as (select event_id, track, (k * 37 % 256)::double as r, (k * 91 % 256)::double as g, (k * 53 % 256)::double as b from o), h as (select *, greatest(r, g, b) as hi, greatest(r, g, b) - least(r, g, b) as span from c),
         u as (select *, case when hi = 0 then 0.0::double else span / hi end as sat, hi / 255 as val, case when span = 0 then 0.0::double when hi = r then (60.0::double * (g - b) / span + 360) % 360 when hi = g then 60.0::double * (b - r) / span + 120 else 60.0::double * (r - g) / span + 240 end as hue from h),
         n as (select *, case when val < 0.2::double then 'black' when sat < 0.15::double and val > 0.8::double then 'white' when sat < 0.15::double then 'gray' when (hue < 45 or hue >= 345) and val < 0.5::double and sat > 0.3::double then 'brown' when hue < 15 or hue >= 345 then 'red'
@@ -423,4 +450,36 @@ ORACLES = {
     "q94_object_events": f"""with {D}, {FRAMES}, {SPANS}, {EVENTS}, th as (select session, track, min(frame) as frame, arg_min(label, frame) as label from d where label in ('backpack', 'handbag', 'suitcase', 'car', 'truck', 'bus', 'motorcycle', 'bicycle') and conf >= 0.35::double group by 1, 2)
         select session, frame, event from ev union all select session, frame, 'object_new:' || label || '#' || track from th""",
     "q95_capped_window_stream": f"with recursive {D}, {WINDOWS} select * from win",
+    "q96_bootstrap_means": f"{BOOTSTRAP} select draw, round(mean, 6) as mean from bm",
+    "q97_bootstrap_interval": f"{BOOTSTRAP} select count(*) as draws, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high, round(avg(mean), 6) as centre from bm",
+    "q99_scene_context": SCENE_CONTEXT,
+    "q100_identity_grounding": f"""with recursive {D}, {ROUTE_ROWS}, {FRAMES}, {WINDOWS}, {WFRAMES}, {STANDING} select session, win_ as "window", frame, track, subject, label, decision, x1 || ',' || y1 || ',' || x2 || ',' || y2 as box,
+        n1 || ',' || n2 || ',' || n3 || ',' || n4 as norm, mx || ',' || my as middle from ig""",
+    "q101_identity_grounding_text": f"""with recursive {D}, {ROUTE_ROWS}, {FRAMES}, {WINDOWS}, {WFRAMES}, {STANDING}, {PERSONS},
+        it as (select session, win_, frame, row_number() over (partition by session, win_, frame order by track) as r, count(*) over (partition by session, win_, frame) as n,
+          '  ' || label || ' track=' || track || ' bbox_norm=[' || n1 || ', ' || n2 || ', ' || n3 || ', ' || n4 || '] center=[' || mx || ', ' || my || ']' as item from ig),
+        fl as (select wf.session, wf.win_, wf.frame, '- frame#' || wf.frame || ' @ ' || case when wf.frame % 4 <> 0 then {_clock("wf.frame")} else 'None' end || '：' || coalesce(max(n), 0) || ' objects' ||
+          coalesce(chr(10) || string_agg(item, chr(10) order by r) filter (r <= 3), '') || case when max(n) > 3 then chr(10) || '  ... ' || (max(n) - 3) || ' more objects omitted' else '' end as text
+          from wf left join it on it.session = wf.session and it.win_ = wf.win_ and it.frame = wf.frame where has_event group by 1, 2, 3),
+        ft as (select session, win_, string_agg(text, chr(10) order by frame) as text from fl group by 1, 2),
+        ps as (select *, points as n, case when points >= 3 then [path[1], path[points // 2 + 1], path[points]] else path end as sh, path[1].x as x0_, path[points].x as x1_, path[1].y as y0_, path[points].y as y1_ from pw),
+        pa as (select *, {_AXES} from ps), pl as (select session, win_, row_number() over (partition by session, win_ order by track) as r, count(*) over (partition by session, win_) as m, '- ' || coalesce('subject#' || subject, 'track#' || track) || ' tracks=[' || replace(tracks, ',', ', ') ||
+          '] direction=' || {DIRECTION} || ' path=[' || array_to_string(list_transform(sh, lambda p: '[' || p.x || ', ' || p.y || ']'), ', ') || ']' as line from pa),
+        pt2 as (select session, win_, '【跨帧轨迹摘要】' || chr(10) || string_agg(line, chr(10) order by r) filter (r <= 5) || case when max(m) > 5 then chr(10) || '... ' || (max(m) - 5) || ' more trajectories omitted' else '' end as text from pl group by 1, 2)
+        select coalesce(ft.session, pt2.session) as session, coalesce(ft.win_, pt2.win_) as "window", '【关键帧空间 grounding（坐标辅助理解，不要求模型重新检测）】' || chr(10) || '坐标约定：bbox=[x1,y1,x2,y2] pixels; bbox_norm/center_norm normalized to 0..1 from top-left' ||
+          coalesce(chr(10) || ft.text, '') || coalesce(chr(10) || pt2.text, '') as text from ft full join pt2 on ft.session = pt2.session and ft.win_ = pt2.win_""",
+    "q103_person_texts": f"""with recursive {D}, {ROUTE_ROWS}, {WINDOWS}, {PERSONS}, t as (select *, case when points >= 3 then [path[1], path[points // 2 + 1], path[points]] else path end as sh, case when track % 3 = 0 then '主色:red' end as colour, case when nt > 1 then '属性:由' || nt || '条轨迹合并(' ||
+          case when lo_ then '本视频本地subject' when sp_ then '时间冲突拆分subject' else '同一人' end || ')' || case when merge_routes <> '' then '/跨track印证：' || replace(replace(replace(replace(merge_routes, ',', '+'), 'face', '人脸库'), 'body', '人形库'), 'gait', '步态库') else '' end end as attrs from pw)
+        select session, win_ as "window", person, '  轨迹: ' || array_to_string(list_transform(sh, lambda p: '(' || {_hundredths("p.x")} || ',' || {_hundredths("p.y")} || ')'), ' → ') as path, nullif(concat_ws(' | ', colour, attrs), '') as attributes from t""",
+    "q102_documents": f"""with recursive {D}, {ROUTE_ROWS}, {FRAMES}, {SPANS}, {EVENTS}, {WINDOWS}, {PERSONS}, {OBJECTS},
+        de as (select win.session, win.first as win_, list(distinct event order by event) as events from win join ev on ev.session = win.session and ev.frame between win.first and win.last group by 1, 2),
+        dp as (select session, win_, list({{'track': track, 'tracks': list_transform(string_split(tracks, ','), lambda t: t::bigint), 'subject': subject, 'decision': decision, 'score': score, 'box': box}} order by track) as people from pw group by 1, 2),
+        dj as (select session, win_, list({{'track': track, 'label': label, 'frames_present': n, 'direction': direction, 'conf': round(conf, 3)}} order by nth) as objects from ob group by 1, 2),
+        dw as (select win.session, win.first as win_, {{'window': win.first, 'last': win.last, 'n_frames': win.n_frames, 'events': coalesce(events, []), 'people': coalesce(people, []), 'objects': coalesce(objects, [])}} as w
+          from win left join de on de.session = win.session and de.win_ = win.first left join dp on dp.session = win.session and dp.win_ = win.first left join dj on dj.session = win.session and dj.win_ = win.first)
+        select session, win_ // 4096 as part, to_json({{'session': session, 'part': win_ // 4096, 'schema': 2, 'size': [120.0::double, 140.0::double], 'windows': list(w order by win_)}})::varchar as document, count(*) as n_windows from dw group by 1, 2""",
 }
+
+ORACLES["q98_fallback_candidates"] = f"""with cd as ({ORACLES["q34_temporal_nms"]}), bs as ({ORACLES["q05_track_best_evidence"]}), h as (select session, track, count(*) as n, list(frame) as fs from cd group by 1, 2),
+  ex as (select bs.session, bs.track, best_frame as frame, -1.0::double as score, least(coalesce(n, 0), 2)::bigint as nth from bs left join h on h.session = bs.session and h.track = bs.track where n is null or not list_contains(fs, best_frame))
+  select cd.* from cd where not exists (select 1 from ex where ex.session = cd.session and ex.track = cd.track and ex.nth = cd.nth) union all select * from ex"""

@@ -318,3 +318,11 @@ def test_evidence_is_told_without_pixels(spark):
 
     df = spark.createDataFrame([(1, b"p", [0.5], "x")], "track long, crop binary, embedding array<double>, status string")
     assert attach.public_evidence(df).columns == ["track", "status"]
+
+
+def test_hundredths_are_those_of_the_double(spark):
+    from chronoweave.operators.context import hundredths
+
+    rows = [(k / 1000,) for k in range(1001)] + [(1.005,), (0.0,), (2.675,), (7.125,)]
+    for x, got in spark.createDataFrame(rows, "x double").select("x", hundredths(F.col("x"))).collect():
+        assert got == round(x, 2), x
