@@ -16,7 +16,7 @@ from chronoweave.session import emptied, read_table, small_batches, written
 #: A run is deleted where it repeats if it has so many lines, or else so many words.
 MIN_LINES, MIN_WORDS = 3, 50
 
-LINES = "key long, doc_id long, numbers array<int>, words array<int>, hashes binary"
+LINES = "key binary, doc_id long, numbers array<int>, hashes binary, ends array<int>, chosen array<int>"
 
 
 def line_keys(text: str) -> list[tuple[int, int, int]]:
@@ -40,21 +40,27 @@ def windows_of(keys: list[tuple[int, int, int]], min_lines: int, min_words: int)
                 break
 
 
-def winnowed(keys: list[tuple[int, int, int]], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> dict[int, list[tuple[int, int]]]:
-    """The selected lines, each with the windows whose least hash it is (the last one among equals).
+def choices(keys: list[tuple[int, int, int]], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(first, last, chosen) of each window: the line with its least hash (the last one among equals) is its fingerprint.
 
     Which line a window selects depends on the window alone, so two equal windows always select the same fingerprint:
     every repeated run that is long enough shares one.
     """
+    return [(i, j, min(range(i, j + 1), key=lambda n: (keys[n][1], -n))) for i, j in windows_of(keys, min_lines, min_words)]
+
+
+def winnowed(keys: list[tuple[int, int, int]], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> dict[int, list[tuple[int, int]]]:
+    """The selected lines, each with the windows that chose it."""
     chosen: dict[int, list[tuple[int, int]]] = {}
-    for i, j in windows_of(keys, min_lines, min_words):
-        at = min(range(i, j + 1), key=lambda n: (keys[n][1], -n))
+    for i, j, at in choices(keys, min_lines, min_words):
         chosen.setdefault(at, []).append((i, j))
     return chosen
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """The lines of (__key, doc_id, text) that are not blank: their numbers, words and hashes; texts without any have no row."""
+def hashed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The lines of (__key, doc_id, text) that are not blank: their numbers and hashes, and for each line the last line and the
+    chosen one of the window that begins with it (lines with which none begins are at the end and have none). Texts without
+    lines have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,76 +68,75 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
             for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = line_keys(text or "")
                 if found:
-                    rows.append((key, doc_id, [k[0] for k in found], [k[2] for k in found], b"".join(k[1].to_bytes(16, "little") for k in found)))
+                    windows = choices(found, min_lines, min_words)
+                    rows.append((key, doc_id, [k[0] for k in found], b"".join(k[1].to_bytes(16, "little") for k in found), [w[1] for w in windows], [w[2] for w in windows]))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "numbers", "words", "hashes"])
+                kinds = (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "numbers", "hashes", "ends", "chosen"])
 
     return docs.select("__key", "doc_id", "text").mapInArrow(run, LINES)
 
 
-def _keys(batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, list[tuple[int, int, int]], bytes]]:
-    for key, doc_id, numbers, words, hashes in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-        yield key, doc_id, [(n, int.from_bytes(hashes[16 * i : 16 * i + 16], "little"), w) for i, (n, w) in enumerate(zip(numbers, words, strict=True))], hashes
-
-
-def _fingerprint(hashed: int) -> int:
-    return (hashed & ((1 << 64) - 1)) - (1 << 63)
+def _fingerprint(hashes: bytes, line: int) -> int:
+    return (int.from_bytes(hashes[16 * line : 16 * line + 8], "little")) - (1 << 63)
 
 
-def postings(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def postings(lines: DataFrame) -> DataFrame:
     """(fingerprint, key): the lines that some window of a document selects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(_fingerprint(keys[at][1]), key) for key, _, keys, _ in _keys(batch) for at in winnowed(keys, min_lines, min_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["fingerprint", "key"])
+            rows = [(_fingerprint(hashes, at), key) for key, hashes, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at in sorted(set(chosen))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["fingerprint", "key"])
 
-    return lines.mapInArrow(run, "fingerprint long, key long")
+    return lines.select("key", "hashes", "chosen").mapInArrow(run, "fingerprint long, key binary")
 
 
-def extended(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def extended(lines: DataFrame) -> DataFrame:
     """The windows around the shared fingerprints (column shared) of each document: content (its lines' hashes, digested),
     place, and the numbers of the first and the last line. A window extends from its fingerprint to both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for (key, doc_id, keys, hashes), shared in zip(_keys(batch), batch.column(5).to_pylist(), strict=True):
+            for key, doc_id, numbers, hashes, ends, chosen, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = set(shared)
-                for at, found in winnowed(keys, min_lines, min_words).items():
-                    if _fingerprint(keys[at][1]) in known:
-                        for i, j in found:
-                            content = hashlib.blake2b(hashes[16 * i : 16 * j + 16], digest_size=16).digest()
-                            rows.append((content, key, {"none": doc_id is None, "doc_id": doc_id, "key": key, "first": keys[i][0]}, keys[i][0], keys[j][0]))
-            place = pa.struct([("none", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32())])
-            kinds = (pa.binary(), pa.int64(), place, pa.int32(), pa.int32())
+                for i, (j, at) in enumerate(zip(ends, chosen, strict=True)):
+                    if _fingerprint(hashes, at) in known:
+                        content = hashlib.blake2b(hashes[16 * i : 16 * j + 16], digest_size=16).digest()
+                        rows.append((content, key, {"none": doc_id is None, "doc_id": doc_id, "key": key, "first": numbers[i]}, numbers[i], numbers[j]))
+            place = pa.struct([("none", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.binary()), ("first", pa.int32())])
+            kinds = (pa.binary(), pa.binary(), place, pa.int32(), pa.int32())
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["content", "key", "place", "first", "last"])
 
-    return lines.mapInArrow(run, "content binary, key long, place struct<none:boolean,doc_id:long,key:long,first:int>, first int, last int")
+    held = lines.select("key", "doc_id", "numbers", "hashes", "ends", "chosen", "shared")
+    return held.mapInArrow(run, "content binary, key binary, place struct<none:boolean,doc_id:long,key:binary,first:int>, first int, last int")
 
 
-def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(lines: DataFrame) -> DataFrame:
     """(key, runs): of each document, the stretches of lines that stand earlier, maximal and in order.
 
-    Only fingerprints, one number each, are posted for all documents; those that stand once lead nowhere. Around the
-    others the windows are compared: each with the earliest place at which the same lines stand. A window that is not
-    that place is a match, and matches that touch or overlap are one longer match. A fingerprint or window that stands
-    n times costs n rows, not n squared; it is counted before it is shuffled, and the joins hold no group together, so
-    that adaptive execution can split those on a frequent line.
+    Only fingerprints, one number each, are posted for all documents; those that stand once lead nowhere. From a joined
+    position a match is extended both ways window by window: the windows that hold the fingerprint are compared, each with
+    the earliest place at which the same lines stand, and matches that touch or overlap are one longer match. What goes is
+    defined by windows: a line goes if any run of lines around it that is long enough stands earlier, wherever that is, so
+    a stretch may be covered by several earlier documents; extending against one of them alone would leave lines that
+    another one repeats, and against all of them would cost the square of their number. A fingerprint or window that
+    stands n times costs n rows; it is counted before it is shuffled, and the joins hold no group together, so that
+    adaptive execution can split those on a frequent line.
     """
-    posts = written(postings(lines, min_lines, min_words), "postings")
+    posts = written(postings(lines), "postings")
     shared = posts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     joined = written(posts.join(written(shared, "shared"), "fingerprint").select("key", "fingerprint"), "positions")
     wanted = joined.groupBy("key").agg(F.collect_set("fingerprint").alias("shared"))
-    windows = written(extended(lines.join(wanted, "key").select("key", "doc_id", "numbers", "words", "hashes", "shared"), min_lines, min_words), "windows")
+    windows = written(extended(lines.join(wanted, "key")), "windows")
     earliest = written(windows.groupBy("content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
     later = written(windows.join(earliest, "content").where(F.col("place") > F.col("earliest")).select("key", "first", "last"), "later")
     for done in (posts, joined, windows, earliest):
         emptied(done)
     spans = later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return spans.mapInArrow(_merged, "key long, runs array<struct<first:int,last:int>>")
+    return spans.mapInArrow(_merged, "key binary, runs array<struct<first:int,last:int>>")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +161,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     in a document with a smaller id (null ids come last), or before it in the same one. Lines are what "\\n" parts,
     compared without regard to white space; blank ones do not part a run, and go with the line before them. The deleted
     lines go with one line break each; a text of which nothing is left is empty. Null text stays null. Rows with equal
-    id and text are one document and are treated alike; of rows with equal ids and different texts the order is fixed
-    but not told. Columns named n_lines, n_removed or n_runs are replaced, others pass through; __key and __runs are
+    id and text are one document and are treated alike, told by 128 bits of a digest of both; of rows with equal ids and
+    different texts the order is fixed but not told. Columns named n_lines, n_removed or n_runs are replaced, others pass through; __key and __runs are
     taken. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    lines = written(hashed_lines(keyed.select("__key", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "lines")
-    runs = repeated_runs(lines, min_lines, min_words).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(key)))
+    lines = written(hashed_lines(keyed.select("__key", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), min_lines, min_words), "lines")
+    runs = repeated_runs(lines).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     joined = keyed.join(runs, "__key", "left").drop("__key")
     rest = [f for f in docs.schema.fields]
     schema = T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
