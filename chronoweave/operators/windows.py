@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.chains import capped_stretches
 from chronoweave.operators.slices import FRAMES, KEY, slice_of, with_before, with_running_sum
 
 
@@ -63,24 +64,21 @@ def fold_windows(rows: Iterable[tuple[int, bool]], quiet: int, cap: int | None)
 def capped_windows(frames: DataFrame, quiet: int, cap: int | None) -> DataFrame:
     """(session, first, last, n_frames) from frames (session, frame, n): windows by gap and cap.
 
-    Frames of a session that come after a gap of `quiet` start afresh whatever came before, so the fold runs per
-    (session, part between such gaps) and not per session: a long session is many groups, each as long as its activity.
+    Frames of a session that come after a gap of `quiet` start afresh whatever came before. Between such gaps a window ends
+    with the first active frame that is its cap-th or a later one, and the next begins with the active frame after it;
+    these ends are found over slices that are composed (operators.chains), so a session that never pauses is no fold of
+    its own. A window that the cap does not end goes on for the inactive frames that no gap has closed yet.
     """
+    quiet = max(1, quiet)
     active = gap_sessions(frames.where("n > 0").select("session", "frame"), quiet)
-    bounds = active.groupBy("session", "part").agg(F.array_sort(F.collect_list("frame")).alias("active"))
-    last = frames.groupBy("session").agg(F.max("frame").alias("end"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for session, seen, end in zip(pdf["session"], pdf["active"], pdf["end"], strict=True):
-                on = {int(f) for f in seen}
-                stop = min(max(on) + quiet, int(end))
-                out += [(session, *w) for w in fold_windows(((f, f in on) for f in range(min(on), stop + 1)), quiet, cap)]
-            yield pd.DataFrame(out, columns=["session", "first", "last", "n_frames"])
-
-    joined = bounds.join(last, "session").select("session", "active", "end")
-    return joined.mapInPandas(fold, "session string, first long, last long, n_frames long")
+    if cap:
+        cut = capped_stretches(active, cap)
+    else:
+        cut = active.groupBy("session", "part").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).withColumn("closed", F.lit(False))
+    end = frames.groupBy("session").agg(F.max("frame").alias("end"))
+    on = F.least(F.col("last") + quiet - 1, F.col("end"))
+    last = F.when(F.col("closed"), F.col("last")).otherwise(on)
+    return cut.join(end, "session").select("session", "first", last.alias("last")).withColumn("n_frames", F.col("last") - F.col("first") + 1)
 
 
 def whole_if_idle(windows: DataFrame, frames: DataFrame) -> DataFrame:
