@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,26 +84,38 @@ def merged_tracks(tracks: DataFrame) -> DataFrame:
 def first_fit(tracks: DataFrame) -> DataFrame:
     """tracks (session, subject, track, first, last) with `part`: the first group of its subject that it overlaps in time with nothing of.
 
-    In order of (first, last, track) a group is free if its last end is before the track's start, so the fold only
-    carries one end per group. Where nothing of a subject goes on, all groups are free whatever came before, so a
-    subject's history is cut there, and each stretch is a fold of its own.
+    In order of (first, last, track) a group is free if its last end is before the track's start. Where nothing of a
+    subject goes on, all groups are free whatever came before, so a subject's history is cut there, and each stretch is
+    swept on its own: ends that have passed give their group's number back, and the smallest free number is taken, so a
+    stretch of n tracks costs n log n, however many of them overlap.
     """
     order = W.partitionBy("session", "subject").orderBy("first", "last", "track")
     ended = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     tracks = tracks.withColumn("__fresh", F.when(ended >= F.col("first"), 0).otherwise(1)).withColumn("__stretch", F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("track").cast("long").alias("track")))).alias("rows")
-    shape = "struct<ends:array<bigint>,out:array<struct<track:bigint,part:int>>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<track:bigint,part:int>>").alias("out")).cast(shape)
+    rows = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("first", "last", "track"))))).alias("rows")
+    folded = tracks.groupBy("session", "subject", "__stretch").agg(rows).select("session", F.col("subject").cast("long"), *(F.col(f"rows.{c}").alias(c) for c in ("first", "last", "track")))
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [first_free(first, last) for first, last in zip(pdf["first"], pdf["last"], strict=True)]
+            sizes = [len(p) for p in parts]
+            yield pd.DataFrame({"session": pdf["session"].repeat(sizes), "subject": pdf["subject"].repeat(sizes), "track": np.concatenate([*pdf["track"], np.empty(0, np.int64)]), "part": np.concatenate([*parts, np.empty(0, np.int64)])})
 
-    def step(acc, x):
-        free = F.array_position(F.transform(acc["ends"], lambda e: e < x["first"]), F.lit(True)).cast("int")
-        at = F.when(free > 0, free).otherwise(F.size(acc["ends"]) + 1)
-        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i + 1 == at, x["last"]).otherwise(e))).otherwise(F.concat(acc["ends"], F.array(x["last"])))
-        row = F.array(F.struct(x["track"].alias("track"), (at - 1).alias("part")))
-        return F.struct(ends.alias("ends"), F.concat(acc["out"], row).alias("out")).cast(shape)
+    return folded.mapInPandas(sweep, f"session {dict(tracks.dtypes)['session']}, subject long, track long, part long")
 
-    folded = tracks.groupBy("session", "subject", "__stretch").agg(rows)
-    return folded.select("session", "subject", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("session", "subject", "r.track", F.col("r.part").cast("long").alias("part"))
+
+def first_free(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each interval, in order of starts, the smallest number that no interval holds that reaches into it."""
+    going: list[tuple[int, int]] = []
+    free: list[int] = []
+    out = np.empty(len(first), np.int64)
+    for i, (start, end) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        while going and going[0][0] < start:
+            heapq.heappush(free, heapq.heappop(going)[1])
+        number = heapq.heappop(free) if free else len(going)
+        heapq.heappush(going, (end, number))
+        out[i] = number
+    return out
 
 
 def split_conflicts(tracks: DataFrame) -> DataFrame:
@@ -161,7 +177,9 @@ def stitch(tracks: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(session, track, subject, decision, score) of each orphan, in order of first frames, each join moving the centroid.
 
     First to subjects at least `stitch` near (`stitch_local` for poor quality), then what is left among itself; groups
-    get new subjects in order of the first frame of their smallest track. A session's tracks are one fold.
+    get new subjects in order of the first frame of their smallest track. A session's tracks are one fold, as each join
+    moves what the next one is compared with; a group costs one row of a matrix and one place in its list of busy times,
+    however many members it has.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,48 +193,89 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / size if size > 0 else v
 
 
+class Busy:
+    """When someone is seen: intervals, those that share a point united, found by halving."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def during(self, first: int, last: int) -> bool:
+        """Whether any interval shares a point with this one."""
+        i = bisect.bisect_right(self.starts, last)
+        return i > 0 and self.ends[i - 1] >= first
+
+    def add(self, first: int, last: int) -> None:
+        i, j = bisect.bisect_left(self.ends, first), bisect.bisect_right(self.starts, last)
+        if i < j:
+            first, last = min(first, self.starts[i]), max(last, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [first], [last]
+
+
+class Pool:
+    """Groups in the order in which they begin: the sums of their vectors, their middles at length 1 in one matrix that grows by
+    doubling, and when they are seen."""
+
+    def __init__(self) -> None:
+        self.keys: list[int] = []
+        self.places: dict[int, int] = {}
+        self.busy: list[Busy] = []
+        self.sums = self.middles = np.empty((0, 0))
+
+    def add(self, key: int, vec: np.ndarray, first: int, last: int) -> None:
+        at = self.places.get(key)
+        if at is None:
+            at = self.places[key] = len(self.keys)
+            self.keys.append(key)
+            self.busy.append(Busy())
+            if at >= len(self.sums):
+                grown = np.zeros((max(8, 2 * at), len(vec)))
+                self.sums, self.middles = (np.concatenate([x.reshape(-1, len(vec)), grown[len(x) :]]) for x in (self.sums, self.middles))
+        self.sums[at] += vec
+        self.middles[at] = _unit(self.sums[at])
+        self.busy[at].add(first, last)
+
+    def nearest(self, vec: np.ndarray, first: int, last: int) -> tuple[int | None, float]:
+        """The group of the highest inner product (above -1; the first among equals) that is not seen at that time."""
+        scores = self.middles[: len(self.keys)] @ _unit(vec) if self.keys else np.empty(0)
+        while len(scores):
+            at = int(scores.argmax())
+            if not scores[at] > -1.0:
+                break
+            if not self.busy[at].during(first, last):
+                return self.keys[at], float(scores[at])
+            scores[at] = -np.inf
+        return None, -1.0
+
+
 def _stitch(rows: list[dict], p: Params) -> list[tuple]:
     rows = sorted(rows, key=lambda r: (r["first"], r["track"]))
-    groups: dict[int, list[dict]] = {}
+    groups, clusters = Pool(), Pool()
     for r in rows:
         r["vec"] = np.asarray(r["vec"], dtype=np.float64)
         if not pd.isna(r["subject"]):
-            groups.setdefault(int(r["subject"]), []).append(r)
-    means = {s: _unit(np.mean([m["vec"] for m in ms], axis=0)) for s, ms in groups.items()}
+            groups.add(int(r["subject"]), r["vec"], r["first"], r["last"])
     local, out, best_of = [], {}, {}
-
-    def nearest(r: dict, pool: dict) -> tuple[int | None, float]:
-        best, score = None, -1.0
-        for key, members in pool.items():
-            if any(r["first"] <= m["last"] and m["first"] <= r["last"] for m in members):
-                continue
-            s = float(_unit(r["vec"]) @ means[key])
-            if s > score:
-                best, score = key, s
-        return best, score
-
     orphans = [r for r in rows if pd.isna(r["subject"])]
     for r in orphans:
-        s, score = nearest(r, groups)
+        s, score = groups.nearest(r["vec"], r["first"], r["last"])
         if s is not None and score >= (p.stitch if r["ok"] else max(p.stitch, p.stitch_local)):
-            groups[s].append(r)
-            means[s] = _unit(np.mean([m["vec"] for m in groups[s]], axis=0))
+            groups.add(s, r["vec"], r["first"], r["last"])
             out[r["track"]] = (s, "stitched", round(score, 4))
         else:
             local.append(r)
-    clusters: dict[int, list[dict]] = {}
+    members: dict[int, list[dict]] = {}
     for r in local:
-        c, score = nearest(r, clusters)
+        c, score = clusters.nearest(r["vec"], r["first"], r["last"])
         if c is not None and score >= max(p.stitch, p.stitch_local):
-            clusters[c].append(r)
             best_of[c] = max(best_of.get(c, -1.0), score)
         else:
-            c = -1 - len(clusters)
-            clusters[c] = [r]
-        means[c] = _unit(np.mean([m["vec"] for m in clusters[c]], axis=0))
+            c = len(members)
+        members.setdefault(c, []).append(r)
+        clusters.add(c, r["vec"], r["first"], r["last"])
     first_of = {r["track"]: r["first"] for r in rows}
-    number = max(groups, default=0)
-    for c, ms in sorted(clusters.items(), key=lambda g: first_of[min(m["track"] for m in g[1])]):
+    number = max(groups.keys, default=0)
+    for c, ms in sorted(members.items(), key=lambda g: first_of[min(m["track"] for m in g[1])]):
         number += 1
         for m in ms:
             out[m["track"]] = (number, "local_stitched" if len(ms) > 1 else "local", round(best_of[c], 4) if c in best_of else None)

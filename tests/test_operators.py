@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +327,32 @@ def test_hundredths_are_those_of_the_double(spark):
     rows = [(k / 1000,) for k in range(1001)] + [(1.005,), (0.0,), (2.675,), (7.125,)]
     for x, got in spark.createDataFrame(rows, "x double").select("x", hundredths(F.col("x"))).collect():
         assert got == round(x, 2), x
+
+
+def test_busy_times_and_free_numbers_are_those_of_a_scan():
+    rng = random.Random(8)
+    busy, seen = resolve.Busy(), []
+    for _ in range(400):
+        a = rng.randint(0, 300)
+        span = (a, a + rng.randint(0, 6))
+        assert busy.during(*span) == any(span[0] <= z and x <= span[1] for x, z in seen)
+        if rng.random() < 0.4:
+            busy.add(*span)
+            seen.append(span)
+    assert busy.starts == sorted(busy.starts) and all(z < x for z, x in zip(busy.ends, busy.starts[1:], strict=False))
+    spans = sorted((a, a + rng.randint(0, 40)) for a in (rng.randint(0, 200) for _ in range(300)))
+    groups, want = [], []
+    for a, z in spans:
+        at = next((i for i, end in enumerate(groups) if end < a), len(groups))
+        groups[at : at + 1] = [z]
+        want.append(at)
+    assert resolve.first_free(*map(np.array, zip(*spans, strict=True))).tolist() == want
+
+
+def test_many_overlapping_tracks_are_swept_quickly(spark):
+    import time
+
+    df = spark.range(100_000).select(F.lit("s").alias("session"), F.lit(1).cast("long").alias("subject"), F.col("id").alias("track"), F.col("id").alias("first"), (F.col("id") + 100_000).alias("last"))
+    began = time.perf_counter()
+    assert resolve.first_fit(df).agg(F.max("part")).first()[0] == 99_999
+    assert time.perf_counter() - began < 60
