@@ -188,14 +188,15 @@ def q24_weighted_fusion_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q25_open_set_enrol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of 64 vectors each, so that their number grows with the table."""
     shots = A.shots(spark, sf_dir)
-    return gallery.enrolments(shots.select(F.concat(F.lit("s"), F.col("vec_id") % 8).alias("session"), F.col("vec_id").alias("seq"), "vec", (F.col("vec_id") % 5 != 0).alias("ok")), P)
+    return gallery.enrolments(shots.select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / 64)).alias("session"), F.col("vec_id").alias("seq"), "vec", (F.col("vec_id") % 5 != 0).alias("ok")), P)
 
 
 def _vector_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     subject = F.when(i % 3 != 0, F.col("subject"))
-    return A.shots(spark, sf_dir).select(F.concat(F.lit("s"), i % 5).alias("session"), i.alias("track"), subject.alias("subject"), (i * 37 % 500).alias("first"), (i * 37 % 500 + i % 11).alias("last"), "vec", (i % 2 == 0).alias("ok"))
+    return A.shots(spark, sf_dir).select(F.concat(F.lit("s"), F.floor(i / 100)).alias("session"), i.alias("track"), subject.alias("subject"), (i * 37 % 500).alias("first"), (i * 37 % 500 + i % 11).alias("last"), "vec", (i % 2 == 0).alias("ok"))
 
 
 def q26_stitch_static(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ ORACLES = {
         u as (select subject, w, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as dim from v),
         m as (select subject, dim, case when sum(w) > 0 then sum(w * x) / sum(w) else avg(x) end as x from u group by 1, 2), z as (select subject, sqrt(sum(x * x)) as z from m group by 1)
         select subject, dim::int as dim, round(case when z > 0 then x / z else x end, 6) as x from m join z using (subject)""",
-    "q26_stitch_static": """with t as (select 's' || (vec_id % 5) as session, vec_id as track, case when vec_id % 3 <> 0 then label::bigint end as subject, vec_id * 37 % 500 as first, vec_id * 37 % 500 + vec_id % 11 as last, embedding::double[] as vec, vec_id % 2 = 0 as ok from embeddings),
+    "q26_stitch_static": """with t as (select 's' || (vec_id // 100) as session, vec_id as track, case when vec_id % 3 <> 0 then label::bigint end as subject, vec_id * 37 % 500 as first, vec_id * 37 % 500 + vec_id % 11 as last, embedding::double[] as vec, vec_id % 2 = 0 as ok from embeddings),
         u as (select session, subject, unnest(vec) as x, generate_subscripts(vec, 1) as dim from t where subject is not null), m as (select session, subject, dim, avg(x) as x from u group by 1, 2, 3),
         c as (select session, subject, list(x order by dim) as mean from m group by 1, 2), cn as (select session, subject, list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) as mean from c),
         pr as (select t.session, t.track, t.ok, cn.subject, list_dot_product(t.vec, cn.mean) / sqrt(list_dot_product(t.vec, t.vec)) as s from t join cn on t.session = cn.session where t.subject is null
