@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.operators.chains import capped_stretches
-from chronoweave.operators.slices import FRAMES, KEY, slice_of, with_before, with_running_sum
+from chronoweave.operators.slices import FRAMES, KEY, slice_of
 
 
 def gap_sessions(active: DataFrame, quiet: int) -> DataFrame:
-    """active (session, frame, ...) with `part`: active frames at most `quiet` apart belong together."""
-    near = F.coalesce(F.col("frame") - F.col("__before.frame") <= quiet, F.lit(False))
-    rows = with_before(active, ["frame"], "__before")
-    return with_running_sum(rows, F.when(near, 0).otherwise(1), "part").drop("__before")
+    """active (session, frame, ...) with `part`: active frames at most `quiet` apart belong together, parts count from 1.
+
+    Rows are dealt once, by slice of a session; a slice's gaps are counted there, and one row a slice, with its first and last
+    frame, tells where its first part stands among the session's. Frames must not repeat within a session.
+    """
+    rows = active.withColumn("__slice", slice_of("frame"))
+    within = W.partitionBy(*KEY).orderBy("frame")
+    apart = F.coalesce(F.col("frame") - F.lag("frame").over(within) > quiet, F.lit(False)).cast("int")
+    rows = rows.withColumn("__apart", apart).withColumn("__own", F.sum("__apart").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    slices = rows.groupBy(*KEY).agg(F.min("frame").alias("__lo"), F.max("frame").alias("__hi"), F.max("__own").alias("__gaps"))
+    by = W.partitionBy("session").orderBy("__slice")
+    fresh = F.when(F.col("__lo") - F.lag("__hi").over(by) <= quiet, 0).otherwise(1)
+    slices = slices.withColumn("__fresh", fresh)
+    before = F.coalesce(F.sum(F.col("__fresh") + F.col("__gaps")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("__fresh")
+    slices = slices.select(*KEY, before.alias("__base"))
+    return rows.join(slices, KEY).withColumn("part", F.col("__base") + F.col("__own")).drop("__slice", "__apart", "__own", "__base")
 
 
 class Folder:

@@ -59,7 +59,11 @@ def q07_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("session", "part").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n_active"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Windows, detections and frames: a query cuts them once and passes them along.
+Cut = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> Cut:
     """Windows (written, as they are read more than once), detections and frames."""
     found = A.detections(spark, sf_dir)
     frames = A.frames(found)
@@ -76,7 +80,11 @@ def q09_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10_object_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found_windows, found, _ = _windows(spark, sf_dir)
+    return _things(_windows(spark, sf_dir))
+
+
+def _things(cut: Cut) -> DataFrame:
+    found_windows, found, _ = cut
     return context.object_context(found_windows, found, A.WIDTH, A.HEIGHT, P)
 
 
@@ -243,9 +251,9 @@ def q30_subject_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.subject_gallery(_resolved(spark, sf_dir))
 
 
-def _window_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _window_frames(spark: SparkSession, sf_dir: str, cut: Cut | None = None) -> tuple[DataFrame, DataFrame]:
     """Frames of each window with an event mark and a signature, and the detections in it."""
-    found_windows, found, frames = _windows(spark, sf_dir)
+    found_windows, found, frames = cut or _windows(spark, sf_dir)
     signature = found.groupBy("session", "frame").agg(F.array(F.lit(1.0), F.sum("k") / 40.0, F.max("x1") / 20.0).alias("signature"), F.max(F.col("k") >= 90).alias("marked"))
     rows = windows.members(found_windows, frames.join(signature, ["session", "frame"], "left"))
     rows = rows.select("session", F.col("first").alias("window"), "frame", F.coalesce("marked", F.lit(False)).alias("has_event"), "signature")
@@ -437,15 +445,19 @@ def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q57_object_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.object_text(q10_object_context(spark, sf_dir), _clocks(spark, sf_dir))
+    return _thing_texts(spark, sf_dir, _windows(spark, sf_dir))
+
+
+def _thing_texts(spark: SparkSession, sf_dir: str, cut: Cut) -> DataFrame:
+    return context.object_text(_things(cut), _clocks(spark, sf_dir))
 
 
 def q58_grounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.grounding_text(q35_spatial_grounding(spark, sf_dir))
 
 
-def _window_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found_windows, found, _ = _windows(spark, sf_dir)
+def _window_persons(spark: SparkSession, sf_dir: str, cut: Cut | None = None) -> DataFrame:
+    found_windows, found, _ = cut or _windows(spark, sf_dir)
     t, n = F.col("track"), F.col("n")
     best = found.groupBy("session", "track").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "frame").alias("b")).select("session", "track", *(F.col(f"b.{c}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
     ids = A.routes(spark, sf_dir).select(
@@ -486,10 +498,8 @@ def q61_identity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q62_window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is asked about each window: its event frames with their times, and the text of its objects."""
-    found_windows = _windows(spark, sf_dir)[0].withColumnRenamed("first", "window")
-    rows, _ = _window_frames(spark, sf_dir)
-    shown = rows.where("has_event").select("session", "window", "frame", F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.5)).alias("at"))
-    return context.window_requests(found_windows, shown, {"objects": q57_object_text(spark, sf_dir)})
+    cut = _windows(spark, sf_dir)
+    return context.window_requests(cut[0].withColumnRenamed("first", "window"), _shown(spark, sf_dir, cut), {"objects": _thing_texts(spark, sf_dir, cut)})
 
 
 def q63_person_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -775,8 +785,8 @@ def _standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.routes(spark, sf_dir).select("session", "track", F.when(n % 5 != 0, F.col("track") % 9).alias("subject"), F.when(n % 3 == 0, "hit").when(n % 3 == 1, "grey").otherwise("new").alias("decision"))
 
 
-def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _window_frames(spark, sf_dir)
+def _shown(spark: SparkSession, sf_dir: str, cut: Cut | None = None) -> DataFrame:
+    rows, _ = _window_frames(spark, sf_dir, cut)
     return rows.where("has_event").select("session", "window", "frame", F.when(F.col("frame") % 4 != 0, G.clock(F.col("frame") * 1.5)).alias("at"))
 
 
@@ -788,17 +798,18 @@ def q100_identity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q101_identity_grounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of q100's persons and of the persons' paths, three persons a frame and five paths a window at most."""
-    shown = _shown(spark, sf_dir)
-    rows = context.identity_grounding(shown, A.detections(spark, sf_dir), _standing(spark, sf_dir), A.WIDTH, A.HEIGHT)
-    return context.identity_grounding_text(shown, rows, _window_persons(spark, sf_dir), 3, 5, P)
+    cut = _windows(spark, sf_dir)
+    shown = _shown(spark, sf_dir, cut)
+    rows = context.identity_grounding(shown, cut[1], _standing(spark, sf_dir), A.WIDTH, A.HEIGHT)
+    return context.identity_grounding_text(shown, rows, _window_persons(spark, sf_dir, cut), 3, 5, P)
 
 
 def q102_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with their events, persons and things, as whole documents."""
-    found_windows, found, frames = _windows(spark, sf_dir)
+    cut = found_windows, found, frames = _windows(spark, sf_dir)
     events = windows.members(found_windows, tracks.frame_events(found, frames)).select("session", F.col("first").alias("window"), F.col("event").alias("nth"), F.col("event").alias("item")).distinct()
-    people = _window_persons(spark, sf_dir).select("session", "window", F.col("track").alias("nth"), F.struct("track", "tracks", "subject", "decision", "score", "box").alias("item"))
-    things = context.object_context(found_windows, found, A.WIDTH, A.HEIGHT, P).select("session", "window", "nth", F.struct("track", "label", "frames_present", "direction", "conf").alias("item"))
+    people = _window_persons(spark, sf_dir, cut).select("session", "window", F.col("track").alias("nth"), F.struct("track", "tracks", "subject", "decision", "score", "box").alias("item"))
+    things = _things(cut).select("session", "window", "nth", F.struct("track", "label", "frames_present", "direction", "conf").alias("item"))
     head = {"schema": F.lit(2), "size": F.array(F.lit(A.WIDTH), F.lit(A.HEIGHT))}
     return context.documents(found_windows.withColumnRenamed("first", "window"), {"events": events, "people": people, "objects": things}, head)
 
