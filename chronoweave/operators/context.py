@@ -249,6 +249,23 @@ def roster(appearances: DataFrame) -> DataFrame:
     return appearances.groupBy("subject").agg(F.array_join(ranges, ", ").alias("ranges"), F.count(F.lit(1)).alias("n"))
 
 
+# What rosters say.
+ROSTER = {"line": "：出现于 ", "none": "（无可用身份）"}
+
+
+def roster_text(sessions: DataFrame, appearances: DataFrame) -> DataFrame:
+    """(session, text, n_subjects): a line for each subject of a session with the ranges in which it appears, subjects in
+    order of their first appearance; a session without any is told to have none.
+
+    sessions: session; appearances: session, subject, place (order, unique in a session), range.
+    """
+    each = appearances.groupBy("session", "subject").agg(F.min("place").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("place", "range"))), lambda r: r["range"]).alias("ranges"))
+    line = F.concat(F.lit("- "), "subject", F.lit(ROSTER["line"]), F.array_join("ranges", ", "))
+    texts = each.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_subjects"))
+    out = sessions.select("session").distinct().join(texts, "session", "left")
+    return out.select("session", F.coalesce("text", F.lit(ROSTER["none"])).alias("text"), F.coalesce("n_subjects", F.lit(0)).alias("n_subjects"))
+
+
 def timeline(windows: DataFrame, reports: DataFrame) -> DataFrame:
     """Each window's text: a head with its range and level, its summary if there is one, and its reports in order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,43 +12,109 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import vectors as V
 from chronoweave.params import DEFAULT, Params
+from chronoweave.session import written
 
 #: Rows of a block; a task holds one block of queries and one of shots.
 BLOCK = 4096
+#: Middles of cells, drawn from the shots by hash; that many vectors reach the driver and every task.
+PIVOTS = 64
 
+_FOUND = "query long, row long, subject long, score double"
 
-def _blocked(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
-    count = max(1, -(-df.count() // rows))
-    return df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(count))), count
 
+def _matrix(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_list()) if len(vecs) else np.empty((0, 0))
 
-def nearest(queries: DataFrame, shots: DataFrame, k: int = DEFAULT.top_k, block: int = BLOCK) -> DataFrame:
-    """(query, row, subject, score, nth): the k shots of the highest inner product, exact; ties by row.
 
-    queries: query, vec; shots: row, subject, vec (arrays of double of one size). Both sides are cut into blocks of
-    bounded size; each pair of blocks meets in one task, which multiplies matrices and keeps k rows a query, so no task
-    holds more than two blocks and nothing is broadcast. Rows whose vector is null are left out.
-    """
-    q, nq = _blocked(queries.where("vec is not null").select("query", "vec"), "query", block)
-    s, ns = _blocked(shots.where("vec is not null").select("row", "subject", "vec"), "row", block)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = q.select("query", "vec", F.col("__b").alias("qb"), every(ns).alias("sb"))
-    s = s.select("row", "subject", "vec", F.col("__b").alias("sb"), every(nq).alias("qb"))
-    schema = "query long, row long, subject long, score double"
+def _cells(shots: DataFrame, block: int, pivots: int) -> tuple[DataFrame, np.ndarray, list[dict]]:
+    """Shots with their cell (the nearest pivot) and a block in it; the pivots; and of each cell its blocks and its radius, the
+    greatest distance of a shot from its pivot."""
+    drawn = shots.orderBy(F.xxhash64("row"), "row").limit(pivots).select("vec").collect()
+    middles = np.array([r["vec"] for r in drawn], dtype=np.float64)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = _matrix(pdf["vec"])
+            squares = (x * x).sum(axis=1)[:, None] - 2 * x @ middles.T + (middles * middles).sum(axis=1)
+            cell = squares.argmin(axis=1)
+            yield pdf.assign(cell=cell, far=np.linalg.norm(x - middles[cell], axis=1))
+
+    placed = written(shots.mapInPandas(place, "row long, subject long, vec array<double>, cell int, far double"), "cells")
+    rows = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
+    known = sorted(({"cell": r["cell"], "blocks": -(-r["n"] // block), "far": r["far"]} for r in rows), key=lambda r: r["cell"])
+    blocks = F.create_map(*[F.lit(x) for r in known for x in (r["cell"], r["blocks"])])[F.col("cell")] if known else F.lit(1)
+    return placed.drop("far").withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int")), middles, known
+
+
+def _best_in_blocks(asked: DataFrame, shots: DataFrame, k: int, groups: int) -> DataFrame:
+    """(query, row, subject, score): of asked (query, vec, cell, block) the k best shots of each block, ties by row."""
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query", "int64"), ("row", "int64"), ("subject", "int64"), ("score", "float64"))})
         b = b.sort_values("row")
-        scores = np.stack(a["vec"].to_list()) @ np.stack(b["vec"].to_list()).T
+        scores = _matrix(a["vec"]) @ _matrix(b["vec"]).T
         n = min(k, scores.shape[1])
         order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
         flat = order.reshape(-1)
         return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), n), "row": b["row"].to_numpy()[flat], "subject": b["subject"].to_numpy()[flat], "score": np.take_along_axis(scores, order, axis=1).reshape(-1)})
 
-    met = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(meet, schema)
+    key = ["cell", "block", "group"]
+    left = asked.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int"))
+    right = shots.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, _FOUND)
+
+
+def nearest_counted(queries: DataFrame, shots: DataFrame, k: int = DEFAULT.top_k, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, dict[str, int]]:
+    """(query, row, subject, score, nth): the k shots of the highest inner product, exact, ties by row; and how many pairs of a
+    query and a block there are and how many of them were compared.
+
+    queries: query, vec; shots: row, subject, vec (arrays of double of one size). Rows whose vector is null are left out.
+    Shots are dealt to the nearest of at most `pivots` of them, and each such cell is cut into blocks of about `block` rows. No shot
+    of a cell can score more than the query's score with its pivot plus the query's length times the cell's radius (the
+    triangle inequality). Each query is first compared with one block of the cell that promises most; cells that cannot reach the
+    k-th score found there are skipped, all others are compared. A task holds one block of queries and one of shots;
+    what is sent everywhere is the pivots and one row a cell.
+    """
+    q = queries.where("vec is not null").select("query", "vec")
+    s, middles, known = _cells(shots.where("vec is not null").select("row", "subject", "vec"), block, pivots)
+    asked = q.count()
+    counts = {"pairs": asked * sum(r["blocks"] for r in known), "compared": 0}
+    if not known or not asked:
+        none = q.sparkSession.createDataFrame([], _FOUND + ", nth long")
+        return none, counts
+    groups = -(-asked // block)
+    at, far, blocks = (np.array([r[c] for r in known]) for c in ("cell", "far", "blocks"))
+
+    def bounds(vecs: pd.Series) -> np.ndarray:
+        x = _matrix(vecs)
+        reach = np.linalg.norm(x, axis=1)[:, None] * far[None, :]
+        most = x @ middles[at].T + reach
+        return most + 1e-9 * (1 + np.abs(most) + reach)  # more than the sums' rounding
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best = bounds(pdf["vec"]).argmax(axis=1)
+            yield pd.DataFrame({"query": pdf["query"], "vec": pdf["vec"], "cell": at[best], "block": pdf["query"].to_numpy() % blocks[best]})
+
+    tried = q.mapInPandas(first, "query long, vec array<double>, cell int, block int")
     nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "row"))
-    return met.withColumn("nth", nth.cast("long")).where(F.col("nth") <= k)
+    bar = _best_in_blocks(tried, s, k, groups).withColumn("nth", nth).where(F.col("nth") == k).select("query", F.col("score").alias("bar"))
+
+    def open_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, cell = np.nonzero(bounds(pdf["vec"]) >= pdf["bar"].fillna(-np.inf).to_numpy(np.float64)[:, None])
+            yield pd.DataFrame({"query": pdf["query"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": at[cell], "blocks": blocks[cell]})
+
+    wanted = q.join(bar, "query", "left").mapInPandas(open_cells, "query long, vec array<double>, cell int, blocks int")
+    wanted = written(wanted.select("query", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "asked")
+    counts["compared"] = wanted.count()
+    return _best_in_blocks(wanted, s, k, groups).withColumn("nth", nth.cast("long")).where(F.col("nth") <= k), counts
+
+
+def nearest(queries: DataFrame, shots: DataFrame, k: int = DEFAULT.top_k, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """The rows of nearest_counted."""
+    return nearest_counted(queries, shots, k, block, pivots)[0]
 
 
 def candidates(found: DataFrame, p: Params = DEFAULT) -> DataFrame:

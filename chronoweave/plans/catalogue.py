@@ -820,6 +820,12 @@ def q103_person_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_persons(spark, sf_dir).select("session", "window", "person", context.path_text(F.col("path")).alias("path"), context.attribute_text(colour, F.col("attributes")).alias("attributes"))
 
 
+def q104_roster_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who appears when in each ten conversations: users by conversation, assistants' turns as ranges."""
+    turns = _turns(spark, sf_dir).select(F.floor(F.col("conv_id") / 10).alias("session"), F.concat(F.lit("主体#"), F.col("conv_id") % 7).alias("subject"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.concat(F.col("conv_id"), F.lit("~"), F.col("turn")).alias("range"), "role", "turn")
+    return context.roster_text(turns, turns.where("role = 'assistant' and turn > 4"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -471,6 +471,10 @@ ORACLES = {
     "q103_person_texts": f"""with recursive {D}, {ROUTE_ROWS}, {WINDOWS}, {PERSONS}, t as (select *, case when points >= 3 then [path[1], path[points // 2 + 1], path[points]] else path end as sh, case when track % 3 = 0 then '主色:red' end as colour, case when nt > 1 then '属性:由' || nt || '条轨迹合并(' ||
           case when lo_ then '本视频本地subject' when sp_ then '时间冲突拆分subject' else '同一人' end || ')' || case when merge_routes <> '' then '/跨track印证：' || replace(replace(replace(replace(merge_routes, ',', '+'), 'face', '人脸库'), 'body', '人形库'), 'gait', '步态库') else '' end end as attrs from pw)
         select session, win_ as "window", person, '  轨迹: ' || array_to_string(list_transform(sh, lambda p: '(' || {_hundredths("p.x")} || ',' || {_hundredths("p.y")} || ')'), ' → ') as path, nullif(concat_ws(' | ', colour, attrs), '') as attributes from t""",
+    "q104_roster_text": """with t as (select conv_id // 10 as session, '主体#' || (conv_id % 7) as subject, conv_id * 1000 + turn as place, conv_id || '~' || turn as r, role, turn from conversations),
+        e as (select session, subject, min(place) as first, string_agg(r, ', ' order by place) as rs from t where role = 'assistant' and turn > 4 group by 1, 2),
+        x as (select session, string_agg('- ' || subject || '：出现于 ' || rs, chr(10) order by first) as text, count(*) as n from e group by 1)
+        select s.session, coalesce(text, '（无可用身份）') as text, coalesce(n, 0) as n_subjects from (select distinct session from t) s left join x on x.session = s.session""",
     "q102_documents": f"""with recursive {D}, {ROUTE_ROWS}, {FRAMES}, {SPANS}, {EVENTS}, {WINDOWS}, {PERSONS}, {OBJECTS},
         de as (select win.session, win.first as win_, list(distinct event order by event) as events from win join ev on ev.session = win.session and ev.frame between win.first and win.last group by 1, 2),
         dp as (select session, win_, list({{'track': track, 'tracks': list_transform(string_split(tracks, ','), lambda t: t::bigint), 'subject': subject, 'decision': decision, 'score': score, 'box': box}} order by track) as people from pw group by 1, 2),
