@@ -417,6 +417,8 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: how many bytes of its text stand earlier, in how many runs, and what is left, digested. Null
+    texts are empty; rows that repeat an id are taken as `repeats` takes them."""
     found = repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
     return found.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -367,3 +367,21 @@ def test_long_tokens_of_signs_are_decoded_in_linear_time():
         restore("1|" * n + "a" + " b" + "0o" * n)
         took[n] = time.perf_counter() - began
     assert took[80_000] < 8 * took[20_000] + 1
+
+
+def test_preference_pairs_with_clashing_names(spark):
+    rows = [(1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "no")]
+    df = spark.createDataFrame(rows, "p long, good boolean, turn int, role string, text string")
+    plain = chat.preference_pairs(df, F.col("p"), F.col("good")).collect()
+    clashing = df.withColumns({c: F.lit("x") for c in ("pair_id", "n_shared", "n_chosen", "n_rejected", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "usable", "c", "r", "at", "spans")})
+    assert chat.preference_pairs(clashing, F.col("p"), F.col("good")).collect() == plain and plain[0]["n_shared"] == 1
+
+
+def test_line_dedup_and_mixing_with_reserved_names(spark):
+    """The names that the operators take for themselves are replaced or refused; rows are neither lost nor multiplied."""
+    rows = [(1, "one two three\nfour five six\nseven eight nine", "a"), (2, "one two three\nfour five six\nseven eight nine", "b"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("key", "runs", "first", "last", "content", "place", "shared", "fingerprint", "ends", "chosen", "numbers", "hashes")})
+    found = line_dedup.dedup_lines(docs).orderBy("doc_id", "text").collect()
+    assert len(found) == 3 and {r["content"] for r in found} == {1} and sorted(r["n_removed"] for r in found) == [0, 0, 3]
+    mixed = mixing.mix_sources(docs.withColumns({c: F.lit(5) for c in ("weight", "limit", "level", "open", "rank")}), mixing.n_words(F.col("text")), ties=["doc_id"]).collect()
+    assert len(mixed) == 3 and {r["weight"] for r in mixed} == {5}
