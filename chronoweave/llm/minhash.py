@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import connected_components
@@ -23,6 +24,9 @@ SIMILARITY = 75
 #: A posting list is merged pair by pair up to so many pairs across components; a longer one is skipped, and its members
 #: are compared with its centre first and then looked for by rare shingles.
 MERGED_PAIRS = 64
+#: A list of documents that share shingles is wide above so many pairs across components for each member, and is parted
+#: where that takes at most 1/PARTED of its pairs as rows; at most ROUNDS times. What is left is compared pair by pair.
+WIDE, PARTED, ROUNDS = 16, 2, 12
 
 _RNG = np.random.Generator(np.random.PCG64(64))
 _ODD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -110,14 +114,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, matches: in
 
 def mixed_lists(members: DataFrame) -> DataFrame:
     """Posting lists that hold more than one component: token, pivot (the member of most weight, the list's centre), largest
-    (the component with most members here) and cross (the list's pairs of members of two components)."""
+    (the component with most members here), n (members) and cross (the list's pairs of members of two components)."""
     drawn = F.struct((-F.col("weight")).alias("drawn"), "id", "component")
     parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min(drawn).alias("first"))
     of = parts.groupBy("token").agg(
         F.min("first").alias("pivot"), F.max_by("component", F.struct("c", "component")).alias("largest"),
         F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inner"),
     ).where("parts > 1")
-    return of.select("token", "pivot", "largest", F.expr("(n * n - inner) div 2").alias("cross"))
+    return of.select("token", "pivot", "largest", "n", F.expr("(n * n - inner) div 2").alias("cross"))
 
 
 def with_pivot(members: DataFrame, lists: DataFrame) -> DataFrame:
@@ -136,33 +140,97 @@ def across(members: DataFrame, lists: DataFrame, more: str = "true") -> DataFram
     return few.join(two, "token").where(f"component <> its and (most or id < other) and {more}").select("id", "other", "token")
 
 
-def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def placed_groups(each: DataFrame) -> DataFrame:
+    """(id, size, group, count, before, least) of (id, size, token) rows: shingles that stand in exactly the same documents are
+    one group of `count` shingles, told by 128 bits of those documents' ids; least is the smallest size among them.
+
+    A document's groups are in one order for all documents, rare ones first; before counts what comes before a group in its
+    document, where shingles of that document only come before all others.
+    """
+    ids = (F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), *ids).where("n > 1")
+    groups = each.join(shared, "token").groupBy("id", "n", "h1", "h2").agg(F.first("size").alias("size"), F.first("least").alias("least"), F.count(F.lit(1)).alias("count"))
+    of = Window.partitionBy("id")
+    ordered = of.orderBy("n", "h1", "h2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("size") - F.sum("count").over(of) + F.sum("count").over(ordered) - F.col("count")
+    return groups.select("id", "size", F.xxhash64("n", "h1", "h2").alias("group"), "count", before.alias("before"), "least")
+
+
+def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]] | None:
+    """Wide lists of posted by the next group that their members share: the lists that stay, the longer ones, pairs,
+    and the tables that the first and last of these read.
+
+    A list's token stands for the first groups that two documents share, in the order of all; at is what the member has
+    missed up to there, upto where the next group may begin, shared what the token's groups count. Similar documents whose
+    token does not suffice share a next group, before which neither misses more than it may: a member is posted under
+    each such group. Those for which the token does suffice are similar to the list's smallest member, if to any by the
+    token alone, and are paired with that one. None where no list is wide and worth it.
+    """
+    needed = f"* {100 + similarity} >= (size + {{}}) * {similarity}"
+    lists = mixed_lists(posted).where(F.col("cross") > wide * F.col("n")).select("token", "cross")
+    smallest = posted.groupBy("token").agg(F.min(F.struct("size", "id", "component")).alias("smallest"))
+    lists = written(lists.join(smallest, "token"), "wide")
+    if lists.isEmpty():
+        emptied(lists)
+        return None
+    step = f"before >= upto and (size - at - before + upto) {needed.format('smallest.size')}"
+    steps = posted.join(lists, "token").join(places.select("id", "group", "count", "before"), "id").where(step)
+    worth = steps.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.first("cross").alias("cross")).where(F.col("rows") * PARTED <= F.col("cross")).select("token")
+    # A list none of whose members has a next group is parted, too: only its sufficient members can be similar.
+    worth = written(lists.select("token").exceptAll(steps.select("token").distinct()).union(worth), "worth")
+    if worth.isEmpty():
+        emptied(lists)
+        emptied(worth)
+        return None
+    chosen = posted.join(lists, "token").join(worth, "token", "left_semi")
+    enough = f"shared {needed.format('smallest.size')} and component <> smallest.component"
+    pairs = chosen.where(enough).select("id", F.col("smallest.id").alias("other"))
+    longer = steps.join(worth, "token", "left_semi").select(
+        "id", "component", "size", F.xxhash64("token", "group").alias("token"), F.expr("at + before - upto").alias("at"),
+        F.expr("before + count").alias("upto"), F.expr("shared + count").alias("shared"), "weight",
+    )
+    return posted.join(worth, "token", "left_anti"), written(longer, "longer"), written(pairs, "sufficient"), [lists, worth]
+
+
+def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarity: int, wide: int = WIDE) -> DataFrame:
     """Pairs (id, other, coordinate null) across components, among all members of the skipped lists, that can be similar at all.
 
-    A document's shingles, rare ones first in one order for all, stand at places from 0 to size - 1; shingles of one
-    document only come before all others. Similar sets have at least similarity / (100 + similarity) of both sizes in
-    common, and all of that stands at or after the first shingle they share, in both. Edits make rare shingles, so a
-    document with too many of them has no place left for those of a large group. Postings that cannot meet that bound
-    even with the smallest document of their list go before the lists are joined.
+    Similar sets have at least similarity / (100 + similarity) of both sizes in common, and all of that stands at or after
+    the first group of shingles they share, in both. Edits make rare shingles, so a document with too many of them has no
+    place left for those of a large group. Postings that cannot meet that bound even with the smallest document of their
+    list go before the lists are joined. Lists that are still wide, such as those of a passage that many documents share
+    which are not similar, are parted by the next groups that two documents share (see parted), and by the next ones.
     """
     ids = members.join(lists, "token", "left_semi").select("id", "component").distinct()
     ids = written(ids, "open")
     sets = by_ids(docs, ids.select("id"), "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     each = written(sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "shingles")
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("n > 1")
-    shared = each.join(common, "token").groupBy("id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "token", "least"))).alias("by_n"))
-    placed = shared.select("id", "size", (F.col("size") - F.size("by_n")).alias("alone"), F.posexplode("by_n").alias("at", "of"))
-    bound = f"(size - at) * {100 + similarity} >= (size + of.least) * {similarity}"
-    placed = placed.withColumn("at", F.col("at") + F.col("alone")).where(bound).select("id", "size", "at", "of.token")
-    posted = written(placed.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
+    places = written(placed_groups(each), "places")
     emptied(each)
-    met = across(posted, mixed_lists(posted), f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}")
-    pairs = written(met.select("id", "other").distinct().withColumn("coordinate", F.lit(None).cast("int")), "pairs")
-    emptied(posted)
-    return pairs
+    fits = f"(size - before) * {100 + similarity} >= (size + least) * {similarity}"
+    first = places.where(fits).select("id", "size", F.col("group").alias("token"), F.col("before").alias("at"), F.expr("before + count").alias("upto"), F.col("count").alias("shared"))
+    posted = written(first.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
+    tables, left, pairs = [places, posted], [], []
+    for _ in range(ROUNDS):
+        step = parted(posted, places, similarity, wide)
+        if step is None:
+            break
+        stay, posted, sufficient, read = step
+        left.append(stay)
+        pairs.append(sufficient)
+        tables += [posted, sufficient, *read]
+    pair = f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}"
+    for rows in (*left, posted):
+        pairs.append(across(rows, mixed_lists(rows), pair).select("id", "other"))
+    met = functools.reduce(DataFrame.union, pairs)
+    met = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    found = written(met.withColumn("coordinate", F.lit(None).cast("int")), "pairs")
+    for done in tables:
+        emptied(done)
+    return found
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY, merged_pairs: int = MERGED_PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", matches: int = MATCHES, similarity: int = SIMILARITY, merged_pairs: int = MERGED_PAIRS, wide: int = WIDE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets are one class, and only classes are compared. Every step is the same at every size:
@@ -192,7 +260,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = written(posts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
     lists = written(mixed_lists(members), "lists")
     merged = across(members, lists.where(F.col("cross") <= merged_pairs)).select("id", "other", F.expr("cast(shiftright(token, 32) as int)").alias("coordinate"))
-    looked_for = by_shingles(members, lists.where(F.col("cross") > merged_pairs), texts, similarity)
+    looked_for = by_shingles(members, lists.where(F.col("cross") > merged_pairs), texts, similarity, wide)
     found = confirmed(collisions(merged.unionByName(looked_for)), classes, texts, matches, similarity)
     for done in (posts, members, lists, looked_for):
         emptied(done)
