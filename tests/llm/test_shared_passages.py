@@ -53,7 +53,7 @@ def candidates(spark, docs, wide):
     return [(r["id"], r["other"]) for r in found]
 
 
-@pytest.mark.parametrize("chosen, edits", [(6, 4)])
+@pytest.mark.parametrize("chosen, edits", [(4, 2), (9, 6)])
 def test_parted_lists_lose_no_link(spark, chosen, edits):
     docs = family(150, chosen, edits, chosen)
     docs += [(1000 + i, text) for i, text in family(40, 1, 3, chosen)]
@@ -61,16 +61,16 @@ def test_parted_lists_lose_no_link(spark, chosen, edits):
     ids = sorted(sets)
     want = components(ids, [(a, b) for a in ids for b in ids if a < b and similar(sets, a, b)])
     assert len(set(want.values())) < len(ids)
-    for wide in (0, 10**9):
+    for wide in (0, minhash.WIDE, 10**9):
         found = candidates(spark, docs, wide)
         assert len(found) == len(set(found)) and all(a < b for a, b in found)
         assert components(ids, [(a, b) for a, b in found if similar(sets, a, b)]) == want
 
 
 def test_pairs_of_shared_passages_grow_with_the_documents(spark):
-    few, many = (len(candidates(spark, family(n, 4, 0, 1), 1)) for n in (100, 400))
-    apart = len(candidates(spark, family(400, 4, 0, 1), 10**9))
-    assert many < 8 * max(few, 100) and many * 3 < apart
+    few, many = (len(candidates(spark, family(n, 4, 0, 1), 1)) for n in (150, 600))
+    apart = len(candidates(spark, family(600, 4, 0, 1), 10**9))
+    assert many < 8 * max(few, 150) and many * 3 < apart
 
 
 def test_groups_of_shingles(spark):
