@@ -12,6 +12,7 @@ from chronoweave.functions import vectors as V
 from chronoweave.operators.gallery import enrolments
 from chronoweave.operators.tracks import KEY, associate
 from chronoweave.params import DEFAULT, Params
+from chronoweave.session import written
 
 # Grades from the least on; unknown ones count as the grade in brackets of `rank`.
 ELIGIBILITY = ("none", "unusable", "recoverable", "direct")
@@ -76,15 +77,16 @@ def _first_error(failures: DataFrame, stage: str, keys: list[str], name: str) ->
 
 
 def attach_faces(
-    tracks: DataFrame, candidates: DataFrame, faces: DataFrame, persons: DataFrame, vectors: DataFrame,
+    tracks: DataFrame, candidates: DataFrame, faces: DataFrame, persons: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame],
     p: Params = DEFAULT, gate: Callable[[Column, Column, Column, Column], Column] = Q.gallery_reason, failures: DataFrame | None = None,
 ) -> DataFrame:
     """One face record per track: status, the chosen face, how it fits the body, and whether it may match and enrol.
 
     tracks: session, track, best_frame, skipped; candidates: session, track, frame, and round (the frame's number where there is
     no such column), which orders a track's candidates; faces: session, frame, face, a box, det, quality, category, eligibility,
-    restored; persons: session, frame, track and a box, all of a frame's; vectors: session, track, frame, vec of bodies. A
-    track without candidates has its best frame as the only one. Faces are matched with all persons of a frame, not only those
+    restored; persons: session, frame, track and a box, all of a frame's; vectors: session, track, frame, vec of bodies, or a
+    function that makes them for the (session, track, frame) asked about: only a face of another frame than the best is
+    compared with its body. A track without candidates has its best frame as the only one. Faces are matched with all persons of a frame, not only those
     asked about. The best of a track's faces is chosen, checked against the body's vector, and graded; `gate` says why a
     face may not enter the gallery. Records that are not consistent are kept but do not match.
 
@@ -107,11 +109,15 @@ def attach_faces(
     in_frames = lambda df: df.join(frames, ["session", "frame"], "left_semi")
     matched = associate(in_frames(seen), in_frames(persons), p).withColumnRenamed("score", "association")
     options = targets.drop("round").join(matched, [*KEY, "frame"]).join(seen.drop("x1", "y1", "x2", "y2"), ["session", "frame", "face"])
-    chosen = best_faces(options)
+    chosen = written(tracks.select(*KEY, "best_frame", "skipped").join(best_faces(options), KEY, "left"), "chosen")
     blind = targets.join(undetected, ["session", "frame"]).groupBy(*KEY).agg(F.max_by("error", F.struct("round", "frame")).alias("detect_error"))
-    body = vectors.select(*KEY, F.col("frame").alias("best_frame"), F.col("vec").alias("body"))
-    own = vectors.select(*KEY, "frame", F.col("vec").alias("candidate"))
-    rows = tracks.join(chosen, KEY, "left").join(body, [*KEY, "best_frame"], "left").join(own, [*KEY, "frame"], "left").join(blind, KEY, "left")
+    compared = chosen.where("frame <> best_frame")
+    both = compared.select(*KEY, "frame").unionByName(compared.select(*KEY, F.col("best_frame").alias("frame")))
+    bodies = vectors(both) if callable(vectors) else vectors.join(both, [*KEY, "frame"], "left_semi")
+    bodies = written(bodies.select(*KEY, "frame", "vec"), "body-vectors")
+    body = bodies.select(*KEY, F.col("frame").alias("best_frame"), F.col("vec").alias("body"))
+    own = bodies.select(*KEY, "frame", F.col("vec").alias("candidate"))
+    rows = chosen.join(body, [*KEY, "best_frame"], "left").join(own, [*KEY, "frame"], "left").join(blind, KEY, "left")
     for stage in ("open", "finalize"):
         rows = rows.join(_first_error(failures, stage, ["session", "frame"], f"{stage}_error"), ["session", "frame"], "left")
     status, score = consistency(F.col("frame") == F.col("best_frame"), F.col("body"), F.col("candidate"), p)
@@ -143,6 +149,7 @@ def matched_faces(records: DataFrame, vectors: DataFrame, order: DataFrame, p: P
     """
     rows = records.join(vectors.select("session", "frame", "face", "vec"), ["session", "frame", "face"], "left").join(order.select(*KEY, "nth"), KEY)
     rows = rows.withColumn("match_ready", F.coalesce(F.col("match_ready") & F.col("vec").isNotNull(), F.lit(False)))
+    rows = written(rows.withColumn("vec", F.when(F.col("match_ready"), F.col("vec"))), "seen-faces")
     ok = F.col("gallery_reason").isNull()
     seen = rows.where("match_ready").select("session", F.col("nth").alias("seq"), "vec", ok.alias("ok"), "can_enroll")
     told = enrolments(seen.withColumnRenamed("can_enroll", "auto"), p.with_(hit=p.face_hit, new=p.face_new, low_quality_hit=p.face_hit))

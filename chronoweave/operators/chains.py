@@ -9,6 +9,7 @@ each slice is walked again, in parallel. No task holds more than a slice, or mor
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.slices import FRAMES, slice_of
+from chronoweave.session import written
 
 #: Stands for nothing that is carried on.
 NONE = int(np.iinfo(np.int64).min)
@@ -94,41 +96,55 @@ def spaced_or_hot(frames: DataFrame, threshold: float, fallback: int, most: int,
 def capped_stretches(active: DataFrame, cap: int, size: int = FRAMES) -> DataFrame:
     """(session, part, first, last): each part's active frames (session, part, frame) cut into windows: one begins with the
     first frame that none holds, and ends with the first frame that is its cap-th or later, counting from its beginning
-    whether frames are active or not; the last one of a part ends with the part. Frames must not repeat in a part."""
+    whether frames are active or not; the last one of a part ends with the part. Frames must not repeat in a part.
+
+    A slice of a part is one row with its frames, and Python takes many such rows at a time, as parts may be short and many;
+    only parts that reach over a slice's end are composed.
+    """
     by, key = ["session", "part"], ["session", "part", "__slice"]
-    rows = active.select(*by, "frame", slice_of("frame", size).alias("__slice"))
+    rows = active.select(*by, "frame", slice_of("frame", size).alias("__slice")).groupBy(*key).agg(F.array_sort(F.collect_list("frame")).alias("at"))
+    rows = written(rows, "stretches")
     kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by)
 
     def ends(at: np.ndarray) -> np.ndarray:
         return np.searchsorted(at, at + cap - 1)
 
-    def mapped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["frame"].to_numpy(np.int64))
+    def led(at: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
         n, end = len(at), ends(at)
         # what a window that begins at place i leads to: the frame where an open one is due at the slice's end, or none
         leads = np.full(n + 2, NONE, np.int64)
         for i in range(n - 1, -1, -1):
             leads[i] = at[i] + cap - 1 if end[i] >= n else leads[end[i] + 1]
-        reach = min(n, int(np.searchsorted(at, key[2] * size + cap)) + 1)
+        reach = min(n, int(np.searchsorted(at, number * size + cap)) + 1)
         # nothing open picks the first entry, which begins at place 0; one that is due at frame k ends there, and the next begins
-        dues = np.concatenate([[NONE], at[:reach]])
-        passed = np.concatenate([[leads[0]], leads[1 : reach + 1]])
-        return pd.DataFrame({"session": [key[0]], "part": [key[1]], "__slice": [key[2]], "dues": [dues], "passed": [passed], "counts": [np.zeros(len(dues), np.int64)]})
+        return np.concatenate([[NONE], at[:reach]]), np.concatenate([[leads[0]], leads[1 : reach + 1]])
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [led(np.asarray(at, np.int64), number) for at, number in zip(pdf["at"], pdf["__slice"], strict=True)]
+            out = pdf[key].assign(dues=pd.Series([d for d, _ in found], index=pdf.index, dtype=object), passed=pd.Series([p for _, p in found], index=pdf.index, dtype=object))
+            yield out.assign(counts=pd.Series([np.zeros(len(d), np.int64) for d, _ in found], index=pdf.index, dtype=object))
 
-    def cut(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        at, due = np.sort(pdf["frame"].to_numpy(np.int64)), entry["due"].iloc[0]
-        end, out, i = ends(at), [], 0
+    def windows(at: np.ndarray, due: float | None) -> Iterator[tuple[int, int, bool]]:
+        end, i = ends(at), 0
         if not pd.isna(due):
             k = int(np.searchsorted(at, int(due)))
-            first = int(due) - cap + 1
-            out.append((first, at[k] if k < len(at) else at[-1], k < len(at)))
+            yield int(due) - cap + 1, at[k] if k < len(at) else at[-1], k < len(at)
             i = k + 1
         while i < len(at):
-            out.append((at[i], at[end[i]] if end[i] < len(at) else at[-1], end[i] < len(at)))
+            yield at[i], at[end[i]] if end[i] < len(at) else at[-1], end[i] < len(at)
             i = end[i] + 1
-        first, last, closed = zip(*out, strict=True)
-        return pd.DataFrame({"session": key[0], "part": key[1], "first": first, "last": last, "closed": closed})
 
-    entries = _composed(rows.groupBy(*key).applyInPandas(mapped, f"{kinds}, __slice long, {MAPS}"), by)
-    pieces = rows.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(cut, f"{kinds}, first long, last long, closed boolean")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [list(windows(np.asarray(at, np.int64), due)) for at, due in zip(pdf["at"], pdf["due"], strict=True)]
+            again = [len(f) for f in found]
+            flat = pd.DataFrame([w for f in found for w in f], columns=["first", "last", "closed"])
+            yield pd.DataFrame({"session": pdf["session"].repeat(again).to_numpy(), "part": pdf["part"].repeat(again).to_numpy()}).join(flat)
+
+    reaching = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    maps = rows.join(reaching, by, "left_semi").mapInPandas(mapped, f"{kinds}, __slice long, {MAPS}")
+    # frames are told from due as text, which no batch turns into doubles where some are missing
+    entries = _composed(maps, by).select(*key, F.col("due").cast("string").alias("due"))
+    pieces = rows.join(entries, key, "left").mapInPandas(cut, f"{kinds}, first long, last long, closed boolean")
     return pieces.groupBy(*by, "first").agg(F.max("last").alias("last"), F.bool_or("closed").alias("closed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.chains import capped_stretches
 from chronoweave.operators.slices import FRAMES, KEY, slice_of
+from chronoweave.session import written
 
 
 def gap_sessions(active: DataFrame, quiet: int) -> DataFrame:
@@ -81,7 +82,7 @@ def capped_windows(frames: DataFrame, quiet: int, cap: int | None) -> DataFrame:
     its own. A window that the cap does not end goes on for the inactive frames that no gap has closed yet.
     """
     quiet = max(1, quiet)
-    active = gap_sessions(frames.where("n > 0").select("session", "frame"), quiet)
+    active = written(gap_sessions(frames.where("n > 0").select("session", "frame"), quiet), "active")
     if cap:
         cut = capped_stretches(active, cap)
     else:

@@ -66,7 +66,7 @@ Cut = tuple[DataFrame, DataFrame, DataFrame]
 def _windows(spark: SparkSession, sf_dir: str) -> Cut:
     """Windows (written, as they are read more than once), detections and frames."""
     found = A.detections(spark, sf_dir)
-    frames = A.frames(found)
+    frames = written(A.frames(found), "frames")
     return written(windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), "windows"), found, frames
 
 
@@ -683,13 +683,15 @@ def _run_faces(spark: SparkSession, sf_dir: str, found: DataFrame, rows: DataFra
     """The face record of each track with the gallery's answer: two candidate frames each, some of which fail."""
     faces = _graded_faces(found)
     candidates = keyframes.spaced_candidates(found.where("track % 7 <> 0"), ["session", "track"], "quality", RUN.with_(candidates=2)).select("session", "track", "frame", F.col("nth").alias("round"))
-    wanted = candidates.select("session", "track", "frame").union(rows.select("session", "track", F.col("best_frame").alias("frame"))).distinct()
-    bodies = _body_vectors(spark, sf_dir, found.join(wanted, ["session", "track", "frame"]), F.col("frame")).where("k % 10 <> 9").select("session", "track", "frame", "vec")
+    at = ["session", "track", "frame"]
+    bodies = lambda asked: _body_vectors(spark, sf_dir, found.where("k % 10 <> 9").select(*at, "user", "k").join(asked, at, "left_semi"), F.col("frame"))
     frames = found.select("session", "frame").distinct()
     fails = lambda by, stage: frames.where(F.col("frame") % by == 0).select("session", "frame", F.lit(stage).alias("stage"), F.concat(F.lit(f"{stage}: "), "frame").alias("error"))
     failures = fails(7, "detect").unionByName(fails(11, "open")).unionByName(fails(13, "finalize"))
     records = attach.attach_faces(rows.select("session", "track", "best_frame", "skipped"), candidates, faces, found, bodies, RUN.with_(face_consistency=0.5), failures=failures)
-    seen = found.join(wanted.select("session", "frame").distinct(), ["session", "frame"], "left_semi").where("k % 12 <> 5")
+    records = written(records, "records")
+    asked = records.where("match_ready").select("session", "frame", F.col("face").alias("track")).distinct()
+    seen = found.where("k % 12 <> 5").select(*at, "user", "k").join(asked, at, "left_semi")
     vectors = A.mixed_vectors(spark, sf_dir, seen, F.col("user") * 3 + 1, F.col("track") * 41 + F.col("frame"), F.col("k") % 8 * 0.2)
     return written(attach.matched_faces(records, vectors.select("session", "frame", F.col("track").alias("face"), "vec"), rows, RUN), "faces")
 
@@ -715,7 +717,7 @@ def q90_identity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q91_run_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The persons of each window, from detections and vectors in one run."""
     found, _, identities = _run(spark, sf_dir)
-    frames = A.frames(found)
+    frames = written(A.frames(found), "frames")
     cut = written(windows.whole_if_idle(windows.capped_windows(frames, QUIET, CAP), frames), "windows")
     at = tracks.best_evidence(found, RUN).select("session", "track", F.col("best_frame").alias("frame"))
     best = found.join(at, ["session", "track", "frame"]).select("session", "track", *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))

@@ -124,8 +124,8 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, own: Column, other: Column, weight: Column, out: str = "vec") -> DataFrame:
     """rows with a vector of the embeddings by the number `own`, and `weight` of another one by `other`, added up: rows with
     the same own number are alike, the less the higher their weights."""
-    every = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__id"), F.col("embedding").cast("array<double>").alias("__vec"))
+    every = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__id"), F.col("embedding").alias("__vec"))
     n = every.count()
     pick = lambda df, by, name: df.withColumn("__id", F.pmod(by, F.lit(n))).join(every.withColumnRenamed("__vec", name), "__id").drop("__id")
     both = pick(pick(rows.withColumn("__w", weight.cast("double")), own, "__a"), other, "__b")
-    return both.withColumn(out, F.zip_with("__a", "__b", lambda a, b: a + F.col("__w") * b)).drop("__a", "__b", "__w")
+    return both.withColumn(out, F.zip_with("__a", "__b", lambda a, b: a.cast("double") + F.col("__w") * b.cast("double"))).drop("__a", "__b", "__w")

@@ -48,3 +48,15 @@ def test_stretches_do_not_depend_on_slices(spark):
         plain = plain or got
         assert got == plain
     assert chains.capped_stretches(df.limit(0), 20).count() == 0
+
+
+def test_short_parts_are_not_composed(spark, monkeypatch):
+    """Only parts that reach over a slice's end are composed, however many others there are."""
+    composed, real = [], chains._composed
+    monkeypatch.setattr(chains, "_composed", lambda maps, by: composed.extend(tuple(r) for r in maps.select(*by, "__slice").collect()) or real(maps, by))
+    rows = [("a", part, part * 40 + f) for part in range(50) for f in (0, 1, 2, 9)] + [("b", 0, f) for f in range(395, 410)]
+    df = spark.createDataFrame(rows, "session string, part long, frame long")
+    got = sorted((r["session"], r["part"], r["first"], r["last"], r["closed"]) for r in chains.capped_stretches(df, 5, 400).collect())
+    short = [w for part in range(50) for w in (("a", part, part * 40, part * 40 + 9, True),)]
+    assert got == short + [("b", 0, 395, 399, True), ("b", 0, 400, 404, True), ("b", 0, 405, 409, True)]
+    assert sorted(composed) == [("b", 0, 0), ("b", 0, 1)]
