@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from chronoweave.operators.slices import in_order
 from chronoweave.session import written
 
+#: Draws with replacement that a task makes.
+DRAWN = 2_000_000
+
 
 def rank_k(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(k, n_probe, rate): of the queries with results, the share in % with a right subject among their k best."""
@@ -93,16 +96,18 @@ def drawn_means(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
     """(draw, mean): in each draw as many clusters as there are, with replacement, and the mean of their values.
 
     clusters: pid (each once) and value. Cluster number i of n, in order of pid, stands for place i of every draw; the cluster
-    drawn there is the first 48 bits of md5 of `seed|draw|place`, modulo n. How often a draw has each number is counted
-    before the values are joined, and numbers come from ranges, so no task holds all clusters. The same in every run; a null
-    value counts as 0.
+    drawn there is the first 48 bits of md5 of `seed|draw|place`, modulo n. Places and draws are dealt to as many tasks as keep
+    about DRAWN draws each, every draw meets its value there and is added up at once, so a task holds a part of the clusters and
+    one sum a draw, whatever their numbers. The same in every run; a null value counts as 0.
     """
     rows = written(in_order(clusters.select("pid", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")), ["pid"], "place"), "clusters")
     n = rows.count()
+    parts = max(1, -(-n * draws // DRAWN))
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 12), 16, 10).cast("long")
-    drawn = rows.select("place", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("draw", F.pmod(bits, F.lit(max(n, 1)).cast("long")).alias("place"))
-    times = drawn.groupBy("draw", "place").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(rows.select("place", "value"), "place").groupBy("draw").agg((F.sum(F.col("times") * F.col("value")) / F.lit(max(n, 1))).alias("mean"))
+    drawn = rows.select("place").repartition(parts, "place").select("place", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.select("draw", F.pmod(bits, F.lit(max(n, 1)).cast("long")).alias("place")).repartition(parts, "place")
+    met = drawn.join(rows.select("place", "value").repartition(parts, "place").hint("shuffle_hash"), "place")
+    return met.groupBy("draw").agg((F.sum("value") / F.lit(max(n, 1))).alias("mean"))
 
 
 def interval(means: DataFrame, level: float = 0.95) -> DataFrame:
