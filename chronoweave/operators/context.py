@@ -221,18 +221,25 @@ def scene_context(lines: DataFrame, most: int = 24) -> DataFrame:
     A window's keyframes are few, so its lines are put together in one row.
     """
     by = ["session", "window"]
-    rows = lines.select(*by, "frame", "at", "line", V.stripped(F.col("text")).alias("text"), V.text_key(F.col("text")).alias("key")).where("key <> ''")
+    rows = lines.select(*by, "frame", "at", "line", "text").repartition(*by)  # once: all that follows is within windows
+    rows = rows.select(*by, "frame", "at", "line", V.stripped(F.col("text")).alias("text"), V.text_key(F.col("text")).alias("key")).where("key <> ''")
     once = rows.groupBy(*by, "frame", "key").agg(F.min(F.struct("line", "text", "at")).alias("r")).select(*by, "frame", "key", "r.*")
-    n = once.groupBy(*by).agg(F.count_distinct("frame").alias("n_frames"))
-    keys = once.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n_seen"), F.min(F.struct("frame", "line", "text")).alias("first"))
+    same = W.partitionBy(*by, "key")
+    once = once.withColumns({"n_seen": F.count(F.lit(1)).over(same), "first": F.min(F.struct("frame", "line", "text")).over(same)})
+    once = once.withColumn("n_frames", F.size(F.collect_set("frame").over(W.partitionBy(*by))).cast("long"))
     need = F.greatest(F.lit(2), F.floor(F.col("n_frames") * 0.6).cast("long"))
-    keys = keys.join(n, by).withColumn("static", (F.col("n_frames") >= 2) & (F.col("n_seen") >= need))
+    once = once.withColumn("static", (F.col("n_frames") >= 2) & (F.col("n_seen") >= need))
     in_order = lambda c: F.array_sort(F.collect_list(c))
-    fixed = keys.where("static").groupBy(*by).agg(F.transform(in_order("first"), lambda r: r["text"]).alias("fixed"))
-    shown = once.join(keys.where("not static").select(*by, "key"), [*by, "key"]).groupBy(*by, "frame").agg(F.max("at").alias("at"), F.array_join(F.transform(in_order(F.struct("line", "text")), lambda r: r["text"]), " | ").alias("text"))
-    anchor = F.concat(F.lit("- frame#"), "frame", F.lit(" @ "), F.coalesce("at", F.lit("None")), F.lit("："), "text")
-    changing = shown.groupBy(*by).agg(F.transform(in_order(F.struct("frame", anchor.alias("told"))), lambda r: r["told"]).alias("changing"))
-    out = n.join(fixed, by, "left").join(changing, by, "left")
+    told = once.groupBy(*by, "frame", "n_frames").agg(
+        F.max(F.when(~F.col("static"), F.col("at"))).alias("at"), F.collect_list(F.when(F.col("static"), F.col("first"))).alias("fixed"),
+        F.transform(in_order(F.when(~F.col("static"), F.struct("line", "text"))), lambda r: r["text"]).alias("texts"),
+    )
+    anchor = F.concat(F.lit("- frame#"), "frame", F.lit(" @ "), F.coalesce("at", F.lit("None")), F.lit("："), F.array_join("texts", " | "))
+    out = told.groupBy(*by, "n_frames").agg(
+        F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fixed")))), lambda r: r["text"]).alias("fixed"),
+        F.transform(in_order(F.when(F.size("texts") > 0, F.struct("frame", anchor.alias("told")))), lambda r: r["told"]).alias("changing"),
+    )
+    out = out.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in ("fixed", "changing")})
     none = F.array().cast("array<string>")
     left = F.size("changing") - most
     parts = F.concat(
