@@ -292,6 +292,17 @@ def _among(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bits(index: np.ndarray, count: int) -> bytes:
+    """One bit for each of `count` samples: which of them are meant."""
+    out = np.zeros(count, dtype=bool)
+    out[index] = True
+    return np.packbits(out).tobytes()
+
+
+def _chosen(bits: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=count).astype(bool)
+
+
 def _batched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -299,13 +310,19 @@ def _batched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[dict]:
-    """What is left of a block's documents, given the distances at which its records have earlier suffixes."""
+    """What is left of a block's documents, given the distances at which its records have earlier suffixes.
+
+    A shared sample that is no first one has an equal record earlier in its block, so that all its suffixes are repeats.
+    """
     data, starts, sizes = _layout(row)
-    at, which, places = (np.frombuffer(row[c], dtype=np.int32) for c in ("at", "which", "places"))
+    samples = sample_positions(starts, sizes)
+    shared, first = (_chosen(row[c], len(samples)) for c in ("shared", "first"))
+    at, places = samples[shared], samples[first]
     bits = np.zeros(len(places), dtype=np.uint32)
     for bucket, index in buckets.of(data, places, buckets.ranges(data, places)):
         bits[index] = np.frombuffer(told[bucket], dtype=np.uint32)
-    again = np.where(places[which] == at, bits[which], distances(*reach(starts, sizes, at))) if len(at) else np.empty(0, dtype=np.uint32)
+    again = distances(*reach(starts, sizes, at)) if len(at) else np.empty(0, dtype=np.uint32)
+    again[first[shared]] = bits
     repeated = np.zeros(len(data) + 1, dtype=bool)
     for distance in range(REACH + 1):
         repeated[at[(again >> np.uint32(distance)) & 1 == 1] - distance] = True
@@ -358,21 +375,21 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
         for row in block.to_pylist():
             data, starts, lengths = _layout(row)
             samples, names, keys, more = _names(data, starts, lengths)
-            at = samples[_among(names, keys[_answers(replies, keys, name_buckets) | more])]
-            which, places, drawn = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int32)], []
-            for start in range(0, len(at), CHUNK_SAMPLES):
-                part = at[start : start + CHUNK_SAMPLES]
-                distinct, first, inverse = np.unique(records(data, starts, lengths, part), return_index=True, return_inverse=True)
-                which.append(inverse.astype(np.int32) + sum(map(len, places)))
-                places.append(part[first].astype(np.int32))
+            shared = np.flatnonzero(_among(names, keys[_answers(replies, keys, name_buckets) | more]))
+            first, drawn = [np.empty(0, dtype=np.int64)], []
+            for start in range(0, len(shared), CHUNK_SAMPLES):
+                part = shared[start : start + CHUNK_SAMPLES]
+                distinct, index = np.unique(records(data, starts, lengths, samples[part]), return_index=True)
+                first.append(part[index])
                 drawn += [x[:LEADING] for x in distinct[:: max(1, len(distinct) // 16)].tolist()]
-            out.append((at.astype(np.int32).tobytes(), np.concatenate(which).astype(np.int32).tobytes(), np.concatenate(places).tobytes(), sum(map(len, places)), drawn))
-        kinds = {"at": pa.binary(), "which": pa.binary(), "places": pa.binary(), "records": pa.int64(), "drawn": pa.list_(pa.binary())}
+            first = np.concatenate(first)
+            out.append((_bits(shared, len(samples)), _bits(first, len(samples)), len(first), drawn))
+        kinds = {"shared": pa.binary(), "first": pa.binary(), "records": pa.int64(), "drawn": pa.list_(pa.binary())}
         for (name, kind), values in zip(kinds.items(), zip(*out, strict=True), strict=True):
             block = block.append_column(name, pa.array(values, kind))
         return block
 
-    schema = "block long, doc_ids array<long>, sizes array<long>, data binary, at binary, which binary, places binary, records long, drawn array<binary>"
+    schema = "block long, doc_ids array<long>, sizes array<long>, data binary, shared binary, first binary, records long, drawn array<binary>"
     both = base.repartition(dealt, "block").groupBy("block").cogroup(answers.repartition(dealt, "block").groupBy("block"))
     marked = written(both.applyInArrow(mark, schema), "marked", compression="zstd")
     emptied(base)
@@ -394,13 +411,14 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
         def send(batches: Iterator[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
             for row in _batched_rows(batches):
                 data, starts, lengths = _layout(row)
-                places = np.frombuffer(row["places"], dtype=np.int32)
+                samples = sample_positions(starts, lengths)
+                places = samples[_chosen(row["first"], len(samples))].astype(np.int32)
                 ranges = buckets.ranges(data, places)
                 places, ranges = (x[ranges % rounds == number] for x in (places, ranges))
                 found = records(data, starts, lengths, places)
                 yield _sent([(b, row["block"], found[i].tobytes(), places[i].tobytes()) for b, i in buckets.of(data, places, ranges)], ["bucket", "block", "records", "places"])
 
-        sent = marked.select("block", "sizes", "data", "places").mapInArrow(send, "bucket long, block long, records binary, places binary")
+        sent = marked.select("block", "sizes", "data", "first").mapInArrow(send, "bucket long, block long, records binary, places binary")
         got = written(sent.repartition(max(usual, count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
         told = got if told is None else told.unionByName(got)
         del sent, got

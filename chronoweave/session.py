@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +58,20 @@ def emptied(table: DataFrame) -> None:
         table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
+#: Seconds that release() waits for Python's references and for what follows the JVM's collection.
+MOMENTS = 0.1, 0.3
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: its cleaner acts when their plans are collected as garbage."""
+    """Let Spark drop the shuffle files of finished jobs now: its cleaner acts when their plans are collected as garbage.
+
+    Python's references, the cleaner and the executors' files go one after the other and not at once, so each gets a moment.
+    """
     for _ in range(2):
         gc.collect()
+        time.sleep(MOMENTS[0])
         spark.sparkContext._jvm.System.gc()
+        time.sleep(MOMENTS[1])
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
