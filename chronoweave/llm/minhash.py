@@ -186,12 +186,18 @@ def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int) ->
     enough = f"shared {needed.format('smallest.size')} and component <> smallest.component"
     pairs = chosen.where(enough).select("id", F.col("smallest.id").alias("other"))
     longer = steps.join(worth, "token", "left_semi").select(
-        "id", "component", "size", F.xxhash64("token", "group").alias("token"), F.expr("at + before - upto").alias("at"),
+        "id", "component", "size", "root", F.xxhash64("token", "group").alias("token"), F.expr("at + before - upto").alias("at"),
         F.expr("before + count").alias("upto"), F.expr("shared + count").alias("shared"), "weight",
     )
     return posted.join(worth, "token", "left_anti"), written(longer, "longer"), written(pairs, "sufficient"), [lists, worth]
 
 
+def given_up(longer: DataFrame, first: DataFrame) -> DataFrame:
+    """(root): the lists of first whose pairs across components are fewer than those of the longer lists that came of them."""
+    now = mixed_lists(longer).select("token", "cross").join(longer.select("token", "root").distinct(), "token").groupBy("root").agg(F.sum("cross").alias("now"))
+    return now.join(mixed_lists(first).select(F.col("token").alias("root"), "cross"), "root").where("now > cross").select("root")
+
+
 def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarity: int, wide: int = WIDE) -> DataFrame:
     """Pairs (id, other, coordinate null) across components, among all members of the skipped lists, that can be similar at all.
 
@@ -200,6 +206,8 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     place left for those of a large group. Postings that cannot meet that bound even with the smallest document of their
     list go before the lists are joined. Lists that are still wide, such as those of a passage that many documents share
     which are not similar, are parted by the next groups that two documents share (see parted), and by the next ones.
+    Documents that share many groups meet again under each of them: a list whose parting leaves more pairs than it had itself
+    is given up and compared pair by pair as it was, so that parting never adds to the pairs that are joined.
     """
     ids = members.join(lists, "token", "left_semi").select("id", "component").distinct()
     ids = written(ids, "open")
@@ -209,18 +217,24 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     emptied(each)
     fits = f"(size - before) * {100 + similarity} >= (size + least) * {similarity}"
     first = places.where(fits).select("id", "size", F.col("group").alias("token"), F.col("before").alias("at"), F.expr("before + count").alias("upto"), F.col("count").alias("shared"))
-    posted = written(first.join(ids, "id").withColumn("weight", F.lit(0)), "placed")
-    tables, left, pairs = [places, posted], [], []
+    posted = whole = written(first.join(ids, "id").withColumns({"weight": F.lit(0), "root": F.col("token")}), "placed")
+    tables, left, pairs, worse = [places, posted], [], [], []
     for _ in range(ROUNDS):
         step = parted(posted, places, similarity, wide)
         if step is None:
             break
-        stay, posted, sufficient, read = step
+        stay, longer, sufficient, read = step
         left.append(stay)
         pairs.append(sufficient)
-        tables += [posted, sufficient, *read]
+        worse.append(written(given_up(longer, whole), "given-up"))
+        tables += [longer, sufficient, worse[-1], *read]
+        posted = longer.join(worse[-1], "root", "left_anti")
     pair = f"least(size - at, size2 - at2) * {100 + similarity} >= (size + size2) * {similarity}"
-    for rows in (*left, posted):
+    left.append(posted)
+    if worse:
+        roots = functools.reduce(DataFrame.union, worse).distinct()
+        left = [*(rows.join(roots, "root", "left_anti") for rows in left), whole.join(roots, "root", "left_semi")]
+    for rows in left:
         pairs.append(across(rows, mixed_lists(rows), pair).select("id", "other"))
     met = functools.reduce(DataFrame.union, pairs)
     met = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
