@@ -27,6 +27,9 @@ MERGED_PAIRS = 64
 #: A list of documents that share shingles is wide above so many pairs across components for each member, and is parted
 #: where that takes at most 1/PARTED of its pairs as rows; at most ROUNDS times. What is left is compared pair by pair.
 WIDE, PARTED, ROUNDS = 16, 2, 12
+#: Wide lists stay whole while all of them have at most so many times `wide` pairs for each posting, and none more than HEAVY
+#: pairs: comparing those is work in proportion to the postings, and a parting is some ten jobs over them.
+ENOUGH, HEAVY = 4, 1 << 22
 
 _RNG = np.random.Generator(np.random.PCG64(64))
 _ODD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -156,7 +159,7 @@ def placed_groups(each: DataFrame) -> DataFrame:
     return groups.select("id", "size", F.xxhash64("n", "h1", "h2").alias("group"), "count", before.alias("before"), "least")
 
 
-def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]] | None:
+def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int, enough: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]] | None:
     """Wide lists of posted by the next group that their members share: the lists that stay, the longer ones, pairs,
     and the tables that the first and last of these read.
 
@@ -164,13 +167,15 @@ def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int) ->
     missed up to there, upto where the next group may begin, shared what the token's groups count. Similar documents whose
     token does not suffice share a next group, before which neither misses more than it may: a member is posted under
     each such group. Those for which the token does suffice are similar to the list's smallest member, if to any by the
-    token alone, and are paired with that one. None where no list is wide and worth it.
+    token alone, and are paired with that one. None where no list is wide and worth it, or where the wide lists have no more
+    than `enough` pairs in all and HEAVY each.
     """
     needed = f"* {100 + similarity} >= (size + {{}}) * {similarity}"
     lists = mixed_lists(posted).where(F.col("cross") > wide * F.col("n")).select("token", "cross")
     smallest = posted.groupBy("token").agg(F.min(F.struct("size", "id", "component")).alias("smallest"))
     lists = written(lists.join(smallest, "token"), "wide")
-    if lists.isEmpty():
+    all_pairs, most_pairs = lists.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.max("cross"), F.lit(0))).first()
+    if all_pairs <= enough and most_pairs <= HEAVY:
         emptied(lists)
         return None
     step = f"before >= upto and (size - at - before + upto) {needed.format('smallest.size')}"
@@ -183,8 +188,8 @@ def parted(posted: DataFrame, places: DataFrame, similarity: int, wide: int) ->
         emptied(worth)
         return None
     chosen = posted.join(lists, "token").join(worth, "token", "left_semi")
-    enough = f"shared {needed.format('smallest.size')} and component <> smallest.component"
-    pairs = chosen.where(enough).select("id", F.col("smallest.id").alias("other"))
+    suffices = f"shared {needed.format('smallest.size')} and component <> smallest.component"
+    pairs = chosen.where(suffices).select("id", F.col("smallest.id").alias("other"))
     longer = steps.join(worth, "token", "left_semi").select(
         "id", "component", "size", "root", F.xxhash64("token", "group").alias("token"), F.expr("at + before - upto").alias("at"),
         F.expr("before + count").alias("upto"), F.expr("shared + count").alias("shared"), "weight",
@@ -205,7 +210,8 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     the first group of shingles they share, in both. Edits make rare shingles, so a document with too many of them has no
     place left for those of a large group. Postings that cannot meet that bound even with the smallest document of their
     list go before the lists are joined. Lists that are still wide, such as those of a passage that many documents share
-    which are not similar, are parted by the next groups that two documents share (see parted), and by the next ones.
+    which are not similar, are parted by the next groups that two documents share (see parted), and by the next ones, until
+    the wide lists have at most ENOUGH * wide pairs for each posting.
     Documents that share many groups meet again under each of them: a list whose parting leaves more pairs than it had itself
     is given up and compared pair by pair as it was, so that parting never adds to the pairs that are joined.
     """
@@ -219,8 +225,9 @@ def by_shingles(members: DataFrame, lists: DataFrame, docs: DataFrame, similarit
     first = places.where(fits).select("id", "size", F.col("group").alias("token"), F.col("before").alias("at"), F.expr("before + count").alias("upto"), F.col("count").alias("shared"))
     posted = whole = written(first.join(ids, "id").withColumns({"weight": F.lit(0), "root": F.col("token")}), "placed")
     tables, left, pairs, worse = [places, posted], [], [], []
+    enough = ENOUGH * wide * whole.count()
     for _ in range(ROUNDS):
-        step = parted(posted, places, similarity, wide)
+        step = parted(posted, places, similarity, wide, enough)
         if step is None:
             break
         stay, longer, sufficient, read = step
