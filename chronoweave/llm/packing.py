@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.llm.memory import give_back
 from chronoweave.llm.ranking import ROWS_PER_BLOCK, ranked
 from chronoweave.session import read_table, small_batches, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a worker keeps at once.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps at once, and bytes of ids that it gathers before it hands them on.
+CACHED_WORDS, GATHERED = 150_000, 1 << 22
 
 _SLOW = re.compile(r"\s\s|[^\S\n ]|<\|endoftext\|>")
 
@@ -41,7 +42,7 @@ def token_ids(text: str, tokenizer: str, ranks: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit numbers.
 
     No token of this vocabulary's pre-tokeniser spans a space or line break between two other characters, so a text
-    without runs of white space is the chain of its words' ids, and each word is encoded once per worker and kept.
+    without runs of white space is the chain of its words' ids, and a word's ids are kept until the task ends or too many are.
     Other texts are encoded whole.
     """
     whole, fast, known = _libraries(tokenizer, ranks)
@@ -95,11 +96,13 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
                     row = (*key, k, start, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, part) if with_ids else row)
                 held += len(ids)
-                if held > 1 << 24:
+                if held > GATHERED:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+        _libraries.cache_clear()  # idle workers live on, beside whatever the executor does next
+        give_back()
 
     small_batches(docs.sparkSession)
     named = [F.col(c).cast("long").alias(name) for c, name in ((doc_id, "doc_id"), (copy, "copy")) if c]
