@@ -22,18 +22,19 @@ def body_identities(tracks: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """tracks with body (the gallery's number), quality-checked enrolment's decision and score, then stitched orphans.
 
     tracks: session, track, nth, first, last, skipped, vec, ok. Tracks that are skipped or have no vector stay unknown. Columns
-    added: body, subject, decision, score, reused, local, cross_merged, stitch_score.
+    added: body, subject, decision, score, reused, local, cross_merged, stitch_score. vec goes to the two folds alone: it is
+    most of a row, and nothing after them reads it.
     """
     known = tracks.where("not skipped and vec is not null")
     told = gallery.enrolments(known.select("session", F.col("nth").alias("seq"), "vec", "ok"), p)
     told = told.select("session", F.col("seq").alias("nth"), F.col("subject").alias("body"), F.col("decision").alias("told"), F.round("score", 4).alias("score"))
-    rows = written(tracks.join(told, ["session", "nth"], "left"), "enrolled")
-    orphans = rows.where("not skipped and vec is not null").select("session", "track", F.col("body").alias("subject"), "first", "last", "vec", "ok")
+    rows = written(tracks.drop("vec").join(told, ["session", "nth"], "left"), "enrolled")
+    orphans = known.select(*KEY, "vec", "ok", "first", "last").join(rows.select(*KEY, F.col("body").alias("subject")), KEY)
     stitched = resolve.stitch(orphans, p).select("session", "track", F.col("subject").alias("joined"), F.col("decision").alias("stitched"), F.col("score").alias("stitch_score"))
     both = rows.join(stitched, KEY, "left")
     decision = F.coalesce("stitched", "told")
     return both.select(
-        *tracks.columns, "body", F.coalesce("joined", "body").alias("subject"), decision.alias("decision"), "score", "stitch_score",
+        *tracks.drop("vec").columns, "body", F.coalesce("joined", "body").alias("subject"), decision.alias("decision"), "score", "stitch_score",
         F.coalesce(decision.isin("hit", "stitched"), F.lit(False)).alias("reused"), F.coalesce(decision.isin("local", "local_stitched"), F.lit(False)).alias("local"),
         F.coalesce(decision == "local_stitched", F.lit(False)).alias("cross_merged"),
     )
@@ -63,7 +64,7 @@ def resolved(bodies: DataFrame, faces: DataFrame, gaits: DataFrame, p: Params =
     ids per route stay those of the merge.
     """
     face = faces.select(*KEY, *(F.col(c).alias(f"face_{c}") for c in ("status", "eligibility", "category", "quality", "consistency", "match_ready", "matched", "local", "match_score", "det", "frame")))
-    rows = bodies.join(face, KEY, "left").join(gaits, KEY, "left")
+    rows = bodies.drop("vec").join(face, KEY, "left").join(gaits, KEY, "left")
     strict = attach.face_route(F.col("face_matched"), F.col("face_match_ready"), F.col("face_eligibility"), F.col("face_category"), F.col("face_consistency"), F.col("face_local"))
     rows = written(rows.withColumn("face_ok", strict), "routes")
     ids = resolve.merge_ids(F.col("body"), F.col("face_ok"), F.col("face_local"), F.col("gait_decision"), F.col("gait"))
@@ -83,7 +84,7 @@ def resolved(bodies: DataFrame, faces: DataFrame, gaits: DataFrame, p: Params =
     record = {k: F.col(f"face_{c}") for k, c in (("matched", "matched"), ("match_ready", "match_ready"), ("category", "category"), ("quality_score", "quality"), ("match_score", "match_score"), ("score", "det"))}
     route = {"body": F.col("route_body"), "face": F.col("route_face"), "gait": F.col("route_gait")}
     fused = Q.fused_confidence(F.col("subject"), F.col("score"), F.col("decision"), record, F.when(F.col("gait_decision").isNotNull(), F.coalesce("gait_score", F.lit(0.0))), route, p)
-    return rows.drop("vec").withColumns({k: fused[k] for k in ("confidence", "resolved", "multi_source", "agreed", "primary", "cues")})
+    return rows.withColumns({k: fused[k] for k in ("confidence", "resolved", "multi_source", "agreed", "primary", "cues")})
 
 
 def window_identities(windows: DataFrame, found: DataFrame, identities: DataFrame, best: DataFrame, width: float, height: float) -> DataFrame:
