@@ -147,7 +147,7 @@ def matched_faces(records: DataFrame, vectors: DataFrame, order: DataFrame, p: P
     tracks come to the gallery, which starts empty. Only a clear, direct face seen without restoration may become a
     subject or add to one; a hit needs face_hit, poor ones no more than that.
     """
-    rows = records.join(vectors.select("session", "frame", "face", "vec"), ["session", "frame", "face"], "left").join(order.select(*KEY, "nth"), KEY)
+    rows = records.join(order.select(*KEY, "nth"), KEY).join(vectors.select("session", "frame", "face", "vec"), ["session", "frame", "face"], "left")
     rows = rows.withColumn("match_ready", F.coalesce(F.col("match_ready") & F.col("vec").isNotNull(), F.lit(False)))
     rows = written(rows.withColumn("vec", F.when(F.col("match_ready"), F.col("vec"))), "seen-faces")
     ok = F.col("gallery_reason").isNull()
