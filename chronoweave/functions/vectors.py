@@ -1,7 +1,10 @@
-"""Column functions over vectors (arrays of double) and texts."""
+"""Column functions over vectors (arrays of double) and texts, and vectors as a matrix inside tasks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +36,14 @@ def finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def matrix(vecs: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists, which have one size, as the rows of a matrix."""
+    sizes = pc.list_value_length(vecs).to_numpy()
+    if len(sizes) and not (sizes == sizes[0]).all():
+        raise ValueError("vectors are missing or not of one size")
+    return pc.list_flatten(vecs).to_numpy().astype(np.float64, copy=False).reshape(len(vecs), int(sizes[0]) if len(sizes) else 0)
+
+
 def signature_difference(a: Column, b: Column) -> Column:
     """1 - cosine, at least 0; by mean distance / 255 if a vector is zero; 1 if one is missing or sizes differ."""
     apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x) / F.size(a) / 255

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,6 +197,21 @@ class Gallery:
         self.owners: list[int] = []
         self.shots: dict[int, int] = {}
         self.negatives: list[np.ndarray] = []
+        self._rows = np.empty((0, 0))
+        self._filled = 0
+
+    def _matrix(self) -> np.ndarray:
+        """vectors as the rows of one matrix, which grows by doubling."""
+        n = len(self.vectors)
+        if n > len(self._rows):
+            grown = np.empty((max(8, 2 * n), len(self.vectors[0])))
+            if self._filled:
+                grown[: self._filled] = self._rows[: self._filled]
+            self._rows = grown
+        for i in range(self._filled, n):
+            self._rows[i] = self.vectors[i]
+        self._filled = n
+        return self._rows[:n]
 
     def identify(self, v: np.ndarray) -> tuple[str, int | None, float, str, bool]:
         """Decision, subject, score, reason, and whether a refused vector like this one was seen (only told)."""
@@ -202,13 +219,13 @@ class Gallery:
         told = any(float(v @ n) >= p.negative_similarity for n in self.negatives)
         if not self.vectors:
             return "new", None, 0.0, "empty_gallery", told
-        scores = np.stack(self.vectors) @ v
+        scores = self._matrix() @ v
         top = np.argsort(-scores, kind="stable")[: p.top_k]
         found: dict[int, list[float]] = {}
-        for i in top.tolist():
+        for i, score in zip(top.tolist(), scores[top].tolist(), strict=True):
             best = found.setdefault(self.owners[i], [0.0, 0])
-            best[0] = max(best[0], float(scores[i]))
-            best[1] += float(scores[i]) >= p.vote
+            best[0] = max(best[0], score)
+            best[1] += score >= p.vote
         ranked = sorted(found.items(), key=lambda c: (-c[1][0], -c[1][1], c[0]))
         subject, (score, votes) = ranked[0]
         if score < p.new:
@@ -250,6 +267,20 @@ class Gallery:
 ENROLLED = "session string, seq long, decision string, subject long, score double, reason string, enrolled boolean, rejected boolean, negative boolean, shots long"
 
 
+_ANSWERS = {
+    "decision": pa.string(), "subject": pa.int64(), "score": pa.float64(), "reason": pa.string(), "enrolled": pa.bool_(), "rejected": pa.bool_(), "negative": pa.bool_(), "shots": pa.int64(),
+}
+
+
+def enrolled(vecs: np.ndarray, ok: list[bool], auto: list[bool], p: Params = DEFAULT) -> list[dict]:
+    """What a gallery that starts empty says of one session's vectors, the rows of vecs, brought to length 1 in their order."""
+    gallery, told = Gallery(p), []
+    for v, good, may in zip(vecs, ok, auto, strict=True):
+        size = math.sqrt(v @ v)
+        told.append(gallery.enrol(v / size if size else v, bool(good), bool(may)))
+    return told
+
+
 def enrolments(seen: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Open-set enrolment of seen (session, seq, vec, ok) in order of seq, each session by itself.
 
@@ -260,14 +291,13 @@ def enrolments(seen: DataFrame, p: Params = DEFAULT) -> DataFrame:
     state is bounded by subjects times max_shots, not by what was seen. Vectors are brought to length 1.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gallery, rows = Gallery(p), []
-        for r in pdf.sort_values("seq").itertuples():
-            v = np.asarray(r.vec, dtype=np.float64)
-            size = float(np.linalg.norm(v))
-            rows.append({"session": r.session, "seq": r.seq} | gallery.enrol(v / size if size else v, bool(r.ok), bool(r.auto)))
-        return pd.DataFrame(rows).astype({"subject": "Int64"})
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        told = enrolled(V.matrix(rows["vec"]), rows["ok"].to_pylist(), rows["auto"].to_pylist(), p)
+        answers = (pa.array([r[c] for r in told], of) for c, of in _ANSWERS.items())
+        return pa.table([rows["session"], rows["seq"], *answers], names=["session", "seq", *_ANSWERS])
 
     auto = F.col("auto") if "auto" in seen.columns else F.lit(True)
-    return seen.select("session", "seq", "vec", "ok", auto.alias("auto")).groupBy("session").applyInPandas(fold, ENROLLED)
+    rows = seen.select(F.col("session").cast("string"), F.col("seq").cast("long"), F.col("vec").cast("array<double>"), "ok", auto.alias("auto"))
+    return rows.groupBy("session").applyInArrow(fold, ENROLLED)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.functions import quality as Q
+from chronoweave.functions import vectors as V
 from chronoweave.operators import attach, gallery, resolve
 from chronoweave.operators.tracks import KEY
 from chronoweave.params import DEFAULT, Params
@@ -14,27 +17,46 @@ from chronoweave.session import written
 
 
 def ordered(tracks: DataFrame) -> DataFrame:
-    """tracks with nth, the order in which a session's tracks appear: by (first frame, track)."""
-    return tracks.withColumn("nth", F.row_number().over(W.partitionBy("session").orderBy("first", "track")).cast("long"))
+    """tracks with nth, the order in which a session's tracks appear: by (first frame, track); sightings without a track come last."""
+    return tracks.withColumn("nth", F.row_number().over(W.partitionBy("session").orderBy(F.col("track").isNull(), "first", "track")).cast("long"))
+
+
+#: What the fold over bodies tells of a track: the gallery's answer, and whom an orphan was stitched to.
+TOLD = {"body": "long", "told": "string", "score": "double", "joined": "long", "stitched": "string", "stitch_score": "double"}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def body_identities(tracks: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """tracks with body (the gallery's number), quality-checked enrolment's decision and score, then stitched orphans.
 
     tracks: session, track, nth, first, last, skipped, vec, ok. Tracks that are skipped or have no vector stay unknown. Columns
-    added: body, subject, decision, score, reused, local, cross_merged, stitch_score. vec goes to the two folds alone: it is
-    most of a row, and nothing after them reads it.
+    added: body, subject, decision, score, reused, local, cross_merged, stitch_score. Both steps are told by one fold over a
+    session's tracks, as the second needs the first one's answers and the same vectors: vec, which is most of a row, is
+    shuffled once and nothing after the fold has it.
     """
-    known = tracks.where("not skipped and vec is not null")
-    told = gallery.enrolments(known.select("session", F.col("nth").alias("seq"), "vec", "ok"), p)
-    told = told.select("session", F.col("seq").alias("nth"), F.col("subject").alias("body"), F.col("decision").alias("told"), F.round("score", 4).alias("score"))
-    rows = written(tracks.drop("vec").join(told, ["session", "nth"], "left"), "enrolled")
-    orphans = known.select(*KEY, "vec", "ok", "first", "last").join(rows.select(*KEY, F.col("body").alias("subject")), KEY)
-    stitched = resolve.stitch(orphans, p).select("session", "track", F.col("subject").alias("joined"), F.col("decision").alias("stitched"), F.col("score").alias("stitch_score"))
-    both = rows.join(stitched, KEY, "left")
+    kept = tracks.drop("vec").columns
+    known = F.when(~F.col("skipped"), F.col("vec")).alias("vec")
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        seen = rows.filter(pc.is_valid(rows["vec"]))
+        vecs = V.matrix(seen["vec"])
+        told = gallery.enrolled(vecs, seen["ok"].to_pylist(), [True] * len(seen), p)
+        columns = (seen[c].to_pylist() for c in ("track", "first", "last", "ok"))
+        ids = [{"track": t, "first": a, "last": z, "ok": ok, "vec": v, "subject": r["subject"]} for t, a, z, ok, v, r in zip(*columns, vecs, told, strict=True)]
+        answers = {x["track"]: (r["subject"], r["decision"], r["score"]) for x, r in zip(ids, told, strict=True)}
+        joined = {t: rest for t, *rest in resolve.stitched(ids, p)}
+        every = [(*answers.get(t, (None,) * 3), *joined.get(t, (None,) * 3)) for t in rows["track"].to_pylist()]
+        new = [pa.array(column, _ARROW[of]) for column, of in zip(zip(*every, strict=True), TOLD.values(), strict=True)]
+        return pa.table([*rows.select(kept).columns, *new], names=[*kept, *TOLD])
+
+    shape = tracks.drop("vec").schema
+    for name, of in TOLD.items():
+        shape = shape.add(name, of)
+    both = tracks.select(*kept, known).groupBy("session").applyInArrow(fold, shape).withColumn("score", F.round("score", 4))
     decision = F.coalesce("stitched", "told")
     return both.select(
-        *tracks.drop("vec").columns, "body", F.coalesce("joined", "body").alias("subject"), decision.alias("decision"), "score", "stitch_score",
+        *kept, "body", F.coalesce("joined", "body").alias("subject"), decision.alias("decision"), "score", "stitch_score",
         F.coalesce(decision.isin("hit", "stitched"), F.lit(False)).alias("reused"), F.coalesce(decision.isin("local", "local_stitched"), F.lit(False)).alias("local"),
         F.coalesce(decision == "local_stitched", F.lit(False)).alias("cross_merged"),
     )

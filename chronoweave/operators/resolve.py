@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,13 +184,14 @@ def stitch(tracks: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_stitch(pdf.to_dict("records"), p), columns=["session", "track", "subject", "decision", "score"])
+        rows = pdf.assign(subject=pdf["subject"].astype(object).where(pdf["subject"].notna(), None)).to_dict("records")
+        return pd.DataFrame([(pdf["session"].iloc[0], *told) for told in stitched(rows, p)], columns=["session", "track", "subject", "decision", "score"])
 
     return tracks.select("session", "track", "subject", "first", "last", "vec", "ok").groupBy("session").applyInPandas(fold, STITCHED)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    size = float(np.linalg.norm(v))
+    size = math.sqrt(v @ v)
     return v / size if size > 0 else v
 
 
@@ -248,15 +250,16 @@ class Pool:
         return None, -1.0
 
 
-def _stitch(rows: list[dict], p: Params) -> list[tuple]:
+def stitched(rows: list[dict], p: Params = DEFAULT) -> list[tuple]:
+    """(track, subject, decision, score) of the orphans of one session's rows (track, subject or None, first, last, vec, ok)."""
     rows = sorted(rows, key=lambda r: (r["first"], r["track"]))
     groups, clusters = Pool(), Pool()
     for r in rows:
         r["vec"] = np.asarray(r["vec"], dtype=np.float64)
-        if not pd.isna(r["subject"]):
+        if r["subject"] is not None:
             groups.add(int(r["subject"]), r["vec"], r["first"], r["last"])
     local, out, best_of = [], {}, {}
-    orphans = [r for r in rows if pd.isna(r["subject"])]
+    orphans = [r for r in rows if r["subject"] is None]
     for r in orphans:
         s, score = groups.nearest(r["vec"], r["first"], r["last"])
         if s is not None and score >= (p.stitch if r["ok"] else max(p.stitch, p.stitch_local)):
@@ -279,7 +282,7 @@ def _stitch(rows: list[dict], p: Params) -> list[tuple]:
         number += 1
         for m in ms:
             out[m["track"]] = (number, "local_stitched" if len(ms) > 1 else "local", round(best_of[c], 4) if c in best_of else None)
-    return [(r["session"], r["track"], *out[r["track"]]) for r in orphans]
+    return [(r["track"], *out[r["track"]]) for r in orphans]
 
 
 def persons(tracks: DataFrame) -> DataFrame:

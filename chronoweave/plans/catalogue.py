@@ -49,8 +49,7 @@ def q05_track_best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06_frame_semantic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.detections(spark, sf_dir)
-    return tracks.frame_events(found, A.frames(found))
+    return tracks.frame_events(A.detections(spark, sf_dir))
 
 
 def q07_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,15 +663,14 @@ RUN = Params().with_(gait_frames=5, candidate_gap=4, stitch=0.6, stitch_local=0.
 
 
 def _run_tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sightings (written), and their tracks with gate, best frame and body vector, in order of appearance (written)."""
+    """Sightings (written), and their tracks with gate and best frame, in order of appearance (written)."""
     found = written(A.sightings(spark, sf_dir), "sightings")
-    spans = found.groupBy("session", "track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.max("user").alias("user"))
-    passed = tracks.lifespans(found, RUN).select("session", "track", F.lit(False).alias("skipped"))
-    best = tracks.best_evidence(found, RUN).select("session", "track", "best_frame")
-    at_best = found.select("session", "track", F.col("frame").alias("best_frame"), "k", F.col("quality").alias("best_quality"))
-    rows = spans.join(passed, ["session", "track"], "left").join(best, ["session", "track"]).join(at_best, ["session", "track", "best_frame"])
-    rows = rows.withColumn("skipped", F.coalesce("skipped", F.lit(True))).withColumn("ok", F.col("k") % 4 != 0)
-    return found, written(identify.ordered(_body_vectors(spark, sf_dir, rows, F.col("best_frame"))), "tracks")
+    return found, written(identify.ordered(tracks.overviews(found, RUN).withColumn("ok", F.col("k") % 4 != 0)), "tracks")
+
+
+def _run_bodies(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """The tracks' identities by their bodies, whose vectors stand in no table: they are made on the way to the fold."""
+    return identify.body_identities(_body_vectors(spark, sf_dir, rows, F.col("best_frame")), RUN)
 
 
 def _body_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, frame: Column) -> DataFrame:
@@ -699,7 +697,7 @@ def _run_faces(spark: SparkSession, sf_dir: str, found: DataFrame, rows: DataFra
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The identity run from detections and vectors on: sightings, tracks after stitching, and the identities (written)."""
     found, rows = _run_tracks(spark, sf_dir)
-    bodies = written(identify.body_identities(rows, RUN), "bodies")
+    bodies = written(_run_bodies(spark, sf_dir, rows), "bodies")
     walks = found.groupBy("session", "track").agg(F.count_distinct("frame").alias("n_frames"), F.max("user").alias("user"), F.max("k").alias("k"))
     walks = A.mixed_vectors(spark, sf_dir, walks.join(rows.where("not skipped").select("session", "track"), ["session", "track"]), F.col("user") * 5 + 2, F.col("track") * 43, F.col("k") % 7 * 0.2)
     gaits = identify.gait_identities(walks, rows, RUN)
@@ -737,14 +735,14 @@ def q92_run_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q93_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of the run's frames, those of things and of known persons included."""
     found, rows = _run_tracks(spark, sf_dir)
-    bodies = identify.body_identities(rows, RUN)
-    return tracks.frame_events(found, A.frames(found)).unionByName(tracks.object_events(found, RUN)).unionByName(identify.identity_hits(bodies))
+    events = tracks.frame_events(found, spans=rows).unionByName(tracks.object_events(found, RUN))
+    return events.unionByName(identify.identity_hits(_run_bodies(spark, sf_dir, rows)))
 
 
 def q94_object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of frames and of things over the detections."""
     found = A.detections(spark, sf_dir)
-    return tracks.frame_events(found, A.frames(found)).unionByName(tracks.object_events(found, P))
+    return tracks.frame_events(found).unionByName(tracks.object_events(found, P))
 
 
 def q95_capped_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     rows = events.select("event_id", F.col("event_type").alias("session"), frame_of().alias("frame"), F.col("user_id").alias("track"), k.alias("k"), F.col("value").alias("quality"))
+    return rows.select("*", *_seen("track"))
+
+
+def _seen(user: str) -> list[Column]:
+    """Box, confidence and label, which the event's k and its user tell."""
     x1, y1 = F.col("k") * 7 % 60, F.col("k") * 13 % 40
-    return rows.select(
-        "*", x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
-        (x1 + 20 + F.col("k") % 30).cast("double").alias("x2"), (y1 + 40 + F.col("track") % 50).cast("double").alias("y2"),
+    return [
+        x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
+        (x1 + 20 + F.col("k") % 30).cast("double").alias("x2"), (y1 + 40 + F.col(user) % 50).cast("double").alias("y2"),
         (F.col("k") / 100.0).alias("conf"), F.element_at(F.array(*map(F.lit, LABELS)), F.col("k") % len(LABELS) + 1).alias("label"),
-    )
+    ]
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +118,16 @@ USERS, TRACK_DAYS = 8, 3
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections in sessions whose number grows with the users: eight users share one, and each user has a track for every
     three days, so that tracks of one user follow each other and those of others overlap them. At most one row per session,
-    frame and track, the one of the best quality."""
-    rows = observations(spark, sf_dir).withColumn("user", F.col("track")).drop("session", "track")
+    frame and track, the one of the best quality.
+
+    Few rows share their key, so they are dealt before they are compared and sorted once, by whole numbers first; what k and
+    user tell is added after that."""
+    rows = observations(spark, sf_dir).select("event_id", F.col("track").alias("user"), "frame", "k", "quality")
     days = F.floor(F.col("frame") * FRAME_SECONDS / 86_400 / TRACK_DAYS)
     rows = rows.withColumns({"session": F.concat(F.lit("s"), F.floor(F.col("user") / USERS)), "track": F.col("user") * 10 + days})
-    best = F.max_by(F.struct("event_id", "user", "k", "quality", "x1", "y1", "x2", "y2", "conf", "label"), F.struct("quality", -F.col("event_id"))).alias("b")
-    return rows.groupBy("session", "frame", "track").agg(best).select("session", "frame", "track", "b.*")
+    best = F.max_by(F.struct("event_id", "user", "k", "quality"), F.struct("quality", -F.col("event_id"))).alias("b")
+    rows = rows.repartition("track", "frame", "session").groupBy("track", "frame", "session").agg(best).select("session", "frame", "track", "b.*")
+    return rows.select("*", *_seen("user"))
 
 
 def mixed_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, own: Column, other: Column, weight: Column, out: str = "vec") -> DataFrame:
