@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.hashing import mixed
-from chronoweave.session import emptied, read_table, release, written
+from chronoweave.session import emptied, few_bytes, read_table, release, written
 
 #: Bytes of a repeat.
 DEPTH = 100
@@ -30,8 +30,8 @@ NAMED = DEPTH - REACH
 WIDTH = DEPTH + REACH + 2
 RECORD = f"S{WIDTH}"
 #: Text bytes of a block, samples whose records are made at once, samples of a bucket, bytes that part buckets, most ranges
-#: of these, and rounds of sorting buckets.
-BLOCK_BYTES, CHUNK_SAMPLES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS = 8 << 20, 1 << 17, 1 << 15, 24, 4096, 4
+#: of these, and rounds of sorting buckets. Leading bytes of about so many records of a bucket are drawn.
+BLOCK_BYTES, CHUNK_SAMPLES, BUCKET_SAMPLES, LEADING, MOST_RANGES, ROUNDS, DRAWN = 8 << 20, 1 << 17, 1 << 15, 24, 4096, 4, 64
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -108,9 +108,11 @@ def _columns(found: np.ndarray) -> np.ndarray:
 
 def _common(sorted_bytes: np.ndarray) -> np.ndarray:
     """For each row of a matrix of bytes how many it has in common with the row before, from the first one on; 0 for the first."""
-    differ = sorted_bytes[1:] != sorted_bytes[:-1]
     out = np.zeros(len(sorted_bytes), dtype=np.int64)
-    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), sorted_bytes.shape[1])
+    for start in range(1, len(out), CHUNK_SAMPLES):
+        part = sorted_bytes[start - 1 : start + CHUNK_SAMPLES]
+        differ = part[1:] != part[:-1]
+        out[start : start + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), sorted_bytes.shape[1])
     return out
 
 
@@ -123,19 +125,22 @@ def ties(found: np.ndarray) -> np.ndarray:
     """
     every = distances(_columns(found)[:, -1].astype(np.int64), _columns(found)[:, -2])
     order = np.argsort(found, kind="stable")
-    fresh = np.ones(len(found), dtype=bool)
-    fresh[1:] = found[order[1:]] != found[order[:-1]]
-    told = np.zeros(len(found), dtype=np.uint32)
+    ordered = found[order]
+    del found
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    told = np.zeros(len(order), dtype=np.uint32)
     told[order[~fresh]] = every[order[~fresh]]
-    kept = order[fresh]
-    common = _common(_columns(found[kept])[:, :DEPTH])
+    kept, ordered = order[fresh], ordered[fresh]
+    common = _common(_columns(ordered)[:, :DEPTH])
     near = common >= NAMED
     in_group = near.copy()
     in_group[:-1] |= near[1:]
     kept, common = kept[in_group], common[in_group]
     if not len(kept):
         return told
-    before = np.ascontiguousarray(_columns(found[kept])[:, DEPTH:-2])
+    before = np.ascontiguousarray(_columns(ordered)[in_group, DEPTH:-2])
+    del ordered
     by_before = np.argsort(before.reshape(-1).view(f"S{REACH}"), kind="stable")
     common_before = _common(before[by_before])
     in_time = np.argsort(kept)
@@ -197,14 +202,16 @@ def _parted(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
             yield b, bounds[b], bounds[b + 1]
 
 
+#: Parquet's writers and readers hold a row group, which is a few blocks so.
+FEW_BLOCKS = {"parquet.block.row.count.limit": "2"}
 REPLY = "block long, bucket long, bits binary"
 _REPLY = [("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]
 
 
 def _sent(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _shared_names(table: pa.Table) -> pa.Table:
@@ -231,41 +238,68 @@ def _answers(replies: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
-    """Sort one bucket's suffixes; tell each block at which distances each of its records has an earlier one."""
-    table = table.sort_by("block")
-    found = np.concatenate([np.frombuffer(x.as_buffer(), dtype=RECORD) for x in table.column("records")])
-    places = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column("places")]
-    sizes = [len(p) for p in places]
-    in_time = np.lexsort((np.concatenate(places), np.repeat(np.arange(len(sizes)), sizes)))
-    told = np.empty(len(found), dtype=np.uint32)
-    told[in_time] = ties(found[in_time])
+    """Sort one bucket's suffixes; tell each block at which distances each of its records has an earlier one.
+
+    A block sends a bucket one row, with its records in the order of their places.
+    """
+    in_time = np.argsort(table.column("block").to_numpy())
+    parts = [np.frombuffer(x.as_buffer(), dtype=RECORD) for x in table.column("records")]
+    sizes = [len(parts[k]) for k in in_time]
+    told = ties(np.concatenate([parts[k] for k in in_time]))
     bits = [part.tobytes() for part in np.split(told, np.cumsum(sizes)[:-1])]
-    return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], names=[c for c, _ in _REPLY])
+    return pa.Table.from_arrays([*(table.column(c).combine_chunks().take(pa.array(in_time)) for c in ("block", "bucket")), pa.array(bits, pa.binary())], names=[c for c, _ in _REPLY])
 
 
 class Buckets:
-    """Which bucket takes a record: a range of its leading bytes; if there are more buckets than ranges, a hash of its NAMED bytes, too."""
+    """Which bucket takes a record: a range of its leading bytes, and in ranges of more than a bucket a hash of its NAMED bytes, too.
+
+    leads are the ascending leading bytes of records that were drawn from `total`, each as likely as any other; they part
+    the records into `ranges` ranges at most and tell about how many records each has, and so how many buckets of `size` it needs.
+    """
+
+    def __init__(self, leads: list[bytes], total: int, ranges: int, size: int) -> None:
+        self.edges = np.array(sorted({leads[len(leads) * k // ranges] for k in range(1, ranges)} if leads else ()), dtype=f"S{LEADING}")
+        drawn = np.bincount(np.searchsorted(self.edges, np.array(leads, dtype=self.edges.dtype), side="right"), minlength=len(self.edges) + 1)
+        self.parts = np.maximum(1, np.rint(drawn * (total / max(1, len(leads)) / size)).astype(np.int64))
+        self.first = np.cumsum(self.parts) - self.parts
 
-    def __init__(self, edges: list[bytes], count: int) -> None:
-        self.edges, self.parts = np.array(edges, dtype=f"S{LEADING}"), -(-count // (len(edges) + 1))
+    @property
+    def count(self) -> int:
+        return int(self.parts.sum())
 
-    def ranges(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The ranges of the samples at some positions, each of which has LEADING bytes."""
+    def numbers(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The buckets of the samples at some ascending positions, each of which has LEADING bytes."""
         if not len(at):
             return np.empty(0, dtype=np.int64)
         leads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LEADING)[at])
-        return np.searchsorted(self.edges, leads.reshape(-1).view(f"S{LEADING}"), side="right")
-
-    def of(self, data: np.ndarray, at: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, indices) of the samples at some positions, whose ranges are known; buckets and indices ascend."""
-        number = ranges * self.parts
-        if self.parts > 1:
-            names = window_hashes(data, NAMED, np.sort(at))[np.argsort(np.argsort(at))]
-            number = number + (names % np.uint64(self.parts)).astype(np.int64)
-        order = np.argsort(number, kind="stable")
-        edges = np.flatnonzero(np.diff(number[order])) + 1
+        ranges = np.searchsorted(self.edges, leads.reshape(-1).view(f"S{LEADING}"), side="right")
+        out, parts = self.first[ranges], self.parts[ranges]
+        if (split := parts > 1).any():
+            out[split] += (window_hashes(data, NAMED, at[split]) % parts[split].astype(np.uint64)).astype(np.int64)
+        return out
+
+    def of(self, data: np.ndarray, at: np.ndarray, number: int = 0, rounds: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, indices) of the samples at some ascending positions, for the buckets of one round; buckets and indices ascend."""
+        numbers = self.numbers(data, at)
+        own = np.flatnonzero(numbers % rounds == number)
+        order = own[np.argsort(numbers[own], kind="stable")]
+        edges = np.flatnonzero(np.diff(numbers[order])) + 1
         for index in np.split(order, edges) if len(order) else ():
-            yield int(number[index[0]]), index
+            yield int(numbers[index[0]]), index
+
+
+def _portions(dealt: Iterator[tuple[int, np.ndarray]], most: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """What Buckets.of deals, in lists of `most` samples at most, or of one bucket that has more."""
+    out: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for bucket, index in dealt:
+        if out and held + len(index) > most:
+            yield out
+            out, held = [], 0
+        out.append((bucket, index))
+        held += len(index)
+    if out:
+        yield out
 
 
 def _names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -319,7 +353,7 @@ def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[di
     shared, first = (_chosen(row[c], len(samples)) for c in ("shared", "first"))
     at, places = samples[shared], samples[first]
     bits = np.zeros(len(places), dtype=np.uint32)
-    for bucket, index in buckets.of(data, places, buckets.ranges(data, places)):
+    for bucket, index in buckets.of(data, places):
         bits[index] = np.frombuffer(told[bucket], dtype=np.uint32)
     again = distances(*reach(starts, sizes, at)) if len(at) else np.empty(0, dtype=np.uint32)
     again[first[shared]] = bits
@@ -328,7 +362,7 @@ def _removed(row: dict, told: dict[int, bytes], buckets: Buckets) -> Iterator[di
         repeated[at[(again >> np.uint32(distance)) & 1 == 1] - distance] = True
     steps = repeated.astype(np.int32)
     steps[DEPTH:] -= repeated[:-DEPTH]
-    gone = np.cumsum(steps[:-1]) > 0
+    gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
     for doc_id, start, size in zip(row["doc_ids"], starts.tolist(), sizes.tolist(), strict=True):
         own = gone[start : start + size]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
@@ -348,13 +382,16 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
     itself earlier.
 
     A block sends a record about once (once for each CHUNK_SAMPLES samples), so a passage that stands everywhere costs one record per block. Buckets and the
-    partitions they and the blocks are dealt over grow in number with the input and not in size; their edges are
-    drawn from a bounded sample, which affects only their sizes. Between the rounds Spark's shuffle files are given back.
+    partitions they and the blocks are dealt over grow in number with the input and not in size; their edges and numbers are
+    drawn from a sample of the records, bounded on the driver, which affects only their sizes. Only records that share
+    their NAMED bytes must meet in one bucket, so a passage with very many different surroundings still makes a large one.
+    Between the rounds Spark's shuffle files are given back, and few blocks or records at a time are sent to Python.
     Null text is empty; texts under DEPTH bytes are kept whole; rows that repeat an id come in the order of a hash of
     their text, null ids last. Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    base = written(blocks(docs, block_bytes), "blocks", compression="zstd")
+    few_bytes(spark)
+    base = written(blocks(docs, block_bytes), "blocks", compression="zstd", **FEW_BLOCKS)
     release(spark)
     sizes = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,6 +407,8 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
     answers = written(names.repartition(max(usual, name_buckets // 4), "bucket").groupBy("bucket").applyInArrow(_shared_names, REPLY), "names")
     release(spark)
 
+    step = max(1, bucket_samples // DRAWN)
+
     def mark(block: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
@@ -377,11 +416,12 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
             samples, names, keys, more = _names(data, starts, lengths)
             shared = np.flatnonzero(_among(names, keys[_answers(replies, keys, name_buckets) | more]))
             first, drawn = [np.empty(0, dtype=np.int64)], []
+            chance = np.random.default_rng(row["block"])
             for start in range(0, len(shared), CHUNK_SAMPLES):
                 part = shared[start : start + CHUNK_SAMPLES]
                 distinct, index = np.unique(records(data, starts, lengths, samples[part]), return_index=True)
                 first.append(part[index])
-                drawn += [x[:LEADING] for x in distinct[:: max(1, len(distinct) // 16)].tolist()]
+                drawn += [x[:LEADING] for x in distinct[chance.integers(step) :: step].tolist()]
             first = np.concatenate(first)
             out.append((_bits(shared, len(samples)), _bits(first, len(samples)), len(first), drawn))
         kinds = {"shared": pa.binary(), "first": pa.binary(), "records": pa.int64(), "drawn": pa.list_(pa.binary())}
@@ -391,19 +431,17 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
 
     schema = "block long, doc_ids array<long>, sizes array<long>, data binary, shared binary, first binary, records long, drawn array<binary>"
     both = base.repartition(dealt, "block").groupBy("block").cogroup(answers.repartition(dealt, "block").groupBy("block"))
-    marked = written(both.applyInArrow(mark, schema), "marked", compression="zstd")
+    marked = written(both.applyInArrow(mark, schema), "marked", compression="zstd", **FEW_BLOCKS)
     emptied(base)
     emptied(answers)
     release(spark)
 
     total = marked.agg(F.sum("records")).first()[0] or 0
     count = max(1, -(-total // bucket_samples))
-    wanted = min(count, most_ranges) * 64
-    share = min(1.0, wanted / max(1, marked.agg(F.sum(F.size("drawn"))).first()[0] or 0))
-    drawn = marked.select("block", F.explode("drawn").alias("lead")).where(F.pmod(F.xxhash64("block", "lead"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    leads = sorted(bytes(r["lead"]) for r in drawn.collect())
     ranges = min(count, most_ranges)
-    buckets = Buckets(sorted({leads[len(leads) * k // ranges] for k in range(1, ranges)} if leads else ()), count)
+    share = min(1.0, ranges * DRAWN / max(1, marked.agg(F.sum(F.size("drawn"))).first()[0] or 0))
+    drawn = marked.select("block", F.posexplode("drawn").alias("n", "lead")).where(F.pmod(F.xxhash64("block", "n"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    buckets = Buckets(sorted(bytes(r["lead"]) for r in drawn.select("lead").collect()), total, ranges, bucket_samples)
 
     told = None
     for number in range(rounds):
@@ -412,14 +450,14 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_samples: int
             for row in _batched_rows(batches):
                 data, starts, lengths = _layout(row)
                 samples = sample_positions(starts, lengths)
-                places = samples[_chosen(row["first"], len(samples))].astype(np.int32)
-                ranges = buckets.ranges(data, places)
-                places, ranges = (x[ranges % rounds == number] for x in (places, ranges))
-                found = records(data, starts, lengths, places)
-                yield _sent([(b, row["block"], found[i].tobytes(), places[i].tobytes()) for b, i in buckets.of(data, places, ranges)], ["bucket", "block", "records", "places"])
-
-        sent = marked.select("block", "sizes", "data", "first").mapInArrow(send, "bucket long, block long, records binary, places binary")
-        got = written(sent.repartition(max(usual, count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
+                places = samples[_chosen(row["first"], len(samples))]
+                for some in _portions(buckets.of(data, places, number, rounds), CHUNK_SAMPLES):
+                    found = records(data, starts, lengths, places[np.concatenate([i for _, i in some])])
+                    parts = np.split(found, np.cumsum([len(i) for _, i in some])[:-1])
+                    yield _sent([(b, row["block"], part.tobytes()) for (b, _), part in zip(some, parts, strict=True)], ["bucket", "block", "records"])
+
+        sent = marked.select("block", "sizes", "data", "first").mapInArrow(send, "bucket long, block long, records binary")
+        got = written(sent.repartition(max(usual, buckets.count // rounds), "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, REPLY), "suffixes")
         told = got if told is None else told.unionByName(got)
         del sent, got
         release(spark)

@@ -84,5 +84,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def few_bytes(spark: SparkSession, size: str = "4m") -> None:
+    """Send about `size` at a time to Python, a longer row alone, where the session does not say how much: Spark's default is
+    64 MB, of which the JVM holds several copies outside its heap for each task."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
